@@ -15,5 +15,17 @@ def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_components(table(spark, sf_dir, "documents"))
 
 
+def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .bpe import digests
+
+    return digests(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
+
+
+def vocabulary(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def all_queries() -> dict:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
