@@ -2,9 +2,9 @@
 
 1. Every text becomes its set of distinct word shingles (64-bit hashes) and a 128-bit
    signature of that set; texts with equal sets are one class from there on.
-2. Shingles get one global order, rare ones first: counts of repeated shingles are summed over
-   the corpus and the `hot` most frequent ones, a number that doesn't depend on the
-   data, go last. Any global order is exact; a better one only shortens lists.
+2. Shingles get one global order, rare ones first, by the number of slices (about a million shingles of
+   neighbouring documents) that hold them, counted over the whole corpus: slices send sorted, packed
+   shingles to buckets and get back which of theirs others have, so nothing that grows is broadcast.
 3. Two sets with Jaccard >= t share a shingle among the first n - ceil(t n) + 1 of each.
    Inverted lists over these prefixes link classes into candidate blocks, by one hub a list and
    never by pairs. Lists are built within a task first, then across tasks.
@@ -34,7 +34,9 @@ from pyspark.sql import functions as F
 from . import _kernel as K
 from ._shared import checkpointed, components, partitions, stored
 
-HOT = 1 << 18
+TOKEN_BITS = 40  # of a shingle, for candidates only: an accidental match there costs a comparison, never a result
+SLICE_TOKENS = 1_000_000
+BUCKET_TOKENS = 2_000_000
 CHUNK_DOCS = 512
 CHUNK_TOKENS = 4_000_000
 HUBS = 8
@@ -150,77 +152,124 @@ def chunk_links(sets: list[np.ndarray], num: int, den: int) -> Union:
 # ---- features ---------------------------------------------------------------------------------
 
 
-def _repeated(size: int):
-    """Shingles that a task has met twice or more, with their counts."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, n = [], 0
-
-        def flush():
-            token, count = np.unique(np.concatenate(held), return_counts=True)
-            keep = count > 1
-            return pa.RecordBatch.from_arrays([pa.array(K.signed(token[keep])), pa.array(count[keep])], ["token", "n"])
+def pack(values: np.ndarray) -> bytes:
+    """Ascending integers as differences of as few bytes as the largest needs."""
+    if not len(values):
+        return b""
+    steps = np.diff(values, prepend=np.uint64(0)).astype("<u8")
+    width = max(1, (int(steps.max()).bit_length() + 7) // 8)
+    return bytes([width]) + steps.view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
+
+
+def unpack(blob: bytes) -> np.ndarray:
+    if not blob:
+        return np.zeros(0, np.uint64)
+    rows = np.frombuffer(blob, np.uint8, offset=1).reshape(-1, blob[0])
+    wide = np.zeros((len(rows), 8), np.uint8)
+    wide[:, : blob[0]] = rows
+    return np.cumsum(wide.view("<u8")[:, 0], dtype=np.uint64)
+
+
+SLICE_SCHEMA = "slice long, ids array<long>, counts array<long>, sigs array<long>, sigs2 array<long>, lengths array<long>, tokens binary, blobs array<binary>"
+
+
+def _slices(size: int, buckets: int):
+    """One row for each slice of about a million shingles: its documents' sets, and all of its shingles dealt to buckets by their value."""
+
+    def row(ids, sets):
+        one, two = np.zeros(len(sets), np.int64), np.zeros(len(sets), np.int64)
+        shorts = []
+        for k, s in enumerate(sets):
+            if len(s):
+                one[k], two[k] = K.signed(np.add.reduce(K.mix(s, 1))[None])[0], K.signed(np.add.reduce(K.mix(s, 2))[None])[0]
+            t = s >> np.uint64(64 - TOKEN_BITS)  # still ascending
+            shorts.append(t[np.append(True, t[1:] != t[:-1])] if len(t) else t)
+        flat = np.concatenate(shorts) if shorts else np.zeros(0, np.uint64)
+        every = np.unique(flat)
+        cut = np.searchsorted(every, np.array([-(-(b << TOKEN_BITS) // buckets) for b in range(buckets + 1)], np.uint64))
+        tokens = flat.astype("<u8").view(np.uint8).reshape(-1, 8)[:, : (TOKEN_BITS + 7) // 8].tobytes()
+        name = int(K.signed(np.add.reduce(K.mix(one.view(np.uint64) ^ K.mix(np.array([i or 0 for i in ids], np.int64).view(np.uint64)), len(ids)))[None])[0])
+        counts = [len(s) for s in sets]
+        cols = [[name], [ids], [counts], [one.tolist()], [two.tolist()], [[len(t) for t in shorts]], [tokens], [[pack(every[a:b]) for a, b in zip(cut[:-1], cut[1:])]]]
+        big = pa.list_(pa.int64())
+        kinds = [pa.int64(), big, big, big, big, big, pa.binary(), pa.list_(pa.binary())]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], ["slice", "ids", "counts", "sigs", "sigs2", "lengths", "tokens", "blobs"])
 
+    def run(batches):
+        ids, sets, n = [], [], 0
         for batch in batches:
-            for texts in K.slices(batch.column(0)):
-                sets = text_sets(texts, size)
-                if sets:
-                    held.append(np.concatenate(sets))
-                    n += len(held[-1])
-                if n >= CHUNK_TOKENS:
-                    yield flush()
-                    held, n = [], 0
-        if n:
-            yield flush()
+            for texts in K.slices(batch.column(1)):
+                for i, s in zip(batch.column(0).slice(texts.first, len(texts)).to_pylist(), text_sets(texts, size)):
+                    ids.append(i)
+                    sets.append(s)
+                    n += len(s) + 1
+                    if n >= SLICE_TOKENS:
+                        yield row(ids, sets)
+                        ids, sets, n = [], [], 0
+        if ids:
+            yield row(ids, sets)
 
     return run
 
 
-def frequent(docs: DataFrame, size: int, hot: int) -> tuple[np.ndarray, np.ndarray]:
-    """The most frequent shingles (at most `hot`, whatever the data) and their counts."""
-    found = docs.select("text").mapInArrow(_repeated(size), "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
-    found = stored(found.filter("n >= 4"))
-    level = F.floor(F.log2(F.col("n").cast("double")) * 8)
-    least, room = 0, hot
-    for row in found.groupBy(level.alias("level")).agg(F.count("*").alias("c"), F.min("n").alias("n")).orderBy(F.desc("level")).collect():
-        room -= row["c"]
-        if room < 0:
-            break
-        least = row["n"]
-    rows = found.filter(F.col("n") >= (least or 1 << 62)).toArrow()
-    token = rows["token"].to_numpy().astype(np.int64).view(np.uint64)
-    order = np.argsort(token)
-    return token[order], rows["n"].to_numpy().astype(np.int64)[order]
-
-
-def _features(size: int, num: int, den: int, hot):
+def _repeated(batches):
+    """Of a bucket's blobs (bucket, slice, blob): for every slice, its shingles that any other slice or document has too."""
+    for (bucket,), rows in _grouped(batches, 1):
+        parts = [unpack(b.as_py()) for chunk in rows["blob"].chunks for b in chunk]
+        both = np.sort(np.concatenate(parts))
+        again = np.unique(both[1:][both[1:] == both[:-1]])
+        count = np.searchsorted(both, again, "right") - np.searchsorted(both, again, "left")
+        for name, part in zip(rows["slice"].to_pylist(), parts):
+            at = np.minimum(np.searchsorted(again, part), max(0, len(again) - 1))
+            hit = again[at] == part if len(again) else np.zeros(len(part), bool)
+            if hit.any():
+                freq = count[at[hit]].astype("<u4").tobytes()
+                yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([bucket]), pa.array([pack(part[hit])]), pa.array([freq])], ["slice", "bucket", "shared", "freq"])
+
+
+def _prefixes(num: int, den: int):
+    """(sig, prefix) of every document: of its prefix in the order of (slices that have it, value), the shingles that more than one document has."""
+
     def run(batches):
-        tokens, counts = hot.value
         for batch in batches:
-            for texts in K.slices(batch.column(1)):
-                sets = text_sets(texts, size)
-                n = np.array([len(s) for s in sets], np.int64)
-                one, two, prefix = np.zeros(len(sets), np.int64), np.zeros(len(sets), np.int64), []
-                for k, s in enumerate(sets):
-                    if not len(s):
-                        continue
-                    one[k], two[k] = K.signed(np.add.reduce(K.mix(s, 1))[None])[0], K.signed(np.add.reduce(K.mix(s, 2))[None])[0]
-                    take = len(s) - -(-num * len(s) // den) + 1
-                    rank = np.zeros(len(s), np.int64)
-                    if len(tokens):
-                        at = np.minimum(np.searchsorted(tokens, s), len(tokens) - 1)
-                        rank = np.where(tokens[at] == s, counts[at], 0)
-                    cold = s[rank == 0]  # ascending: the global order among them
-                    if len(cold) >= take:
-                        prefix.append(cold[:take])
-                    else:
-                        prefix.append(s[np.lexsort((s, rank))][:take])
-                flat = np.concatenate(prefix) if prefix else np.zeros(0, np.uint64)
-                lengths = np.where(n > 0, n - -(-num * n // den) + 1, 0)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(texts.first, len(texts)), pa.array(n), pa.array(one), pa.array(two), K.list_array(K.signed(flat), lengths)],
-                    ["doc_id", "n_shingles", "sig", "sig2", "prefix"],
-                )
+            for r in batch.to_pylist():
+                width = (TOKEN_BITS + 7) // 8
+                rows = np.frombuffer(r["tokens"], np.uint8).reshape(-1, width)
+                wide = np.zeros((len(rows), 8), np.uint8)
+                wide[:, :width] = rows
+                flat = wide.view("<u8")[:, 0]
+                found = sorted(r["found"] or [], key=lambda f: f["bucket"])
+                shared = np.concatenate([unpack(f["shared"]) for f in found]) if found else np.zeros(0, np.uint64)
+                freq = np.concatenate([np.frombuffer(f["freq"], "<u4") for f in found]).astype(np.int64) if found else np.zeros(0, np.int64)
+                # within the slice, by document: copies of one set count once
+                lengths = np.array(r["lengths"], np.int64)
+                fresh = np.zeros(len(lengths), bool)
+                fresh[np.unique(np.array(r["sigs"], np.int64), return_index=True)[1]] = True
+                mine, times = np.unique(flat[np.repeat(fresh, lengths)], return_counts=True)
+                times = times.astype(np.int64)
+                if len(shared):
+                    at = np.minimum(np.searchsorted(shared, mine), len(shared) - 1)
+                    rest = np.where(shared[at] == mine, freq[at] - 1, 0)
+                else:
+                    rest = np.zeros(len(mine), np.int64)
+                # one function of the shingle alone, whichever slice asks: slices that hold it or, if one does, documents in it
+                rank = np.where(rest > 0, rest + 1, times - 1)
+                twice = (times > 1) | (rest > 0)
+                where = np.searchsorted(mine, flat)
+                cut = np.append(0, np.cumsum(lengths))
+                out, sizes, sigs = [], [], []
+                for k in np.flatnonzero(fresh & (lengths > 0)):
+                    at = where[cut[k] : cut[k + 1]]
+                    n = r["counts"][k]
+                    take = len(at) - (-(-num * n // den) - (n - len(at))) + 1
+                    first = at[np.argsort(rank[at], kind="stable")[:take]]
+                    first = first[twice[first]]
+                    if len(first):
+                        out.append(mine[first])
+                        sizes.append(len(first))
+                        sigs.append(r["sigs"][k])
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(sigs), K.list_array(K.signed(np.concatenate(out)), np.array(sizes))], ["sig", "prefix"])
 
     return run
 
@@ -385,17 +434,25 @@ def _across(sets: DataFrame, local: DataFrame, num: int, den: int) -> DataFrame:
     return label.select("node", "component")
 
 
-def ngram_components(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100, hot: int = HOT, chunk_docs: int = CHUNK_DOCS) -> DataFrame:
+def ngram_components(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100, chunk_docs: int = CHUNK_DOCS) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row of `docs` (doc_id, text)."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    order = spark.sparkContext.broadcast(frequent(docs, size, hot))
-    feats = stored(docs.mapInArrow(_features(size, num, den, order), "doc_id long, n_shingles long, sig long, sig2 long, prefix array<long>"))
+    length = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = max(4, int(length) // 6 // BUCKET_TOKENS)
+    slices = stored(docs.mapInArrow(_slices(size, buckets), SLICE_SCHEMA))
+    each = F.explode(F.arrays_zip(F.col("ids").alias("doc_id"), F.col("counts").alias("n_shingles"), F.col("sigs").alias("sig"), F.col("sigs2").alias("sig2"))).alias("d")
+    feats = slices.select(each).select("d.*")
     usable = feats.filter("n_shingles > 0 and doc_id is not null")
     classes = usable.groupBy("sig", "sig2", "n_shingles").agg(F.min("doc_id").alias("rep"))
 
-    lists = usable.select("sig", "prefix").mapInArrow(_lists(False), "kind int, a long, b long")
-    total = feats.agg(F.sum(F.size("prefix"))).first()[0] or 0
+    dealt = slices.select(F.posexplode("blobs").alias("bucket", "blob"), "slice").filter("length(blob) > 0").select(F.col("bucket").cast("long").alias("bucket"), "slice", "blob")
+    shared = dealt.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_repeated, "slice long, bucket long, shared binary, freq binary")
+    back = shared.groupBy("slice").agg(F.collect_list(F.struct("bucket", "shared", "freq")).alias("found"))
+    known = slices.select("slice", "counts", "sigs", "lengths", "tokens").join(back, "slice", "left").select("counts", "sigs", "lengths", "tokens", "found")
+    prefixes = stored(known.mapInArrow(_prefixes(num, den), "sig long, prefix array<long>"))
+    lists = prefixes.mapInArrow(_lists(False), "kind int, a long, b long")
+    total = prefixes.agg(F.sum(F.size("prefix"))).first()[0] or 0
     parts = max(partitions(spark), total // 2_000_000)
     across = lists.filter("kind = 0").select("a", "b").repartition(parts, "a").mapInArrow(_lists(True), "kind int, a long, b long")
     candidate = components(lists.filter("kind = 1").select("a", "b").union(across.select("a", "b")))
