@@ -2,9 +2,11 @@
 
 1. Every text becomes its set of distinct word shingles (64-bit hashes) and a 128-bit
    signature of that set; texts with equal sets are one class from there on.
-2. Shingles get one global order, rare ones first, by the number of slices (about a million shingles of
-   neighbouring documents) that hold them, counted over the whole corpus: slices send sorted, packed
-   shingles to buckets and get back which of theirs others have, so nothing that grows is broadcast.
+2. Documents that share fewer than t of their shingles with the rest of the corpus are done: sorted,
+   packed shingles go to buckets by value, and buckets count what each document has met. One
+   document of each other class goes on. Shingles get one global order there, rare ones first, by the
+   number of slices (half a million shingles of neighbouring documents) that hold them; slices send
+   theirs to buckets and get back which others have, so nothing that grows is broadcast.
 3. Two sets with Jaccard >= t share a shingle among the first n - ceil(t n) + 1 of each.
    Inverted lists over these prefixes link classes into candidate blocks, by one hub a list and
    never by pairs. Lists are built within a task first, then across tasks.
@@ -35,8 +37,9 @@ from . import _kernel as K
 from ._shared import checkpointed, components, partitions, stored
 
 TOKEN_BITS = 40  # of a shingle, for candidates only: an accidental match there costs a comparison, never a result
-SLICE_TOKENS = 1_000_000
-BUCKET_TOKENS = 2_000_000
+SLICE_TOKENS = 500_000
+BUCKET_TOKENS = 3_000_000
+FEW = 1_000_000  # ids that may be broadcast (8 MB); more are joined by a shuffle
 CHUNK_DOCS = 512
 CHUNK_TOKENS = 4_000_000
 HUBS = 8
@@ -173,6 +176,87 @@ def unpack(blob: bytes) -> np.ndarray:
 SLICE_SCHEMA = "slice long, ids array<long>, counts array<long>, sigs array<long>, sigs2 array<long>, lengths array<long>, tokens binary, blobs array<binary>"
 
 
+def _facts(size: int):
+    """(doc_id, n_shingles, sig, sig2, slack): the size and signature of every document's set; slack: shingles that coincide when cut short."""
+
+    def run(batches):
+        for batch in batches:
+            for texts in K.slices(batch.column(1)):
+                sets = text_sets(texts, size)
+                n, slack, one, two = np.zeros((4, len(sets)), np.int64)
+                for k, s in enumerate(sets):
+                    if len(s):
+                        n[k] = len(s)
+                        t = s >> np.uint64(64 - TOKEN_BITS)
+                        slack[k] = np.count_nonzero(t[1:] == t[:-1])
+                        one[k], two[k] = K.signed(np.add.reduce(K.mix(s, 1))[None])[0], K.signed(np.add.reduce(K.mix(s, 2))[None])[0]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(texts.first, len(texts)), *map(pa.array, (n, one, two, slack))], ["doc_id", "n_shingles", "sig", "sig2", "slack"])
+
+    return run
+
+
+def _dealt(size: int, buckets: int):
+    """The cut shingles of about half a million at a time, dealt to buckets by value: (bucket, ids, tokens, owners)."""
+    bounds = np.array([-(-(b << TOKEN_BITS) // buckets) for b in range(1, buckets)], np.uint64)
+
+    def rows(ids, parts, lengths):
+        flat = np.concatenate(parts)
+        owner = np.repeat(np.arange(len(ids), dtype=np.uint32), lengths)
+        order = np.argsort(flat, kind="stable")
+        flat, owner = flat[order], owner[order]
+        new = np.ones(len(flat), bool)
+        new[1:] = (flat[1:] != flat[:-1]) | (owner[1:] != owner[:-1])
+        flat, owner = flat[new], owner[new]
+        cut = np.concatenate([[0], np.searchsorted(flat, bounds), [len(flat)]])
+        out = []
+        for b, (lo, hi) in enumerate(zip(cut[:-1], cut[1:])):
+            if hi > lo:
+                used, at = np.unique(owner[lo:hi], return_inverse=True)
+                kind = np.uint16 if len(used) <= 1 << 16 else np.uint32
+                out.append((b, np.asarray(ids, np.int64)[used].tobytes(), pack(flat[lo:hi]), bytes([np.dtype(kind).itemsize]) + at.astype(kind).tobytes()))
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), (pa.int64(), pa.binary(), pa.binary(), pa.binary()))], ["bucket", "ids", "tokens", "owners"])
+
+    def run(batches):
+        ids, parts, lengths, n = [], [], [], 0
+        for batch in batches:
+            for texts in K.slices(batch.column(1)):
+                starts, ends, of = texts.words()
+                hashes, of, _ = K.shingles(texts.hashes(starts, ends, lower=True), of, len(texts), size)
+                if not len(hashes):
+                    continue
+                ids += batch.column(0).slice(texts.first, len(texts)).to_pylist()
+                parts.append(hashes >> np.uint64(64 - TOKEN_BITS))
+                lengths.append(np.bincount(of, minlength=len(texts)))
+                n += len(hashes)
+                if n >= SLICE_TOKENS:
+                    yield rows(ids, parts, np.concatenate(lengths))
+                    ids, parts, lengths, n = [], [], [], 0
+        if n:
+            yield rows(ids, parts, np.concatenate(lengths))
+
+    return run
+
+
+def _met(batches):
+    """(doc_id, met): how many of a document's shingles in a bucket any other document has too."""
+    for _, rows in _grouped(batches, 1):
+        tokens, owners, ids, base = [], [], [], 0
+        for i, t, o in zip(rows["ids"].to_pylist(), rows["tokens"].to_pylist(), rows["owners"].to_pylist()):
+            tokens.append(unpack(t))
+            owners.append(np.frombuffer(o, np.uint16 if o[0] == 2 else np.uint32, offset=1).astype(np.uint32) + np.uint32(base))
+            ids.append(np.frombuffer(i, np.int64))
+            base += len(ids[-1])
+        tokens, owners, ids = np.concatenate(tokens), np.concatenate(owners), np.concatenate(ids)
+        order = np.argsort(tokens, kind="stable")
+        same = tokens[order[1:]] == tokens[order[:-1]]
+        hit = np.zeros(len(tokens), bool)
+        hit[1:] |= same
+        hit[:-1] |= same
+        met = np.bincount(owners[order[hit]], minlength=len(ids))
+        some = met > 0
+        yield pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.array(met[some].astype(np.int64))], ["doc_id", "met"])
+
+
 def _slices(size: int, buckets: int):
     """One row for each slice of about a million shingles: its documents' sets, and all of its shingles dealt to buckets by their value."""
 
@@ -439,12 +523,21 @@ def ngram_components(docs: DataFrame, size: int = 5, num: int = 80, den: int = 1
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     length = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = max(4, int(length) // 6 // BUCKET_TOKENS)
-    slices = stored(docs.mapInArrow(_slices(size, buckets), SLICE_SCHEMA))
-    each = F.explode(F.arrays_zip(F.col("ids").alias("doc_id"), F.col("counts").alias("n_shingles"), F.col("sigs").alias("sig"), F.col("sigs2").alias("sig2"))).alias("d")
-    feats = slices.select(each).select("d.*")
+    feats = stored(docs.mapInArrow(_facts(size), "doc_id long, n_shingles long, sig long, sig2 long, slack long"))
     usable = feats.filter("n_shingles > 0 and doc_id is not null")
-    classes = usable.groupBy("sig", "sig2", "n_shingles").agg(F.min("doc_id").alias("rep"))
+    classes = usable.groupBy("sig", "sig2", "n_shingles", "slack").agg(F.min("doc_id").alias("rep"))
+
+    # only a document that shares its share of shingles with others can be similar to one of them
+    buckets = max(4, int(length) // 6 // BUCKET_TOKENS)
+    dealt = docs.filter("doc_id is not null").mapInArrow(_dealt(size, buckets), "bucket long, ids binary, tokens binary, owners binary")
+    met = dealt.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_met, "doc_id long, met long")
+    met = met.groupBy("doc_id").agg(F.sum("met").alias("met"))
+    need = F.ceil(F.col("n_shingles") * num / F.lit(den)) - F.col("slack")
+    able = classes.join(met, classes.rep == met.doc_id).filter(F.col("met") >= need).select("sig", "sig2", "n_shingles", "rep")
+    able = checkpointed(able)
+    few = able.count() <= FEW
+    ids = able.select(F.col("rep").alias("doc_id")).distinct()
+    slices = stored(docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi").mapInArrow(_slices(size, buckets), SLICE_SCHEMA))
 
     dealt = slices.select(F.posexplode("blobs").alias("bucket", "blob"), "slice").filter("length(blob) > 0").select(F.col("bucket").cast("long").alias("bucket"), "slice", "blob")
     shared = dealt.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_repeated, "slice long, bucket long, shared binary, freq binary")
@@ -457,19 +550,19 @@ def ngram_components(docs: DataFrame, size: int = 5, num: int = 80, den: int = 1
     across = lists.filter("kind = 0").select("a", "b").repartition(parts, "a").mapInArrow(_lists(True), "kind int, a long, b long")
     candidate = components(lists.filter("kind = 1").select("a", "b").union(across.select("a", "b")))
 
-    part = classes.join(candidate.select(F.col("node").alias("sig"), F.col("component").alias("block")), "sig").select("rep", "block", "n_shingles")
+    part = able.join(candidate.select(F.col("node").alias("sig"), F.col("component").alias("block")), "sig").select("rep", "block", "n_shingles")
     part = checkpointed(part)
     whole = part.groupBy("block").agg(F.count("*").alias("docs"), F.sum("n_shingles").alias("tokens"))
     cuts = F.greatest(F.ceil(F.col("docs") / chunk_docs), F.ceil(F.col("tokens") / CHUNK_TOKENS))
     placed = part.join(whole, "block").select(F.col("rep").alias("doc_id"), "block", F.pmod(F.xxhash64("rep"), cuts.cast("long")).alias("chunk")).distinct()
-    few = placed.count() <= 1_000_000
+    few = placed.count() <= FEW
     sets = docs.join(F.broadcast(placed) if few else placed, "doc_id").mapInArrow(_sets(size), "node long, block long, chunk long, items array<long>")
     sets = stored(sets)
     dealt = sets.select("block", "chunk", "node", "items").repartition(partitions(spark), "block", "chunk").sortWithinPartitions("block", "chunk")
     local = checkpointed(dealt.mapInArrow(_local(num, den), "block long, chunk long, node long, component long"))
 
     # rows that share an id are one vertex: it joins the classes of all its texts
-    members = usable.join(classes, ["sig", "sig2", "n_shingles"]).select("doc_id", "rep")
+    members = usable.join(classes, ["sig", "sig2", "n_shingles", "slack"]).select("doc_id", "rep")
     ids = members.groupBy("doc_id").agg(F.min("rep").alias("rep"), F.max("rep").alias("other"))
     joins = local.select(F.col("node").alias("a"), F.col("component").alias("b"))
     more = ids.filter("rep <> other").select("doc_id").join(members, "doc_id").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
@@ -489,5 +582,5 @@ def drop_near_copies(docs: DataFrame, **how) -> DataFrame:
 
     Rows with a null id stay. Of rows that share an id all or none stay."""
     found = ngram_components(docs, **how).filter("component_id <> doc_id").select("doc_id").distinct()
-    few = found.count() <= 1_000_000
+    few = found.count() <= FEW
     return docs.join(F.broadcast(found) if few else found, "doc_id", "left_anti").select(docs.columns)
