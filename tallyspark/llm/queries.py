@@ -3,12 +3,29 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from ._shared import table
+from ._shared import bucket, table
 
 ORACLES: dict[str, str] = {}
 
 
+def op1_quality_mil(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality_mil import score_quality, train
+
+    docs = table(spark, sf_dir, "documents")
+    model = train(docs, table(spark, sf_dir, "labels"))
+    return score_quality(docs, model).select("doc_id", (bucket(F.col("doc_id"), 3) == 1).alias("held_out"), "score", "predicted")
+
+
+def op2_toxicity_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity_grammar import score_toxicity, train
+
+    docs = table(spark, sf_dir, "documents")
+    model = train(docs, table(spark, sf_dir, "labels"))
+    return score_toxicity(docs, model).select("doc_id", (bucket(F.col("doc_id"), 5) == 0).alias("held_out"), "score", "predicted", "matched")
+
+
 def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .ngram_join import ngram_components
 
