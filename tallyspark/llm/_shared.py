@@ -21,6 +21,14 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
+def bounded(spark: SparkSession) -> None:
+    """Small Arrow batches where the session has Spark's default: batches of texts then need a few MB at both ends."""
+    for key, default, value in (("spark.sql.execution.arrow.maxRecordsPerBatch", "10000", "1000"), ("spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", "8m")):
+        now = str(spark.conf.get(key))
+        if now.rstrip("b") == default.rstrip("b"):
+            spark.conf.set(key, value)
+
+
 def stored(df: DataFrame) -> DataFrame:
     """The rows as a table in the shared folder: cuts lineage and survives the loss of executors."""
     spark = df.sparkSession
@@ -35,6 +43,7 @@ def checkpointed(df: DataFrame) -> DataFrame:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bounded(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -5,7 +5,7 @@
 2. Documents that share fewer than t of their shingles with the rest of the corpus are done: sorted,
    packed shingles go to buckets by value, and buckets count what each document has met. One
    document of each other class goes on. Shingles get one global order there, rare ones first, by the
-   number of slices (half a million shingles of neighbouring documents) that hold them; slices send
+   number of slices (a third of a million shingles of neighbouring documents) that hold them; slices send
    theirs to buckets and get back which others have, so nothing that grows is broadcast.
 3. Two sets with Jaccard >= t share a shingle among the first n - ceil(t n) + 1 of each.
    Inverted lists over these prefixes link classes into candidate blocks, by one hub a list and
@@ -37,11 +37,11 @@ from . import _kernel as K
 from ._shared import checkpointed, components, partitions, stored
 
 TOKEN_BITS = 40  # of a shingle, for candidates only: an accidental match there costs a comparison, never a result
-SLICE_TOKENS = 500_000
-BUCKET_TOKENS = 3_000_000
+SLICE_TOKENS = 300_000
+BUCKET_TOKENS = 2_000_000
 FEW = 1_000_000  # ids that may be broadcast (8 MB); more are joined by a shuffle
 CHUNK_DOCS = 512
-CHUNK_TOKENS = 4_000_000
+CHUNK_TOKENS = 2_000_000
 HUBS = 8
 
 
@@ -196,7 +196,7 @@ def _facts(size: int):
 
 
 def _dealt(size: int, buckets: int):
-    """The cut shingles of about half a million at a time, dealt to buckets by value: (bucket, ids, tokens, owners)."""
+    """The cut shingles of about a third of a million at a time, dealt to buckets by value: (bucket, ids, tokens, owners)."""
     bounds = np.array([-(-(b << TOKEN_BITS) // buckets) for b in range(1, buckets)], np.uint64)
 
     def rows(ids, parts, lengths):
