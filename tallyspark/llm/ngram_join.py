@@ -196,7 +196,7 @@ def _facts(size: int):
 
 
 def _dealt(size: int, buckets: int):
-    """The cut shingles of about a third of a million at a time, dealt to buckets by value: (bucket, ids, tokens, owners)."""
+    """The cut shingles of about a third of a million at a time, dealt to buckets by value: (bucket, slice, ids, tokens, owners)."""
     bounds = np.array([-(-(b << TOKEN_BITS) // buckets) for b in range(1, buckets)], np.uint64)
 
     def rows(ids, parts, lengths):
@@ -213,8 +213,8 @@ def _dealt(size: int, buckets: int):
             if hi > lo:
                 used, at = np.unique(owner[lo:hi], return_inverse=True)
                 kind = np.uint16 if len(used) <= 1 << 16 else np.uint32
-                out.append((b, np.asarray(ids, np.int64)[used].tobytes(), pack(flat[lo:hi]), bytes([np.dtype(kind).itemsize]) + at.astype(kind).tobytes()))
-        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), (pa.int64(), pa.binary(), pa.binary(), pa.binary()))], ["bucket", "ids", "tokens", "owners"])
+                out.append((b, ids[0], np.asarray(ids, np.int64)[used].tobytes(), pack(flat[lo:hi]), bytes([np.dtype(kind).itemsize]) + at.astype(kind).tobytes()))
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()))], ["bucket", "slice", "ids", "tokens", "owners"])
 
     def run(batches):
         ids, parts, lengths, n = [], [], [], 0
@@ -238,23 +238,37 @@ def _dealt(size: int, buckets: int):
 
 
 def _met(batches):
-    """(doc_id, met): how many of a document's shingles in a bucket any other document has too."""
+    """(slice, ids, met): for the documents of each slice, how many of their shingles in a bucket any other document has too."""
     for _, rows in _grouped(batches, 1):
-        tokens, owners, ids, base = [], [], [], 0
+        tokens, owners, ids, base = [], [], [], [0]
         for i, t, o in zip(rows["ids"].to_pylist(), rows["tokens"].to_pylist(), rows["owners"].to_pylist()):
             tokens.append(unpack(t))
-            owners.append(np.frombuffer(o, np.uint16 if o[0] == 2 else np.uint32, offset=1).astype(np.uint32) + np.uint32(base))
+            owners.append(np.frombuffer(o, np.uint16 if o[0] == 2 else np.uint32, offset=1).astype(np.uint32) + np.uint32(base[-1]))
             ids.append(np.frombuffer(i, np.int64))
-            base += len(ids[-1])
-        tokens, owners, ids = np.concatenate(tokens), np.concatenate(owners), np.concatenate(ids)
+            base.append(base[-1] + len(ids[-1]))
+        tokens, owners = np.concatenate(tokens), np.concatenate(owners)
         order = np.argsort(tokens, kind="stable")
         same = tokens[order[1:]] == tokens[order[:-1]]
         hit = np.zeros(len(tokens), bool)
         hit[1:] |= same
         hit[:-1] |= same
-        met = np.bincount(owners[order[hit]], minlength=len(ids))
-        some = met > 0
-        yield pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.array(met[some].astype(np.int64))], ["doc_id", "met"])
+        met = np.bincount(owners[order[hit]], minlength=base[-1])
+        out = []
+        for name, mine, a in zip(rows["slice"].to_pylist(), ids, base):
+            n = met[a : a + len(mine)]
+            if n.any():
+                out.append((name, mine[n > 0].tobytes(), n[n > 0].astype(np.int64).tobytes()))
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), (pa.int64(), pa.binary(), pa.binary()))], ["slice", "ids", "met"])
+
+
+def _summed(batches):
+    """(doc_id, met) of each slice, over its buckets."""
+    for _, rows in _grouped(batches, 1):
+        ids = np.concatenate([np.frombuffer(x, np.int64) for x in rows["ids"].to_pylist()])
+        met = np.concatenate([np.frombuffer(x, np.int64) for x in rows["met"].to_pylist()])
+        each, at = np.unique(ids, return_inverse=True)
+        yield pa.RecordBatch.from_arrays([pa.array(each), pa.array(np.bincount(at, met, len(each)).astype(np.int64))], ["doc_id", "met"])
 
 
 def _slices(size: int, buckets: int):
@@ -529,8 +543,9 @@ def ngram_components(docs: DataFrame, size: int = 5, num: int = 80, den: int = 1
 
     # only a document that shares its share of shingles with others can be similar to one of them
     buckets = max(4, int(length) // 6 // BUCKET_TOKENS)
-    dealt = docs.filter("doc_id is not null").mapInArrow(_dealt(size, buckets), "bucket long, ids binary, tokens binary, owners binary")
-    met = dealt.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_met, "doc_id long, met long")
+    dealt = docs.filter("doc_id is not null").mapInArrow(_dealt(size, buckets), "bucket long, slice long, ids binary, tokens binary, owners binary")
+    met = dealt.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_met, "slice long, ids binary, met binary")
+    met = met.repartition(partitions(spark), "slice").sortWithinPartitions("slice").mapInArrow(_summed, "doc_id long, met long")
     met = met.groupBy("doc_id").agg(F.sum("met").alias("met"))
     need = F.ceil(F.col("n_shingles") * num / F.lit(den)) - F.col("slack")
     able = classes.join(met, classes.rep == met.doc_id).filter(F.col("met") >= need).select("sig", "sig2", "n_shingles", "rep")
