@@ -121,7 +121,7 @@ def distance(p: np.ndarray, q: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(0, part / 2))
 
 
-def judge(docs: DataFrame, class_limit: float = 0.16, word_limit: float = 0.5, slack: float = 0.6, least_words: int = 100) -> DataFrame:
+def judge(docs: DataFrame, class_limit: float = 0.165, word_limit: float = 0.5, slack: float = 0.6, least_words: int = 100) -> DataFrame:
     """(doc_id, counts, base_failed, kept, class_distance, word_distance, language) of every row of `docs` (doc_id, lang, text)."""
     rows = docs.select("doc_id", F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()

@@ -58,7 +58,12 @@ def path_of(url: Column) -> Column:
 def grams(host: Column, path: Column, dimensions: int, sizes=(3, 4, 5)) -> Column:
     """The distinct hashed character n-grams of host and path. Digits count as one character each, of one kind."""
     text = F.regexp_replace(F.concat(F.lit("^"), host, F.lit("$"), path, F.lit("$")), "[0-9]", "0")
-    every = [F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(text) - k + 1)), lambda i, k=k: F.pmod(F.xxhash64(F.substring(text, i, F.lit(k))), F.lit(dimensions)).cast("int")) for k in sizes]
+
+    def of(k: int) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(text) - (k - 1)))
+        return F.transform(starts, lambda i: F.pmod(F.xxhash64(F.substring(text, i, F.lit(k))), F.lit(dimensions)).cast("int"))
+
+    every = [of(k) for k in sizes]
     return F.array_distinct(F.concat(*every))
 
 
@@ -71,7 +76,7 @@ def _literal(weights: list[float]) -> Column:
     return F.from_json(F.lit(json.dumps([round(w, 4) for w in weights])), "array<double>")
 
 
-def fit(table: DataFrame, dimensions: int = 1 << 15, steps: int = 40, rate: float = 1.0, decay: float = 2e-6) -> tuple[list[float], float]:
+def fit(table: DataFrame, dimensions: int = 1 << 15, steps: int = 20, rate: float = 0.1, decay: float = 2e-6) -> tuple[list[float], float]:
     """Weights and bias of a logistic regression on (url, label); the table is small by contract."""
     rows = table.select(grams(host_of(F.col("url")), path_of(F.col("url")), dimensions).alias("g"), F.col("label").cast("double").alias("y")).coalesce(1).cache()
     size = rows.agg(F.sum("y").alias("ones"), F.count("*").alias("n")).first()
