@@ -1,6 +1,6 @@
 """Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
 
-Words are `[^\\x20\\x09-\\x0D]+` with A-Z lowered. Of every benchmark item, the half of its word n-grams that
+Words are `[^\\x20\\x09-\\x0D]+` in lower case. Of every benchmark item, the half of its word n-grams that
 the corpus has least often (counted over all documents) and eight at least are its seeds: rarity is
 relative, so an item that was copied very often keeps its seeds. Wherever a document has a seed, the words around
 it are aligned with the item by Smith-Waterman (match 2, mismatch -1, gap -1); overlapping windows of one item are joined.
@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,9 +31,9 @@ class Items:
 
     def __init__(self, ids: list[int], texts: list[str], n: int = GRAM):
         self.n, self.ids, self.words = n, ids, []
-        for part in K.slices(pa.array(texts, pa.large_string())):
+        for part in K.slices(pc.utf8_lower(pa.array(texts, pa.large_string()))):
             starts, ends, of = part.words()
-            h = part.hashes(starts, ends, lower=True)
+            h = part.hashes(starts, ends)
             cut = np.searchsorted(of, np.arange(len(part) + 1))
             self.words += [h[a:b] for a, b in zip(cut[:-1], cut[1:])]
         gram, item, at = [], [], []
@@ -96,9 +97,9 @@ def _counted(items):
         total: np.ndarray | None = None
         seen = items.value.distinct
         for batch in batches:
-            for texts in K.slices(batch.column(0)):
+            for texts in K.slices(pc.utf8_lower(batch.column(0))):
                 starts, ends, of = texts.words()
-                grams, _ = runs_of(texts.hashes(starts, ends, lower=True), of, len(texts), items.value)
+                grams, _ = runs_of(texts.hashes(starts, ends), of, len(texts), items.value)
                 at = np.minimum(np.searchsorted(seen, grams), max(0, len(seen) - 1))
                 hit = at[seen[at] == grams] if len(seen) else at[:0]
                 count = np.bincount(hit, minlength=len(seen))
@@ -114,9 +115,9 @@ def _aligned(items, least: float):
     def run(batches):
         block: Items = items.value
         for batch in batches:
-            for texts in K.slices(batch.column(1)):
+            for texts in K.slices(pc.utf8_lower(batch.column(1))):
                 starts, ends, of = texts.words()
-                words = texts.hashes(starts, ends, lower=True)
+                words = texts.hashes(starts, ends)
                 grams, places = runs_of(words, of, len(texts), block)
                 lo = np.searchsorted(block.gram, grams, "left")
                 many = np.searchsorted(block.gram, grams, "right") - lo
