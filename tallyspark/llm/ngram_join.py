@@ -539,7 +539,8 @@ def ngram_components(docs: DataFrame, size: int = 5, num: int = 80, den: int = 1
     length = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     feats = stored(docs.mapInArrow(_facts(size), "doc_id long, n_shingles long, sig long, sig2 long, slack long"))
     usable = feats.filter("n_shingles > 0 and doc_id is not null")
-    classes = usable.groupBy("sig", "sig2", "n_shingles", "slack").agg(F.min("doc_id").alias("rep"))
+    # checkpointed, so that joins with it are plain shuffles, of which a large group of copies can be split
+    classes = checkpointed(usable.groupBy("sig", "sig2", "n_shingles", "slack").agg(F.min("doc_id").alias("rep")))
 
     # only a document that shares its share of shingles with others can be similar to one of them
     buckets = max(4, int(length) // 6 // BUCKET_TOKENS)
