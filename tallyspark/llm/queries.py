@@ -15,7 +15,7 @@ def op1_quality_mil(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = table(spark, sf_dir, "documents")
     model = train(docs, table(spark, sf_dir, "labels"))
-    return score_quality(docs, model).select("doc_id", (bucket(F.col("doc_id"), 3) == 1).alias("held_out"), "score", "predicted")
+    return score_quality(docs, model).select("doc_id", F.coalesce(bucket(F.col("doc_id"), 3) == 1, F.lit(False)).alias("held_out"), "score", "predicted")
 
 
 def op2_toxicity_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,7 +23,7 @@ def op2_toxicity_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = table(spark, sf_dir, "documents")
     model = train(docs, table(spark, sf_dir, "labels"))
-    return score_toxicity(docs, model).select("doc_id", (bucket(F.col("doc_id"), 5) == 0).alias("held_out"), "score", "predicted", "matched")
+    return score_toxicity(docs, model).select("doc_id", F.coalesce(bucket(F.col("doc_id"), 5) == 0, F.lit(False)).alias("held_out"), "score", "predicted", "matched")
 
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
