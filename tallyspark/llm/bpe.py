@@ -25,7 +25,7 @@ from . import _kernel as K
 
 #: The pre-tokenizer pattern of byte-level BPE vocabularies of this kind.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-REMEMBERED_CHARS = 4_000_000
+REMEMBERED_CHARS = 2_000_000
 FAR = np.int64(1) << 40
 
 
@@ -203,10 +203,10 @@ def _source(docs: DataFrame, path: str):
 def encode_decode(docs: DataFrame, vocabulary: str) -> DataFrame:
     """(doc_id, n_tokens, ids, decoded) of each row of `docs` (doc_id, text); vocabulary: the path of its file."""
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(_coded(_source(docs, vocabulary), True), f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids array<int>, decoded string")
+    return rows.mapInArrow(K.tidy(_coded(_source(docs, vocabulary), True)), f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids array<int>, decoded string")
 
 
 def digests(docs: DataFrame, vocabulary: str) -> DataFrame:
     """The same, but for SHA-256 digests of ids and decoded text: the rows stay small."""
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(_coded(_source(docs, vocabulary), False), f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return rows.mapInArrow(K.tidy(_coded(_source(docs, vocabulary), False)), f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -181,9 +181,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = 0.5, n: i
     for items in blocks_of(benchmark, block, n):
         if not len(items.gram):
             continue
-        counts = rows.select("text").mapInArrow(_counted(spark.sparkContext.broadcast(items)), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+        counts = rows.select("text").mapInArrow(K.tidy(_counted(spark.sparkContext.broadcast(items))), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
         items.choose({r["gram"]: r["n"] for r in counts.collect()})
-        part = rows.mapInArrow(_aligned(spark.sparkContext.broadcast(items), least), schema)
+        part = rows.mapInArrow(K.tidy(_aligned(spark.sparkContext.broadcast(items), least)), schema)
         out = part if out is None else out.union(part)
     if out is None:
         return spark.createDataFrame([], schema)

@@ -38,9 +38,9 @@ from ._shared import checkpointed, components, partitions, stored
 
 TOKEN_BITS = 40  # of a shingle, for candidates only: an accidental match there costs a comparison, never a result
 SLICE_TOKENS = 300_000
-BUCKET_TOKENS = 2_000_000
+BUCKET_TOKENS = 1_000_000
 FEW = 1_000_000  # ids that may be broadcast (8 MB); more are joined by a shuffle
-CHUNK_DOCS = 512
+CHUNK_DOCS = 256
 CHUNK_TOKENS = 2_000_000
 HUBS = 8
 
@@ -524,7 +524,7 @@ def _across(sets: DataFrame, local: DataFrame, num: int, den: int) -> DataFrame:
             ask = outside.withColumn("to", F.explode(F.sequence(F.lit(0).cast("long"), F.col("last")))).filter("to <> chunk").withColumn("chunk", F.col("to"))
         pick = lambda df, role: df.select("block", "chunk", F.lit(role).alias("role"), "node", "component", "items")
         both = pick(rows, 0).union(pick(ask, 1))
-        links = both.repartition(partitions(spark), "block", "chunk").sortWithinPartitions("block", "chunk").mapInArrow(_cross(num, den), "a long, b long")
+        links = both.repartition(partitions(spark), "block", "chunk").sortWithinPartitions("block", "chunk").mapInArrow(K.tidy(_cross(num, den)), "a long, b long")
         moved = components(links)
         label = checkpointed(
             label.join(moved.withColumnRenamed("component", "to"), label.component == moved.node, "left").select("block", "chunk", label.node, F.coalesce("to", label.component).alias("component"), "last")
@@ -537,33 +537,33 @@ def ngram_components(docs: DataFrame, size: int = 5, num: int = 80, den: int = 1
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     length = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    feats = stored(docs.mapInArrow(_facts(size), "doc_id long, n_shingles long, sig long, sig2 long, slack long"))
+    feats = stored(docs.mapInArrow(K.tidy(_facts(size)), "doc_id long, n_shingles long, sig long, sig2 long, slack long"))
     usable = feats.filter("n_shingles > 0 and doc_id is not null")
     # checkpointed, so that joins with it are plain shuffles, of which a large group of copies can be split
     classes = checkpointed(usable.groupBy("sig", "sig2", "n_shingles", "slack").agg(F.min("doc_id").alias("rep")))
 
     # only a document that shares its share of shingles with others can be similar to one of them
-    buckets = max(4, int(length) // 6 // BUCKET_TOKENS)
-    dealt = docs.filter("doc_id is not null").mapInArrow(_dealt(size, buckets), "bucket long, slice long, ids binary, tokens binary, owners binary")
-    met = dealt.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_met, "slice long, ids binary, met binary")
-    met = met.repartition(partitions(spark), "slice").sortWithinPartitions("slice").mapInArrow(_summed, "doc_id long, met long")
+    buckets = max(16, int(length) // 6 // BUCKET_TOKENS)
+    dealt = docs.filter("doc_id is not null").mapInArrow(K.tidy(_dealt(size, buckets)), "bucket long, slice long, ids binary, tokens binary, owners binary")
+    met = dealt.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(K.tidy(_met), "slice long, ids binary, met binary")
+    met = met.repartition(partitions(spark), "slice").sortWithinPartitions("slice").mapInArrow(K.tidy(_summed), "doc_id long, met long")
     met = met.groupBy("doc_id").agg(F.sum("met").alias("met"))
     need = F.ceil(F.col("n_shingles") * num / F.lit(den)) - F.col("slack")
     able = classes.join(met, classes.rep == met.doc_id).filter(F.col("met") >= need).select("sig", "sig2", "n_shingles", "rep")
     able = checkpointed(able)
     few = able.count() <= FEW
     ids = able.select(F.col("rep").alias("doc_id")).distinct()
-    slices = stored(docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi").mapInArrow(_slices(size, buckets), SLICE_SCHEMA))
+    slices = stored(docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi").mapInArrow(K.tidy(_slices(size, buckets)), SLICE_SCHEMA))
 
     dealt = slices.select(F.posexplode("blobs").alias("bucket", "blob"), "slice").filter("length(blob) > 0").select(F.col("bucket").cast("long").alias("bucket"), "slice", "blob")
-    shared = dealt.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_repeated, "slice long, bucket long, shared binary, freq binary")
+    shared = dealt.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(K.tidy(_repeated), "slice long, bucket long, shared binary, freq binary")
     back = shared.groupBy("slice").agg(F.collect_list(F.struct("bucket", "shared", "freq")).alias("found"))
     known = slices.select("slice", "counts", "sigs", "lengths", "tokens").join(back, "slice", "left").select("counts", "sigs", "lengths", "tokens", "found")
-    prefixes = stored(known.mapInArrow(_prefixes(num, den), "sig long, prefix array<long>"))
-    lists = prefixes.mapInArrow(_lists(False), "kind int, a long, b long")
+    prefixes = stored(known.mapInArrow(K.tidy(_prefixes(num, den)), "sig long, prefix array<long>"))
+    lists = prefixes.mapInArrow(K.tidy(_lists(False)), "kind int, a long, b long")
     total = prefixes.agg(F.sum(F.size("prefix"))).first()[0] or 0
     parts = max(partitions(spark), total // 2_000_000)
-    across = lists.filter("kind = 0").select("a", "b").repartition(parts, "a").mapInArrow(_lists(True), "kind int, a long, b long")
+    across = lists.filter("kind = 0").select("a", "b").repartition(parts, "a").mapInArrow(K.tidy(_lists(True)), "kind int, a long, b long")
     candidate = components(lists.filter("kind = 1").select("a", "b").union(across.select("a", "b")))
 
     part = able.join(candidate.select(F.col("node").alias("sig"), F.col("component").alias("block")), "sig").select("rep", "block", "n_shingles")
@@ -572,10 +572,10 @@ def ngram_components(docs: DataFrame, size: int = 5, num: int = 80, den: int = 1
     cuts = F.greatest(F.ceil(F.col("docs") / chunk_docs), F.ceil(F.col("tokens") / CHUNK_TOKENS))
     placed = part.join(whole, "block").select(F.col("rep").alias("doc_id"), "block", F.pmod(F.xxhash64("rep"), cuts.cast("long")).alias("chunk")).distinct()
     few = placed.count() <= FEW
-    sets = docs.join(F.broadcast(placed) if few else placed, "doc_id").mapInArrow(_sets(size), "node long, block long, chunk long, items array<long>")
+    sets = docs.join(F.broadcast(placed) if few else placed, "doc_id").mapInArrow(K.tidy(_sets(size)), "node long, block long, chunk long, items array<long>")
     sets = stored(sets)
     dealt = sets.select("block", "chunk", "node", "items").repartition(partitions(spark), "block", "chunk").sortWithinPartitions("block", "chunk")
-    local = checkpointed(dealt.mapInArrow(_local(num, den), "block long, chunk long, node long, component long"))
+    local = checkpointed(dealt.mapInArrow(K.tidy(_local(num, den)), "block long, chunk long, node long, component long"))
 
     # rows that share an id are one vertex: it joins the classes of all its texts
     members = usable.join(classes, ["sig", "sig2", "n_shingles", "slack"]).select("doc_id", "rep")

@@ -165,4 +165,4 @@ def score_quality(docs: DataFrame, model: Model) -> DataFrame:
             p = shared.value.score(batch.column(1)).astype(np.float64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(p), pa.array((p >= 0.5).astype(np.int32))], ["doc_id", "score", "predicted"])
 
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, score double, predicted int")
+    return rows.mapInArrow(K.tidy(run), f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, score double, predicted int")

@@ -126,7 +126,7 @@ def judge(docs: DataFrame, class_limit: float = 0.165, word_limit: float = 0.5,
     rows = docs.select("doc_id", F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
     counts = ", ".join(f"{c} long" for c in COUNTS)
-    facts = stored(rows.mapInArrow(_measured, f"doc_id {kind}, lang string, {counts}, classes array<int>, words array<int>"))
+    facts = stored(rows.mapInArrow(K.tidy(_measured), f"doc_id {kind}, lang string, {counts}, classes array<int>, words array<int>"))
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
 
     # references: the mean histogram of each language over all its documents that pass
@@ -158,5 +158,5 @@ def judge(docs: DataFrame, class_limit: float = 0.165, word_limit: float = 0.5,
             yield pa.RecordBatch.from_arrays([batch.column(0), *(batch.column(k) for k in range(4, 4 + len(COUNTS))), batch.column(9), pa.array(good), pa.array(a), pa.array(b), pa.array(name, pa.string())], ["doc_id", *COUNTS, "base_failed", "good", "class_distance", "word_distance", "language"])
 
     seen = facts.select("doc_id", F.col("n_words").alias("w"), "classes", "words", *COUNTS, failed.alias("base_failed"))
-    out = seen.mapInArrow(run, f"doc_id {kind}, {counts}, base_failed boolean, good boolean, class_distance double, word_distance double, language string")
+    out = seen.mapInArrow(K.tidy(run), f"doc_id {kind}, {counts}, base_failed boolean, good boolean, class_distance double, word_distance double, language string")
     return out.select("doc_id", *COUNTS, "base_failed", (~F.col("base_failed") & F.col("good")).alias("kept"), "class_distance", "word_distance", "language")

@@ -22,7 +22,8 @@ from pyspark.sql import functions as F
 
 from ._shared import stored
 
-ROWS_A_PARTITION = 100_000
+ROWS_A_PARTITION = 100_000  # at most, on average
+LEAST_PARTITIONS = 64
 
 
 def draw(rng: np.random.Generator, good: int, bad: int, n: int) -> int:
@@ -80,7 +81,7 @@ def _literal(values, kind: str) -> Column:
 def shuffled(rows: DataFrame, key: list[Column], shards: int = 16, seed: int = 20240611, most_partitions: int = 1024) -> DataFrame:
     """`rows` with shard and slot (gapless from 0 in each shard); key: what tells rows apart."""
     total = rows.count()
-    parts = max(1, min(most_partitions, -(-total // ROWS_A_PARTITION) * 4))
+    parts = min(most_partitions, max(LEAST_PARTITIONS, -(-total // ROWS_A_PARTITION)))
     h = [F.xxhash64(*key, F.lit(seed + k)) for k in range(3)]
     base = rows.withColumns({"__p": F.pmod(h[0], F.lit(parts)).cast("int"), "__a": h[1], "__b": h[2]})
     counts = {r["__p"]: r["n"] for r in base.groupBy("__p").agg(F.count("*").alias("n")).collect()}

@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import _kernel as K
 from ._shared import bucket
 
 # Words of the classes, in the four languages of the corpus.
@@ -308,7 +309,7 @@ def score_toxicity(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, score, predicted, matched) of every row; matched: the weighted number of matched clauses."""
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(_scored(docs.sparkSession.sparkContext.broadcast(model)), f"doc_id {kind}, score double, predicted int, matched double")
+    return rows.mapInArrow(K.tidy(_scored(docs.sparkSession.sparkContext.broadcast(model))), f"doc_id {kind}, score double, predicted int, matched double")
 
 
 def drop_toxic(docs: DataFrame, model: Model) -> DataFrame:
@@ -321,4 +322,4 @@ def drop_toxic(docs: DataFrame, model: Model) -> DataFrame:
             keep = shared.value.score(batch.column(place).to_pylist())[0] < 0.5
             yield batch.filter(pa.array(keep))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(K.tidy(run), docs.schema)
