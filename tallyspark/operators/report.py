@@ -21,7 +21,7 @@ def best_marked(rows: DataFrame, by: list[str], value: str) -> DataFrame:
 
 
 def cell(value: Column, best: Column, digits: int = 2) -> Column:
-    text = F.format_number(value, f"0.{'0' * digits}")
+    text = F.format_string(f"%.{digits}f", value)
     return F.when(value.isNull(), F.lit("-")).when(best, F.concat(F.lit("**"), text, F.lit("**"))).otherwise(text)
 
 
@@ -55,8 +55,8 @@ def key_values(lines: DataFrame, line: str = "value") -> DataFrame:
 def score_report(accuracies: DataFrame, temperature: float) -> DataFrame:
     """The lines of a text report of (dimension, value, accuracy): a section for each dimension, then the average of the means."""
     w = Window.partitionBy("dimension").orderBy("value")
-    lines = accuracies.withColumn("n", F.row_number().over(w)).select(F.concat_ws("\t", "dimension", F.lpad(F.col("n").cast("string"), 9, "0")).alias("k"), F.concat_ws("", F.when(F.col("n") == 1, F.concat(F.lit("### "), F.upper("dimension"), F.lit(" ACCURACY\n"))), "value", F.lit(": "), F.format_number("accuracy", "0.00")).alias("value"))
+    lines = accuracies.withColumn("n", F.row_number().over(w)).select(F.concat_ws("\t", "dimension", F.lpad(F.col("n").cast("string"), 9, "0")).alias("k"), F.concat_ws("", F.when(F.col("n") == 1, F.concat(F.lit("### "), F.upper("dimension"), F.lit(" ACCURACY\n"))), "value", F.lit(": "), F.format_string("%.2f", "accuracy")).alias("value"))
     spark = accuracies.sparkSession
     head = spark.range(1).select(F.lit("").alias("k"), F.lit(f"TEMPERATURE: {temperature:.2f}").alias("value"))
-    tail = accuracies.agg(F.avg("accuracy").alias("a")).select(F.lit("￿").alias("k"), F.concat(F.lit("### AVERAGE ACCURACY\n"), F.format_number("a", "0.00")).alias("value"))
+    tail = accuracies.agg(F.avg("accuracy").alias("a")).select(F.lit("￿").alias("k"), F.concat(F.lit("### AVERAGE ACCURACY\n"), F.format_string("%.2f", "a")).alias("value"))
     return head.union(lines).union(tail).orderBy("k").select("value")

@@ -37,14 +37,14 @@ def jsonl(spark: SparkSession, path: str, task: str | None = None, schema: str |
 
 def jsonl_ordered(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """The same with line_no, from 0 in each file; a file is a task's unit, as these files are small."""
-    whole = spark.read.option("wholetext", True).option("pathGlobFilter", "*.jsonl").text(path)
+    whole = spark.read.option("pathGlobFilter", "*.jsonl").text(path, wholetext=True)
     lines = whole.select(_stem().alias("stem"), F.posexplode(F.split(F.regexp_replace("value", r"\r?\n\z", ""), r"\r?\n")).alias("line_no", "line"))
     return lines.select("stem", F.col("line_no").cast("long").alias("line_no"), F.from_json("line", schema).alias("r")).select("stem", "line_no", "r.*")
 
 
 def predictions(spark: SparkSession, path: str) -> DataFrame:
     """(uid, seq, id, pred) of {uid: {predictions: [{id, pred}]}}; the order of each list is kept as seq."""
-    doc = spark.read.option("wholetext", True).text(path).select(F.from_json("value", PREDICTIONS).alias("m"))
+    doc = spark.read.text(path, wholetext=True).select(F.from_json("value", PREDICTIONS).alias("m"))
     uids = doc.select(F.explode("m").alias("uid", "p"))
     return uids.select("uid", F.posexplode("p.predictions").alias("seq", "r")).select("uid", F.col("seq").cast("long").alias("seq"), "r.id", "r.pred")
 
@@ -74,14 +74,14 @@ def manifest(spark: SparkSession, path: str) -> DataFrame:
 
 
 def surprisals(spark: SparkSession, path: str) -> DataFrame:
-    doc = spark.read.option("wholetext", True).text(path).select(F.from_json("value", SURPRISAL).alias("d"))
+    doc = spark.read.text(path, wholetext=True).select(F.from_json("value", SURPRISAL).alias("d"))
     rows = doc.select(F.col("d.metadata.model_name").alias("model"), F.explode("d.results").alias("r")).select("model", "r.*")
     return rows.withColumn("surprisal", finite(F.col("surprisal")))
 
 
 def word_contexts(spark: SparkSession, path: str, least: int = 1) -> DataFrame:
     """(word, context_id, context) of {word: [{context}]}; words of one letter or with too few contexts go."""
-    doc = spark.read.option("wholetext", True).text(path).select(F.explode(F.from_json("value", "map<string, array<struct<context: string>>>")).alias("word", "c"))
+    doc = spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", "map<string, array<struct<context: string>>>")).alias("word", "c"))
     kept = doc.filter((F.char_length("word") > 1) & (F.size("c") >= least))
     return kept.select("word", F.posexplode("c.context").alias("context_id", "context"))
 
@@ -96,8 +96,9 @@ def target_words(spark: SparkSession, path: str) -> DataFrame:
 
 def tab_predictions(spark: SparkSession, path: str) -> DataFrame:
     """(seq, prediction) of a tab-separated file with a header; blank lines are passed over, a missing second column is empty."""
-    whole = spark.read.option("wholetext", True).text(path)
-    lines = whole.select(F.expr("filter(slice(split(value, '\\r?\\n'), 2, 2147483647), x -> trim(x) <> '')").alias("l"))
+    whole = spark.read.text(path, wholetext=True)
+    lines = whole.select(F.split("value", r"\r?\n").alias("l"))
+    lines = lines.select(F.filter(F.slice("l", F.lit(2), F.size("l")), lambda x: F.trim(x) != "").alias("l"))
     at = lines.select(F.posexplode("l").alias("seq", "line"))
     return at.select(F.col("seq").cast("long").alias("seq"), F.coalesce(F.get(F.split("line", "\t", 2), F.lit(1)), F.lit("")).alias("prediction"))
 
@@ -111,7 +112,7 @@ def finetune_results(spark: SparkSession, path: str) -> DataFrame:
 
 def harness_results(spark: SparkSession, path: str) -> DataFrame:
     """(file, pos, name, alias, acc) of {"results": {name: {"alias", "acc,none"}}} in the order of each document, which tells the tree."""
-    whole = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*results*.json").text(path)
+    whole = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*results*.json").text(path, wholetext=True)
     doc = whole.select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("text"), F.from_json(F.get_json_object("value", "$.results"), "map<string, struct<alias: string, `acc,none`: double>>").alias("m"))
     keys = F.json_object_keys(F.get_json_object("text", "$.results"))
     at = doc.select("file", "m", F.posexplode(keys).alias("pos", "name"))
@@ -119,7 +120,7 @@ def harness_results(spark: SparkSession, path: str) -> DataFrame:
 
 
 def text_reports(spark: SparkSession, path: str, glob: str = "*.txt") -> DataFrame:
-    return spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", glob).text(path).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("text"))
+    return spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob).text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("text"))
 
 
 def matrices(spark: SparkSession, path: str) -> DataFrame:

@@ -10,14 +10,16 @@ def prediction_document(predictions: DataFrame) -> DataFrame:
     """One row, one JSON: {uid: {predictions: [{id, pred}]}} in the order of seq. Documents of one model and task are small by contract."""
     each = F.struct(F.concat_ws("_", "uid", "seq").alias("id"), F.col("pred"))
     lists = predictions.groupBy("uid").agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", each.alias("p")))), lambda x: x["p"]).alias("l"))
-    entry = F.struct(F.col("uid").alias("key"), F.struct(F.col("l").alias("predictions")).alias("value"))
-    return lists.agg(F.to_json(F.map_from_entries(F.array_sort(F.collect_list(entry)))).alias("value"))
+    name = F.regexp_extract(F.to_json(F.struct(F.col("uid").alias("t"))), r'(?s)^\{"t":(.*)\}$', 1)
+    body = F.to_json(F.struct(F.col("l").alias("predictions")))
+    return lists.agg(F.concat(F.lit("{"), F.array_join(F.array_sort(F.collect_list(F.concat(name, F.lit(":"), body))), ","), F.lit("}")).alias("value"))
 
 
 def submission(scores: DataFrame) -> DataFrame:
     """{task: {subtask: score}} of (task, subtask, score)."""
-    inner = scores.groupBy("task").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col("subtask").alias("key"), F.col("score").alias("value"))))).alias("m"))
-    return inner.agg(F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col("task").alias("key"), F.col("m").alias("value")))))).alias("value"))
+    inner = scores.groupBy("task").agg(F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col("subtask").alias("key"), F.col("score").alias("value")))))).alias("m"))
+    name = F.regexp_extract(F.to_json(F.struct(F.col("task").alias("t"))), r'(?s)^\{"t":(.*)\}$', 1)
+    return inner.agg(F.concat(F.lit("{"), F.array_join(F.array_sort(F.collect_list(F.concat(name, F.lit(":"), F.col("m")))), ","), F.lit("}")).alias("value"))
 
 
 def write_text(lines: DataFrame, path: str) -> None:
