@@ -160,3 +160,33 @@ def judge(docs: DataFrame, class_limit: float = 0.165, word_limit: float = 0.5,
     seen = facts.select("doc_id", F.col("n_words").alias("w"), "classes", "words", *COUNTS, failed.alias("base_failed"))
     out = seen.mapInArrow(K.tidy(run), f"doc_id {kind}, {counts}, base_failed boolean, good boolean, class_distance double, word_distance double, language string")
     return out.select("doc_id", *COUNTS, "base_failed", (~F.col("base_failed") & F.col("good")).alias("kept"), "class_distance", "word_distance", "language")
+
+
+def oracle() -> str:
+    """The same as DuckDB SQL, distances rounded to six places."""
+    q = lambda x: "'" + x.replace("'", "''") + "'"
+    word = r"[^\x20\x09-\x0D]"
+    kinds = ["[^a-z]", "[^A-Z]", "[^0-9]", r"[\x00-\x7F]", "[^.,]", r"""[^!"'()+/:;=?@\[\\\]^_`{}~-]""", "[^ ]", r"[^\n]"]
+    counts = [f"length(regexp_replace(t, {q(k)}, '', 'g'))" for k in kinds]
+    marks = [f"length(t) - length(replace(t, {q(chr(c))}, ''))" for c in SYMBOLS]
+    lower = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    bare = lower.format("CASE WHEN length(x) > 1 AND right(x, 1) IN ('.', ',', ';', ':', '!', '?') THEN left(x, length(x) - 1) ELSE x END")
+    languages = ", ".join(map(q, COMMON))
+    return f"""WITH d AS (SELECT doc_id, lang, coalesce(text, '') AS t FROM documents),
+w AS (SELECT doc_id, lang, t, regexp_extract_all(t, '{word}+') AS w, list_filter(string_split(t, chr(10)), lambda l: regexp_matches(l, '{word}')) AS l FROM d),
+g AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) AS c FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM w WHERE len(w) > 2)),
+r AS (SELECT doc_id, count(DISTINCT j) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS j FROM g WHERE c > 1) GROUP BY 1),
+f AS (SELECT w.doc_id, lang, t, w, len(w)::BIGINT AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, coalesce(r.n, 0)::BIGINT AS n_repeat_words FROM w LEFT JOIN r ON r.doc_id = w.doc_id),
+b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, length(t) AS chars FROM f),
+c AS (SELECT doc_id, [{", ".join(counts)}] AS a, [{", ".join(marks)}] AS m, chars FROM b),
+hc AS (SELECT doc_id, unnest(range(0, 17)) AS k, unnest(list_concat(list_append(a, chars - list_sum(a) - list_sum(m)), m)) AS n FROM c),
+v AS (SELECT unnest([{", ".join(map(q, common_words()))}]) AS k),
+x AS (SELECT doc_id, unnest(w) AS x FROM b), y AS (SELECT doc_id, {bare} AS k FROM x),
+hw AS (SELECT doc_id, coalesce(v.k, '') AS k, count(*) AS n FROM y LEFT JOIN v ON v.k = y.k GROUP BY 1, 2),
+h AS (SELECT 'c' AS kind, hc.doc_id, k::VARCHAR AS k, n / chars::DOUBLE AS p FROM hc JOIN b ON b.doc_id = hc.doc_id WHERE n > 0 UNION ALL SELECT 'w', hw.doc_id, k, n / n_words::DOUBLE FROM hw JOIN b ON b.doc_id = hw.doc_id),
+s AS (SELECT lang, count(*) AS n FROM b WHERE NOT base_failed AND lang IN ({languages}) GROUP BY 1),
+ref AS (SELECT b.lang, kind, k, sum(p) / any_value(s.n)::DOUBLE AS p FROM h JOIN b ON b.doc_id = h.doc_id JOIN s ON s.lang = b.lang WHERE NOT base_failed GROUP BY 1, 2, 3),
+part AS (SELECT h.doc_id, h.kind, s.lang, sum(h.p * log2(2 * h.p / (h.p + coalesce(ref.p, 0))) + CASE WHEN ref.p > 0 THEN ref.p * log2(2 * ref.p / (h.p + ref.p)) - ref.p ELSE 0 END) AS z FROM h CROSS JOIN s LEFT JOIN ref ON ref.kind = h.kind AND ref.k = h.k AND ref.lang = s.lang GROUP BY 1, 2, 3),
+dist AS (SELECT b.doc_id, s.lang, sqrt(greatest(0, (1 + coalesce(pc.z, 0)) / 2)) AS dc, sqrt(greatest(0, (1 + coalesce(pw.z, 0)) / 2)) AS dw FROM b CROSS JOIN s LEFT JOIN part pc ON pc.doc_id = b.doc_id AND pc.kind = 'c' AND pc.lang = s.lang LEFT JOIN part pw ON pw.doc_id = b.doc_id AND pw.kind = 'w' AND pw.lang = s.lang),
+best AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY dc + dw, lang) AS i FROM dist)
+SELECT b.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND dc <= 0.165 + 0.6 / sqrt(greatest(1, chars)) AND (dw <= 0.5 + 0.6 / sqrt(greatest(1, n_words)) OR n_words < 100) AS kept, round(dc, 6) AS class_distance, round(dw, 6) AS word_distance, best.lang AS language FROM b JOIN best ON best.doc_id = b.doc_id AND i = 1"""
