@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import hash_score, step_number, tokens
-from ..operators import decode, rank, relate, report, revisions, stats, tasks, text
+from ..operators import decode, progress, rank, relate, report, revisions, score, stats, tasks, text
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _ORACLES: dict[str, str] = {}
@@ -595,6 +595,59 @@ def q_stream_counters(spark, d):
     return totals(spark, f"{base}/out", ["task", "revision"])
 
 
+# ---- scorers, training logs, paths -----------------------------------------------------------------
+
+
+@query(f"""SELECT p_partkey, CASE WHEN {H("p_partkey || '-0'")} <= {H("p_partkey || '-1'")} THEN 0 ELSE 1 END::INTEGER AS chosen FROM part""")
+def q_scorer_protocol(spark, d):
+    """Decode, score by a pluggable scorer, rank: the whole way of an item."""
+    rows = t(spark, d, "part").select("p_partkey", F.col("p_name").alias("question"), F.col("p_brand").alias("target_ans"), F.array("p_type").alias("distractors"))
+    scored = score.surrogate("p_partkey", "cand_idx")(score.exploded(decode.decode("distractors", rows, carry=["p_partkey"]), ["p_partkey"]))
+    return rank.choose(scored, ["p_partkey"]).select("p_partkey", F.col("chosen").cast("int").alias("chosen"))
+
+
+@query("""SELECT user_id, round(-sum(ln((value + 1) / 1000)), 6) AS surprisal FROM events WHERE event_type = 'click' GROUP BY 1""")
+def q_subtoken_product(spark, d):
+    rows = t(spark, d, "events").filter("event_type = 'click'").withColumn("p", (F.col("value") + 1) / 1000)
+    return score.word_surprisal(rows, ["user_id"], "p").withColumn("surprisal", r6("surprisal"))
+
+
+LOGS = "g AS (SELECT event_type AS run, day(ts) AS epoch, round(avg(value), 6) AS metric FROM events GROUP BY 1, 2)"
+
+
+def _logs(spark, d) -> DataFrame:
+    return t(spark, d, "events").groupBy(F.col("event_type").alias("run"), F.dayofmonth("ts").alias("epoch")).agg(r6(F.avg("value")).alias("metric"))
+
+
+@query(f"""WITH {LOGS} SELECT run, epoch::INTEGER AS epoch, metric, max(metric) OVER (PARTITION BY run ORDER BY epoch ROWS UNBOUNDED PRECEDING) AS best, coalesce(metric > max(metric) OVER (PARTITION BY run ORDER BY epoch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true) AS is_best FROM g""")
+def q_best_so_far(spark, d):
+    return progress.best_so_far(_logs(spark, d), ["run"], "epoch", "metric")
+
+
+@query(f"""WITH {LOGS}, i AS (SELECT *, coalesce(metric > max(metric) OVER (PARTITION BY run ORDER BY epoch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 0.001, true) AS i, row_number() OVER (PARTITION BY run ORDER BY epoch) AS n FROM g),
+w AS (SELECT *, n - max(CASE WHEN i THEN n END) OVER (PARTITION BY run ORDER BY epoch ROWS UNBOUNDED PRECEDING) AS w FROM i) SELECT run, min(CASE WHEN w >= 3 THEN epoch END)::INTEGER AS stop FROM w GROUP BY 1""")
+def q_early_stop(spark, d):
+    return progress.stopped_at(_logs(spark, d), ["run"], "epoch", "metric")
+
+
+@query(r"""SELECT DISTINCT regexp_extract(url, '/([0-9]+)', 1)::BIGINT AS step FROM pages WHERE regexp_matches(url, '/[0-9]+/?$')""")
+def q_step_folders(spark, d):
+    from ..sources.datasets import steps
+
+    return steps(t(spark, d, "pages").select("url"), "url").select("step").distinct()
+
+
+@query(r"""SELECT avg(g)::DOUBLE AS first_larger, count(*)::BIGINT AS n FROM (SELECT CASE WHEN list_position(e, list_max(e)) - 1 < 2 THEN 1 ELSE 0 END AS g FROM (SELECT list_transform(embedding[1:4], lambda x: x::DOUBLE) AS e FROM embeddings))""")
+def q_class_from_logits(spark, d):
+    return t(spark, d, "embeddings").select((rank.choose_in_array(F.slice("embedding", 1, 4)) < 2).cast("double").alias("g")).agg(F.avg("g").alias("first_larger"), F.count("*").alias("n"))
+
+
+@query("""WITH g AS (SELECT unnest([0.5, 1.0, 2.0])::DOUBLE AS temp), x AS (SELECT temp, event_type, sum(-value / temp) AS s FROM events, g GROUP BY 1, 2) SELECT temp, event_type, round(s, 4) AS total FROM x""")
+def q_temperature_grid(spark, d):
+    grid = score.at_temperatures(t(spark, d, "events").select("event_type", (-F.col("value")).alias("logprob")), [0.5, 1.0, 2.0])
+    return grid.groupBy("temp", "event_type").agg(F.round(F.sum("logprob"), 4).alias("total"))
+
+
 # ---- engine extras: relational smoke ------------------------------------------------------------
 
 

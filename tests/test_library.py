@@ -241,3 +241,20 @@ def test_streaming(spark, tmp_path):
     assert got == {("1M", "u"): (3, 2), ("2M", "u"): (1, 1)}
     left = remaining(spark.createDataFrame([("1M",), ("3M",)], "revision string"), totals(spark, str(tmp_path / "out"), ["revision", "uid"]))
     assert [r.revision for r in left.collect()] == ["3M"]
+
+
+def test_scorers_and_datasets(spark, tmp_path):
+    from tallyspark.operators import progress, score
+    from tallyspark.sources.datasets import dataset, steps
+
+    c = spark.createDataFrame([(1, 0, "a", -1.0), (1, 1, "bb", float("nan"))], "item long, cand_idx int, sentence string, given double")
+    assert [r.logprob for r in score.precomputed("given")(c).orderBy("cand_idx").collect()] == [-1.0, None]
+    assert [r.logprob for r in score.batched(lambda b: -b["sentence"].str.len())(c).orderBy("cand_idx").collect()] == [-1.0, -2.0]
+    assert all(r.logprob is None for r in score.batched(lambda b: 1 / 0)(c).collect())
+    c.write.parquet(f"{tmp_path}/root/name/default/train.parquet")
+    assert dataset(spark, f"{tmp_path}/root", "name", split="train").count() == 2
+    paths = spark.createDataFrame([("/a/step/100",), ("/a/step/20/",), ("/a/step/final",)], "path string")
+    assert [r.step for r in steps(paths).collect()] == [100, 20]
+    logs = spark.createDataFrame([("r", e, m) for e, m in enumerate([0.1, 0.3, 0.3, 0.3005, 0.2, 0.9])], "run string, epoch int, acc double")
+    assert progress.stopped_at(logs, ["run"], "epoch", "acc", patience=3).first().stop == 4
+    assert [r.is_best for r in progress.best_so_far(logs, ["run"], "epoch", "acc").orderBy("epoch").collect()] == [True, True, False, True, False, True]
