@@ -40,7 +40,7 @@ def batched(score: Callable[[pd.DataFrame], pd.Series]) -> Scorer:
                 yield batch.assign(logprob=float("nan"))
 
     def scorer(candidates: DataFrame) -> DataFrame:
-        schema = candidates.select("*", F.lit(0.0).alias("logprob")).schema
+        schema = candidates.select("*", F.lit(None).cast("double").alias("logprob")).schema
         return candidates.mapInPandas(run, schema).withColumn("logprob", finite(F.col("logprob")))
 
     return scorer
