@@ -8,11 +8,10 @@ from pyspark.sql import functions as F
 
 def dataset(spark: SparkSession, root: str, name: str, config: str = "default", split: str | None = None, schema: str | None = None) -> DataFrame:
     """All splits with a `split` column, or one; parquet unless a schema says JSON lines."""
-    folder = f"{root}/{name}/{config}"
     kind = "parquet" if schema is None else "jsonl"
-    reader = spark.read.option("pathGlobFilter", f"{split or '*'}.{kind}")
-    rows = reader.parquet(folder) if schema is None else reader.schema(schema).json(folder)
-    return rows.select("*", F.regexp_extract(F.col("_metadata.file_name"), r"^(.*)\.[^.]*$", 1).alias("split"))
+    places = f"{root}/{name}/{config}/{split or '*'}.{kind}"
+    rows = spark.read.parquet(places) if schema is None else spark.read.schema(schema).json(places)
+    return rows.select("*", F.regexp_extract(F.col("_metadata.file_path"), rf"/([^/]+)\.{kind}(?:/[^/]*)?$", 1).alias("split"))
 
 
 def steps(paths: DataFrame, path: str = "path") -> DataFrame:
