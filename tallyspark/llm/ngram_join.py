@@ -339,6 +339,8 @@ def _prefixes(num: int, den: int):
                 found = sorted(r["found"] or [], key=lambda f: f["bucket"])
                 shared = np.concatenate([unpack(f["shared"]) for f in found]) if found else np.zeros(0, np.uint64)
                 freq = np.concatenate([np.frombuffer(f["freq"], "<u4") for f in found]).astype(np.int64) if found else np.zeros(0, np.int64)
+                shared, first = np.unique(shared, return_index=True)  # slices of repeated rows have one name and get each other's rows too
+                freq = freq[first]
                 # within the slice, by document: copies of one set count once
                 lengths = np.array(r["lengths"], np.int64)
                 fresh = np.zeros(len(lengths), bool)

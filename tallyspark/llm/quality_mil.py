@@ -150,7 +150,7 @@ def fit(texts: list[str], labels: list[int], hidden: int = 24, gate: int = 12, e
     return model
 
 
-def train(docs: DataFrame, labels: DataFrame, fold: int = 3, held: int = 1, per_class: int = 2500, sample_bytes: int = 60_000) -> Model:
+def train(docs: DataFrame, labels: DataFrame, fold: int = 3, held: int = 1, per_class: int = 2500, sample_bytes: int = 20_000) -> Model:
     texts, y = sampled(docs, labels, "quality", fold, held, per_class, sample_bytes)
     return fit(texts, y)
 

@@ -288,7 +288,7 @@ def sampled(docs: DataFrame, labels: DataFrame, column: str, fold: int, held: in
     return rows["text"].to_pylist(), rows["y"].to_pylist()
 
 
-def train(docs: DataFrame, labels: DataFrame, fold: int = 5, held: int = 0, per_class: int = 3000, sample_bytes: int = 100_000) -> Model:
+def train(docs: DataFrame, labels: DataFrame, fold: int = 5, held: int = 0, per_class: int = 3000, sample_bytes: int = 20_000) -> Model:
     texts, y = sampled(docs, labels, "toxic", fold, held, per_class, sample_bytes)
     stems = learn_stems(texts, y)
     lexicon = Lexicon(stems)

@@ -87,6 +87,12 @@ def test_ngram_components(docs, chunk):
     assert any(i != c for i, c in want.items())
 
 
+def test_ngram_repeated_rows(docs):
+    want = brute_components([(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()])
+    got = ngram_join.ngram_components(docs.union(docs)).collect()
+    assert {r.doc_id: r.component_id for r in got if r.doc_id is not None} == want and len(got) == 2 * docs.count()
+
+
 def test_ngram_empty(nothing):
     assert ngram_join.ngram_components(nothing).count() == 0
 
