@@ -570,7 +570,7 @@ def ngram_components(docs: DataFrame, size: int = 5, num: int = 80, den: int = 1
 
     part = able.join(candidate.select(F.col("node").alias("sig"), F.col("component").alias("block")), "sig").select("rep", "block", "n_shingles")
     part = checkpointed(part)
-    whole = part.groupBy("block").agg(F.count("*").alias("docs"), F.sum("n_shingles").alias("tokens"))
+    whole = checkpointed(part.groupBy("block").agg(F.count("*").alias("docs"), F.sum("n_shingles").alias("tokens")))
     cuts = F.greatest(F.ceil(F.col("docs") / chunk_docs), F.ceil(F.col("tokens") / CHUNK_TOKENS))
     placed = part.join(whole, "block").select(F.col("rep").alias("doc_id"), "block", F.pmod(F.xxhash64("rep"), cuts.cast("long")).alias("chunk")).distinct()
     few = placed.count() <= FEW
