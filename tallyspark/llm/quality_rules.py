@@ -29,19 +29,19 @@ COMMON = {
     "es": "de la que el en y a los se del las un por con no una su para es al lo como más o pero sus le ha",
 }
 SYMBOLS = b"#*$%&|<>"
-#: lower, upper, digit, beyond ASCII, full stop and comma, other marks, the symbols one by one, blank, line end, control
-CLASSES = 9 + len(SYMBOLS)
-_CLASS = np.full(256, 8, np.int64)
-_CLASS[33:127] = 5
-_CLASS[97:123] = 0
+CLASS_LIMIT, WORD_LIMIT, SLACK = 0.145, 0.5, 0.6
+#: lower or digit (numbers alone don't make a text worse), upper, beyond ASCII, full stop and comma, other marks, blank, line end, control, the symbols one by one
+CLASSES = 8 + len(SYMBOLS)
+_CLASS = np.full(256, 7, np.int64)
+_CLASS[33:127] = 4
+_CLASS[97:123] = _CLASS[48:58] = 0
 _CLASS[65:91] = 1
-_CLASS[48:58] = 2
-_CLASS[0xC0:] = 3
-_CLASS[[44, 46]] = 4
-_CLASS[32] = 6
-_CLASS[10] = 7
+_CLASS[0xC0:] = 2
+_CLASS[[44, 46]] = 3
+_CLASS[32] = 5
+_CLASS[10] = 6
 for _k, _c in enumerate(SYMBOLS):
-    _CLASS[_c] = 9 + _k
+    _CLASS[_c] = 8 + _k
 
 
 def common_words() -> list[str]:
@@ -58,7 +58,7 @@ def measure(texts: K.Texts, common: tuple[np.ndarray, np.ndarray]) -> dict[str,
     owner = np.repeat(np.arange(n), np.diff(texts.offsets))
     lead = (data & 0xC0) != 0x80
     hist = np.bincount(owner[lead] * CLASSES + _CLASS[data[lead]], minlength=n * CLASSES).reshape(n, CLASSES)
-    n_symbols = hist[:, 9:].sum(1)
+    n_symbols = hist[:, 8:].sum(1)
 
     # lines with a word that equal an earlier one
     first, last, line_of = K.spans(data != 10, texts.offsets)
@@ -121,7 +121,7 @@ def distance(p: np.ndarray, q: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(0, part / 2))
 
 
-def judge(docs: DataFrame, class_limit: float = 0.165, word_limit: float = 0.5, slack: float = 0.6, least_words: int = 100) -> DataFrame:
+def judge(docs: DataFrame, class_limit: float = CLASS_LIMIT, word_limit: float = WORD_LIMIT, slack: float = SLACK, least_words: int = 100) -> DataFrame:
     """(doc_id, counts, base_failed, kept, class_distance, word_distance, language) of every row of `docs` (doc_id, lang, text)."""
     rows = docs.select("doc_id", F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
@@ -166,7 +166,7 @@ def oracle() -> str:
     """The same as DuckDB SQL, distances rounded to six places."""
     q = lambda x: "'" + x.replace("'", "''") + "'"
     word = r"[^\x20\x09-\x0D]"
-    kinds = ["[^a-z]", "[^A-Z]", "[^0-9]", r"[\x00-\x7F]", "[^.,]", r"""[^!"'()+/:;=?@\[\\\]^_`{}~-]""", "[^ ]", r"[^\n]"]
+    kinds = ["[^a-z0-9]", "[^A-Z]", r"[\x00-\x7F]", "[^.,]", r"""[^!"'()+/:;=?@\[\\\]^_`{}~-]""", "[^ ]", r"[^\n]"]
     counts = [f"length(regexp_replace(t, {q(k)}, '', 'g'))" for k in kinds]
     marks = [f"length(t) - length(replace(t, {q(chr(c))}, ''))" for c in SYMBOLS]
     lower = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -179,7 +179,7 @@ r AS (SELECT doc_id, count(DISTINCT j) AS n FROM (SELECT doc_id, unnest([i, i +
 f AS (SELECT w.doc_id, lang, t, w, len(w)::BIGINT AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, coalesce(r.n, 0)::BIGINT AS n_repeat_words FROM w LEFT JOIN r ON r.doc_id = w.doc_id),
 b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, length(t) AS chars FROM f),
 c AS (SELECT doc_id, [{", ".join(counts)}] AS a, [{", ".join(marks)}] AS m, chars FROM b),
-hc AS (SELECT doc_id, unnest(range(0, 17)) AS k, unnest(list_concat(list_append(a, chars - list_sum(a) - list_sum(m)), m)) AS n FROM c),
+hc AS (SELECT doc_id, unnest(range(0, {CLASSES})) AS k, unnest(list_concat(list_append(a, chars - list_sum(a) - list_sum(m)), m)) AS n FROM c),
 v AS (SELECT unnest([{", ".join(map(q, common_words()))}]) AS k),
 x AS (SELECT doc_id, unnest(w) AS x FROM b), y AS (SELECT doc_id, {bare} AS k FROM x),
 hw AS (SELECT doc_id, coalesce(v.k, '') AS k, count(*) AS n FROM y LEFT JOIN v ON v.k = y.k GROUP BY 1, 2),
@@ -189,4 +189,4 @@ ref AS (SELECT b.lang, kind, k, sum(p) / any_value(s.n)::DOUBLE AS p FROM h JOIN
 part AS (SELECT h.doc_id, h.kind, s.lang, sum(h.p * log2(2 * h.p / (h.p + coalesce(ref.p, 0))) + CASE WHEN ref.p > 0 THEN ref.p * log2(2 * ref.p / (h.p + ref.p)) - ref.p ELSE 0 END) AS z FROM h CROSS JOIN s LEFT JOIN ref ON ref.kind = h.kind AND ref.k = h.k AND ref.lang = s.lang GROUP BY 1, 2, 3),
 dist AS (SELECT b.doc_id, s.lang, sqrt(greatest(0, (1 + coalesce(pc.z, 0)) / 2)) AS dc, sqrt(greatest(0, (1 + coalesce(pw.z, 0)) / 2)) AS dw FROM b CROSS JOIN s LEFT JOIN part pc ON pc.doc_id = b.doc_id AND pc.kind = 'c' AND pc.lang = s.lang LEFT JOIN part pw ON pw.doc_id = b.doc_id AND pw.kind = 'w' AND pw.lang = s.lang),
 best AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY dc + dw, lang) AS i FROM dist)
-SELECT b.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND dc <= 0.165 + 0.6 / sqrt(greatest(1, chars)) AND (dw <= 0.5 + 0.6 / sqrt(greatest(1, n_words)) OR n_words < 100) AS kept, round(dc, 6) AS class_distance, round(dw, 6) AS word_distance, best.lang AS language FROM b JOIN best ON best.doc_id = b.doc_id AND i = 1"""
+SELECT b.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND dc <= {CLASS_LIMIT} + {SLACK} / sqrt(greatest(1, chars)) AND (dw <= {WORD_LIMIT} + {SLACK} / sqrt(greatest(1, n_words)) OR n_words < 100) AS kept, round(dc, 6) AS class_distance, round(dw, 6) AS word_distance, best.lang AS language FROM b JOIN best ON best.doc_id = b.doc_id AND i = 1"""
