@@ -1,7 +1,7 @@
 """Candidate ranking: choose the best-scored candidate of each item, and roll accuracies up.
 
-Inputs are long tables, one row a candidate. Items, not rows, are what shuffles: one hash aggregation
-picks the winner, a second one counts. Missing scores rank last; exact ties go to the
+Inputs are long tables, one row a candidate. Items, not rows, are what shuffles: one aggregation with
+map-side combine picks the winner, a second one counts. Missing scores rank last; exact ties go to the
 smallest candidate index, or by `tie="hash"` to the smallest hash of item and candidate.
 """
 

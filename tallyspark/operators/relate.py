@@ -9,7 +9,7 @@ from .rank import numbered
 
 
 def positional(left: DataFrame, right: DataFrame, by: list[str], left_order: list, right_order: list) -> DataFrame:
-    """Rows with the same ordinal within `by`; the longer side loses its tail. One shuffle by the group serves the ordinal and the join."""
+    """Rows with the same ordinal within `by`; the longer side loses its tail. Ordinals need a group together (a subtask); the join is by group and ordinal, so it is even."""
     a, b = numbered(left, by, left_order), numbered(right, by, right_order)
     return a.join(b, [*by, "seq"])
 
@@ -34,7 +34,7 @@ def size_check(rows: DataFrame, by: list[str], expected: DataFrame) -> DataFrame
 
 
 def later_wins(rows: DataFrame, key: list[str], order: list[str]) -> DataFrame:
-    """The last row of each key; order must be total. A hash aggregation, no sort of the groups."""
+    """The last row of each key; order must be total. An aggregation with map-side combine, so a key with very many rows doesn't gather them."""
     rest = [c for c in rows.columns if c not in key and c not in order]
     best = rows.groupBy(*key).agg(F.max(F.struct(*order, *rest)).alias("b"))
     return best.select(*key, *[F.col(f"b.{c}").alias(c) for c in [*order, *rest]])
