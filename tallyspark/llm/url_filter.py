@@ -76,7 +76,7 @@ def _literal(weights: list[float]) -> Column:
     return F.from_json(F.lit(json.dumps([round(w, 4) for w in weights])), "array<double>")
 
 
-def fit(table: DataFrame, dimensions: int = 1 << 15, steps: int = 20, rate: float = 0.1, decay: float = 2e-6) -> tuple[list[float], float]:
+def fit(table: DataFrame, dimensions: int = 1 << 14, steps: int = 20, rate: float = 0.1, decay: float = 2e-6) -> tuple[list[float], float]:
     """Weights and bias of a logistic regression on (url, label); the table is small by contract."""
     rows = table.select(grams(host_of(F.col("url")), path_of(F.col("url")), dimensions).alias("g"), F.col("label").cast("double").alias("y")).coalesce(1).cache()
     size = rows.agg(F.sum("y").alias("ones"), F.count("*").alias("n")).first()
@@ -111,7 +111,7 @@ def rule_of(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
     return found, verdict
 
 
-def judge(pages: DataFrame, table: DataFrame | None = None, rules=RULES, dimensions: int = 1 << 15) -> DataFrame:
+def judge(pages: DataFrame, table: DataFrame | None = None, rules=RULES, dimensions: int = 1 << 14) -> DataFrame:
     """(page_id, host, path, rule, verdict, score) of every row of `pages` (page_id, url); score: of the regression."""
     weights, bias = fit(table if table is not None else labelled_urls(pages.sparkSession), dimensions)
     parts = pages.select("page_id", host_of(F.col("url").cast("string")).alias("host"), path_of(F.col("url").cast("string")).alias("path"))
