@@ -36,9 +36,12 @@ LISTS = set("ul ol dl div section table".split())
 ROLES = set("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*(?:>|\Z)|</[^a-zA-Z][^>]*>|<(?:/?[a-zA-Z][^>]*)?\Z", re.S)
-_ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I)
+_ATTRIBUTE = re.compile(r"(?<![\w-])(class|id|role|hidden|aria-hidden|style)(?![\w-])(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I)
 _SPACE = re.compile(r"\s+")
 _PART = re.compile(r"[a-z]+")
+_CAMEL = re.compile(r"([a-z])([A-Z])")
+_GONE = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
+_ABOUT = {"has", "with", "no", "without"}
 
 
 class Node:
@@ -56,11 +59,16 @@ def unwanted(tag: str, attributes: str) -> bool:
     if not attributes or tag in ("html", "body", "article", "main"):
         return False
     for m in _ATTRIBUTE.finditer(attributes):
-        name, value = m[1].lower(), (m[2] or "").strip("\"'").lower()
-        if name == "hidden" or name == "aria-hidden" and value == "true" or name == "role" and value in ROLES:
+        name, value = m[1].lower(), (m[2] or "").strip("\"'")
+        if name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "role" and value.lower() in ROLES:
             return True
-        if name in ("class", "id") and any(p in NAMES for p in _PART.findall(value)):
+        if name == "style" and _GONE.search(value):
             return True
+        if name in ("class", "id"):
+            for word in _CAMEL.sub(r"\1-\2", value).lower().split():
+                parts = _PART.findall(word)  # "post-comments" and "comments-area" are comments, "has-sidebar" is no sidebar
+                if parts and not _ABOUT & set(parts) and (parts[0] in NAMES or parts[-1] in NAMES):
+                    return True
     return False
 
 

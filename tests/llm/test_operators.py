@@ -255,7 +255,7 @@ def test_communication():
 def test_html(spark):
     page = '<html><head><title>t</title><script>var a="<p>x</p>"</script></head><body><nav><ul><li><a href=1>home</a></ul></nav><div class="ad">buy now</div><article><h1>A  title</h1><p><b>Bold &amp; plain<br>text, long enough to count as the main text of a page.</p><p>Second&nbsp;one\n here.</article><div id="comments"><p>I disagree with every word of this.</div><footer>&copy; me</footer>'
     want = "A title Bold & plain text, long enough to count as the main text of a page. Second one here."
-    cases = {page: want, None: "", "": "", "<p>": "", "plain": "plain", page[: page.index(" here.")]: want[: -len(" here.")], "<article>tom &am": "tom &am", "<body>" + "<div>" * 3000 + "deep text in a page": "deep text in a page"}
+    cases = {page: want, None: "", "": "", "<p>": "", "plain": "plain", page[: page.index(" here.")]: want[: -len(" here.")], "<article>tom &am": "tom &am", "<div class='post has-comments no-sidebar'><p>The text of the post is here.</p><p>And more of it.</p></div><div class=commentList><p>A remark on the text.</p></div><p style='display: none'>gone</p>": "The text of the post is here. And more of it.", "<body>" + "<div>" * 3000 + "deep text in a page": "deep text in a page"}
     rows = [(k, None if k % 2 else "u", h, "x") for k, h in enumerate(cases)]
     table = spark.createDataFrame([*rows, rows[0]], "page_id long, url string, html string, text string")
     got = html_density.main_text(table).collect()
