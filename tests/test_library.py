@@ -258,3 +258,24 @@ def test_scorers_and_datasets(spark, tmp_path):
     logs = spark.createDataFrame([("r", e, m) for e, m in enumerate([0.1, 0.3, 0.3, 0.3005, 0.2, 0.9])], "run string, epoch int, acc double")
     assert progress.stopped_at(logs, ["run"], "epoch", "acc", patience=3).first().stop == 4
     assert [r.is_best for r in progress.best_so_far(logs, ["run"], "epoch", "acc").orderBy("epoch").collect()] == [True, True, False, True, False, True]
+
+
+def test_unify(spark):
+    from tallyspark.operators.unify import unify
+
+    one = lambda rows, schema, kind, task="default": unify(spark.createDataFrame(rows, schema), kind, task).drop("idx").collect()
+    got = one([("p ", "q", "a", "b", "c", "d", "2"), (None, "q", "a", "b", "c", "d", None)], "flores_passage string, question string, mc_answer1 string, mc_answer2 string, mc_answer3 string, mc_answer4 string, correct_answer_num string", "passage_choices")
+    assert (got[0].sentence, got[0].label) == ("p\nq\nA: a\nB: b\nC: c\nD: d\n", "B") and got[1].label is None and got[1].sentence.startswith("\nq")
+    got = one([("q", "a", "b", "c", "d", "3"), ("q", "a", "b", "c", "d", "B")], "question string, option_a string, option_b string, option_c string, option_d string, answer string", "option_columns")
+    assert [r.label for r in got] == ["D", "B"] and got[0].sentence == "q\nA. a\nB. b\nC. c\nD. d\n"
+    got = one([("q", "['it', \"is's\", 'a\\'b', 'd']", "C"), ("q", "broken", "A")], "question string, choices string, answer string", "option_text")
+    assert got[0].sentence == "q\nA. it\nB. is's\nC. a'b\nD. d\n" and got[1].sentence == ""
+    got = one([("p", "c1", "c2", "cause", 1), ("p", "c1", "c2", "effect", 0), ("p", "c1", "c2", "x", 0)], "premise string, choice1 string, choice2 string, question string, label int", "cause_effect")
+    assert [(r.sentence1, r.sentence2) for r in got] == [("c1 p", "c2 p"), ("p c1", "p c2"), ("", "")] and got[0].label == "1"
+    schema = "prompt string, choices array<string>, label string"
+    got = one([("Premise: a\nb\nHypothesis: c d Question: e", ["x", "y"], "1"), ("none", ["x"], "5")], schema, "marked_pair")
+    assert [(r.premise, r.hypothesis, r.label) for r in got] == [("a\nb", "c d", "y"), ("", "", None)]
+    got = one([("Question: what?\nAnswer with A, B\nAnswer:", ["x", "y"], "0")], schema, "prompt_choices", "arc")
+    assert got[0].sentence == "what?" and got[0].label == "x"
+    with pytest.raises(NotImplementedError):
+        unify(spark.range(1), "nothing")
