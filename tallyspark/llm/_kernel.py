@@ -16,6 +16,7 @@ import pyarrow as pa
 
 U64 = np.uint64
 SLICE_BYTES = 1 << 19
+HASH_BYTES = 1 << 20
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -73,12 +74,22 @@ class Texts:
         return spans(~_SPACE[self.data], self.offsets)
 
     def hashes(self, starts: np.ndarray, ends: np.ndarray, lower: bool = False) -> np.ndarray:
-        """64-bit hashes of byte spans; lower: with A-Z as a-z."""
-        n = len(self.data)
-        up, down = _power(n + 1)
-        sums = np.zeros(n + 1, U64)
-        np.cumsum((_TABLE[_LOWER] if lower else _TABLE)[self.data] * up[:n], dtype=U64, out=sums[1:])
-        return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(U64))
+        """64-bit hashes of ascending byte spans that don't overlap; lower: with A-Z as a-z.
+
+        Works through `HASH_BYTES` at a time, so the memory of a very long text is that of its words."""
+        table, out = (_TABLE[_LOWER] if lower else _TABLE), np.zeros(len(starts), U64)
+        for lo in range(0, len(self.data), HASH_BYTES):
+            hi = min(len(self.data), lo + HASH_BYTES)
+            up, down = _power(hi - lo + 1)
+            sums = np.zeros(hi - lo + 1, U64)
+            np.cumsum(table[self.data[lo:hi]] * up[: hi - lo], dtype=U64, out=sums[1:])
+            first, last = int(np.searchsorted(ends, lo, "right")), int(np.searchsorted(starts, hi, "left"))
+            a, b = np.maximum(starts[first:last] - lo, 0), np.minimum(ends[first:last], hi) - lo
+            part = (sums[b] - sums[a]) * down[a]
+            if len(part) and starts[first] < lo:  # goes on from the bytes before
+                part[:1] *= U64(pow(_BASE, int(lo - starts[first]), 1 << 64))
+            out[first:last] += part
+        return mix(out + (ends - starts).astype(U64))
 
     def code_points(self) -> np.ndarray:
         """For every byte and the end, the code points before it."""

@@ -51,6 +51,27 @@ def nothing(spark):
     return spark.createDataFrame([], SCHEMA)
 
 
+def test_kernel(monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+
+    from tallyspark.llm import _kernel as K
+
+    texts = ["Two words", "", "x" * 300 + " tail", "a b\n c", "ÄÖ words TWO words", "words"]
+    t = next(K.slices(pa.array(texts)))
+    starts, ends, of = t.words()
+    assert [bytes(t.data[a:b]).decode() for a, b in zip(starts, ends)] == [w for x in texts for w in WORD.findall(x)]
+    assert of.tolist() == [k for k, x in enumerate(texts) for _ in WORD.findall(x)]
+    spans = [(starts, ends), (t.offsets[:-1], t.offsets[1:])]
+    whole = [t.hashes(a, b, lower) for a, b in spans for lower in (False, True)]
+    words = [w for x in texts for w in WORD.findall(x)]
+    assert len(set(whole[0].tolist())) == len(set(words)) and len(set(whole[1].tolist())) == len(set(map(lower, words)))
+    for size in (1, 2, 7, 64):
+        monkeypatch.setattr(K, "HASH_BYTES", size)
+        again = [t.hashes(a, b, lower) for a, b in spans for lower in (False, True)]
+        assert all(np.array_equal(x, y) for x, y in zip(whole, again))
+
+
 # ---- n-gram join -----------------------------------------------------------------------------
 
 
