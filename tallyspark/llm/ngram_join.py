@@ -572,7 +572,7 @@ def ngram_components(docs: DataFrame, size: int = 5, num: int = 80, den: int = 1
     part = checkpointed(part)
     whole = checkpointed(part.groupBy("block").agg(F.count("*").alias("docs"), F.sum("n_shingles").alias("tokens")))
     cuts = F.greatest(F.ceil(F.col("docs") / chunk_docs), F.ceil(F.col("tokens") / CHUNK_TOKENS))
-    placed = part.join(whole, "block").select(F.col("rep").alias("doc_id"), "block", F.pmod(F.xxhash64("rep"), cuts.cast("long")).alias("chunk")).distinct()
+    placed = part.join(F.broadcast(whole) if whole.count() <= FEW else whole, "block").select(F.col("rep").alias("doc_id"), "block", F.pmod(F.xxhash64("rep"), cuts.cast("long")).alias("chunk")).distinct()
     few = placed.count() <= FEW
     sets = docs.join(F.broadcast(placed) if few else placed, "doc_id").mapInArrow(K.tidy(_sets(size)), "node long, block long, chunk long, items array<long>")
     sets = stored(sets)
