@@ -178,7 +178,7 @@ def q_schema_dispatch(spark, d):
 
 @query("""SELECT n_nationkey, 'Where is ' || n_name || '?' || chr(10) || 'A. ' || r_name || chr(10) || 'B. ' || 'nowhere' || chr(10) || 'C. ' || upper(r_name) || chr(10) || 'D. ' || lower(n_name) || chr(10) || 'Answer:' AS prompt, substr('ABCD', 1 + n_nationkey % 4, 1) AS answer FROM nation JOIN region ON n_regionkey = r_regionkey""")
 def q_prompt_mc(spark, d):
-    j = t(spark, d, "nation").join(F.broadcast(t(spark, d, "region").limit(1000)), F.col("n_regionkey") == F.col("r_regionkey"))
+    j = t(spark, d, "nation").join(t(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
     prompt = decode.multiple_choice(F.concat(F.lit("Where is "), F.col("n_name"), F.lit("?")), [F.col("r_name"), F.lit("nowhere"), F.upper("r_name"), F.lower("n_name")])
     return j.select("n_nationkey", prompt.alias("prompt"), decode.label_at(F.array(*map(F.lit, "ABCD")), F.col("n_nationkey") % 4).alias("answer"))
 
@@ -188,10 +188,9 @@ def q_label_lookup_oob(spark, d):
     return t(spark, d, "events").select("event_id", decode.label_at(F.array(*map(F.lit, "ABC")), (F.col("user_id") % 5).cast("int")).alias("label"))
 
 
-@query(r"""SELECT page_id, trim(regexp_replace(regexp_replace(trim(html), '(?is)<script.*?</script>', '', 'g'), '<[^>]*>', '', 'g')) AS text FROM pages WHERE NOT regexp_matches(html, '[^\x00-\x7F]') OR html IS NULL""")
+@query(r"""SELECT page_id, regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script.*?</script>', '', 'g'), '<[^>]*>', '', 'g'), '^\s+|\s+$', '', 'g') AS text FROM pages""")
 def q_clean_regex(spark, d):
-    rows = t(spark, d, "pages").filter(~F.col("html").rlike(r"[^\x00-\x7F]") | F.col("html").isNull())
-    return rows.select("page_id", text.cleaned(F.col("html"), ["<script.*?</script>", "<[^>]*>"]).alias("text"))
+    return t(spark, d, "pages").select("page_id", text.cleaned(F.col("html"), ["<script.*?</script>", "<[^>]*>"]).alias("text"))
 
 
 @query(f"""WITH {TURNS} SELECT conv_id, turn, role, 'Question: ' || text || ' Answer: ' || next_text AS prompt FROM v""")
