@@ -1,12 +1,13 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
 
-Words are `[^\\x20\\x09-\\x0D]+` in lower case. Of every benchmark item, the half of its word n-grams that
-the corpus has least often (counted over all documents) and eight at least are its seeds: rarity is
-relative, so an item that was copied very often keeps its seeds. Wherever a document has a seed, the words around
-it are aligned with the item by Smith-Waterman (match 2, mismatch -1, gap -1); overlapping windows of one item are joined.
-The score is the best local alignment's over that of the item with itself: 1 for an exact copy, less for
-edited or partial ones. Documents are only mapped over, so hot sources and copies cost no shuffle. The items, a
-query set, are handled in blocks of at most `block` words in all, each sent to the tasks whole.
+Words are `[^\\x20\\x09-\\x0D]+` in lower case. Every word n-gram of a benchmark item is a seed. None is left out as
+common: the rarest ones of an item are those that an edit broke, so a choice by rarity loses edited copies.
+Wherever a document has a seed, the words around it are aligned with the item by Smith-Waterman (match 2,
+mismatch -1, gap -1), unless they have too few words of the item for the least score; overlapping windows of one item
+are joined. The score is the best local alignment's over that of the item with itself: 1 for an exact copy, less for
+edited or partial ones. A copy in which no n words in a row are intact is not found. Documents are only mapped over,
+so hot sources and copies cost no shuffle. The items, a query set, are handled in blocks of at most `block` words in
+all, each sent to the tasks whole.
 
 Items with fewer words than n have one seed, all their words; items without words, with a null id or a null text match nothing. Repeated item
 ids are items of their own, of which the best counts. Null and empty documents have no words. A null doc_id stays null in the result.
@@ -43,23 +44,19 @@ class Items:
             item.append(np.full(len(g), k))
             at.append(first)
         join = lambda x, kind: np.concatenate(x).astype(kind) if x else np.zeros(0, kind)
-        self.gram, self.item, self.at = join(gram, np.uint64), join(item, np.int64), join(at, np.int64)
-        self.distinct = np.unique(self.gram)
+        gram, item, at = join(gram, np.uint64), join(item, np.int64), join(at, np.int64)
+        order = np.argsort(gram, kind="stable")
+        #: the seeds: every n-gram with its item and place, by hash
+        self.gram, self.item, self.at = gram[order], item[order], at[order]
+        self.bags = [np.unique(w, return_counts=True) for w in self.words]
         #: lengths of whole items that are shorter than n: documents' runs of that length are hashed too
         self.short = sorted({len(w) for w in self.words if 0 < len(w) < n})
 
-    def choose(self, counts: dict[int, int], share: float = 0.5, least: int = 8) -> None:
-        """Keeps the rarest n-grams of each item as its seeds."""
-        df = np.array([counts.get(int(g), 0) for g in K.signed(self.gram)], np.int64)
-        keep = []
-        for k in range(len(self.words)):
-            mine = np.arange(*np.searchsorted(self.item, [k, k + 1]))
-            order = mine[np.lexsort((self.at[mine], df[mine]))]
-            keep.append(order[: max(least, int(np.ceil(share * len(order))))])
-        keep = np.concatenate(keep) if keep else np.zeros(0, np.int64)
-        order = keep[np.argsort(self.gram[keep], kind="stable")]
-        self.gram, self.item, self.at = self.gram[order], self.item[order], self.at[order]
-        self.distinct = np.unique(self.gram)
+    def common(self, k: int, text: np.ndarray) -> int:
+        """Words of the text that item k has too, its own number of times at most: no alignment matches more."""
+        values, times = self.bags[k]
+        at = np.minimum(np.searchsorted(values, text), len(values) - 1)
+        return int(np.minimum(np.bincount(at[values[at] == text], minlength=len(values)), times).sum())
 
 
 def runs_of(words: np.ndarray, of: np.ndarray, texts: int, items: Items) -> tuple[np.ndarray, np.ndarray]:
@@ -92,25 +89,6 @@ def smith_waterman(item: np.ndarray, text: np.ndarray, match: int = 2, mismatch:
     return best, end
 
 
-def _counted(items):
-    def run(batches):
-        total: np.ndarray | None = None
-        seen = items.value.distinct
-        for batch in batches:
-            for texts in K.slices(pc.utf8_lower(batch.column(0))):
-                starts, ends, of = texts.words()
-                grams, _ = runs_of(texts.hashes(starts, ends), of, len(texts), items.value)
-                at = np.minimum(np.searchsorted(seen, grams), max(0, len(seen) - 1))
-                hit = at[seen[at] == grams] if len(seen) else at[:0]
-                count = np.bincount(hit, minlength=len(seen))
-                total = count if total is None else total + count
-        if total is not None:
-            some = np.flatnonzero(total)
-            yield pa.RecordBatch.from_arrays([pa.array(K.signed(seen[some])), pa.array(total[some].astype(np.int64))], ["gram", "n"])
-
-    return run
-
-
 def _aligned(items, least: float):
     def run(batches):
         block: Items = items.value
@@ -144,6 +122,8 @@ def _aligned(items, least: float):
                             spans.append([a, b])
                     top = (0, 0, 0)
                     for a, b in spans:
+                        if 2 * block.common(k, words[a:b]) < least * 2 * len(item):
+                            continue
                         score, end = smith_waterman(item, words[a:b])
                         if score > top[0]:
                             top = (score, a, a + end)
@@ -181,8 +161,6 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = 0.5, n: i
     for items in blocks_of(benchmark, block, n):
         if not len(items.gram):
             continue
-        counts = rows.select("text").mapInArrow(K.tidy(_counted(spark.sparkContext.broadcast(items))), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
-        items.choose({r["gram"]: r["n"] for r in counts.collect()})
         part = rows.mapInArrow(K.tidy(_aligned(spark.sparkContext.broadcast(items), least)), schema)
         out = part if out is None else out.union(part)
     if out is None:
