@@ -574,8 +574,14 @@ def ngram_components(docs: DataFrame, size: int = 5, num: int = 80, den: int = 1
     cuts = F.greatest(F.ceil(F.col("docs") / chunk_docs), F.ceil(F.col("tokens") / CHUNK_TOKENS))
     placed = part.join(F.broadcast(whole) if whole.count() <= FEW else whole, "block").select(F.col("rep").alias("doc_id"), "block", F.pmod(F.xxhash64("rep"), cuts.cast("long")).alias("chunk")).distinct()
     few = placed.count() <= FEW
-    sets = docs.join(F.broadcast(placed) if few else placed, "doc_id").mapInArrow(K.tidy(_sets(size)), "node long, block long, chunk long, items array<long>")
-    sets = stored(sets)
+    rows = docs.join(F.broadcast(placed) if few else placed, "doc_id")
+    # repeated rows count once; only those of repeated ids are shuffled for that, after map-side combine
+    again = checkpointed(usable.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id"))
+    n = again.count()
+    if n:
+        again = F.broadcast(again) if n <= FEW else again
+        rows = rows.join(again, "doc_id", "left_anti").union(rows.join(again, "doc_id", "left_semi").distinct())
+    sets = stored(rows.mapInArrow(K.tidy(_sets(size)), "node long, block long, chunk long, items array<long>"))
     dealt = sets.select("block", "chunk", "node", "items").repartition(partitions(spark), "block", "chunk").sortWithinPartitions("block", "chunk")
     local = checkpointed(dealt.mapInArrow(K.tidy(_local(num, den)), "block long, chunk long, node long, component long"))
 
@@ -590,7 +596,7 @@ def ngram_components(docs: DataFrame, size: int = 5, num: int = 80, den: int = 1
     if cut or more.limit(1).count():
         label = components(joins.union(more))
     else:
-        label = joins.select(F.col("a").alias("node"), F.col("b").alias("component"))
+        label = joins.select(F.col("a").alias("node"), F.col("b").alias("component")).distinct()
     named = ids.join(label, ids.rep == label.node, "left").select("doc_id", F.coalesce("component", "rep").alias("component_id"))
     return feats.join(named, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 

@@ -6,7 +6,7 @@ import random
 
 from test_operators import prose, shingle_set, slow_score
 
-from tallyspark.llm import decontamination
+from tallyspark.llm import decontamination, ngram_join
 
 
 def test_decontamination_edited(spark):
@@ -33,3 +33,14 @@ def test_decontamination_edited(spark):
     score = {(d, k): slow_score(t, x) for d, x in enumerate(rows) for k, t in items.items() if shingle_set(t, 4) & shingle_set(x, 4)}
     want = {p: round(s, 6) for p, s in score.items() if s >= 0.5}
     assert got == want and (len(rows) - 1, 2) in want
+
+
+def test_ngram_repeated_rows_alone(spark):
+    """Repeated rows in a table where no id has two texts: as many rows come out as go in."""
+    a = prose(700, 60)
+    near = " ".join([*a.split()[:-1], "other"])
+    rows = [(1, a)] * 2 + [(2, near)] + [(5, prose(701, 60))] * 40 + [(6, " ".join([*prose(701, 60).split(), "more"])), (9, prose(702, 50)), (None, a), (None, a)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for chunk in (512, 1):
+        got = ngram_join.ngram_components(docs, chunk_docs=chunk).collect()
+        assert sorted((r.doc_id or -1, r.component_id or -1) for r in got) == sorted((i or -1, {2: 1, 6: 5}.get(i, i) or -1) for i, _ in rows)
