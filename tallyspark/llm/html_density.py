@@ -4,8 +4,10 @@ A page is read into a tree of elements by a tolerant tokenizer (unclosed and cro
 never is main text goes first: scripts, styles, menus, headers and footers, forms, sidebars, and elements whose
 class, id or role says advert, notice, comments and the like. For every remaining element the density is its
 characters per tag, adjusted for links: characters in links count against it, more so where the page has few of them.
-The element with the greatest sum of its children's densities is the core. Its siblings along the way up to the body
-belong to the text too if they are as dense as the thinnest element on that way.
+The element with the greatest sum of its children's densities is the core. If it is in an article or main element, the
+outermost of these is the text, whole; else the core is raised as long as what is beside it has more text than links. Siblings
+along the way up from there to the body belong to the text too if they are as dense as the thinnest element on that way.
+Lists of links without a name are menus, but not in an article (or in a main element without one), where they are references.
 
 Character references are decoded; white space inside a block becomes one space, blocks are
 trimmed and joined by one space. Null or empty pages, and pages without text, give an empty text. Nothing is cut
@@ -187,24 +189,38 @@ def weigh(root: Node) -> list[Node]:
     return nodes
 
 
-def blocks(nodes: list[Node]) -> str:
+def blocks(nodes: list[Node], articles: set[int]) -> str:
     """The text of these elements; a new block begins and ends with every element that isn't inline."""
     parts: list[str] = []
-    stack: list[Node | str] = list(reversed(nodes))
+    stack: list[tuple[Node | str, bool]] = [(n, False) for n in reversed(nodes)]
     while stack:
-        item = stack.pop()
+        item, whole = stack.pop()
         if isinstance(item, str):
             parts.append(item)
             continue
-        if item.tag in LISTS and item.link_chars > 0.66 * item.chars and item.link_tags > 2:
+        whole = whole or id(item) in articles
+        if not whole and item.tag in LISTS and item.link_chars > 0.66 * item.chars and item.link_tags > 2:
             continue  # a menu without a name
         edge = "" if item.tag in INLINE else "\n"
-        stack.append(edge)
-        stack.extend(reversed(item.content))
-        stack.append(edge)
+        stack.append((edge, whole))
+        stack.extend((c, whole) for c in reversed(item.content))
+        stack.append((edge, whole))
     return _SPACE.sub(" ", "".join(parts)).strip()
 
 
+def article_of(core: Node, way: list[Node]) -> Node:
+    """The element on the way up from the core that is the whole text."""
+    named = [n for n in way if n.tag in ("article", "main")]
+    if named:
+        return named[-1]
+    for node in way[1:]:
+        beside = [c for c in node.content if isinstance(c, Node) and c.chars and c is not core]
+        if node.tag in ("body", "html", "#root") or any(2 * c.link_chars >= c.chars for c in beside):
+            break
+        core = node
+    return core
+
+
 def extract(page: str | None) -> str:
     if not page:
         return ""
@@ -225,6 +241,8 @@ def extract(page: str | None) -> str:
     if node is not None:
         way.append(node)
     least = min(n.density for n in way)
+    core = article_of(core, way)
+    articles = {id(n) for n in nodes if n.tag == "article"} or {id(n) for n in nodes if n.tag == "main"}
     chosen: list[Node] = []
     top = way[-1]
 
@@ -237,11 +255,11 @@ def extract(page: str | None) -> str:
                 chosen.append(n)
             elif id(n) in on_way:
                 stack.extend(c for c in reversed(n.content) if isinstance(c, Node))
-            elif n.density >= least and n.chars > n.link_chars * 2 and n.chars >= 25:
+            elif n.density >= least and n.chars > n.link_chars * 2:
                 chosen.append(n)
 
     visit()
-    return blocks(chosen)
+    return blocks(chosen, articles)
 
 
 def main_text(pages: DataFrame) -> DataFrame:

@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import random
+import re
 
 from test_operators import prose, shingle_set, slow_score
 
-from tallyspark.llm import decontamination, ngram_join
+from tallyspark.llm import decontamination, html_density, ngram_join
 
 
 def test_decontamination_edited(spark):
@@ -44,3 +45,18 @@ def test_ngram_repeated_rows_alone(spark):
     for chunk in (512, 1):
         got = ngram_join.ngram_components(docs, chunk_docs=chunk).collect()
         assert sorted((r.doc_id or -1, r.component_id or -1) for r in got) == sorted((i or -1, {2: 1, 6: 5}.get(i, i) or -1) for i, _ in rows)
+
+
+def test_html_whole_article():
+    """Everything of an article that isn't named as something else, whatever its density and length."""
+    p = lambda n, w: "<p>" + " ".join([w] * (n // len(w))) + "</p>"
+    five, two = p(300, "long ") * 5, p(100, "brief ") * 2
+    refs = "<ul>" + "".join(f"<li><a href=/{k}>reference number {k}</a></li>" for k in range(4)) + "</ul>"
+    menu = "<div><a href=/a>first entry</a><a href=/b>second entry</a><a href=/c>third entry</a></div>"
+    words = lambda h: html_density._SPACE.sub(" ", re.sub("<[^>]*>", " ", h)).strip()
+    for inner in (f"<h1>{'A long title ' * 6}</h1><div>{five}</div>", f"<section>{five}</section><section>{two}</section>", f"<h2>Short</h2><div>{five}</div><p>End.</p>", f"<div>{five}</div>{refs}"):
+        for tag in ("article", "main"):
+            assert html_density.extract(f"<body><nav>home</nav>{menu}<{tag}>{inner}<div class=ad>buy</div></{tag}><footer>f</footer>") == words(inner)
+    for inner in (f"<h1>{'A long title ' * 6}</h1><div>{five}</div>", f"<div>{five}</div><p>End.</p>"):
+        assert html_density.extract(f"<body>{menu}<div>{inner}</div>") == words(inner)
+    assert html_density.extract(f"<body><main>{menu}<h1>Title</h1><article>{five}</article></main>") == words(f"<h1>Title</h1>{five}")
