@@ -7,7 +7,7 @@ import re
 
 from test_operators import prose, shingle_set, slow_score
 
-from tallyspark.llm import decontamination, html_density, ngram_join
+from tallyspark.llm import decontamination, html_density, line_dedup, ngram_join
 
 
 def test_decontamination_edited(spark):
@@ -60,3 +60,14 @@ def test_html_whole_article():
     for inner in (f"<h1>{'A long title ' * 6}</h1><div>{five}</div>", f"<div>{five}</div><p>End.</p>"):
         assert html_density.extract(f"<body>{menu}<div>{inner}</div>") == words(inner)
     assert html_density.extract(f"<body><main>{menu}<h1>Title</h1><article>{five}</article></main>") == words(f"<h1>Title</h1>{five}")
+
+
+def test_line_dedup_whole_copies(spark):
+    """A copy of a whole text goes whole, whoever holds its lines first and however short they are."""
+    one, two = "a common line of some words", "another line of some words"
+    often = f"{one}\nits own line of the text\n{one}\nand one more of its own"
+    verse = "\n".join(["short", "lines of", "a verse", "short", "are long", "together"])
+    rows = [(1, one), (2, two), (3, f"{one}\nss\n{two}"), (4, f"{one}\nss\n{two}"), (5, often), (6, often), (7, verse), (8, verse), (9, verse + "\nand"), (10, "two\nwords"), (11, "two\nwords"), (12, "\n\n" + often)]
+    out = {r.doc_id: (r.text.strip(), r.n_deleted) for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert out[4] == ("", 3) and out[6] == ("", 4) and out[8] == ("", 6) and out[12] == ("", 4)
+    assert out[1] == (one, 0) and out[3] == ("ss", 2) and out[5][1] == 1 and out[7] == (verse, 0) and out[9][1] == out[11][1] == 0
