@@ -180,3 +180,26 @@ def list_array(values: np.ndarray, lengths: np.ndarray) -> pa.ListArray:
 
 def signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
+
+
+def grouped(batches: Iterator[pa.RecordBatch], keys: int):
+    """Consecutive rows with the same first `keys` columns, of batches sorted by them."""
+    held, now = [], None
+    for batch in batches:
+        cols = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(keys)]
+        n = batch.num_rows
+        if not n:
+            continue
+        change = np.zeros(n, bool)
+        for c in cols:
+            change[1:] |= c[1:] != c[:-1]
+        cut = [0, *np.flatnonzero(change).tolist(), n]
+        for lo, hi in zip(cut[:-1], cut[1:]):
+            key = tuple(c[lo].item() for c in cols)
+            if key != now and held:
+                yield now, pa.Table.from_batches(held)
+                held = []
+            now = key
+            held.append(batch.slice(lo, hi - lo))
+    if held:
+        yield now, pa.Table.from_batches(held)

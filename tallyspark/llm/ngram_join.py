@@ -26,7 +26,6 @@ from __future__ import annotations
 
 import heapq
 import math
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -239,7 +238,7 @@ def _dealt(size: int, buckets: int):
 
 def _met(batches):
     """(slice, ids, met): for the documents of each slice, how many of their shingles in a bucket any other document has too."""
-    for _, rows in _grouped(batches, 1):
+    for _, rows in K.grouped(batches, 1):
         tokens, owners, ids, base = [], [], [], [0]
         for i, t, o in zip(rows["ids"].to_pylist(), rows["tokens"].to_pylist(), rows["owners"].to_pylist()):
             tokens.append(unpack(t))
@@ -264,7 +263,7 @@ def _met(batches):
 
 def _summed(batches):
     """(doc_id, met) of each slice, over its buckets."""
-    for _, rows in _grouped(batches, 1):
+    for _, rows in K.grouped(batches, 1):
         ids = np.concatenate([np.frombuffer(x, np.int64) for x in rows["ids"].to_pylist()])
         met = np.concatenate([np.frombuffer(x, np.int64) for x in rows["met"].to_pylist()])
         each, at = np.unique(ids, return_inverse=True)
@@ -312,7 +311,7 @@ def _slices(size: int, buckets: int):
 
 def _repeated(batches):
     """Of a bucket's blobs (bucket, slice, blob): for every slice, its shingles that any other slice or document has too."""
-    for (bucket,), rows in _grouped(batches, 1):
+    for (bucket,), rows in K.grouped(batches, 1):
         parts = [unpack(b.as_py()) for chunk in rows["blob"].chunks for b in chunk]
         both = np.sort(np.concatenate(parts))
         again = np.unique(both[1:][both[1:] == both[:-1]])
@@ -438,29 +437,6 @@ def _sets(size: int):
     return run
 
 
-def _grouped(batches: Iterator[pa.RecordBatch], keys: int):
-    """Consecutive rows with the same first `keys` columns, of batches sorted by them."""
-    held, now = [], None
-    for batch in batches:
-        cols = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(keys)]
-        n = batch.num_rows
-        if not n:
-            continue
-        change = np.zeros(n, bool)
-        for c in cols:
-            change[1:] |= c[1:] != c[:-1]
-        cut = [0, *np.flatnonzero(change).tolist(), n]
-        for lo, hi in zip(cut[:-1], cut[1:]):
-            key = tuple(c[lo].item() for c in cols)
-            if key != now and held:
-                yield now, pa.Table.from_batches(held)
-                held = []
-            now = key
-            held.append(batch.slice(lo, hi - lo))
-    if held:
-        yield now, pa.Table.from_batches(held)
-
-
 def _items(column) -> list[np.ndarray]:
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     flat = column.flatten().to_numpy().view(np.uint64)
@@ -472,7 +448,7 @@ def _local(num: int, den: int):
     """(block, chunk, node, component) of each chunk."""
 
     def run(batches):
-        for (block, chunk), rows in _grouped(batches, 2):
+        for (block, chunk), rows in K.grouped(batches, 2):
             nodes, sets = rows["node"].to_numpy(), _items(rows["items"])
             order = np.lexsort((nodes, [len(s) for s in sets]))
             nodes, sets = nodes[order], [sets[k] for k in order]
@@ -490,7 +466,7 @@ def _cross(num: int, den: int):
     """Links (a, b) of the queries that were sent to a chunk; one for each component reached."""
 
     def run(batches):
-        for _, rows in _grouped(batches, 2):
+        for _, rows in K.grouped(batches, 2):
             nodes, comps, role, sets = rows["node"].to_numpy(), rows["component"].to_numpy(), rows["role"].to_numpy(), _items(rows["items"])
             mine = np.flatnonzero(role == 0)
             lists = Lists([sets[k] for k in mine])

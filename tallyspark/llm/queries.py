@@ -17,20 +17,6 @@ l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE
 e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
 r AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a)
 SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, c.component_id FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id JOIN (SELECT a, min(b) AS component_id FROM r GROUP BY 1) c ON c.a = d.doc_id""",
-    # by line: the earliest holder, the places up to its count, and the runs of short lines beside the first place where they agree
-    "op5_line_dedup": r"""WITH r AS (SELECT doc_id, unnest(l) AS line, unnest(range(1, len(l) + 1)) AS o FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL)),
-w AS (SELECT *, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS n FROM r),
-p AS (SELECT doc_id, line, o, n, row_number() OVER (PARTITION BY doc_id ORDER BY o) - 1 AS p FROM w WHERE n > 0),
-z AS (SELECT doc_id, list(line ORDER BY p) AS z FROM p GROUP BY 1),
-s AS (SELECT doc_id, line, p, coalesce(lag(p) OVER (PARTITION BY doc_id ORDER BY p), -1) AS a, lead(p) OVER (PARTITION BY doc_id ORDER BY p) AS b FROM p WHERE n >= 4),
-f AS (SELECT s.doc_id, line, min(p) AS p, arg_min(a, p) AS a, arg_min(coalesce(b, len(z)), p) AS b, count(*) AS times, list(p ORDER BY p) AS places FROM s JOIN z ON z.doc_id = s.doc_id GROUP BY 1, 2),
-o AS (SELECT line, min(doc_id) AS owner FROM f GROUP BY 1),
-m AS (SELECT f.doc_id, f.p, f.a, f.b, f.places[1:least(f.times, g.times)] AS places, zd.z[f.a + 2:f.p] = zo.z[g.a + 2:g.p] AS before, zd.z[f.p + 2:f.b] = zo.z[g.p + 2:g.b] AS after
-FROM f JOIN o ON o.line = f.line JOIN f g ON g.line = f.line AND g.doc_id = o.owner JOIN z zd ON zd.doc_id = f.doc_id JOIN z zo ON zo.doc_id = g.doc_id WHERE f.doc_id <> o.owner),
-x AS (SELECT doc_id, unnest(places) AS p FROM m UNION SELECT doc_id, unnest(range(a + 1, p)) FROM m WHERE before UNION SELECT doc_id, unnest(range(p + 1, b)) FROM m WHERE after),
-k AS (SELECT w.doc_id, string_agg(w.line, chr(10) ORDER BY w.o) AS text FROM w LEFT JOIN p ON p.doc_id = w.doc_id AND p.o = w.o LEFT JOIN x ON x.doc_id = p.doc_id AND x.p = p.p WHERE x.p IS NULL GROUP BY 1),
-c AS (SELECT doc_id, count(*) AS n FROM x GROUP BY 1)
-SELECT d.doc_id, CASE WHEN d.text IS NOT NULL THEN coalesce(k.text, '') END AS text, coalesce(len(z.z), 0)::BIGINT AS n_lines, coalesce(c.n, 0)::BIGINT AS n_deleted FROM documents d LEFT JOIN k ON k.doc_id = d.doc_id LEFT JOIN z ON z.doc_id = d.doc_id LEFT JOIN c ON c.doc_id = d.doc_id""",
     "op7_quality_rules": quality_rules_sql(),
 }
 

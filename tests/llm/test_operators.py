@@ -148,6 +148,77 @@ def test_packing():
 # ---- line dedup ------------------------------------------------------------------------------
 
 
+def brute_lines(rows, seed_words=4, rare=16, passage=50):
+    """{(id, text): lines to delete} by plain dictionaries, one pair of documents after the other."""
+    docs = sorted({(i, t) for i, t in rows if i is not None and t is not None})
+    lines = {d: [x for x in d[1].split("\n") if WORD.search(x)] for d in docs}
+    size = lambda run: sum(len(WORD.findall(x)) for x in run)
+    seeds = {}
+    for d in docs:
+        own, n = [], len(lines[d])
+        for k in (1, 2):
+            count = collections.Counter(tuple(lines[d][i : i + k]) for i in range(n - k + 1))
+            seen = collections.Counter()
+            for i in range(n - k + 1):
+                run = tuple(lines[d][i : i + k])
+                if size(run) >= seed_words:
+                    own.append((("run", run, seen[run]), i, k, count[run] == 1))
+                    seen[run] += 1
+        spans = set()
+        for i in range(n):
+            spans |= {(i, j) for j in range(i + 1, n + 1) if size(lines[d][i:j]) >= passage > size(lines[d][i : j - 1])}
+            spans |= {(j, i + 1) for j in range(i + 1) if size(lines[d][j : i + 1]) >= passage > size(lines[d][j + 1 : i + 1])}
+        own += [(("passage", tuple(lines[d][i:j])), i, j - i, False) for i, j in spans]
+        if size(lines[d]) >= seed_words:
+            own.append((("text", tuple(lines[d])), 0, n, False))
+        seeds[d] = own
+    holders = collections.defaultdict(dict)
+    for d in docs:
+        for key, place, _, lone in seeds[d]:
+            holders[key].setdefault(d, (place, lone))
+    out = {}
+    for d in docs:
+        gone, pairs = set(), collections.defaultdict(list)
+        for key, place, k, lone in seeds[d]:
+            first = min(holders[key])
+            if first == d:
+                continue
+            if key[0] != "run":
+                gone |= set(range(place, place + k))
+            else:
+                there, once = holders[key][first]
+                pairs[first].append((place, there, k, lone and once, len(holders[key]) <= rare))
+        for met in pairs.values():
+            if any(m[4] for m in met):
+                unique = {(p + j, q + j) for p, q, k, once, _ in met if once for j in range(k)}
+                other = {(p + j, q + j) for p, q, k, once, _ in met if not once for j in range(k)} - unique
+                gone |= {p for p, _ in line_dedup.patience(unique, other)}
+        out[d] = gone
+    return out
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_line_dedup_brute(spark, seed):
+    r = random.Random(seed)
+    pool = [" ".join(r.choice("abcdefgh") + str(r.randrange(30)) for _ in range(r.choice([1, 2, 5, 9, 20, 60]))) for _ in range(25)]
+    rows, ids = [], r.sample(range(60), 40)
+    for k in range(40):
+        x = [r.choice(pool) if r.random() < 0.7 else f"own line {k} {j} of it" for j in range(r.randrange(12))]
+        if rows and r.random() < 0.4:  # a block of an earlier text, or all of it shuffled
+            y = [z for z in (rows[r.randrange(len(rows))][1] or "").split("\n")]
+            x += r.sample(y, len(y)) if r.random() < 0.5 else y[r.randrange(len(y)) :]
+        rows.append((ids[k], "\n".join(x)))
+    rows += [rows[3], rows[5], (None, rows[1][1]), (70, None), (71, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for rare, passage in ((16, 50), (2, 50), (3, 12)):
+        want = brute_lines(rows, rare=rare, passage=passage)
+        got = line_dedup.dedup_lines(docs, rare_holders=rare, passage_words=passage).collect()
+        assert sorted((x.doc_id or -1) for x in got) == sorted((i or -1) for i, _ in rows)
+        kept = collections.Counter((x.doc_id, x.text, x.n_deleted) for x in got)
+        assert kept == collections.Counter((i, (line_dedup.without(t, [{"first": p, "last": p} for p in want.get((i, t), ())])[0] if t is not None else None), len(want.get((i, t), ()))) for i, t in rows)
+        assert any(want.values())
+
+
 def test_line_dedup(spark, nothing):
     a = "first line of a text here\nIs.\nsecond line of this text too\nThe.\nthird line comes at the end"
     rows = [
@@ -163,12 +234,62 @@ def test_line_dedup(spark, nothing):
     assert got[2] == [("", 5, 5, "clash")]
     assert got[3] == [("intro of a later document here\nan own line that stays here", 4, 2, "clash")]
     assert got[4][0][0] == "The.\nIs."
-    assert got[5] == [("", 2, 2, "clash")]  # moved blocks are found as well
+    assert got[5][0][2] == 1  # of two lines in another order, one is aligned
     assert got[6][0][2] == 0 and got[7] == [("\nfive words come twice here", 3, 2, "clash")]
     assert got[None] == [(a, 5, 0, "clash")] and got[8] == [(None, 0, 0, "clash")] and got[9] == [("", 0, 0, "clash")]
     assert line_dedup.dedup_lines(nothing).count() == 0
 
 
+def test_line_dedup_order_and_rarity(spark):
+    """Order decides; a frequent line goes beside rare ones only; a long passage goes whatever its order and however many hold it."""
+    lines = [f"line number {k} of the first text" for k in range(50)]
+    passage = "\n".join(prose(800 + k, 18) for k in range(3))
+    byline = "a byline that everybody has"
+    rows = [(1, "\n".join(lines)), (2, "\n".join(["x"] + lines)), (3, "\n".join(["y"] + lines[::-1]))]
+    rows += [(10 + k, f"{prose(900 + k, 9)}\n{passage if k % 2 else byline}") for k in range(60)]
+    rows += [(100, f"{byline}\nrare line of one document\nown of the first"), (101, f"own of the second\n{byline}\nrare line of one document")]
+    got = {r.doc_id: r for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"), passage_words=50).collect()}
+    assert got[2].text == "x" and got[2].n_deleted == 50
+    # the passages of 50 words, that is of eight lines, are in another order too, so one line is left of the alignment
+    assert got[3].n_deleted == 1
+    assert got[11].n_deleted == 0 and all(got[10 + k].n_deleted == 3 for k in range(3, 60, 2))
+    assert all(got[10 + k].n_deleted == 0 for k in range(0, 60, 2))
+    assert got[101].text == "own of the second" and got[100].n_deleted == 0
+
+
+def test_patience():
+    """Against exhaustive search: the anchors are a longest run in order, and so is what fills each gap."""
+    longest = lambda pairs: max((len(c) for n in range(len(pairs) + 1) for c in itertools.combinations(sorted(pairs), n) if all(x[0] < y[0] and x[1] < y[1] for x, y in zip(c, c[1:]))), default=0)
+    for seed in range(60):
+        r = random.Random(seed)
+        unique = set(zip(r.sample(range(9), 5), r.sample(range(9), 5)))
+        other = {(r.randrange(9), r.randrange(9)) for _ in range(6)} - unique
+        got = line_dedup.patience(unique, other)
+        assert all(x[0] < y[0] and x[1] < y[1] for x, y in zip(got, got[1:])) and set(got) <= unique | other
+        anchors = [m for m in got if m in unique]
+        assert len(anchors) == longest(unique)
+        ends = [(-1, -1), *anchors, (99, 99)]
+        for lo, hi in zip(ends, ends[1:]):
+            inside = lambda m: lo[0] < m[0] < hi[0] and lo[1] < m[1] < hi[1]
+            assert sum(map(inside, set(got) - unique)) == longest({m for m in other if inside(m)})
+
+
+def test_line_dedup_linear():
+    """A long text in reverse order takes time in proportion to its lines."""
+    import time
+
+    import numpy as np
+
+    def took(n):
+        met = {"place": np.arange(n), "size": np.ones(n, int), "kind": np.zeros(n, int), "partner": np.ones(n, int), "partner_mark": np.ones(n, int), "there": np.arange(n)[::-1], "lone": np.ones(n, bool), "rare": np.ones(n, bool)}
+        start = time.time()
+        assert line_dedup.align(met) == [(n - 1, n - 1, 1)] or len(line_dedup.align(met)) == 1
+        return time.time() - start
+
+    took(1000)
+    assert took(100_000) < 5
+
+
 def test_longest_run():
     for seed in range(30):
         q = random.Random(seed).sample(range(20), 9)

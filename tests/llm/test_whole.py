@@ -70,4 +70,5 @@ def test_line_dedup_whole_copies(spark):
     rows = [(1, one), (2, two), (3, f"{one}\nss\n{two}"), (4, f"{one}\nss\n{two}"), (5, often), (6, often), (7, verse), (8, verse), (9, verse + "\nand"), (10, "two\nwords"), (11, "two\nwords"), (12, "\n\n" + often)]
     out = {r.doc_id: (r.text.strip(), r.n_deleted) for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert out[4] == ("", 3) and out[6] == ("", 4) and out[8] == ("", 6) and out[12] == ("", 4)
-    assert out[1] == (one, 0) and out[3] == ("ss", 2) and out[5][1] == 1 and out[7] == (verse, 0) and out[9][1] == out[11][1] == 0
+    assert out[1] == (one, 0) and out[3] == ("ss", 2) and out[5][1] == 1 and out[7] == (verse, 0) and out[11][1] == 0
+    assert out[9] == ("short\nshort\nare long\ntogether\nand", 2)  # two neighbours of four words together
