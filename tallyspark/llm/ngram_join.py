@@ -15,8 +15,8 @@
    Classes that are already connected are not compared again, so that a block of m near copies takes
    a few queries and not m*m comparisons.
 5. Chunks of one block exchange queries: hubs first, then everything outside the block's main
-   component against every chunk it shares a listed shingle's block with. After this every pair of classes
-   is either connected or was compared: no link between different texts is lost.
+   component goes to the chunks that hold a shingle of its prefix. After this every pair of classes that
+   can be similar is either connected or was compared: no link between different texts is lost.
 
 Rows with a null id keep their count and get a null component. Null, empty and blank texts have no
 shingles and no links; their component is their own id. Rows that share an id are one vertex.
@@ -42,6 +42,7 @@ FEW = 1_000_000  # ids that may be broadcast (8 MB); more are joined by a shuffl
 CHUNK_DOCS = 256
 CHUNK_TOKENS = 2_000_000
 HUBS = 8
+MOST_PARTITIONS = 2000  # of a shuffle by buckets, unless the session asks for more
 
 
 def jaccard_need(a: int | np.ndarray, b: int | np.ndarray, num: int, den: int):
@@ -195,7 +196,10 @@ def _facts(size: int):
 
 
 def _dealt(size: int, buckets: int):
-    """The cut shingles of about a third of a million at a time, dealt to buckets by value: (bucket, slice, ids, tokens, owners)."""
+    """The cut shingles of about a third of a million at a time, dealt to buckets by value.
+
+    A shingle of one document of the slice goes with its owner; one of several, once and without them (`known`), as these have met
+    already: a row of the slice's own counts says so (`local`). So a bucket gets a shingle once a slice, however many hold it."""
     bounds = np.array([-(-(b << TOKEN_BITS) // buckets) for b in range(1, buckets)], np.uint64)
 
     def rows(ids, parts, lengths):
@@ -206,14 +210,24 @@ def _dealt(size: int, buckets: int):
         new = np.ones(len(flat), bool)
         new[1:] = (flat[1:] != flat[:-1]) | (owner[1:] != owner[:-1])
         flat, owner = flat[new], owner[new]
-        cut = np.concatenate([[0], np.searchsorted(flat, bounds), [len(flat)]])
+        ids = np.asarray(ids, np.int64)
+        name = int(ids[0])
+        head = np.append(True, flat[1:] != flat[:-1])
+        several = np.append(~head[1:], False) | ~head
+        known = flat[several & head]
+        met = np.bincount(owner[several], minlength=len(ids))
+        flat, owner = flat[~several], owner[~several]
+        cut, known_cut = (np.concatenate([[0], np.searchsorted(x, bounds), [len(x)]]) for x in (flat, known))
         out = []
-        for b, (lo, hi) in enumerate(zip(cut[:-1], cut[1:])):
-            if hi > lo:
+        if met.any():
+            out.append((name % buckets, name, ids[met > 0].tobytes(), None, None, None, met[met > 0].astype(np.int64).tobytes()))
+        for b, (lo, hi, first, last) in enumerate(zip(cut[:-1], cut[1:], known_cut[:-1], known_cut[1:])):
+            if hi > lo or last > first:
                 used, at = np.unique(owner[lo:hi], return_inverse=True)
                 kind = np.uint16 if len(used) <= 1 << 16 else np.uint32
-                out.append((b, ids[0], np.asarray(ids, np.int64)[used].tobytes(), pack(flat[lo:hi]), bytes([np.dtype(kind).itemsize]) + at.astype(kind).tobytes()))
-        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()))], ["bucket", "slice", "ids", "tokens", "owners"])
+                out.append((b, name, ids[used].tobytes(), pack(flat[lo:hi]), bytes([np.dtype(kind).itemsize]) + at.astype(kind).tobytes(), pack(known[first:last]), None))
+        kinds = (pa.int64(), pa.int64(), *[pa.binary()] * 5)
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), kinds)], ["bucket", "slice", "ids", "tokens", "owners", "known", "local"])
 
     def run(batches):
         ids, parts, lengths, n = [], [], [], 0
@@ -239,24 +253,34 @@ def _dealt(size: int, buckets: int):
 def _met(batches):
     """(slice, ids, met): for the documents of each slice, how many of their shingles in a bucket any other document has too."""
     for _, rows in K.grouped(batches, 1):
-        tokens, owners, ids, base = [], [], [], [0]
-        for i, t, o in zip(rows["ids"].to_pylist(), rows["tokens"].to_pylist(), rows["owners"].to_pylist()):
+        out, names, tokens, owners, ids, base, known = [], [], [], [], [], [0], []
+        for r in zip(*(rows[c].to_pylist() for c in ("slice", "ids", "tokens", "owners", "known", "local"))):
+            name, i, t, o, k, met = r
+            if met is not None:
+                out.append((name, i, met))
+                continue
+            names.append(name)
             tokens.append(unpack(t))
             owners.append(np.frombuffer(o, np.uint16 if o[0] == 2 else np.uint32, offset=1).astype(np.uint32) + np.uint32(base[-1]))
             ids.append(np.frombuffer(i, np.int64))
             base.append(base[-1] + len(ids[-1]))
-        tokens, owners = np.concatenate(tokens), np.concatenate(owners)
-        order = np.argsort(tokens, kind="stable")
-        same = tokens[order[1:]] == tokens[order[:-1]]
-        hit = np.zeros(len(tokens), bool)
-        hit[1:] |= same
-        hit[:-1] |= same
-        met = np.bincount(owners[order[hit]], minlength=base[-1])
-        out = []
-        for name, mine, a in zip(rows["slice"].to_pylist(), ids, base):
-            n = met[a : a + len(mine)]
-            if n.any():
-                out.append((name, mine[n > 0].tobytes(), n[n > 0].astype(np.int64).tobytes()))
+            known.append(unpack(k))
+        if tokens:
+            tokens, owners = np.concatenate(tokens), np.concatenate(owners)
+            order = np.argsort(tokens, kind="stable")
+            tokens = tokens[order]
+            same = tokens[1:] == tokens[:-1]
+            hit = np.zeros(len(tokens), bool)
+            hit[1:] |= same
+            hit[:-1] |= same
+            known = np.unique(np.concatenate(known))
+            if len(known):
+                hit |= known[np.minimum(np.searchsorted(known, tokens), len(known) - 1)] == tokens
+            met = np.bincount(owners[order[hit]], minlength=base[-1])
+            for name, mine, a in zip(names, ids, base):
+                n = met[a : a + len(mine)]
+                if n.any():
+                    out.append((name, mine[n > 0].tobytes(), n[n > 0].astype(np.int64).tobytes()))
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), (pa.int64(), pa.binary(), pa.binary()))], ["slice", "ids", "met"])
 
@@ -479,15 +503,17 @@ def _cross(num: int, den: int):
     return run
 
 
-def _across(sets: DataFrame, local: DataFrame, num: int, den: int) -> DataFrame:
-    """Labels (node, component) after the chunks of each block have exchanged queries."""
+def _across(sets: DataFrame, local: DataFrame, prefixes: DataFrame, num: int, den: int) -> DataFrame:
+    """Labels (node, component) after the chunks of each block have exchanged queries; prefixes: (node, prefix)."""
     spark = sets.sparkSession
     schema = "block long, chunk long, role int, node long, component long, items array<long>"
     many = local.groupBy("block").agg(F.max("chunk").alias("last")).filter("last > 0")
-    label = checkpointed(local.join(many, "block").select("block", "chunk", "node", "component", "last"))
+    label = checkpointed(local.join(many, "block").select("block", "chunk", "node", "component"))
     full = stored(sets.join(many.select("block"), "block", "left_semi"))
+    # where each shingle of a prefix is: similar sets share one, so a query has to see the chunks of its own only
+    listed = stored(label.select("block", "chunk", "node").join(prefixes, "node").select("block", "chunk", "node", F.explode("prefix").alias("token")))
     for stage in ("hubs", "rest"):
-        rows = full.join(label, ["block", "chunk", "node"]).select("block", "chunk", "node", "component", "last", "items")
+        rows = full.join(label, ["block", "chunk", "node"]).select("block", "chunk", "node", "component", "items")
         if stage == "hubs":
             # some members of every chunk's largest component, to chunk 0
             sizes = label.groupBy("block", "chunk", "component").agg(F.count("*").alias("n"))
@@ -498,18 +524,25 @@ def _across(sets: DataFrame, local: DataFrame, num: int, den: int) -> DataFrame:
         else:
             sizes = label.groupBy("block", "component").agg(F.count("*").alias("n"))
             main = sizes.groupBy("block").agg(F.max_by("component", F.struct("n", "component")).alias("component"))
-            outside = rows.join(main, ["block", "component"], "left_anti")
-            ask = outside.withColumn("to", F.explode(F.sequence(F.lit(0).cast("long"), F.col("last")))).filter("to <> chunk").withColumn("chunk", F.col("to"))
+            outside = checkpointed(label.join(main, ["block", "component"], "left_anti").select("block", "chunk", "node"))
+            places = listed.select("block", "token", F.col("chunk").alias("to")).distinct()
+            sent = listed.join(outside, ["block", "chunk", "node"], "left_semi").join(places, ["block", "token"]).filter("to <> chunk").select("block", "chunk", "node", "to").distinct()
+            ask = rows.join(sent, ["block", "chunk", "node"]).withColumn("chunk", F.col("to")).drop("to")
         pick = lambda df, role: df.select("block", "chunk", F.lit(role).alias("role"), "node", "component", "items")
-        both = pick(rows, 0).union(pick(ask, 1))
+        # chunks that nobody asks need not come
+        asked = checkpointed(pick(ask, 1))
+        both = pick(rows, 0).join(asked.select("block", "chunk").distinct(), ["block", "chunk"], "left_semi").union(asked)
         links = both.repartition(partitions(spark), "block", "chunk").sortWithinPartitions("block", "chunk").mapInArrow(K.tidy(_cross(num, den)), "a long, b long")
         moved = components(links)
-        label = checkpointed(
-            label.join(moved.withColumnRenamed("component", "to"), label.component == moved.node, "left").select("block", "chunk", label.node, F.coalesce("to", label.component).alias("component"), "last")
-        )
+        label = checkpointed(label.join(moved.withColumnRenamed("component", "to"), label.component == moved.node, "left").select("block", "chunk", label.node, F.coalesce("to", label.component).alias("component")))
     return label.select("node", "component")
 
 
+def _in_parts(dealt: DataFrame, parts: int) -> DataFrame:
+    """Rows of buckets, dealt evenly."""
+    return dealt.withColumn("__part", (F.col("bucket") % parts).cast("int")).repartitionById(parts, "__part").drop("__part")
+
+
 def ngram_components(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100, chunk_docs: int = CHUNK_DOCS) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row of `docs` (doc_id, text)."""
     spark = docs.sparkSession
@@ -522,8 +555,9 @@ def ngram_components(docs: DataFrame, size: int = 5, num: int = 80, den: int = 1
 
     # only a document that shares its share of shingles with others can be similar to one of them
     buckets = max(16, int(length) // 6 // BUCKET_TOKENS)
-    dealt = docs.filter("doc_id is not null").mapInArrow(K.tidy(_dealt(size, buckets)), "bucket long, slice long, ids binary, tokens binary, owners binary")
-    met = dealt.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(K.tidy(_met), "slice long, ids binary, met binary")
+    parts = min(buckets, max(MOST_PARTITIONS, partitions(spark)))  # more buckets than that share a task, one after the other
+    dealt = docs.filter("doc_id is not null").mapInArrow(K.tidy(_dealt(size, buckets)), "bucket long, slice long, ids binary, tokens binary, owners binary, known binary, local binary")
+    met = _in_parts(dealt, parts).sortWithinPartitions("bucket").mapInArrow(K.tidy(_met), "slice long, ids binary, met binary")
     met = met.repartition(partitions(spark), "slice").sortWithinPartitions("slice").mapInArrow(K.tidy(_summed), "doc_id long, met long")
     met = met.groupBy("doc_id").agg(F.sum("met").alias("met"))
     need = F.ceil(F.col("n_shingles") * num / F.lit(den)) - F.col("slack")
@@ -534,7 +568,7 @@ def ngram_components(docs: DataFrame, size: int = 5, num: int = 80, den: int = 1
     slices = stored(docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi").mapInArrow(K.tidy(_slices(size, buckets)), SLICE_SCHEMA))
 
     dealt = slices.select(F.posexplode("blobs").alias("bucket", "blob"), "slice").filter("length(blob) > 0").select(F.col("bucket").cast("long").alias("bucket"), "slice", "blob")
-    shared = dealt.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(K.tidy(_repeated), "slice long, bucket long, shared binary, freq binary")
+    shared = _in_parts(dealt, parts).sortWithinPartitions("bucket").mapInArrow(K.tidy(_repeated), "slice long, bucket long, shared binary, freq binary")
     back = shared.groupBy("slice").agg(F.collect_list(F.struct("bucket", "shared", "freq")).alias("found"))
     known = slices.select("slice", "counts", "sigs", "lengths", "tokens").join(back, "slice", "left").select("counts", "sigs", "lengths", "tokens", "found")
     prefixes = stored(known.mapInArrow(K.tidy(_prefixes(num, den)), "sig long, prefix array<long>"))
@@ -568,7 +602,8 @@ def ngram_components(docs: DataFrame, size: int = 5, num: int = 80, den: int = 1
     more = ids.filter("rep <> other").select("doc_id").join(members, "doc_id").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     cut = bool(local.filter("chunk > 0").limit(1).count())
     if cut:
-        joins = joins.union(_across(sets, local, num, den).select(F.col("node").alias("a"), F.col("component").alias("b")))
+        mine = able.select("sig", F.col("rep").alias("node")).join(prefixes, "sig").select("node", "prefix")
+        joins = joins.union(_across(sets, local, mine, num, den).select(F.col("node").alias("a"), F.col("component").alias("b")))
     if cut or more.limit(1).count():
         label = components(joins.union(more))
     else:
@@ -581,6 +616,6 @@ def drop_near_copies(docs: DataFrame, **how) -> DataFrame:
     """The rows of `docs` that stand for their component: those whose id is the smallest in it.
 
     Rows with a null id stay. Of rows that share an id all or none stay."""
-    found = ngram_components(docs, **how).filter("component_id <> doc_id").select("doc_id").distinct()
+    found = stored(ngram_components(docs, **how).filter("component_id <> doc_id").select("doc_id").distinct())
     few = found.count() <= FEW
     return docs.join(F.broadcast(found) if few else found, "doc_id", "left_anti").select(docs.columns)

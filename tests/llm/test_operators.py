@@ -535,3 +535,26 @@ def test_gradients():
         down = loss()
         flat[at] = old
         assert abs((up - down) / 2e-5 - g.reshape(-1)[at]) < 1e-4, k
+
+
+def test_ngram_exchange_is_linear(spark, monkeypatch):
+    """Texts of four out of n shared pieces, no two similar, make one block of many chunks: what the chunks are sent grows with n and not with its square."""
+    sent, real = [], ngram_join.checkpointed
+
+    def spied(df):
+        out = real(df)
+        if "role" in df.columns:
+            sent.append(out.count())
+        return out
+
+    monkeypatch.setattr(ngram_join, "checkpointed", spied)
+    rows = {}
+    for n in (300, 1200):
+        r = random.Random(n)
+        pieces = [prose(10_000 + k, 20) for k in range(n)]
+        docs = spark.createDataFrame([(k, " ".join(r.sample(pieces, 4))) for k in range(n)], "doc_id long, text string")
+        sent.clear()
+        got = ngram_join.ngram_components(docs, chunk_docs=16).collect()
+        assert len(got) == n and all(x.component_id == x.doc_id for x in got)
+        rows[n] = sum(sent)
+    assert 0 < rows[1200] <= 6 * rows[300]
