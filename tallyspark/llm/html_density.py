@@ -8,10 +8,13 @@ The element with the greatest sum of its children's densities is the core. If it
 outermost of these is the text, whole; else the core is raised as long as what is beside it has more text than links. Siblings
 along the way up from there to the body belong to the text too if they are as dense as the thinnest element on that way.
 Lists of links without a name are menus, but not in an article (or in a main element without one), where they are references.
+A header inside an article is the article's own and stays. A form goes, unless the page is in it.
 
 Character references are decoded; white space inside a block becomes one space, blocks are
 trimmed and joined by one space. Null or empty pages, and pages without text, give an empty text. Nothing is cut
-off: neither long pages nor deep ones (the tree is walked without recursion). Repeated ids are rows of their own.
+off: neither long pages nor deep ones (the tree is walked without recursion, each character and element a fixed number of
+times). Repeated ids are rows of their own; an empty table gives an empty one; of ties the first element in the page counts; other columns don't
+matter, whatever their names.
 """
 
 from __future__ import annotations
@@ -29,7 +32,7 @@ from . import _kernel as K
 # Elements by their role in HTML.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 RAW = set("script style textarea title noframes xmp iframe noembed".split())
-DROPPED = set("head script style noscript template nav header footer aside form button select option textarea iframe object embed svg canvas audio video map dialog menu title".split())
+DROPPED = set("head script style noscript template nav header footer aside button select option textarea iframe object embed svg canvas audio video map dialog menu title".split())
 INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
 CLOSES_P = set("address article aside blockquote center details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 SELF_CLOSING = {"li": ("li", ("ul", "ol", "menu")), "dt": ("dt dd", ("dl",)), "dd": ("dt dd", ("dl",)), "tr": ("tr td th", ("table",)), "td": ("td th", ("tr", "table")), "th": ("td th", ("tr", "table")), "option": ("option", ("select",))}
@@ -37,7 +40,8 @@ NAMES = set("ad ads adv advert adverts advertisement advertising sponsor sponsor
 LISTS = set("ul ol dl div section table".split())
 ROLES = set("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*(?:>|\Z)|</[^a-zA-Z][^>]*>|<(?:/?[a-zA-Z][^>]*)?\Z", re.S)
+_NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+_QUOTE_OR_END = re.compile(r"[>\"']")
 _ATTRIBUTE = re.compile(r"(?<![\w-])(class|id|role|hidden|aria-hidden|style)(?![\w-])(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I)
 _SPACE = re.compile(r"\s+")
 _PART = re.compile(r"[a-z]+")
@@ -74,84 +78,157 @@ def unwanted(tag: str, attributes: str) -> bool:
     return False
 
 
+def tokens(page: str):
+    """(what, begin, end, attributes) of comments ("!"), start tags ("name") and end tags ("/name"), each character read once.
+
+    A quote without its partner is no quote; a tag or comment that doesn't end goes on to the end of the page. After a
+    raw element's start tag the next token is its end tag."""
+    at, length = 0, len(page)
+    last = {c: page.rfind(c) for c in "\"'"}
+    raw = ""
+    ends: dict[str, re.Pattern] = {}
+    while at < length:
+        if raw:
+            if raw not in ends:
+                ends[raw] = re.compile(r"</" + re.escape(raw) + r"(?=[\s/>])[^>]*>", re.I)
+            end = ends[raw].search(page, at)
+            yield "/" + raw, at, end.end() if end else length, ""
+            at, raw = end.end() if end else length, ""
+            continue
+        begin = page.find("<", at)
+        if begin < 0:
+            return
+        sign = page[begin + 1 : begin + 2]
+        name = _NAME.match(page, begin + (2 if sign == "/" else 1))
+        if not name:
+            if page.startswith("<!--", begin):
+                end = page.find("-->", begin + 4)
+                at = end + 3 if end >= 0 else length
+            elif sign in ("!", "?", "/", ""):
+                end = page.find(">", begin)
+                at = end + 1 if end >= 0 else length
+            else:  # a bare sign is text
+                at = begin + 1
+                continue
+            yield "!", begin, at, ""
+            continue
+        i = name.end()
+        while True:
+            m = _QUOTE_OR_END.search(page, i)
+            if m is None:
+                i = length
+                break
+            i = m.start()
+            if page[i] == ">":
+                break
+            i = page.find(page[i], i + 1) + 1 if i < last[page[i]] else i + 1
+        tag = name[0].lower()
+        if i < length:
+            yield ("/" if sign == "/" else "") + tag, begin, i + 1, page[name.end() : i]
+            raw = tag if sign != "/" and tag in RAW else ""
+        else:
+            yield "!", begin, length, ""
+        at = i + 1
+
+
 def parse(page: str) -> Node:
-    """The tree; unwanted elements are read, as they may hold others' end tags, but not kept."""
+    """The tree; unwanted elements are read, as they may hold others' end tags, but not kept. Linear: open elements are found by their tags' own stacks."""
     root = Node("#root", None)
-    now, at = root, 0
+    path = [root]  # the open elements
+    places: dict[str, list[int]] = {}  # by tag, where in the path it is open
     dead: list[str] = []  # open elements from the unwanted one on
+    dying: dict[str, int] = {}  # how many of each tag
+
+    def cut(depth: int) -> None:
+        while len(path) > depth:
+            places[path.pop().tag].pop()
 
-    def text(lo: int, hi: int) -> None:
-        if hi > lo and not dead:
-            now.content.append(entities.unescape(page[lo:hi]))
+    def innermost(tags) -> int:
+        return max((places[t][-1] for t in tags if places.get(t)), default=0)
 
     def close(names, stops=()) -> None:
-        nonlocal now
-        node = now
-        while node is not root and node.tag not in names:
-            if node.tag in stops:
-                return
-            node = node.parent
-        if node is not root:
-            now = node.parent
-
-    length = len(page)
-    while at < length:
-        m = _TOKEN.search(page, at)
-        if not m:
-            text(at, length)
-            break
-        text(at, m.start())
-        at = m.end()
-        tag = (m[2] or "").lower()
-        if not tag:
+        depth = innermost(names)
+        if depth and depth > innermost(stops):
+            cut(depth)
+
+    at = 0
+    for what, begin, end, attributes in tokens(page):
+        if begin > at and not dead:
+            path[-1].content.append(entities.unescape(page[at:begin]))
+        at = end
+        if what == "!":
             continue
-        if m[1]:  # an end tag
+        if what[0] == "/":
+            tag = what[1:]
             if dead:
-                if tag in dead:
-                    while dead.pop() != tag:
-                        pass
+                if dying.get(tag):
+                    while True:
+                        gone = dead.pop()
+                        dying[gone] -= 1
+                        if gone == tag:
+                            break
                 elif tag in ("body", "html"):
                     dead.clear()
-            elif tag not in VOID:
-                node = now
-                while node is not root and node.tag != tag:
-                    node = node.parent
-                if node is not root:
-                    now = node.parent
+                    dying.clear()
+            elif tag not in VOID and places.get(tag):
+                cut(places[tag][-1])
             continue
-        attributes = m[3]
+        tag = what
         if tag in RAW:
-            end = re.compile(r"</" + re.escape(tag) + r"(?=[\s/>])[^>]*>", re.I).search(page, at)
-            at = end.end() if end else length
             continue
         if dead:
             if dead[0] == "head" and tag == "body":
                 dead.clear()
+                dying.clear()
             else:
                 if tag not in VOID and not attributes.endswith("/") and (tag == dead[0] or tag not in ("p", "li", "dt", "dd", "td", "th", "tr", "option")):
                     dead.append(tag)
+                    dying[tag] = dying.get(tag, 0) + 1
                 continue
         if tag in VOID:
-            now.content.append(" ")
+            path[-1].content.append(" ")
             if tag != "wbr":
-                now.tags += 1
+                path[-1].tags += 1
             continue
         if tag in CLOSES_P:
             close(("p",), ("div", "article", "section", "main", "body", "td", "li", "blockquote", "table"))
         if tag in SELF_CLOSING:
             names, stops = SELF_CLOSING[tag]
             close(names.split(), stops)
-        if unwanted(tag, attributes):
+        if unwanted(tag, attributes) and not (tag == "header" and places.get("article")):
             if not attributes.endswith("/"):
-                now.content.append("\n" if tag not in INLINE else "")
+                path[-1].content.append("\n" if tag not in INLINE else "")
                 dead.append(tag)
+                dying[tag] = 1
             continue
-        child = Node(tag, now)
-        now.content.append(child)
-        now = child
+        child = Node(tag, path[-1])
+        path[-1].content.append(child)
+        places.setdefault(tag, []).append(len(path))
+        path.append(child)
+    if at < len(page) and not dead:
+        path[-1].content.append(entities.unescape(page[at:]))
     return root
 
 
+def without_forms(root: Node) -> None:
+    """Empties the forms, but not one that the page is in: it has an article or main element, or most of the text."""
+    nodes = in_order(root)
+    forms = [n for n in nodes if n.tag == "form"]
+    if not forms:
+        return
+    size = dict.fromkeys(map(id, nodes), 0)
+    named = set()
+    for node in reversed(nodes):
+        size[id(node)] += sum(len(c.strip()) for c in node.content if isinstance(c, str))
+        if node.tag in ("article", "main") or id(node) in named:
+            named |= {id(node), id(node.parent)}
+        if node.parent is not None:
+            size[id(node.parent)] += size[id(node)]
+    for form in forms:
+        if id(form) not in named and 2 * size[id(form)] <= size[id(root)]:
+            form.content = []
+
+
 def in_order(root: Node) -> list[Node]:
     out, stack = [], [root]
     while stack:
@@ -225,6 +302,7 @@ def extract(page: str | None) -> str:
     if not page:
         return ""
     root = parse(page)
+    without_forms(root)
     nodes = weigh(root)
     if not root.chars:
         return ""

@@ -72,3 +72,92 @@ def test_line_dedup_whole_copies(spark):
     assert out[4] == ("", 3) and out[6] == ("", 4) and out[8] == ("", 6) and out[12] == ("", 4)
     assert out[1] == (one, 0) and out[3] == ("ss", 2) and out[5][1] == 1 and out[7] == (verse, 0) and out[11][1] == 0
     assert out[9] == ("short\nshort\nare long\ntogether\nand", 2)  # two neighbours of four words together
+
+
+def test_html_header_form_and_search():
+    """An article's own header stays, a page inside one form is read, a small form goes; a bare sign is text, ties go to the first element."""
+    p = "<p>" + "words of the article. " * 12 + "</p>"
+    text = ("words of the article. " * 12).strip()
+    get = html_density.extract
+    assert get(f"<body><header><h1>Site</h1></header><article><header><h1>Title</h1></header>{p}</article>") == f"Title {text}"
+    assert get(f"<body><form action=/><input><div>{p}{p}</div></form></body>") == f"{text} {text}"
+    assert get(f"<body><form><main>{p}</main></form><div><a href=/>{'link ' * 200}</a></div>") == text
+    assert get(f"<body><article>{p}<form><label>Your name</label><p>Send it</p></form></article>") == text
+    assert get("<body><p>1 < 2 and a <3 b</p>") == "1 < 2 and a <3 b"
+    assert get(f"<body><div>{p}</div><nav>x</nav><div>{'<a href=/>some link</a>' * 9}</div>") == text
+    assert get(f'<a title="it\'s>"> </a><article a"b>{p}</article>') == text
+    assert get(f"<article>{p}<p>unclosed <b title=\"x>y") == f"{text} unclosed"
+    wide = "<article>" + "<p>short piece of text</p>" * 4000 + "</article>"
+    assert get(wide) == " ".join(["short piece of text"] * 4000)
+
+
+def test_html_hostile_pages_are_linear():
+    import time
+
+    for make in (lambda n: "<div>" * n + "x" + "</span>" * n, lambda n: "<nav>" + "<div>" * n + "</b>" * n, lambda n: "<a " * n + '" >', lambda n: "<ul><li><ul>" + "<span>" * n + "<li></li>" * n):
+        start = time.time()
+        html_density.extract(make(100_000))
+        assert time.time() - start < 10  # quadratic ones take minutes
+
+
+def test_html_densities():
+    """Densities and their sums by a recursive version over the standard library's parser, and the subtree with the maximum sum."""
+    import math
+    from html.parser import HTMLParser
+
+    r = random.Random(3)
+
+    def tree(depth):
+        if depth == 0 or r.random() < 0.2:
+            words = " ".join("word" for _ in range(r.randrange(1, 30)))
+            return f"<a>{words}</a>" if r.random() < 0.3 else words
+        tag = r.choice(["div", "section", "blockquote", "span", "b"])
+        return f"<{tag}>" + "".join(tree(depth - 1) for _ in range(r.randrange(1, 4))) + f"</{tag}>"
+
+    for _ in range(30):
+        page = "<body>" + "".join(tree(4) for _ in range(3)) + "</body>"
+        root = {"tag": "#root", "kids": [], "text": []}
+        stack = [root]
+
+        class Reader(HTMLParser):
+            def handle_starttag(self, tag, attrs):
+                node = {"tag": tag, "kids": [], "text": []}
+                stack[-1]["kids"].append(node)
+                stack.append(node)
+
+            def handle_endtag(self, tag):
+                stack.pop()
+
+            def handle_data(self, data):
+                stack[-1]["text"].append(data)
+
+        Reader().feed(page)
+
+        def count(n):
+            kids = [count(k) for k in n["kids"]]
+            n["chars"] = sum(len(" ".join(x.split())) for x in n["text"]) + sum(k["chars"] for k in kids)
+            n["tags"] = sum(k["tags"] + 1 for k in kids)
+            link = n["tag"] == "a"
+            n["lc"] = n["chars"] if link else sum(k["lc"] for k in kids)
+            n["lt"] = n["tags"] + 1 if link else sum(k["lt"] for k in kids)
+            return n
+
+        body = count(root)["kids"][0]
+
+        def density(n):
+            c, t = n["chars"], max(1, n["tags"])
+            if not c:
+                return 0.0
+            base = math.log(c / max(1, c - n["lc"]) * max(1, n["lc"]) + (body["lc"] + 1) / (body["chars"] + 1) * c + math.e)
+            return c / t * math.log(max(1.0, c / max(1, n["lc"]) * t / max(1, n["lt"])) + 1) / base
+
+        def flat(n):
+            return [n, *(x for k in n["kids"] for x in flat(k))]
+
+        got = html_density.weigh(html_density.parse(page))
+        want = flat(root)
+        assert [n.tag for n in got] == [n["tag"] for n in want]
+        sums = [sum(density(k) for k in n["kids"] if k["tag"] not in html_density.INLINE) for n in want]
+        for g, w, total in zip(got, want, sums):
+            assert (g.chars, g.tags, g.link_chars, g.link_tags) == (w["chars"], w["tags"], w["lc"], w["lt"])
+            assert abs(g.density - density(w)) < 1e-9 and abs(g.sum - total) < 1e-9
