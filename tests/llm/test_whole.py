@@ -86,7 +86,7 @@ def test_html_header_form_and_search():
     assert get("<body><p>1 < 2 and a <3 b</p>") == "1 < 2 and a <3 b"
     assert get(f"<body><div>{p}</div><nav>x</nav><div>{'<a href=/>some link</a>' * 9}</div>") == text
     assert get(f'<a title="it\'s>"> </a><article a"b>{p}</article>') == text
-    assert get(f"<article>{p}<p>unclosed <b title=\"x>y") == f"{text} unclosed"
+    assert get(f"<article>{p}<p>unclosed <b title=\"x>y") == f"{text} unclosed y"
     wide = "<article>" + "<p>short piece of text</p>" * 4000 + "</article>"
     assert get(wide) == " ".join(["short piece of text"] * 4000)
 
