@@ -379,6 +379,25 @@ def test_sharding(docs, nothing, shards):
     assert sharding.shard_documents(nothing, shards).count() == 0
 
 
+def test_sharding_equal_rows(spark, monkeypatch):
+    """Equal rows are spread like all others, in whatever order and partitions they come; many partitions and blocks of copies too."""
+    rows = [(k, f"text {k % 50}") for k in range(3000)] + [(7, "copy")] * 1000 + [(None, None)] * 40
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    one = sharding.shard_documents(docs.repartition(3), rows_a_partition=40).select("doc_id", "text_crc32", "shard", "slot").collect()
+    monkeypatch.setattr(sharding, "COPIES_A_ROW", 30)
+    monkeypatch.setattr(sharding, "MATRIX", 10)
+    two = sharding.shard_documents(docs.orderBy("text").repartition(5), rows_a_partition=40).select("doc_id", "text_crc32", "shard", "slot").collect()
+    assert sorted(map(repr, one)) == sorted(map(repr, two)) and len(one) == len(rows)
+    slots = collections.defaultdict(list)
+    for r in one:
+        slots[r.shard].append(r.slot)
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+    copies = collections.Counter(r.shard for r in one if r.text_crc32 == zlib.crc32(b"copy"))
+    assert len(copies) == 16 and all(30 < n < 100 for n in copies.values())  # 62.5 each, with a deviation of 7
+    places = sorted(r.slot for r in one if r.text_crc32 == zlib.crc32(b"copy") and r.shard == 3)
+    assert sum(b - a == 1 for a, b in zip(places, places[1:])) < len(places) / 2  # a quarter by chance
+
+
 def test_communication():
     m = sharding.communication([100, 0, 7, 333], 6, 1)
     assert [sum(r) for r in m] == [100, 0, 7, 333]
