@@ -1,10 +1,13 @@
 """URL filter: rules of host and path first, then logistic regression on hashed character n-grams.
 
 Everything here is DataFrame expressions: host and path by regular expressions, n-grams and the linear
-score by higher-order functions, and the fit by full-batch AdaGrad steps whose gradients are an
-aggregation over the small labelled table. Only the weights, `dimensions` numbers, pass through
-the driver. A null url, or one without `://`, has an empty host and path; so it is judged by the bias alone. Repeated
-urls are judged alike; other columns don't matter.
+score by higher-order functions over the url's characters, each read a fixed number of times, so a very long url costs in proportion to its length.
+The fit is one expression too: the labelled table, small by contract (it is gathered into one row), becomes lists of features by
+url and of urls by feature, and a fold over the steps makes full-batch AdaGrad of them. Only the weights of the features
+that occur, `dimensions` at most, pass through the driver.
+
+A null url, or one without `://`, has an empty host and path; so it is judged by the bias and the n-grams of nothing. Repeated
+urls are judged alike, an empty table gives an empty one; other columns don't matter, whatever their names.
 """
 
 from __future__ import annotations
@@ -12,7 +15,7 @@ from __future__ import annotations
 import json
 import math
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 # The rules, as (verdict, host and path prefix).
@@ -55,16 +58,20 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, r"(?s)^.*?://[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
+def bound(value: Column, use) -> Column:
+    """use(value), with the value computed once however often it is used."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def grams(host: Column, path: Column, dimensions: int, sizes=(3, 4, 5)) -> Column:
     """The distinct hashed character n-grams of host and path. Digits count as one character each, of one kind."""
     text = F.regexp_replace(F.concat(F.lit("^"), host, F.lit("$"), path, F.lit("$")), "[0-9]", "0")
 
-    def of(k: int) -> Column:
-        starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(text) - (k - 1)))
-        return F.transform(starts, lambda i: F.pmod(F.xxhash64(F.substring(text, i, F.lit(k))), F.lit(dimensions)).cast("int"))
+    def of(chars: Column, k: int) -> Column:
+        starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.size(chars) - k))
+        return F.transform(starts, lambda i: F.pmod(F.xxhash64(*[F.get(chars, i + j) for j in range(k)]), F.lit(dimensions)).cast("int"))
 
-    every = [of(k) for k in sizes]
-    return F.array_distinct(F.concat(*every))
+    return bound(F.split(text, ""), lambda chars: F.array_distinct(F.concat(*[of(chars, k) for k in sizes])))
 
 
 def _margin(features: Column, weights: Column, bias: float) -> Column:
@@ -73,31 +80,61 @@ def _margin(features: Column, weights: Column, bias: float) -> Column:
 
 
 def _literal(weights: list[float]) -> Column:
-    return F.from_json(F.lit(json.dumps([round(w, 4) for w in weights])), "array<double>")
+    return F.from_json(F.lit(json.dumps(weights)), "array<double>")
+
+
+def fitted(urls: Column, features: Column, steps: int, rate: float, decay: float) -> Column:
+    """(weights, bias) after so many steps of full-batch AdaGrad.
+
+    urls: array of (f: indices of features, scale, y, share of the loss); features: array of (u: indices of urls)."""
+    zeros = F.transform(features, lambda x: F.lit(0.0))
+    start = F.struct(zeros.alias("w"), zeros.alias("seen"), F.lit(0.0).alias("b"), F.lit(0.0).alias("b_seen"))
+    sum_of = lambda column: F.aggregate(column, F.lit(0.0), lambda a, x: a + x)
+
+    def step(s: Column, _) -> Column:
+        margin = lambda u: F.aggregate(u["f"], F.lit(0.0), lambda a, f: a + F.get(s["w"], f)) * u["scale"] + s["b"]
+        errors = F.transform(urls, lambda u: (1 / (1 + F.exp(-margin(u))) - u["y"]) * u["share"])
+
+        def after(e: Column) -> Column:
+            slope = lambda scaled: F.transform(features, lambda x, f: F.aggregate(x["u"], F.lit(0.0), lambda a, u: a + F.get(scaled, u)) + F.get(s["w"], f) * decay)
+            return bound(bound(F.zip_with(e, urls, lambda x, u: x * u["scale"]), slope), lambda g: bound(sum_of(e), lambda b: moved(g, b)))
+
+        def moved(g: Column, b: Column) -> Column:
+            seen = F.zip_with(s["seen"], g, lambda v, x: v + x * x)
+            b_seen = s["b_seen"] + b * b
+
+            def there(v: Column) -> Column:
+                w = F.transform(s["w"], lambda old, f: old - F.get(g, f) * rate / F.sqrt(F.get(v, f) + 1e-12))
+                return F.struct(w.alias("w"), v.alias("seen"), (s["b"] - b * rate / F.sqrt(b_seen + 1e-12)).alias("b"), b_seen.alias("b_seen"))
+
+            return bound(seen, there)
+
+        return bound(errors, after)
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, step)
 
 
-def fit(table: DataFrame, dimensions: int = 1 << 14, steps: int = 20, rate: float = 0.1, decay: float = 2e-6) -> tuple[list[float], float]:
+def fit(table: DataFrame, dimensions: int = 1 << 15, steps: int = 40, rate: float = 0.1, decay: float = 2e-6) -> tuple[list[float], float]:
     """Weights and bias of a logistic regression on (url, label); the table is small by contract."""
-    rows = table.select(grams(host_of(F.col("url")), path_of(F.col("url")), dimensions).alias("g"), F.col("label").cast("double").alias("y")).coalesce(1).cache()
-    size = rows.agg(F.sum("y").alias("ones"), F.count("*").alias("n")).first()
-    if not size["n"]:
-        return [0.0] * dimensions, 0.0
-    balance = F.when(F.col("y") > 0, size["n"] / 2 / max(1.0, size["ones"] or 0.0)).otherwise(size["n"] / 2 / max(1.0, size["n"] - (size["ones"] or 0.0)))
-    weights, bias, seen = [0.0] * dimensions, 0.0, [0.0] * (dimensions + 1)  # seen: squared gradients so far, the bias last
-    for _ in range(steps):
-        p = 1 / (1 + F.exp(-_margin(F.col("g"), _literal(weights), bias)))
-        error = rows.select("g", ((p - F.col("y")) * balance / F.lit(float(size["n"]))).alias("e"))
-        each = error.select(F.explode("g").alias("k"), (F.col("e") / F.sqrt(F.size("g").cast("double"))).alias("e")).union(error.select(F.lit(-1).alias("k"), "e"))
-        slope = {r["k"]: r["e"] for r in each.groupBy("k").agg(F.sum("e").alias("e")).collect()}
-        for k in range(dimensions):
-            g = slope.get(k, 0.0) + decay * weights[k]
-            seen[k] += g * g
-            weights[k] -= rate * g / math.sqrt(seen[k] + 1e-12)
-        seen[-1] += slope.get(-1, 0.0) ** 2
-        bias -= rate * slope.get(-1, 0.0) / math.sqrt(seen[-1] + 1e-12)
-        if not math.isfinite(bias):
-            raise ValueError("the fit diverged: lower the rate")
-    rows.unpersist()
+    url = F.col("url").cast("string")
+    rows = table.filter("label in (0, 1)").select(url.alias("url"), F.col("label").cast("double").alias("y"), grams(host_of(url), path_of(url), dimensions).alias("g"))
+    rows = rows.withColumn("i", F.row_number().over(Window.orderBy("url", "y")) - 1)
+    pairs = rows.select("i", "y", F.explode("g").alias("k"))
+    names = pairs.select("k").distinct().withColumn("f", F.row_number().over(Window.orderBy("k")) - 1)
+    pairs = pairs.join(names, "k")
+    each = pairs.groupBy("i", "y").agg(F.sort_array(F.collect_list("f")).alias("f"))
+    urls = each.agg(F.sort_array(F.collect_list(F.struct("i", "f", (1 / F.sqrt(F.size("f").cast("double"))).alias("scale"), "y"))).alias("urls"), F.sum("y").alias("ones"), F.count("*").alias("n"))
+    # both labels weigh the same
+    share = F.when(F.col("ones") * (F.col("n") - F.col("ones")) == 0, 1 / F.col("n")).otherwise(0.5 / F.when(F.col("y") > 0, F.col("ones")).otherwise(F.col("n") - F.col("ones")))
+    urls = urls.select(F.inline("urls"), "ones", "n").withColumn("share", share).agg(F.sort_array(F.collect_list(F.struct("i", "f", "scale", "y", "share"))).alias("urls"), F.lit(1).alias("one"))
+    listed = pairs.groupBy("f", "k").agg(F.sort_array(F.collect_list("i")).alias("u"))
+    features = listed.agg(F.sort_array(F.collect_list(F.struct("f", "k", "u"))).alias("features"), F.lit(1).alias("one"))
+    found = urls.join(features, "one").select(fitted(F.col("urls"), F.col("features"), steps, rate, decay).alias("m"), F.col("features.k").alias("k")).select("k", "m.w", "m.b").first()
+    weights, bias = [0.0] * dimensions, found["b"] or 0.0
+    for k, w in zip(found["k"] or [], found["w"] or []):
+        weights[k] = w
+    if not math.isfinite(bias) or not all(map(math.isfinite, weights)):
+        raise ValueError("the fit diverged: lower the rate")
     return weights, bias
 
 
@@ -111,7 +148,7 @@ def rule_of(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
     return found, verdict
 
 
-def judge(pages: DataFrame, table: DataFrame | None = None, rules=RULES, dimensions: int = 1 << 14) -> DataFrame:
+def judge(pages: DataFrame, table: DataFrame | None = None, rules=RULES, dimensions: int = 1 << 15) -> DataFrame:
     """(page_id, host, path, rule, verdict, score) of every row of `pages` (page_id, url); score: of the regression."""
     weights, bias = fit(table if table is not None else labelled_urls(pages.sparkSession), dimensions)
     parts = pages.select("page_id", host_of(F.col("url").cast("string")).alias("host"), path_of(F.col("url").cast("string")).alias("path"))
