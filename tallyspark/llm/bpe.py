@@ -3,16 +3,19 @@
 A text is cut into words by the vocabulary file's pre-tokenizer pattern. The distinct words of a
 slice that the task hasn't met yet are encoded together: their symbols lie in one flat array, each
 round looks every adjacent pair up by binary search over the sorted pair keys, finds each word's
-lowest rank and merges that pair everywhere in the word. Encoded words are remembered up to
-a fixed number of characters, so the memory of a task is bounded whatever its input.
+lowest rank and merges that pair everywhere in the word. As a word takes a round for each rank, words of more than `LONG`
+bytes are merged one by one with a heap of their pairs instead, in time nearly proportional to their length. Encoded words are
+remembered up to a fixed number of characters, so the memory of a task is that of its longest text.
 
 Null texts count as empty: no tokens, and the digests of nothing. The strings of added tokens
-in a text become those tokens, as in the library. Rows are never merged or dropped; other columns don't matter.
+in a text become those tokens, as in the library. Rows are never merged or dropped, repeated ones are encoded alike, an empty
+table gives an empty one; other columns don't matter, whatever their names. Of pairs with the same rank the leftmost is merged first.
 """
 
 from __future__ import annotations
 
 import hashlib
+import heapq
 import json
 
 import numpy as np
@@ -26,6 +29,7 @@ from . import _kernel as K
 #: The pre-tokenizer pattern of byte-level BPE vocabularies of this kind.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 REMEMBERED_CHARS = 2_000_000
+LONG = 512
 FAR = np.int64(1) << 40
 
 
@@ -55,6 +59,9 @@ class Vocabulary:
         made = np.array([vocab[a + b] for a, b in merges], np.int64)
         order = np.argsort(keys, kind="stable")
         self.keys, self.rank, self.made = keys[order], order.astype(np.int64), made[order]
+        self.pairs: dict[int, tuple[int, int]] = {}
+        for r, (k, m) in enumerate(zip(keys.tolist(), made.tolist())):
+            self.pairs.setdefault(k, (r, m))
         self.added = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.content = {i: bytes(byte_of[c] for c in token) for token, i in vocab.items()} | {i: t.encode() for t, i in self.added.items()}
         self.cut = regex.compile("(" + "|".join(regex.escape(t) for t in sorted(self.added, key=len, reverse=True)) + ")") if self.added else None
@@ -99,6 +106,32 @@ def merge_rounds(symbols: np.ndarray, word: np.ndarray, vocab: Vocabulary) -> tu
     return ids[order], of[order]
 
 
+def merge_heap(symbols: list[int], vocab: Vocabulary) -> list[int]:
+    """Token ids of one word: the pair with the lowest rank, of these the leftmost, is taken from a heap until there is none."""
+    pairs, n = vocab.pairs, len(symbols)
+    left, right = list(range(-1, n - 1)), list(range(1, n + 1))
+    heap = []
+    for i in range(n - 1):
+        found = pairs.get(symbols[i] << 20 | symbols[i + 1])
+        if found:
+            heap.append((found[0], i, symbols[i], symbols[i + 1], found[1]))
+    heapq.heapify(heap)
+    while heap:
+        _, i, a, b, made = heapq.heappop(heap)
+        j = right[i]
+        if symbols[i] != a or j == n or symbols[j] != b:
+            continue  # one of them was merged before
+        symbols[i], symbols[j], right[i] = made, -1, right[j]
+        if right[i] < n:
+            left[right[i]] = i
+        for k in (left[i], i):
+            if k >= 0 and right[k] < n:
+                found = pairs.get(symbols[k] << 20 | symbols[right[k]])
+                if found:
+                    heapq.heappush(heap, (found[0], k, symbols[k], symbols[right[k]], found[1]))
+    return [s for s in symbols if s >= 0]
+
+
 class Codec:
     """Encodes and decodes texts in batches; words met before are remembered."""
 
@@ -134,12 +167,16 @@ class Codec:
         special = {k: self.vocab.added[w[1:]] for k, w in enumerate(self.fresh) if w[:1] == "\0" and w[1:] in self.vocab.added}
         raw = [b"" if k in special else w.encode() for k, w in enumerate(self.fresh)]
         lengths = np.array([len(b) for b in raw], np.int64)
+        one_by_one = {k: [i] for k, i in special.items()}
+        for k in np.flatnonzero(lengths > LONG).tolist():
+            one_by_one[k] = merge_heap(self.vocab.byte_id[np.frombuffer(raw[k], np.uint8)].tolist(), self.vocab)
+            raw[k], lengths[k] = b"", 0
         symbols = self.vocab.byte_id[np.frombuffer(b"".join(raw), np.uint8)]
         ids, of = merge_rounds(symbols, np.repeat(np.arange(len(raw)), lengths), self.vocab)
-        if special:
-            of = np.append(of, list(special)).astype(np.int64)
+        if one_by_one:
+            of = np.concatenate([of, np.repeat(list(one_by_one), [len(x) for x in one_by_one.values()])]).astype(np.int64)
             order = np.argsort(of, kind="stable")
-            ids, of = np.append(ids, list(special.values())).astype(np.int64)[order], of[order]
+            ids, of = np.concatenate([ids, *one_by_one.values()]).astype(np.int64)[order], of[order]
         size = np.bincount(of, minlength=len(raw))
         self.at = np.append(self.at, len(self.ids) + np.cumsum(size) - size)
         self.size, self.ids = np.append(self.size, size), np.append(self.ids, ids)
