@@ -4,10 +4,11 @@ A text is a bag of passages of `passage` words. Each passage is encoded from its
 gated attention layer (tanh times sigmoid, softmax over the bag) learns from document labels which
 passages decide, and the attention-weighted mean of the encodings is scored. All weights
 are fitted together, by Adam, on labelled rows outside the held-out fold: at most about `per_class` of each
-label, with texts of at most `sample_bytes`. Scoring reads every whole text, in slices of bounded
-size; a long text has more passages and no other treatment. Null, empty and blank texts have
+label, and of a text of more than `sample_chars` characters so many in a row from a place that its hash tells. Scoring reads every whole text,
+in slices of bounded size; a long text has more passages and no other treatment. Null, empty and blank texts have
 one passage without content. Labels of a repeated id count once, the lower one. Without
-labels of both kinds every score is one half.
+labels of both kinds every score is one half. Repeated rows are scored alike, an empty table gives an empty one; columns beside
+doc_id and text don't matter, whatever their names.
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ from . import _kernel as K
 from .toxicity_grammar import sampled
 
 PASSAGE = 64
+BLOCK = 2048  # passages of a long text that are encoded at once
 HASHED = 24
 #: Bytes that count one by one, as shares of the passage.
 MARKS = b"#*$%&|<>!?.,;:\"'()[]{}@=_/\\-+~^"
@@ -34,8 +36,22 @@ _CLASS[5, list(MARKS)] = 1
 COLUMNS = len(_CLASS) + len(MARKS) + 9 + HASHED
 
 
-def encode(texts: K.Texts, passage: int = PASSAGE) -> tuple[np.ndarray, np.ndarray]:
-    """The features of all passages, and how many each text has (one at least)."""
+def encode(texts: K.Texts, passage: int = PASSAGE, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray]:
+    """The features of all passages, and how many each text has (one at least); a very long text in blocks of so many passages."""
+    if len(texts) > 1 or len(texts.data) <= block * passage * 8:
+        return _encode(texts, passage, None)[:2]
+    starts, ends, _ = texts.words()
+    out, last = [], None
+    for lo in range(0, max(1, len(starts)), block * passage):
+        hi = min(len(starts), lo + block * passage)
+        data = texts.data[starts[lo] : ends[hi - 1]] if hi > lo else texts.data[:0]
+        x, _, last = _encode(K.Texts(data, np.array([0, len(data)]), texts.first), passage, last)
+        out.append(x)
+    return np.concatenate(out), np.array([sum(map(len, out))])
+
+
+def _encode(texts: K.Texts, passage: int, before: np.uint64 | None) -> tuple[np.ndarray, np.ndarray, np.uint64 | None]:
+    """The same and the hash of the last word; before: that of the word before the first one."""
     starts, ends, of = texts.words()
     count = np.bincount(of, minlength=len(texts))
     first = np.cumsum(count) - count
@@ -62,6 +78,8 @@ def encode(texts: K.Texts, passage: int = PASSAGE) -> tuple[np.ndarray, np.ndarr
     h = texts.hashes(starts, ends, lower=True)
     same = np.zeros(len(h), bool)
     same[1:] = (h[1:] == h[:-1]) & (of[1:] == of[:-1])
+    if len(h) and before is not None:
+        same[0] = h[0] == before
     order = np.lexsort((h, piece))
     fresh = np.ones(len(h), bool)
     fresh[1:] = (h[order][1:] != h[order][:-1]) | (piece[order][1:] != piece[order][:-1])
@@ -81,7 +99,7 @@ def encode(texts: K.Texts, passage: int = PASSAGE) -> tuple[np.ndarray, np.ndarr
     slot = (h % np.uint64(HASHED)).astype(np.int64)
     sign = np.where(h >> np.uint64(63), 1.0, -1.0)
     out[:, k:] = np.bincount(piece * HASHED + slot, sign, n * HASHED).reshape(n, HASHED) / np.sqrt(some)[:, None]
-    return out, pieces
+    return out, pieces, h[-1] if len(h) else before
 
 
 class Model:
@@ -150,8 +168,8 @@ def fit(texts: list[str], labels: list[int], hidden: int = 24, gate: int = 12, e
     return model
 
 
-def train(docs: DataFrame, labels: DataFrame, fold: int = 3, held: int = 1, per_class: int = 2500, sample_bytes: int = 20_000) -> Model:
-    texts, y = sampled(docs, labels, "quality", fold, held, per_class, sample_bytes)
+def train(docs: DataFrame, labels: DataFrame, fold: int = 3, held: int = 1, per_class: int = 2500, sample_chars: int = 20_000) -> Model:
+    texts, y = sampled(docs, labels, "quality", fold, held, per_class, sample_chars)
     return fit(texts, y)
 
 

@@ -7,10 +7,11 @@ addressed or named nearby, and the scorer gives each resulting symbol its weight
 scored by the path its words take through the composition; a document by the clauses that matched.
 
 Insult patterns are learned from labelled documents, besides a short fixed list; so are the
-weights. The fit uses a sample of labelled rows of bounded size (`per_class` of each
-label, texts of at most `sample_bytes`); scoring reads every whole text. Null and empty texts have
-no clause and get the score of the bias alone. Without usable labels the fixed list and the
-prior weights remain. Labels of a repeated id count once, toxic if any says so.
+weights. The fit uses a sample of labelled rows of bounded size (about `per_class` of each
+label; of a text of more than `sample_chars` characters so many in a row, from a place that its hash tells); scoring reads every whole text.
+Null and empty texts have no clause and get the score of the bias alone. Without usable labels the fixed list and the
+prior weights remain. Labels of a repeated id count once, toxic if any says so. Repeated rows are scored alike, an empty table gives
+an empty one; columns beside doc_id and text don't matter, whatever their names.
 """
 
 from __future__ import annotations
@@ -276,20 +277,21 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(z, -30, 30))), kinds
 
 
-def sampled(docs: DataFrame, labels: DataFrame, column: str, fold: int, held: int, per_class: int, sample_bytes: int) -> tuple[list[str], list[int]]:
+def sampled(docs: DataFrame, labels: DataFrame, column: str, fold: int, held: int, per_class: int, sample_chars: int) -> tuple[list[str], list[int]]:
     """Labelled texts outside the held-out fold: at most about `per_class` of each label, by the hash of the id."""
     known = labels.filter(F.col(column).isin(0, 1) & F.col("doc_id").isNotNull() & (bucket(F.col("doc_id"), fold) != held))
     known = known.groupBy("doc_id").agg((F.max(column) if column == "toxic" else F.min(column)).alias("y"))
     counts = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
     share = F.when(F.col("y") == 1, min(1.0, per_class / max(1, counts.get(1, 0)))).otherwise(min(1.0, per_class / max(1, counts.get(0, 0))))
     picked = known.filter(F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1_000_003)) < share * 1_000_003).hint("broadcast")
-    texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).filter(F.col("text").isNotNull() & (F.octet_length("text") <= sample_bytes))
-    rows = texts.join(picked, "doc_id").select("doc_id", "text", "y").orderBy("doc_id", "text").toArrow()
+    texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).filter(F.col("text").isNotNull())
+    begin = F.pmod(F.xxhash64("text", F.lit(12)), F.greatest(F.lit(1), F.length("text") - sample_chars + 1)).cast("int") + 1
+    rows = texts.join(picked, "doc_id").select("doc_id", F.substring("text", begin, F.lit(sample_chars)).alias("text"), "y").orderBy("doc_id", "text").toArrow()
     return rows["text"].to_pylist(), rows["y"].to_pylist()
 
 
-def train(docs: DataFrame, labels: DataFrame, fold: int = 5, held: int = 0, per_class: int = 3000, sample_bytes: int = 20_000) -> Model:
-    texts, y = sampled(docs, labels, "toxic", fold, held, per_class, sample_bytes)
+def train(docs: DataFrame, labels: DataFrame, fold: int = 5, held: int = 0, per_class: int = 3000, sample_chars: int = 20_000) -> Model:
+    texts, y = sampled(docs, labels, "toxic", fold, held, per_class, sample_chars)
     stems = learn_stems(texts, y)
     lexicon = Lexicon(stems)
     x = np.array([clause_kinds(t, lexicon) for t in texts]).reshape(-1, len(KINDS))
