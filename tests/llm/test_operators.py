@@ -360,6 +360,32 @@ def test_bpe(docs, nothing):
     assert bpe.digests(nothing, path).count() == 0
 
 
+def test_bpe_long_words():
+    """Words of many symbols take another way, in time nearly proportional to their length, to the same tokens."""
+    import time
+
+    import numpy as np
+
+    tokenizers = pytest.importorskip("tokenizers")
+    public = pytest.importorskip("public_tokenizers")
+    path = public.path("byte_bpe_50k.json")
+    tk = tokenizers.Tokenizer.from_file(path)
+    vocab = bpe.load(path)
+    r = random.Random(9)
+    for n in (2, 50, 700, 3000):
+        for letters in ("ab", "abcdefghijklmnopqrstuvwxyz", "aehinorstE"):
+            word = "".join(r.choice(letters) for _ in range(n))
+            symbols = vocab.byte_id[np.frombuffer(word.encode(), np.uint8)]
+            want = tk.encode(word, add_special_tokens=False).ids
+            assert bpe.merge_heap(symbols.tolist(), vocab) == want
+            assert bpe.merge_rounds(symbols, np.zeros(n, np.int64), vocab)[0].tolist() == want
+    text = ["x " + "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(400_000)) + " y", "a" * 300_000]
+    start = time.time()
+    ids, n = bpe.Codec(vocab).encode(text)
+    assert time.time() - start < 30
+    assert bpe.Codec(vocab).decode(ids).decode() == "".join(text)
+
+
 # ---- sharding --------------------------------------------------------------------------------
 
 
@@ -445,6 +471,47 @@ def test_url_filter(spark):
     assert url_filter.judge(table.limit(0)).count() == 0
 
 
+def test_url_fit(spark):
+    """The fold against the same steps in numpy; names kept back from the fit; very long urls."""
+    import time
+
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    table = url_filter.labelled_urls(spark)
+    grams = url_filter.grams(url_filter.host_of(F.col("url")), url_filter.path_of(F.col("url")), 1 << 15)
+    back = F.crc32(F.col("url").cast("binary")) % 5 == 0
+    rows = table.filter(~back).select("label", grams.alias("g")).collect()
+    y = np.array([r.label for r in rows], float)
+    share = np.where(y > 0, 0.5 / y.sum(), 0.5 / (1 - y).sum())
+    w, b, seen, b_seen, active = np.zeros(1 << 15), 0.0, np.zeros(1 << 15), 0.0, np.zeros(1 << 15, bool)
+    for r in rows:
+        active[r.g] = True
+    for _ in range(40):
+        m = np.array([w[r.g].sum() / np.sqrt(len(r.g)) + b for r in rows])
+        e = (1 / (1 + np.exp(-m)) - y) * share
+        g = np.zeros(1 << 15)
+        for r, x in zip(rows, e):
+            g[r.g] += x / np.sqrt(len(r.g))
+        g = np.where(active, g + 2e-6 * w, 0)
+        seen, b_seen = seen + g * g, b_seen + e.sum() ** 2
+        w, b = w - np.where(active, 0.1 * g / np.sqrt(seen + 1e-12), 0), b - 0.1 * e.sum() / np.sqrt(b_seen + 1e-12)
+    weights, bias = url_filter.fit(table.filter(~back))
+    assert np.abs(np.array(weights) - w).max() < 1e-9 and abs(bias - b) < 1e-9
+    said = (url_filter._margin(grams, url_filter._literal(weights), bias) >= 0).cast("int")
+    count = {(r.label, r.said): r["count"] for r in table.filter(back).groupBy("label", said.alias("said")).count().collect()}
+    assert count.get((1, 0), 0) <= 0.03 * count[1, 1] and count.get((0, 1), 0) <= 0.01 * count[0, 0]
+    text = "http://a.b/" + "ab3" * 30_000
+    host, path = "a.b", text[10:]
+    start = time.time()
+    got = spark.createDataFrame([(text,)], "url string").select(grams.alias("g")).first().g
+    assert time.time() - start < 10
+    plain = re.sub("[0-9]", "0", f"^{host}${path}$")
+    assert len(got) <= len({plain[i : i + k] for k in (3, 4, 5) for i in range(len(plain) - k + 1)}) < 100
+    one = spark.createDataFrame([("http://a.b/", 1)], "url string, label int")
+    assert url_filter.fit(one)[1] > 0 and url_filter.fit(one.limit(0)) == ([0.0] * (1 << 15), 0.0)
+
+
 # ---- quality rules ---------------------------------------------------------------------------
 
 
@@ -536,6 +603,41 @@ def test_quality(spark, nothing):
     assert quality_mil.score_quality(nothing, bare).count() == 0
 
 
+def test_quality_long_text():
+    """A long text is encoded in blocks of passages, with the same features and memory in proportion to a block; scores by a plain loop."""
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+
+    from tallyspark.llm import _kernel as K
+
+    r = random.Random(6)
+    text = " ".join(r.choice(["Word", "other", "x", "#", "ÄÖ", "again again"]) for _ in range(9000))
+    texts = next(K.slices(pa.array([text])))
+    whole, n = quality_mil.encode(texts)
+    parts, m = quality_mil.encode(texts, block=3)
+    assert n.tolist() == m.tolist() == [-(-len(WORD.findall(text)) // 64)] and np.allclose(whole, parts, atol=1e-6)
+    long = next(K.slices(pa.array([(text + " ") * 200])))
+    tracemalloc.start()
+    x, _ = quality_mil.encode(long)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(long.data) > 8_000_000 and peak < 20 * len(long.data)
+    rng = np.random.default_rng(1)
+    shape = {"e": (quality_mil.COLUMNS, 5), "e0": (5,), "v": (5, 4), "u": (5, 4), "a": (4,), "c": (5,), "c0": (1,)}
+    w = {k: rng.normal(size=s) * 0.3 for k, s in shape.items()}
+    model = quality_mil.Model(0, 1, w)
+    column = pa.array([text, "", None, "one two"])
+    for got, t in zip(model.score(column), column.to_pylist()):
+        bag = quality_mil.encode(next(K.slices(pa.array([t or ""]))))[0]
+        e = [np.tanh(x @ w["e"] + w["e0"]) for x in bag]
+        s = [sum(a * np.tanh(h @ w["v"][:, j]) / (1 + np.exp(-h @ w["u"][:, j])) for j, a in enumerate(w["a"])) for h in e]
+        att = [np.exp(x) / sum(np.exp(y) for y in s) for x in s]
+        z = sum(a * h for a, h in zip(att, e))
+        assert abs(got - 1 / (1 + np.exp(-(z @ w["c"] + w["c0"][0])))) < 1e-6
+
+
 def test_gradients():
     import numpy as np
 
