@@ -2,13 +2,15 @@
 
 Two histograms of each text, of character classes and of common words, are compared by Jensen-Shannon distance with
 references of each language, which are the mean histograms over all documents of that language that pass the
-base rules. The nearest language counts; the `lang` column only names the references. A text is kept if the base rules hold
+base rules. Every value of `lang` with `least_documents` such documents makes a reference (one of fewer would be measured against itself);
+the nearest reference counts, whatever the document's own `lang`. Only the references, some 130 numbers a language, reach the driver. A text is kept if the base rules hold
 and both distances stay below their thresholds; as short samples diverge by chance, a
 threshold grows by `slack` / sqrt(characters or words), and texts below `least_words` are not judged by words. Base
 rules: at least 50 words, and at most half of them in three-word windows that the text repeats.
 
 Null texts count as empty; they and blank ones have no words and fail the base rules. Whole texts are read, in slices of
-bounded size. Without any reference (no document passes) the base rules decide alone. Repeated ids are rows of their own.
+bounded size. Without any reference (too few documents pass) the base rules decide alone. Repeated ids are rows of their own; of two
+references as near as each other the first by name counts. An empty table gives an empty one; columns beside doc_id, lang and text don't matter, whatever their names.
 """
 
 from __future__ import annotations
@@ -29,7 +31,7 @@ COMMON = {
     "es": "de la que el en y a los se del las un por con no una su para es al lo como más o pero sus le ha",
 }
 SYMBOLS = b"#*$%&|<>"
-CLASS_LIMIT, WORD_LIMIT, SLACK = 0.145, 0.5, 0.6
+CLASS_LIMIT, WORD_LIMIT, SLACK, LEAST_DOCUMENTS = 0.145, 0.5, 0.6, 5
 #: lower or digit (numbers alone don't make a text worse), upper, beyond ASCII, full stop and comma, other marks, blank, line end, control, the symbols one by one
 CLASSES = 8 + len(SYMBOLS)
 _CLASS = np.full(256, 7, np.int64)
@@ -121,7 +123,25 @@ def distance(p: np.ndarray, q: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(0, part / 2))
 
 
-def judge(docs: DataFrame, class_limit: float = CLASS_LIMIT, word_limit: float = WORD_LIMIT, slack: float = SLACK, least_words: int = 100) -> DataFrame:
+def _summed(names: dict[str, int]):
+    """The sums of the histograms' shares, and how many, by language: (lang, place, total, n)."""
+
+    def run(batches):
+        sums: dict[str, tuple[np.ndarray, int]] = {}
+        for batch in batches:
+            parts = [batch.column(k + 1).flatten().to_numpy().reshape(batch.num_rows, n).astype(float) for k, n in enumerate(names.values())]
+            shares = np.column_stack([p / np.maximum(1, p.sum(1))[:, None] for p in parts])
+            lang = np.array(batch.column(0).to_pylist(), object)
+            for x in set(lang.tolist()):
+                old, n = sums.get(x, (0.0, 0))
+                sums[x] = (old + shares[lang == x].sum(0), n + int((lang == x).sum()))
+        for x, (total, n) in sums.items():
+            yield pa.RecordBatch.from_arrays([pa.array([x] * len(total), pa.string()), pa.array(np.arange(len(total), dtype=np.int32)), pa.array(total), pa.array(np.full(len(total), n))], ["lang", "place", "total", "n"])
+
+    return run
+
+
+def judge(docs: DataFrame, class_limit: float = CLASS_LIMIT, word_limit: float = WORD_LIMIT, slack: float = SLACK, least_words: int = 100, least_documents: int = LEAST_DOCUMENTS) -> DataFrame:
     """(doc_id, counts, base_failed, kept, class_distance, word_distance, language) of every row of `docs` (doc_id, lang, text)."""
     rows = docs.select("doc_id", F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
@@ -129,12 +149,17 @@ def judge(docs: DataFrame, class_limit: float = CLASS_LIMIT, word_limit: float =
     facts = stored(rows.mapInArrow(K.tidy(_measured), f"doc_id {kind}, lang string, {counts}, classes array<int>, words array<int>"))
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
 
-    # references: the mean histogram of each language over all its documents that pass
+    # references: the mean histogram of each language over all its documents that pass; each task sums up its own first
     names = {"classes": CLASSES, "words": len(common_words()) + 1}
-    wide = [F.avg(F.element_at(c, k + 1) / F.aggregate(c, F.lit(0).cast("long"), lambda a, x: a + x)).alias(f"{c}{k}") for c, n in names.items() for k in range(n)]
-    found = facts.filter(~failed & F.col("lang").isin(*COMMON)).groupBy("lang").agg(*wide).orderBy("lang").collect()
-    languages = [r["lang"] for r in found]
-    reference = {c: np.array([[r[f"{c}{k}"] for k in range(n)] for r in found]).reshape(-1, n) for c, n in names.items()}
+    passing = facts.filter(~failed & F.col("lang").isNotNull()).select("lang", "classes", "words")
+    parts = passing.mapInArrow(K.tidy(_summed(names)), "lang string, place int, total double, n long")
+    sums = parts.groupBy("lang", "place").agg(F.sum("total").alias("total"), F.sum("n").alias("n")).filter(F.col("n") >= least_documents)
+    found: dict[str, np.ndarray] = {}
+    for r in sums.collect():
+        found.setdefault(r["lang"], np.zeros(sum(names.values())))[r["place"]] = r["total"] / r["n"]
+    languages = sorted(found)
+    means = np.array([found[x] for x in languages]).reshape(-1, sum(names.values()))
+    reference = {"classes": means[:, :CLASSES], "words": means[:, CLASSES:]}
 
     def run(batches):
         for batch in batches:
@@ -171,7 +196,6 @@ def oracle() -> str:
     marks = [f"length(t) - length(replace(t, {q(chr(c))}, ''))" for c in SYMBOLS]
     lower = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
     bare = lower.format("CASE WHEN length(x) > 1 AND right(x, 1) IN ('.', ',', ';', ':', '!', '?') THEN left(x, length(x) - 1) ELSE x END")
-    languages = ", ".join(map(q, COMMON))
     return f"""WITH d AS (SELECT doc_id, lang, coalesce(text, '') AS t FROM documents),
 w AS (SELECT doc_id, lang, t, regexp_extract_all(t, '{word}+') AS w, list_filter(string_split(t, chr(10)), lambda l: regexp_matches(l, '{word}')) AS l FROM d),
 g AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) AS c FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM w WHERE len(w) > 2)),
@@ -184,7 +208,7 @@ v AS (SELECT unnest([{", ".join(map(q, common_words()))}]) AS k),
 x AS (SELECT doc_id, unnest(w) AS x FROM b), y AS (SELECT doc_id, {bare} AS k FROM x),
 hw AS (SELECT doc_id, coalesce(v.k, '') AS k, count(*) AS n FROM y LEFT JOIN v ON v.k = y.k GROUP BY 1, 2),
 h AS (SELECT 'c' AS kind, hc.doc_id, k::VARCHAR AS k, n / chars::DOUBLE AS p FROM hc JOIN b ON b.doc_id = hc.doc_id WHERE n > 0 UNION ALL SELECT 'w', hw.doc_id, k, n / n_words::DOUBLE FROM hw JOIN b ON b.doc_id = hw.doc_id),
-s AS (SELECT lang, count(*) AS n FROM b WHERE NOT base_failed AND lang IN ({languages}) GROUP BY 1),
+s AS (SELECT lang, count(*) AS n FROM b WHERE NOT base_failed AND lang IS NOT NULL GROUP BY 1 HAVING count(*) >= {LEAST_DOCUMENTS}),
 ref AS (SELECT b.lang, kind, k, sum(p) / any_value(s.n)::DOUBLE AS p FROM h JOIN b ON b.doc_id = h.doc_id JOIN s ON s.lang = b.lang WHERE NOT base_failed GROUP BY 1, 2, 3),
 part AS (SELECT h.doc_id, h.kind, s.lang, sum(h.p * log2(2 * h.p / (h.p + coalesce(ref.p, 0))) + CASE WHEN ref.p > 0 THEN ref.p * log2(2 * ref.p / (h.p + ref.p)) - ref.p ELSE 0 END) AS z FROM h CROSS JOIN s LEFT JOIN ref ON ref.kind = h.kind AND ref.k = h.k AND ref.lang = s.lang GROUP BY 1, 2, 3),
 dist AS (SELECT b.doc_id, s.lang, sqrt(greatest(0, (1 + coalesce(pc.z, 0)) / 2)) AS dc, sqrt(greatest(0, (1 + coalesce(pw.z, 0)) / 2)) AS dw FROM b CROSS JOIN s LEFT JOIN part pc ON pc.doc_id = b.doc_id AND pc.kind = 'c' AND pc.lang = s.lang LEFT JOIN part pw ON pw.doc_id = b.doc_id AND pw.kind = 'w' AND pw.lang = s.lang),
