@@ -10,7 +10,9 @@ so hot sources and copies cost no shuffle. The items, a query set, are handled i
 all, each sent to the tasks whole.
 
 Items with fewer words than n have one seed, all their words; items without words, with a null id or a null text match nothing. Repeated item
-ids are items of their own, of which the best counts. Null and empty documents have no words. A null doc_id stays null in the result.
+ids are items of their own, of which the best counts; of places with the same score the first. Null and empty documents have no words, repeated
+rows match alike, empty tables match nothing; a very long text is one array of word hashes, never cut. A null doc_id stays null in the result.
+Columns beside doc_id and text don't matter, whatever their names (`drop_contaminated` carries them along).
 """
 
 from __future__ import annotations
@@ -22,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _kernel as K
+from ._shared import stored
 
 GRAM = 4
 BLOCK_WORDS = 1_000_000
@@ -178,6 +181,6 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, least: float = 0.5)
     """The rows of `docs` whose texts align with no item; rows with a null id are judged by their own text too."""
     marked = docs.withColumn("__row", F.xxhash64("doc_id", "text"))
     named = marked.select(F.col("__row").alias("doc_id"), "text")
-    bad = contaminated(named, benchmark, least).select(F.col("doc_id").alias("__row")).distinct()
+    bad = stored(contaminated(named, benchmark, least).select(F.col("doc_id").alias("__row")).distinct())  # aligned once
     few = bad.count() <= 1_000_000
     return marked.join(F.broadcast(bad) if few else bad, "__row", "left_anti").select(docs.columns)
