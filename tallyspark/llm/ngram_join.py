@@ -19,7 +19,9 @@
    can be similar is either connected or was compared: no link between different texts is lost.
 
 Rows with a null id keep their count and get a null component. Null, empty and blank texts have no
-shingles and no links; their component is their own id. Rows that share an id are one vertex.
+shingles and no links; their component is their own id. Rows that share an id are one vertex; repeated rows stay as many rows.
+An empty table gives an empty one. A very long text is one sorted array of hashes, never cut. Columns beside doc_id and text don't matter,
+whatever their names (`drop_near_copies` carries them along).
 """
 
 from __future__ import annotations

@@ -533,6 +533,12 @@ def test_quality_rules(docs, nothing):
         assert not (o.base_failed and o.kept)
     assert quality_rules.judge(nothing).count() == 0
     p, q = np.array([[0.5, 0.5, 0], [0, 0, 1.0]]), np.array([0.5, 0.5, 0])
+    # a language without a word list has a reference too, one of a few documents has none
+    other = " ".join(f"слово{k}" for k in range(300))
+    rows = [(k, other + f" ещё{k}", "ru") for k in range(8)] + [(20 + k, prose(k, 300), "xx") for k in range(4)] + [(30, " ".join(f"@@ ##{k} |{k}" for k in range(300)), "yy"), (31, other, None)]
+    said = {r.doc_id: r for r in quality_rules.judge(docs.sparkSession.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert {r.language for r in said.values()} == {"ru"}
+    assert all(said[k].kept for k in (*range(8), 31)) and not said[30].kept and not said[30].base_failed
     assert quality_rules.distance(p, q).round(9).tolist() == [0, 1]
 
 
