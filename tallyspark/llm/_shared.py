@@ -51,6 +51,14 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def unused(name: str, df: DataFrame) -> str:
+    """A name that no column of the table has."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def bucket(of: Column, modulus: int) -> Column:
     """crc32(text form) mod modulus, the fold of the labelled operators."""
     return F.crc32(of.cast("string").cast("binary")) % F.lit(modulus)

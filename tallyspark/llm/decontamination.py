@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _kernel as K
-from ._shared import stored
+from ._shared import stored, unused
 
 GRAM = 4
 BLOCK_WORDS = 1_000_000
@@ -179,8 +179,9 @@ def best_matches(found: DataFrame) -> DataFrame:
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, least: float = 0.5) -> DataFrame:
     """The rows of `docs` whose texts align with no item; rows with a null id are judged by their own text too."""
-    marked = docs.withColumn("__row", F.xxhash64("doc_id", "text"))
-    named = marked.select(F.col("__row").alias("doc_id"), "text")
-    bad = stored(contaminated(named, benchmark, least).select(F.col("doc_id").alias("__row")).distinct())  # aligned once
+    row = unused("row_hash", docs)
+    marked = docs.withColumn(row, F.xxhash64("doc_id", "text"))
+    named = marked.select(F.col(row).alias("doc_id"), "text")
+    bad = stored(contaminated(named, benchmark, least).select(F.col("doc_id").alias(row)).distinct())  # aligned once
     few = bad.count() <= 1_000_000
-    return marked.join(F.broadcast(bad) if few else bad, "__row", "left_anti").select(docs.columns)
+    return marked.join(F.broadcast(bad) if few else bad, row, "left_anti").select(docs.columns)
