@@ -122,22 +122,13 @@ def cause_effect(premise: Column, choice: Column, question: Column) -> Column:
     return F.when(question == "cause", F.concat_ws(" ", choice, premise)).when(question == "effect", F.concat_ws(" ", premise, choice)).otherwise(F.lit(""))
 
 
-#: Column roles by task: (text, second text or None, template or None).
-CLASSIFICATION = {
-    "boolq": ("question", "passage"), "cola": ("sentence", None), "mnli": ("premise", "hypothesis"), "mrpc": ("sentence1", "sentence2"), "multirc": ("question", "answer"),
-    "qnli": ("question", "sentence"), "qqp": ("question1", "question2"), "rte": ("sentence1", "sentence2"), "sst2": ("sentence", None), "wsc": ("span2_text", "span1_text"),
-}
-
-
-def text_roles(columns: list[str]) -> tuple[str, str | None]:
-    """Which columns hold the text and its pair, judged by their names."""
-    for a, b in (("sentence1", "sentence2"), ("question1", "question2"), ("premise", "hypothesis"), ("question", "passage"), ("question", "sentence")):
-        if a in columns and b in columns:
-            return a, b
-    rest = [c for c in columns if c not in ("label", "idx")]
+def other_columns(rows: DataFrame, used: list[str]) -> Column:
+    """Every other column of a row as a map of texts, nulls left out: the metadata of a datum."""
+    rest = [c for c in rows.columns if c not in used]
     if not rest:
-        raise ValueError("no text column")
-    return rest[0], rest[1] if len(rest) > 1 else None
+        return F.create_map().cast("map<string,string>")
+    pairs = F.create_map(*[x for c in rest for x in (F.lit(c), F.col(f"`{c}`").cast("string"))])
+    return F.map_filter(pairs, lambda k, v: v.isNotNull())
 
 
 def label_ids(rows: DataFrame, label: str, out: str = "label_id") -> DataFrame:

@@ -14,7 +14,7 @@ from ..functions.scalars import lowest_if_missing, ratio
 
 
 def choose(scores: DataFrame, item: list[str], score: str = "logprob", index: str = "cand_idx", carry: list[str] = (), tie: str = "first") -> DataFrame:
-    """One row for each item: its winning index as `chosen`, the number of exact ties as `ties`, and `carry` columns (constant in an item)."""
+    """One row for each item: its winning index as `chosen`, the number of candidates, and `carry` columns (which have to be constant in an item). Exact ties: tie_sizes."""
     s = lowest_if_missing(F.col(score))
     order = F.md5(F.concat_ws("|", *item, index)) if tie == "hash" else F.col(index)
     ranked = scores.select(*item, *carry, F.struct((-s).alias("s"), order.alias("o"), F.col(index).alias("i")).alias("r"))
@@ -69,5 +69,5 @@ def numbered(rows: DataFrame, by: list[str], order: list[Column | str], name: st
 
 def rollup_weighted(leaves: DataFrame, ancestors: DataFrame, metric: str = "accuracy", size: str = "size") -> DataFrame:
     """Weighted and unweighted means of leaves for every group above them; ancestors: (leaf, task_group)."""
-    j = leaves.join(F.broadcast(ancestors), "leaf")
+    j = leaves.join(ancestors, "leaf")  # the planner broadcasts a side that is small
     return j.groupBy("task_group").agg((F.sum(F.col(metric) * F.col(size)) / F.sum(size)).alias("weighted"), F.avg(metric).alias("unweighted"), F.sum(size).cast("long").alias("size"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -65,3 +67,41 @@ def first_n(rows: DataFrame, by: list[str], order: list, n: int) -> DataFrame:
     """The few-shot sampler: the first n rows of each key."""
     w = Window.partitionBy(*by).orderBy(*order)
     return rows.withColumn("__n", F.row_number().over(w)).filter(F.col("__n") <= n).drop("__n")
+
+
+def trials(human: DataFrame, model: DataFrame, options: list[str], by: list[str] = (), trial: str = "trial") -> DataFrame:
+    """(by, trial, human, model): the options' numbers of trials that both sides have, missing ones as 0.
+
+    by: keys of the human side, such as an age bin, each of which meets all trials of the model."""
+    numbers = lambda: F.array(*[F.coalesce(F.col(f"`{c}`").cast("double"), F.lit(0.0)) for c in options])
+    return human.select(*by, trial, numbers().alias("human")).join(model.select(trial, numbers().alias("model")), trial).select(*by, trial, "human", "model")
+
+
+def in_order(rows: DataFrame, column: str, names: list[str], out: str = "place") -> DataFrame:
+    """The place of a value in a fixed order, such as that of models in a table; others come last, by name."""
+    at = F.array_position(F.array(*map(F.lit, names)), F.col(column))
+    return rows.withColumn(out, F.when(at > 0, at - 1).otherwise(F.lit(len(names))).cast("int"))
+
+
+def paired(left: DataFrame, right: DataFrame, left_order: list, right_order: list) -> DataFrame:
+    """Two lists of one group side by side, as far as the shorter goes (words and their contexts, rows and their images)."""
+    one = F.lit(0).alias("__g")
+    return positional(left.select("*", one), right.select("*", one), ["__g"], left_order, right_order).drop("__g")
+
+
+def split_exactly(rows: DataFrame, key: list[str], valid: float = 0.2) -> DataFrame:
+    """split = valid for exactly ceil(valid n) rows, the first by hash of the key, else train: only rows whose hash has the boundary's first bits are sorted."""
+    h = F.md5(F.concat_ws("|", *key))
+    head = F.conv(F.substring(h, 1, 4), 16, 10).cast("int")
+    marked = rows.withColumns({"__h": h, "__b": head})
+    counts = sorted((r["__b"], r["n"]) for r in marked.groupBy("__b").agg(F.count("*").alias("n")).collect())  # 65536 numbers at most
+    left, edge = math.ceil(valid * sum(n for _, n in counts)), -1
+    for b, n in counts:
+        edge = b
+        if n >= left:
+            break
+        left -= n
+    rank = F.row_number().over(Window.partitionBy("__b").orderBy("__h", *key))
+    at_edge = marked.filter(F.col("__b") == edge).withColumn("split", F.when(rank <= left, F.lit("valid")).otherwise(F.lit("train")))
+    rest = marked.filter(F.col("__b") != edge).withColumn("split", F.when(F.col("__b") < edge, F.lit("valid")).otherwise(F.lit("train")))
+    return rest.unionByName(at_edge).drop("__h", "__b")

@@ -60,3 +60,28 @@ def score_report(accuracies: DataFrame, temperature: float) -> DataFrame:
     head = spark.range(1).select(F.lit("").alias("k"), F.lit(f"TEMPERATURE: {temperature:.2f}").alias("value"))
     tail = accuracies.agg(F.avg("accuracy").alias("a")).select(F.lit("￿").alias("k"), F.concat(F.lit("### AVERAGE ACCURACY\n"), F.format_string("%.2f", "a")).alias("value"))
     return head.union(lines).union(tail).orderBy("k").select("value")
+
+
+def best_across(wide: DataFrame, columns: list[str]) -> DataFrame:
+    """`best`: the columns that hold the greatest value of their row, all of equal ones; `average`: the mean of the cells as they are shown, with two digits."""
+    names = [F.col(f"`{c}`") for c in columns]
+    top = F.array_max(F.array(*names))
+    best = F.filter(F.array(*[F.when(x == top, F.lit(c)) for c, x in zip(columns, names)]), lambda c: c.isNotNull())
+    shown = F.filter(F.array(*[F.when(x.isNotNull(), F.format_string("%.2f", x.cast("double")).cast("double")) for x in names]), lambda x: x.isNotNull())
+    mean = F.when(F.size(shown) > 0, F.aggregate(shown, F.lit(0.0), lambda a, x: a + x) / F.size(shown))
+    return wide.withColumns({"best": best, "average": mean})
+
+
+def subtask_means(rows: DataFrame, by: list[str], value: str) -> DataFrame:
+    """The mean over subtasks that have a value, and how many have one."""
+    return rows.groupBy(*by).agg(F.avg(value).alias("mean"), F.count(value).alias("subtasks"))
+
+
+def subtasks(tree: DataFrame, value: str = "acc") -> DataFrame:
+    """The rows of an alias tree right below a task that have a value."""
+    return tree.filter((F.col("depth") == 1) & F.col(value).isNotNull())
+
+
+def percentages(found: DataFrame) -> DataFrame:
+    """key: value numbers as percentages."""
+    return found.withColumn("number", F.col("number") * 100)

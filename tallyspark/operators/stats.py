@@ -25,12 +25,39 @@ def pearson(rows: DataFrame, a: Column, b: Column, by: list[str] = (), least: in
     return pairs.groupBy(*by).agg(r.alias("r"), F.count("x").alias("n"))
 
 
+def pearson_p(found: DataFrame, least: int = 3) -> DataFrame:
+    """`found` (r, n) with p, the two-sided probability of such an r by chance; below `least` pairs, r is 0 and p is 1."""
+
+    def p_of(r: pd.Series, n: pd.Series) -> pd.Series:
+        return pd.Series([1.0 if r_ is None or math.isnan(r_) or n_ < least else 0.0 if abs(r_) >= 1 else _t_tail(r_ * math.sqrt((n_ - 2) / (1 - r_ * r_)), n_ - 2) for r_, n_ in zip(r, n)])
+
+    p = F.pandas_udf(p_of, "double")(F.col("r"), F.col("n"))  # a row a correlation
+    few = F.col("n") < least
+    return found.withColumn("p", p).withColumn("r", F.when(few, F.lit(0.0)).otherwise(F.col("r")))
+
+
+def running_total(rows: DataFrame, order: list[str], amount: str, out: str, by: list[str] = (), parts: int = 64) -> DataFrame:
+    """`out`: the sum of `amount` over all rows up to each one. order: total, its first column a number.
+
+    Groups are cut into ranges of the first column at its quantiles, found in one pass; each range is summed on its own, and adds the
+    totals of the ranges before it. So a single group, the whole table too, is sorted by many tasks."""
+    first = order[0]
+    cuts = rows.agg(F.percentile_approx(F.col(first).cast("double"), [k / parts for k in range(1, parts)], 1000).alias("c")).first()["c"] or []
+    cuts = sorted({c for c in cuts if c is not None and not math.isnan(c)})
+    at = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c < F.col(first).cast("double"))) if cuts else F.lit(0)
+    cut = rows.withColumn("__range", at)
+    totals = cut.groupBy(*by, "__range").agg(F.sum(amount).alias("__t"))
+    before = F.sum("__t").over(Window.partitionBy(*by).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1))  # `parts` rows a group
+    totals = totals.select(*by, "__range", F.coalesce(before, F.lit(0)).alias("__before"))
+    w = Window.partitionBy(*by, "__range").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return cut.withColumn("__sum", F.sum(amount).over(w)).join(totals if by else F.broadcast(totals), [*by, "__range"]).withColumn(out, F.col("__sum") + F.col("__before")).drop("__range", "__sum", "__before")
+
+
 def average_ranks(rows: DataFrame, value: str, out: str, by: list[str] = ()) -> DataFrame:
-    """Ranks with ties shared evenly. Counts by value first, so the ordered pass sees each distinct value once."""
+    """Ranks with ties shared evenly. Counts by value first, so the ordered pass sees each distinct value once, range by range."""
     counts = rows.groupBy(*by, value).agg(F.count("*").alias("__c"))
-    w = Window.partitionBy(*by).orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranks = counts.withColumn(out, F.sum("__c").over(w) - (F.col("__c") - 1) / 2.0).drop("__c")
-    return rows.join(ranks, [*by, value])
+    ranks = running_total(counts, [value], "__c", "__r", by)
+    return rows.join(ranks.select(*by, value, (F.col("__r") - (F.col("__c") - 1) / 2.0).alias(out)), [*by, value])
 
 
 def residual(rows: DataFrame, y: str, on: list[str], out: str) -> DataFrame:
@@ -152,13 +179,53 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
-def cosine_pairs(vectors: DataFrame, key: str, vector: str, block: int = 256) -> DataFrame:
-    """(i, j, cosine) of all pairs i > j of a matrix, the result the operator is asked for; rows meet by block, each block pair once."""
-    n = F.sqrt(dot(F.col(vector), F.col(vector)))
-    unit = vectors.select(F.col(key).alias("k"), F.when(n > 0, F.transform(F.col(vector), lambda x: x.cast("double") / n)).alias("v"), F.floor(F.col(key) / block).alias("b"))
-    left = unit.select(F.col("k").alias("i"), F.col("v").alias("u"), F.col("b").alias("p"), F.explode(F.sequence(F.lit(0), F.col("b"))).alias("q"))
-    right = unit.select(F.col("k").alias("j"), "v", F.col("b").alias("q"))
-    return left.join(right, "q").filter("i > j").select("i", "j", dot(F.col("u"), F.col("v")).alias("cosine"))
+def _block_pairs(vectors: DataFrame, key: str, vector: str, block: int) -> DataFrame:
+    """(p, q, role, k, v): every vector, for each pair of blocks p >= q that it belongs to; role 0 in p, 1 in q."""
+    unit = vectors.select(F.col(key).cast("long").alias("k"), F.transform(vector, lambda x: x.cast("double")).alias("v"), F.floor(F.col(key) / block).cast("long").alias("b"))
+    last = vectors.agg(F.max(F.floor(F.col(key) / block)).cast("long").alias("m")).first()["m"] or 0
+    left = unit.select(F.col("b").alias("p"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("b"))).alias("q"), F.lit(0).alias("role"), "k", "v")
+    right = unit.select(F.explode(F.sequence(F.col("b"), F.lit(last).cast("long"))).alias("p"), F.col("b").alias("q"), F.lit(1).alias("role"), "k", "v")
+    return left.union(right)
+
+
+def _cosines(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of a pair of blocks: the keys of both, and their cosines, NaN where a vector is null or zero."""
+    sides = []
+    for role in (0, 1):
+        part = pdf[pdf.role == role]
+        m = np.array(part.v.tolist(), float).reshape(len(part), -1)
+        n = np.linalg.norm(m, axis=1, keepdims=True) if m.size else np.ones((len(part), 1))
+        sides.append((part.k.to_numpy(), m / np.where(n > 0, n, np.nan)))
+    (i, a), (j, b) = sides
+    return i, j, a @ b.T if a.size and b.size else np.zeros((len(i), len(j)))
+
+
+def cosine_pairs(vectors: DataFrame, key: str, vector: str, block: int = 1024) -> DataFrame:
+    """(i, j, cosine) of all pairs i > j of a matrix, the result the operator is asked for; blocks of keys meet once each, as matrix products."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        i, j, c = _cosines(pdf)
+        x, y = np.nonzero(i[:, None] > j[None, :])
+        return pd.DataFrame({"i": i[x], "j": j[y], "cosine": c[x, y]})
+
+    out = _block_pairs(vectors, key, vector, block).groupBy("p", "q").applyInPandas(run, "i long, j long, cosine double")
+    return out.select("i", "j", F.when(~F.isnan("cosine"), F.col("cosine")).alias("cosine"))
+
+
+def cosine_summary(vectors: DataFrame, key: str, vector: str, block: int = 1024) -> DataFrame:
+    """(i, n, nearest, mean) of each vector against all with smaller keys: summed up inside the blocks, so no pair leaves its task."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        i, j, c = _cosines(pdf)
+        below = i[:, None] > j[None, :]
+        good = below & np.isfinite(c)
+        some = below.any(1)
+        top = np.where(good, c, -np.inf).max(1, initial=-np.inf)
+        return pd.DataFrame({"i": i, "n": below.sum(1), "valid": good.sum(1), "top": np.where(np.isfinite(top), top, np.nan), "total": np.where(good, c, 0).sum(1)})[some]
+
+    parts = _block_pairs(vectors, key, vector, block).groupBy("p", "q").applyInPandas(run, "i long, n long, valid long, top double, total double")
+    parts = parts.withColumn("top", F.when(~F.isnan("top"), F.col("top")))
+    return parts.groupBy("i").agg(F.sum("n").alias("n"), F.max("top").alias("nearest"), F.when(F.sum("valid") > 0, F.sum("total") / F.sum("valid")).alias("mean"))
 
 
 def mean_vector(rows: DataFrame, by: list[str], vector: str) -> DataFrame:
@@ -238,7 +305,7 @@ def ages(rows: DataFrame, word: str, x: str, y: str, kind: str = "model") -> Dat
     f = model_age if kind == "model" else child_age
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.dropna().sort_values([x, y])
-        return pd.DataFrame({word: [pdf[word].iloc[0] if len(pdf) else None], "age": [f(pdf[x].to_numpy(float), pdf[y].to_numpy(float))]})
+        name, pdf = pdf[word].iloc[0], pdf.dropna(subset=[x, y]).sort_values([x, y])
+        return pd.DataFrame({word: [name], "age": [f(pdf[x].to_numpy(float), pdf[y].to_numpy(float))]})
 
     return rows.select(F.col(word).cast("string").alias(word), F.col(x).cast("double").alias(x), F.col(y).cast("double").alias(y)).groupBy(word).applyInPandas(one, f"{word} string, age double")

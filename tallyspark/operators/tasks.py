@@ -5,20 +5,25 @@ Configs are small and resolved on the driver; what they say about rows runs as D
 
 from __future__ import annotations
 
+import json
+import posixpath
 import re
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .rank import rollup_weighted
+
 
 def resolve(name: str, load: Callable[[str], dict], seen: tuple[str, ...] = ()) -> dict:
-    """The config with what it includes underneath: the includer's keys win."""
+    """The config with what it includes underneath: the includer's keys win. An include is relative to the folder of the config that has it."""
+    name = posixpath.normpath(name)
     if name in seen:
         raise ValueError(" includes ".join([*seen, name]))
     config = dict(load(name))
     parent = config.pop("include", None)
-    return resolve(parent, load, (*seen, name)) | config if parent else config
+    return resolve(posixpath.join(posixpath.dirname(name), parent), load, (*seen, name)) | config if parent else config
 
 
 def ancestors(configs: list[dict]) -> list[tuple[str, str, int]]:
@@ -54,6 +59,115 @@ def weights(configs: list[dict]) -> dict[str, bool]:
     return {c["group"]: any(m.get("weight_by_size", True) for m in c.get("aggregate_metric_list", [])) for c in configs if "group" in c}
 
 
+def rollup(leaves: DataFrame, configs: list[dict], metric: str = "accuracy", size: str = "size") -> DataFrame:
+    """(task_group, value, size): each group's mean of its leaves, weighted by size where its config says so."""
+    spark = leaves.sparkSession
+    both = rollup_weighted(leaves, closure(spark, configs).select("leaf", "task_group"), metric, size)
+    how = spark.createDataFrame(sorted(weights(configs).items()), "task_group string, by_size boolean")
+    return both.join(how, "task_group").select("task_group", F.when(F.col("by_size"), F.col("weighted")).otherwise(F.col("unweighted")).alias("value"), "size")
+
+
+def choices_of(config: dict, columns: list[str]) -> Column:
+    """The choices of a row: a fixed list, the name of an array column, or texts with {{column}} places."""
+    said = config.get("doc_to_choice")
+    if said is None:
+        raise ValueError(f"{config.get('task')} has no choices")
+    if isinstance(said, str):
+        return F.col(said) if said in columns else F.from_json(F.regexp_replace(doc_to_text(said, columns), "'", '"'), "array<string>")
+    return F.array(*[doc_to_text(str(x), columns) for x in said])
+
+
+def category_filter(config: dict) -> Column | None:
+    """The rows that a config's `process_docs` keeps: one of {column: value}; None where it keeps all. Several configs over one table are one pass with the category as a group key."""
+    said = config.get("process_docs")
+    if not isinstance(said, dict):
+        return None
+    condition = F.lit(True)
+    for column, value in sorted(said.items()):
+        condition = condition & (F.col(column) == F.lit(value))
+    return condition
+
+
+def split_of(config: dict, use: str) -> str | None:
+    """The split for testing, few-shot examples or training; testing falls back on validation, examples on training, then on validation."""
+    order = {"test": ("test_split", "validation_split"), "fewshot": ("fewshot_split", "training_split", "validation_split"), "train": ("training_split",), "validation": ("validation_split",)}
+    return next((config[k] for k in order[use] if config.get(k)), None)
+
+
+def prompted(rows: DataFrame, config: dict, examples: str = "") -> DataFrame:
+    """The rows with `prompt` (description, examples and text) and `choices`, `target` (its place among the choices) and `continuations`: what follows the prompt, choices behind the target delimiter."""
+    columns = rows.columns
+    kept = category_filter(config)
+    rows = rows.filter(kept) if kept is not None else rows
+    choices = choices_of(config, columns)
+    said = config.get("doc_to_target")
+    target = F.lit(said) if isinstance(said, int) else F.col(said) if said in columns else doc_to_text(str(said), columns)
+    if isinstance(said, str) and said in columns and rows.schema[said].dataType.typeName() == "string" or not isinstance(said, int) and said not in columns:
+        target = target_index(choices, target)
+    text = F.concat(F.lit(str(config.get("description", "")) + examples), doc_to_text(config["doc_to_text"], columns))
+    delimiter = F.lit(str(config.get("target_delimiter", " ")))
+    return rows.withColumns({"prompt": text, "choices": choices, "target": target.cast("int"), "continuations": F.transform(choices, lambda c: F.concat(delimiter, c))})
+
+
+def generated(names: dict[str, list[str]], available: set[str], label: str, by_size: bool = False) -> list[dict]:
+    """Group configs by rule: for each language its tasks of which a config is there, and one group over the languages that have any."""
+    out = []
+    for language, wanted in sorted(names.items()):
+        found = [t for t in wanted if t in available]
+        if found:
+            out.append({"group": f"{label}_{language}", "task": found, "aggregate_metric_list": [{"metric": "acc", "weight_by_size": by_size}]})
+    if out:
+        out.append({"group": label, "task": [g["group"] for g in out], "aggregate_metric_list": [{"metric": "acc", "weight_by_size": by_size}]})
+    return out
+
+
+def group_text(config: dict) -> str:
+    """A group config as YAML: plain keys, lists of names, lists of flat maps."""
+
+    def value(v) -> str:
+        if isinstance(v, bool):
+            return "true" if v else "false"
+        return str(v) if isinstance(v, (int, float)) else json.dumps(v, ensure_ascii=False) if re.search(r"[^\w./-]", str(v)) or not str(v) else str(v)
+
+    lines = []
+    for key, said in config.items():
+        if isinstance(said, list):
+            lines.append(f"{key}:")
+            for item in said:
+                if isinstance(item, dict):
+                    lines += [f"{'- ' if k == 0 else '  '}{a}: {value(b)}" for k, (a, b) in enumerate(item.items())]
+                else:
+                    lines.append(f"- {value(item)}")
+        elif isinstance(said, dict):
+            lines += [f"{key}:", *[f"  {a}: {value(b)}" for a, b in said.items()]]
+        else:
+            lines.append(f"{key}: {value(said)}")
+    return "\n".join(lines) + "\n"
+
+
+#: Metrics by name: a Column for the correctness of an item, and how items and then tasks are summed up.
+METRICS: dict[str, Callable[[], Column]] = {
+    "acc": lambda: (F.col("chosen") == F.col("target")).cast("double"),
+    "exact_match": lambda: (F.trim("prediction") == F.trim("answer")).cast("double"),
+    "mse": lambda: F.pow(F.col("prediction").cast("double") - F.col("answer").cast("double"), F.lit(2)),
+}
+
+
+def metric(name: str, make: Callable[[], Column] | None = None) -> Column:
+    """A metric by its name; make: adds one."""
+    if make is not None:
+        METRICS[name] = make
+    if name not in METRICS:
+        raise NotImplementedError(f"no metric {name!r}; there are {sorted(METRICS)}")
+    return METRICS[name]()
+
+
+def measured(items: DataFrame, config: dict, by: list[str] = ()) -> DataFrame:
+    """One mean for each metric of the config's list, and the number of items."""
+    names = [m["metric"] for m in config.get("metric_list", [{"metric": "acc"}])]
+    return items.groupBy(*by).agg(*[F.avg(metric(n)).alias(n) for n in names], F.count("*").alias("size"))
+
+
 def closure(spark: SparkSession, configs: list[dict]) -> DataFrame:
     return spark.createDataFrame(ancestors(configs), "leaf string, task_group string, depth int")
 

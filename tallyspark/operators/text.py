@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import strip, tokens
+from ..functions.scalars import hash_score, strip, tokens
+from .stats import running_total
 
 
 def cleaned(text: Column, patterns: list[str] = ()) -> Column:
@@ -80,7 +81,68 @@ def masked(rows: DataFrame, key: list[str], words: Column, mask: str = "[MASK]")
 def packed(rows: DataFrame, order: list, length: Column, block: int, by: list[str] = ()) -> DataFrame:
     """The block of `block` tokens in which each row begins and ends, in a running total within `by`.
 
-    The total runs over the whole group in order. Give `by` a column with bounded groups (a shard) for more data than one task should sort."""
-    w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    end = F.sum(length.cast("long")).over(w)
-    return rows.withColumn("end_token", end).withColumn("first_block", F.floor((F.col("end_token") - length) / block).cast("long")).withColumn("last_block", F.floor((F.col("end_token") - 1) / block).cast("long"))
+    The total runs over the whole group in order, range by range of the first order column, which is a number."""
+    total = running_total(rows.withColumn("__n", length.cast("long")), order, "__n", "end_token", by).drop("__n")
+    return total.withColumn("end_token", F.col("end_token").cast("long")).withColumn("first_block", F.floor((F.col("end_token") - length) / block).cast("long")).withColumn("last_block", F.floor((F.col("end_token") - 1) / block).cast("long"))
+
+
+def blocks(tokens_of: DataFrame, order: list[str], ids: str, size: int, batch: Column) -> DataFrame:
+    """(batch, block, input_ids, attention_mask): the token streams of each batch cut into blocks of `size`; what is left at a batch's end goes.
+
+    Tokens are numbered by running totals, so a batch isn't gathered: only the `size` tokens of a block meet."""
+    rows = tokens_of.withColumn("batch", batch).withColumn("__n", F.size(ids).cast("long"))
+    at = running_total(rows, order, "__n", "__end", ["batch"])
+    each = at.select("batch", (F.col("__end") - F.col("__n")).alias("__begin"), F.posexplode(ids).alias("__i", "token"))
+    place = F.col("__begin") + F.col("__i")
+    full = each.select("batch", F.floor(place / size).cast("long").alias("block"), F.struct(place.alias("p"), "token").alias("x")).groupBy("batch", "block").agg(F.array_sort(F.collect_list("x")).alias("x"))
+    return full.filter(F.size("x") == size).select("batch", "block", F.transform("x", lambda x: x["token"]).alias("input_ids"), F.array_repeat(F.lit(1), size).alias("attention_mask"))
+
+
+def padded(ids: Column, length: int, pad: int, left: bool = False) -> Column:
+    """At most `length` tokens, filled up with `pad` at the right or the left."""
+    cut = F.slice(ids, 1, length)
+    fill = F.array_repeat(F.lit(pad), F.lit(length) - F.size(cut))
+    return F.concat(fill, cut) if left else F.concat(cut, fill)
+
+
+def attention(ids: Column, length: int, left: bool = False) -> Column:
+    """1 for tokens and 0 for what `padded` fills up."""
+    n = F.least(F.size(ids), F.lit(length))
+    ones, zeros = F.array_repeat(F.lit(1), n), F.array_repeat(F.lit(0), F.lit(length) - n)
+    return F.concat(zeros, ones) if left else F.concat(ones, zeros)
+
+
+def next_token_masked(rows: DataFrame, key: list[str], ids: Column, mask: int, prepend: int | None = None) -> DataFrame:
+    """A row for each token after the first (for all, with a token prepended): (key, pos, target, input_ids, read_at).
+
+    The target is masked and read off at the place before it, as models of masked next-token prediction do."""
+    tokens_of = F.concat(F.array(F.lit(prepend)), ids) if prepend is not None else ids
+    at = rows.select(*key, tokens_of.alias("__t")).select(*key, "__t", F.posexplode("__t").alias("pos", "target")).filter("pos > 0")
+    return at.select(*key, F.col("pos").cast("long").alias("pos"), "target", F.transform("__t", lambda x, i: F.when(i == F.col("pos"), F.lit(mask)).otherwise(x)).alias("input_ids"), (F.col("pos") - 1).cast("long").alias("read_at"))
+
+
+def encoder_decoder(rows: DataFrame, key: list[str], prefix: Column, completion: Column, sentinel: int, start: int) -> DataFrame:
+    """(key, encoder_ids, decoder_ids, labels): the prefix with a sentinel for what follows; the decoder reads start and sentinel, then the completion shifted by one."""
+    head = F.array(F.lit(start), F.lit(sentinel))
+    n = F.size(completion)
+    return rows.select(*key, F.concat(prefix, F.array(F.lit(sentinel))).alias("encoder_ids"), F.concat(head, F.slice(completion, F.lit(1), F.greatest(F.lit(0), n - 1))).alias("decoder_ids"), F.concat(F.array(F.lit(sentinel)), completion).alias("labels"))
+
+
+def context_frequencies(pairs: DataFrame) -> DataFrame:
+    """(ctx, word, n, frequency, log_per_million, ctx_n, ctx_frequency, ctx_log_per_million): of words within their context, and of contexts among all windows."""
+    both = context_counts(pairs)
+    total = float(pairs.count() or 1)  # one number
+    inside, among = F.col("n").cast("double") / F.col("ctx_n"), F.col("ctx_n").cast("double") / F.lit(total)
+    return both.select("ctx", "word", "n", inside.alias("frequency"), F.log10(inside * 1e6).alias("log_per_million"), "ctx_n", among.alias("ctx_frequency"), F.log10(among * 1e6).alias("ctx_log_per_million"))
+
+
+def random_contexts(pairs: DataFrame, words: DataFrame, n: int, salt: str = "") -> DataFrame:
+    """n contexts of each target word in the order of a hash: a sample that doesn't depend on the partitioning."""
+    each = pairs.join(words.select("word").distinct(), "word", "left_semi").groupBy("word", "ctx").agg(F.count("*").alias("n"))
+    w = Window.partitionBy("word").orderBy(hash_score(F.concat_ws("|", "word", "ctx", F.lit(salt))), "ctx")
+    return each.withColumn("place", F.row_number().over(w).cast("long")).filter(F.col("place") <= n)
+
+
+def vocabulary(lines: DataFrame, column: str = "value") -> DataFrame:
+    """The distinct words of a word list, lower-cased and stripped; blank lines give none."""
+    return lines.select(F.lower(strip(F.col(column))).alias("word")).filter("word <> ''").distinct()

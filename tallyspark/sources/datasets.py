@@ -21,7 +21,8 @@ def steps(paths: DataFrame, path: str = "path") -> DataFrame:
 
 
 def yaml_loader(root: str):
-    """A loader of task configs for tasks.resolve, where PyYAML is installed; function tags stay as text."""
+    """A loader of task configs for tasks.resolve, by their paths below `root`, where PyYAML is installed. Function tags stay as text, but those
+    that filter by a category say so: `process_docs` becomes {column: value} if the caller's `tasks.category_filter` can use it."""
     try:
         import yaml
     except ImportError as e:
@@ -32,11 +33,32 @@ def yaml_loader(root: str):
         pass
 
     Loader.add_multi_constructor("!", lambda loader, suffix, node: f"!{suffix} {node.value}")
+    known: dict[str, dict] = {}
 
     def load(name: str) -> dict:
-        found = next(iter(sorted(Path(root).rglob(name))), None)
-        if found is None:
-            raise FileNotFoundError(name)
-        return yaml.load(found.read_text(encoding="utf-8"), Loader) or {}
+        if name not in known:
+            path = Path(root, name)
+            if not path.is_file():
+                raise FileNotFoundError(str(path))
+            known[name] = yaml.load(path.read_text(encoding="utf-8"), Loader) or {}
+        return known[name]
 
     return load
+
+
+def found_results(paths: DataFrame, kind: str, path: str = "path") -> DataFrame:
+    """The paths that follow a pattern of result files, with the keys that their folders tell."""
+    pattern, names = PATTERNS[kind]
+    rows = paths.filter(F.col(path).rlike(pattern))
+    return rows.select(path, *[F.regexp_extract(path, pattern, k + 1).alias(n) for k, n in enumerate(names)])
+
+
+#: Patterns of result files (fixed values), and the names of their parts.
+PATTERNS = {
+    "best_temperature": (r"([^/]+)/main/([^/]+)/causal/([^/]+)/([^/]+)/best_temperature_report\.txt$", ["model", "kind", "task", "subtask"]),
+    "finetune": (r"([^/]+)/main/finetune/([^/]+)/results\.txt$", ["model", "task"]),
+    "evaluation": (r"([^/]+)/([^/]+)/eval_results\.json$", ["model", "task"]),
+    "all_results": (r"([^/]+)/([^/]+)/([^/]+)/all_results\.json$", ["model", "language", "task"]),
+    "harness": (r"([^/]+)/results[^/]*\.json$", ["folder"]),
+    "harness_of_model": (r"(?:^|/)(?:[^/]*__)?([^/]+?)/results_[^/]*\.json$", ["model"]),
+}

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import json
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -39,3 +41,23 @@ def write_scores(rows: DataFrame, path: str, sep: str = ",") -> None:
 def append_revision(rows: DataFrame, path: str, revision: Column) -> None:
     """Interim results, a folder for each revision; what is there is replaced, so a repeated run counts once."""
     rows.withColumn("revision", revision).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("revision").parquet(path)
+
+
+def collated(parts: dict[str, DataFrame], fast: DataFrame | None = None) -> DataFrame:
+    """One row, one JSON: {task: {uid: {predictions: [...]}}} of (uid, seq, pred) by task, null for a task whose predictions are None;
+    fast: (ord, scores) adds fast_eval_results, the maps of scores in the order of the axis. Documents of one model are small by contract."""
+    spark = next(x for x in [*parts.values(), fast] if x is not None).sparkSession
+    rows = None
+    for k, (task, predictions) in enumerate(sorted(parts.items())):
+        body = spark.range(1).select(F.lit("null").alias("value")) if predictions is None else prediction_document(predictions)
+        one = body.select(F.lit(k).alias("n"), F.concat(F.lit(json.dumps(task) + ":"), "value").alias("value"))
+        rows = one if rows is None else rows.union(one)
+    if fast is not None:
+        maps = fast.agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", F.coalesce(F.to_json("scores"), F.lit("null")).alias("s")))), lambda x: x["s"]).alias("l"))
+        rows = rows.union(maps.select(F.lit(len(parts)).alias("n"), F.concat(F.lit('"fast_eval_results":['), F.array_join("l", ","), F.lit("]")).alias("value")))
+    return rows.agg(F.concat(F.lit("{"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "value"))), lambda x: x["value"]), ","), F.lit("}")).alias("value"))
+
+
+def write_lines(spark: SparkSession, lines: list[str], path: str) -> None:
+    """A small text file of lines made on the driver, such as a report or a results file."""
+    spark.createDataFrame([(x,) for x in lines], "value string").coalesce(1).write.mode("overwrite").text(path)

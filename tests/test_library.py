@@ -55,8 +55,8 @@ def test_decoders(spark):
     assert names == ["base", "wugs", "wugs_dist_before", "wugs_dist_in_between"]
     c = spark.createDataFrame([("a", "b", "t", "x", "y", 1, "k")], readers.SCHEMAS["captions"])
     assert decode.decode("captions", c).first().meta["sub_feature"] == "x y"
-    assert decode.text_roles(["idx", "premise", "hypothesis", "label"]) == ("premise", "hypothesis")
-    assert decode.text_roles(["text", "label"]) == ("text", None)
+    rest = c.select(decode.other_columns(c, ["caption_0", "caption_1"]).alias("m")).first().m
+    assert "caption_0" not in rest and len(rest) == len(c.columns) - 2
 
 
 def test_rank_rules(spark):
@@ -279,3 +279,188 @@ def test_unify(spark):
     assert got[0].sentence == "what?" and got[0].label == "x"
     with pytest.raises(NotImplementedError):
         unify(spark.range(1), "nothing")
+
+
+def test_finetune(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from tallyspark.operators import finetune as f
+
+    assert f.text_roles(["idx", "premise", "hypothesis", "label"]) == (["premise"], "hypothesis", None)
+    assert f.text_roles(["text", "label"]) == (["text"], None, None)
+    assert f.text_roles(["answer", "paragraph", "question", "label"]) == (["question", "answer"], "paragraph", "Question: {} Answer: {}")
+    assert f.text_roles(["span1_text", "span2_text", "text"])[1] == "text" and f.text_roles(["x", "sentence", "linguistic_feature_type"]) == (["sentence"], None, None)
+    rows = spark.createDataFrame([("q", "a", "p", 1), ("q", None, "p", 0)], "question string, answer string, paragraph string, label int")
+    got = f.classification_rows(rows, "multirc").collect()
+    assert [(r.text, r.pair, r.label) for r in got] == [("Question: q Answer: a", "p", 1), (None, "p", 0)]
+    assert f.classification_rows(rows.withColumnRenamed("question", "sentence"), "sst2", labelled=False).columns == ["text", "pair"]
+    assert f.KEYS["xcopa"] == ("sentence1", "sentence2")
+    with pytest.raises(NotImplementedError):
+        f.classification_rows(rows, "nothing")
+    with pytest.raises(ValueError):
+        f.filled(["a"], "{} and {}")
+    languages = f.codes(spark, {"en": "eng", "bg": "bul"}, {"en": "English"})
+    entries = spark.createDataFrame([("sib200_eng_Latn",), ("sib200_bul_Cyrl",), ("sib200_x",), ("other_eng_Latn",), ("sib200_xyz_Latn",)], "entry string")
+    scripts = {r.iso1: r.config for r in f.script_codes(entries, languages).collect()}
+    assert scripts == {"en": "eng_Latn", "bg": "bul_Cyrl"}
+    known = {"script": scripts, "iso3": {"en": "eng"}, "name": {"en": "English"}}
+    assert f.dataset_config("Davlan/sib200", "en", known=known) == ("eng_Latn", {"sentence": "text", "label": "category", "idx": "index_id"})
+    assert f.dataset_config("facebook/xnli", "de")[0] == "de" and f.dataset_config("CohereLabs/include-base-44", "en", known=known)[0] == "English"
+    assert f.dataset_config("aialt/MuBench", "en", "mnli") == ("MNLIDataset_en_template_en", {"premise": "premise", "hypothesis": "hypothesis", "label": "label"})
+    for bad in (("x/y", "en"), ("aialt/MuBench", "en", "x"), ("Davlan/sib200", "zz")):
+        with pytest.raises(ValueError):
+            f.dataset_config(*bad)
+    assert f.with_roles(rows, {"sentence": "question"}).columns == ["sentence"]
+    for name in ("train", "validation"):
+        write(tmp_path / f"{name}.json", jsonl([{"a": name}]))
+    got = f.local_dataset(spark, str(tmp_path / "train.json"), str(tmp_path / "validation.json")).collect()
+    assert sorted((r.split, r.a) for r in got) == [("test", "validation"), ("train", "train"), ("validation", "validation")]
+    with pytest.raises(ValueError):
+        f.local_dataset(spark, "a.csv", "b.json")
+    p = spark.createDataFrame([(0, 1.0), (1, 0.25)], "index long, prediction double")
+    assert [r.prediction for r in f.prediction_lines(p).orderBy("index").collect()] == ["1.000", "0.250"]
+    assert [r.prediction for r in f.prediction_lines(p, ["no", "yes"]).orderBy("index").collect()] == ["yes", "no"]
+    assert f.result_lines({"accuracy": 0.5}) == ["accuracy: 0.5"]
+    writers.write_lines(spark, f.result_lines({"accuracy": 0.5}), str(tmp_path / "r"))
+    lines = spark.read.text(str(tmp_path / "r"))
+    assert [(r.key, r.number) for r in report.percentages(report.key_values(lines)).collect()] == [("accuracy", 50.0)]
+    assert f.flat_predictions(p, "boolq").select(F.max("uid")).first()[0] == "boolq"
+
+
+def test_reading_report(spark, tmp_path):
+    from tallyspark.operators import reading
+
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(300, 3))
+    pred = rng.normal(size=300)
+    y = 1 + x @ [0.5, -1, 2] + x[:, 0] * x[:, 1] + 0.3 * pred + rng.normal(size=300)
+    rows = [(*map(float, a), float(p), None if k % 10 == 3 else float(v), None if k % 17 == 5 else float(p)) for k, (a, p, v) in enumerate(zip(x, pred, y))]
+    df = spark.createDataFrame(rows, "Subtlex_log10 double, length double, context_length double, whole double, RTgopast double, pred double")
+    got = reading.powers(df, ["RTgopast"], reading.MAIN)[0]
+
+    def fit(keep, extra):
+        pairs = [x[:, 0] * x[:, 1], x[:, 0] * x[:, 2], x[:, 1] * x[:, 2]]
+        design = np.column_stack([np.ones(300), x, *pairs, *([pred] if extra else [])])[keep]
+        coef, rss = np.linalg.lstsq(design, y[keep], rcond=None)[:2]
+        n, k = design.shape
+        se = np.sqrt(np.diag(np.linalg.inv(design.T @ design)) * rss[0] / (n - k))
+        return coef[-1], coef[-1] / se[-1], 1 - rss[0] / ((y[keep] - y[keep].mean()) ** 2).sum(), 2 * k + n * (np.log(2 * np.pi) + np.log(rss[0] / n) + 1)
+
+    number = np.arange(300)
+    base, full = fit(number % 10 != 3, False), fit((number % 10 != 3) & (number % 17 != 5), True)
+    assert np.allclose([got["coefficient"], got["t"], got["r2"], got["aic"]], full) and abs(got["delta_r2"] - (full[2] - base[2])) < 1e-9
+    assert abs(got["delta_aic"] - (full[3] - base[3])) < 1e-6 and 0 <= got["p"] < 0.05 and abs(got["partial"] - (full[2] - base[2]) / (1 - base[2])) < 1e-9
+    assert reading.eye_tracking_score([got]) == 100 * got["partial"] and reading.self_paced_score([{"measure": "self_x", "partial": 0.5}]) == 50
+    lines = [r.value for r in reading.correlation_lines(df, ["RTgopast", "length"]).collect()]
+    assert [v.split("\t")[0] for v in lines] == ["RTgopast", "length"]
+    both = [(p, v) for *_, v, p in rows if v is not None and p is not None]
+    assert float(lines[0].split("\t")[1]) == round(np.corrcoef(np.array(both).T)[0, 1], 4)
+    assert reading.report_lines(1.234, 5) == ["EYE TRACKING SCORE: 1.23", "SELF-PACED READING SCORE: 5.00"]
+    assert reading.table(spark, [got]).count() == 1 and len(reading.MEASURES) == 11 and len(reading.SPILLOVER) == 5
+    named = spark.createDataFrame([(0, "s", "w", 1.0, None)], "index long, item string, word string, pred double, prev_pred double")
+    assert reading.prediction_rows(named).columns == ["Index", "Sentence", "Word", "Logprob", "Prev_Logprob"]
+    few = stats.pearson_p(spark.createDataFrame([(0.9, 2), (0.5, 12), (1.0, 5)], "r double, n long")).collect()
+    assert (few[0].r, few[0].p) == (0.0, 1.0) and abs(few[1].p - 0.0978) < 1e-3 and few[2].p == 0
+
+
+def test_completeness(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from tallyspark.operators import complete
+    from tallyspark.sources.datasets import found_results
+
+    write(tmp_path / "run/1M/a/predictions.json", '{"u": 1}')
+    expected = complete.expected_paths(spark, f"{tmp_path}/run", ["1M", "2M"], ["a", "b"])
+    found = complete.listed(spark, f"{tmp_path}/run", "*.json")
+    assert complete.missing_paths(expected, found).count() == 3
+    assert {r.revision: (r.missing, r.valid) for r in complete.valid_revisions(expected, found).collect()} == {"1M": (1, False), "2M": (2, False)}
+    read = lambda name, **how: complete.document_or_null(spark, f"{tmp_path}/run/1M/a/{name}", "u int", **how).first().document
+    assert read("predictions.json").u == 1 and read("other.json") is None and read("predictions.json", good=lambda x: x["u"] > 1) is None
+    assert complete.document_or_null(spark, f"{tmp_path}/nowhere/x.json", "u int").first().document is None
+    assert not complete.all_complete(complete.step_check(spark.createDataFrame([("1M",)], "step string"), spark.createDataFrame([("1M",)], "step string"))).first().complete
+    assert not complete.all_complete(spark.createDataFrame([], "complete boolean")).first().complete
+    assert complete.available(spark.createDataFrame([("a",), ("b",)], "task string"), spark.createDataFrame([("a",)], "task string"), ["task"]).count() == 1
+    paths = spark.createDataFrame([("/r/m/main/zero/causal/blimp/x/best_temperature_report.txt",), ("/r/m/main/finetune/rte/results.txt",), ("/r/a__b__m2/results_2.json",), ("/r/m/en/arc/all_results.json",)], "path string")
+    assert tuple(found_results(paths, "best_temperature").first())[1:] == ("m", "zero", "blimp", "x")
+    assert tuple(found_results(paths, "finetune").first())[1:] == ("m", "rte") and found_results(paths, "harness_of_model").first().model == "m2"
+    assert tuple(found_results(paths, "all_results").first())[1:] == ("m", "en", "arc") and found_results(paths, "evaluation").count() == 0
+    p = spark.createDataFrame([("u", 0, "x")], "uid string, seq long, pred string")
+    fast = spark.createDataFrame([(1, {"u": 0.5}), (0, None)], "ord int, scores map<string,double>")
+    assert json.loads(writers.collated({"a": p, "b": None}, fast).first().value) == {"a": {"u": {"predictions": [{"id": "u_0", "pred": "x"}]}}, "b": None, "fast_eval_results": [None, {"u": 0.5}]}
+    ages = stats.ages(spark.createDataFrame([("v", 1.0, None), ("v", 2.0, None)], "word string, step double, s double"), "word", "step", "s").first()
+    assert (ages.word, ages.age) == ("v", None)
+    wide = report.best_across(spark.createDataFrame([(1.0, 1.0), (None, 0.126), (None, None)], "a double, b double"), ["a", "b"]).collect()
+    assert [(r.best, r.average) for r in wide] == [(["a", "b"], 1.0), (["b"], 0.13), ([], None)]
+    tree = spark.createDataFrame([(0, 0.5), (1, 0.25), (1, None)], "depth int, acc double")
+    assert report.subtasks(tree).count() == 1 and report.subtask_means(tree, ["depth"], "acc").count() == 2
+    order = relate.in_order(spark.createDataFrame([("b",), ("z",), ("a",)], "m string"), "m", ["b", "a"]).orderBy("place").collect()
+    assert [(r.m, r.place) for r in order] == [("b", 0), ("a", 1), ("z", 2)]
+    left, right = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c")], "i int, x string"), spark.createDataFrame([(5, "p"), (4, "q")], "j int, y string")
+    assert sorted((r.x, r.y) for r in relate.paired(left, right, ["i"], ["j"]).collect()) == [("a", "q"), ("b", "p")]
+    assert found.select(F.max("path")).first()[0].endswith("predictions.json")
+
+
+def test_task_layer(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from tallyspark.operators import gold
+    from tallyspark.sources.datasets import yaml_loader
+
+    # two templates with one name: the include is that of the includer's folder
+    files = {"a/leaf": {"include": "_base", "task": "x"}, "a/_base": {"include": "../root", "d": 1}, "b/leaf": {"include": "_base", "task": "y"}, "b/_base": {"d": 2}, "root": {"n": 0}}
+    assert tasks.resolve("a/leaf", files.__getitem__) == {"task": "x", "d": 1, "n": 0} and tasks.resolve("b/leaf", files.__getitem__)["d"] == 2
+    yaml = pytest.importorskip("yaml") if __import__("importlib").util.find_spec("yaml") else None
+    write(tmp_path / "a/_t", "d: 1\nprocess_docs: !function utils.f\n")
+    write(tmp_path / "b/_t", "d: 2\n")
+    for k in "ab":
+        write(tmp_path / f"{k}/leaf.yaml", f"include: _t\ntask: {k}\n")
+    if yaml is not None:
+        load = yaml_loader(str(tmp_path))
+        assert tasks.resolve("a/leaf.yaml", load) == {"d": 1, "process_docs": "!function utils.f", "task": "a"} and tasks.resolve("b/leaf.yaml", load)["d"] == 2
+        assert yaml.safe_load(tasks.group_text({"group": "g", "task": ["a", "b c"], "aggregate_metric_list": [{"metric": "acc", "weight_by_size": False}], "metadata": {"version": 1.0}})) == {"group": "g", "task": ["a", "b c"], "aggregate_metric_list": [{"metric": "acc", "weight_by_size": False}], "metadata": {"version": 1.0}}
+    text_of = tasks.group_text({"group": "g: x", "task": ["a"], "n": True})
+    assert text_of == 'group: "g: x"\ntask:\n- a\nn: true\n'
+    config = {"task": "t", "doc_to_text": "{{q}}?", "doc_to_choice": "options", "doc_to_target": "label", "process_docs": {"kind": "k"}, "metric_list": [{"metric": "acc"}], "validation_split": "v", "training_split": "tr"}
+    rows = spark.createDataFrame([("a", ["x", "y"], 1, "k"), ("b", ["x", "y"], 0, "other")], "q string, options array<string>, label int, kind string")
+    got = tasks.prompted(rows, config).collect()
+    assert [(r.prompt, r.choices, r.target, r.continuations) for r in got] == [("a?", ["x", "y"], 1, [" x", " y"])]
+    assert tasks.split_of(config, "test") == "v" and tasks.split_of(config, "fewshot") == "tr" and tasks.split_of({}, "train") is None
+    item = tasks.prompted(rows, config | {"doc_to_target": "{{options}}", "doc_to_choice": ["x", "{{q}}"], "process_docs": "!function f"}).collect()
+    assert [r.choices for r in item] == [["x", "a"], ["x", "b"]] and [r.target for r in item] == [None, None]
+    with pytest.raises(ValueError):
+        tasks.choices_of({"task": "t"}, [])
+    done = tasks.prompted(rows, config | {"process_docs": None}).withColumn("chosen", F.lit(1))
+    m = tasks.measured(done, config).first()
+    assert (m.acc, m["size"]) == (0.5, 2)
+    with pytest.raises(NotImplementedError):
+        tasks.metric("nothing")
+    assert tasks.metric("wrong", lambda: F.lit(0.0)) is not None and "wrong" in tasks.METRICS
+    made = tasks.generated({"en": ["a", "b"], "de": ["c"], "fr": ["zz"]}, {"a", "c"}, "g", True)
+    assert [(c["group"], c["task"]) for c in made] == [("g_de", ["c"]), ("g_en", ["a"]), ("g", ["g_de", "g_en"])] and tasks.weights(made) == {"g_de": True, "g_en": True, "g": True}
+    with pytest.raises(NotImplementedError):
+        gold.gold_text("nothing")
+    g = spark.createDataFrame([("good ", "p", "q", "comps_wugs_dist-in-between")], "sentence_good string, prefix_acceptable string, property_phrase string, stem string")
+    assert tuple(g.select(gold.gold_text("minimal_pairs"), gold.gold_text("concept_pairs"), gold.subtask_of_file(F.col("stem"))).first()) == ("good ", "p q", "wugs_dist_in_between")
+    j = spark.createDataFrame([("1M", "u", 1), ("1M", "u", 0), ("1M", "v", 1)], "revision string, uid string, correct int")
+    axis = spark.createDataFrame([("2M", 1), ("1M", 0)], "revision string, ord int")
+    assert [(r.revision, r.scores) for r in gold.fast_curve(j, axis).collect()] == [("1M", {"u": 0.5, "v": 1.0}), ("2M", None)]
+
+
+def test_token_inputs(spark):
+    from pyspark.sql import functions as F
+
+    rows = spark.createDataFrame([(1, [5, 6, 7])], "id long, t array<int>")
+    got = text.next_token_masked(rows, ["id"], F.col("t"), 0).orderBy("pos").collect()
+    assert [(r.pos, r.target, r.input_ids, r.read_at) for r in got] == [(1, 6, [5, 0, 7], 0), (2, 7, [5, 6, 0], 1)]
+    assert text.next_token_masked(rows, ["id"], F.col("t"), 0, prepend=9).count() == 3
+    e = text.encoder_decoder(rows.withColumn("c", F.array(F.lit(8), F.lit(9))), ["id"], F.col("t"), F.col("c"), 100, 1).first()
+    assert (e.encoder_ids, e.decoder_ids, e.labels) == ([5, 6, 7, 100], [1, 100, 8], [100, 8, 9])
+    assert tuple(rows.select(text.padded(F.col("t"), 5, 0, left=True), text.padded(F.col("t"), 2, 0), text.attention(F.col("t"), 5)).first()) == ([0, 0, 5, 6, 7], [5, 6], [1, 1, 1, 0, 0])
+    assert sorted(r.word for r in text.vocabulary(spark.createDataFrame([(" A",), ("a",), ("",), ("b",)], "value string")).collect()) == ["a", "b"]
+    numbers = spark.createDataFrame([(float(k), k % 3, k) for k in range(500)] + [(None, 0, 7)], "x double, g int, n long")
+    for by in ([], ["g"]):
+        got = {r.x: r.s for r in stats.running_total(numbers.filter("x is not null"), ["x"], "n", "s", by, parts=7).collect()}
+        assert all(got[float(k)] == sum(j for j in range(k + 1) if not by or j % 3 == k % 3) for k in range(500))
+    assert stats.running_total(numbers.limit(0), ["x"], "n", "s").count() == 0
+    split = relate.split_exactly(numbers.filter("x is not null"), ["x"], 0.25).groupBy("split").count().collect()
+    assert {r.split: r["count"] for r in split} == {"valid": 125, "train": 375}
