@@ -123,13 +123,21 @@ def fit(table: DataFrame, dimensions: int = 1 << 15, steps: int = 40, rate: floa
     names = pairs.select("k").distinct().withColumn("f", F.row_number().over(Window.orderBy("k")) - 1)
     pairs = pairs.join(names, "k")
     each = pairs.groupBy("i", "y").agg(F.sort_array(F.collect_list("f")).alias("f"))
-    urls = each.agg(F.sort_array(F.collect_list(F.struct("i", "f", (1 / F.sqrt(F.size("f").cast("double"))).alias("scale"), "y"))).alias("urls"), F.sum("y").alias("ones"), F.count("*").alias("n"))
-    # both labels weigh the same
-    share = F.when(F.col("ones") * (F.col("n") - F.col("ones")) == 0, 1 / F.col("n")).otherwise(0.5 / F.when(F.col("y") > 0, F.col("ones")).otherwise(F.col("n") - F.col("ones")))
-    urls = urls.select(F.inline("urls"), "ones", "n").withColumn("share", share).agg(F.sort_array(F.collect_list(F.struct("i", "f", "scale", "y", "share"))).alias("urls"), F.lit(1).alias("one"))
     listed = pairs.groupBy("f", "k").agg(F.sort_array(F.collect_list("i")).alias("u"))
-    features = listed.agg(F.sort_array(F.collect_list(F.struct("f", "k", "u"))).alias("features"), F.lit(1).alias("one"))
-    found = urls.join(features, "one").select(fitted(F.col("urls"), F.col("features"), steps, rate, decay).alias("m"), F.col("features.k").alias("k")).select("k", "m.w", "m.b").first()
+    # both kinds of lists in one row, by one aggregation: no join
+    url_row = F.struct("i", "f", (1 / F.sqrt(F.size("f").cast("double"))).alias("scale"), "y")
+    none = lambda df, c: F.lit(None).cast(df.select(c.alias("x")).schema["x"].dataType)
+    feature_row = F.struct("f", "k", "u")
+    both = each.select(url_row.alias("url"), none(listed, feature_row).alias("feature")).union(listed.select(none(each, url_row).alias("url"), feature_row.alias("feature")))
+    one = both.agg(F.sort_array(F.collect_list("url")).alias("urls"), F.sort_array(F.collect_list("feature")).alias("features"), F.sum("url.y").alias("ones"), F.count("url").alias("n"))
+    zeros = F.col("n") - F.col("ones")
+
+    def weighed(u: Column) -> Column:  # both labels weigh the same
+        share = F.when(F.col("ones") * zeros == 0, 1 / F.col("n")).otherwise(0.5 / F.when(u["y"] > 0, F.col("ones")).otherwise(zeros))
+        return F.struct(u["f"].alias("f"), u["scale"].alias("scale"), u["y"].alias("y"), share.alias("share"))
+
+    one = one.select(F.transform("urls", weighed).alias("urls"), "features")
+    found = one.select(fitted(F.col("urls"), F.col("features"), steps, rate, decay).alias("m"), F.col("features.k").alias("k")).select("k", "m.w", "m.b").first()
     weights, bias = [0.0] * dimensions, found["b"] or 0.0
     for k, w in zip(found["k"] or [], found["w"] or []):
         weights[k] = w
