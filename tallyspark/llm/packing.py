@@ -20,7 +20,9 @@ equal pieces are interchangeable. An empty table gives an empty result. Columns
 from __future__ import annotations
 
 import bisect
+import hashlib
 import os
+import re
 
 import numpy as np
 import pandas as pd
@@ -40,42 +42,78 @@ BATCH_TOKENS = 1 << 20
 
 class Words(Codec):
     """Ids by the tokenizers library. The vocabulary's words never hold white space, so a text is the sum of what
-    lies between blanks, tabs and line ends; each such chunk is encoded by the library once and remembered up to a fixed number of characters."""
+    lies between blanks, tabs and line ends; each such chunk is encoded by the library once and remembered up to a fixed number of characters.
 
-    def __init__(self, content: str, remembered: int = REMEMBERED_CHARS):
+    What can't change an id is evened out before, so that fewer chunks differ: the vocabulary ignores case, and a letter and the closing marks behind it
+    are words of their own. Case stays where it means something: beside added tokens, and where a combining mark makes
+    one character of a small letter but not of the capital."""
+
+    CLOSING = re.compile(r"(?<=[a-zß-öø-ÿ])([.,;:!?]+)(?=[ \n\t\r]|\Z)")
+    MARKS = re.compile("[\u0300-\u036f\u1ab0-\u1aff\u1dc0-\u1dff\u20d0-\u20ff\ufe20-\ufe2f]")
+    TOGETHER = 500
+
+    def __init__(self, content: str, remembered: int = 2 * REMEMBERED_CHARS):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.library, self.limit = Tokenizer.from_str(content), remembered
         self.library.no_truncation()
         self.library.no_padding()
+        self.ends = np.zeros(self.library.get_vocab_size(), bool)
+        self.ends[[i for token, i in self.library.get_vocab().items() if token.endswith("</w>")]] = True
         self.forget()
 
     def pieces(self, text: str) -> list[str]:
+        if "<|" not in text and (text.isascii() or not self.MARKS.search(text)):
+            text = self.CLOSING.sub(r" \1", text.encode().lower().decode())  # of bytes: ASCII letters only
         return [w for w in text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") if w]
 
+    def encoded(self, chunks: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, np.int64) for e in self.library.encode_batch_fast(chunks, add_special_tokens=False)]
+
     def learn(self) -> None:
         if not self.fresh:
             return
-        ids = [e.ids for e in self.library.encode_batch_fast(self.fresh, add_special_tokens=False)]
-        size = np.fromiter(map(len, ids), np.int64, len(ids))
+        fresh = self.fresh
+        found: list[np.ndarray] = [None] * len(fresh)
+        # letters alone are one word each, and a word's last token says so: many are encoded as one text
+        plain = [k for k, w in enumerate(fresh) if w.isalpha()]
+        rest = [k for k, w in enumerate(fresh) if not w.isalpha()]
+        groups = [plain[k : k + self.TOGETHER] for k in range(0, len(plain), self.TOGETHER)]
+        for group, ids in zip(groups, self.encoded([" ".join([fresh[k] for k in g]) for g in groups])):
+            cut = np.flatnonzero(self.ends[ids]) + 1
+            if len(cut) == len(group) and cut[-1] == len(ids):
+                for k, x in zip(group, np.split(ids, cut[:-1])):
+                    found[k] = x
+            else:
+                rest += group
+        for k, ids in zip(rest, self.encoded([fresh[k] for k in rest])):
+            found[k] = ids
+        size = np.fromiter(map(len, found), np.int64, len(found))
         self.at = np.append(self.at, len(self.ids) + np.cumsum(size) - size)
-        self.size, self.ids = np.append(self.size, size), np.append(self.ids, np.fromiter((i for x in ids for i in x), np.int64, int(size.sum())))
-        self.chars += sum(map(len, self.fresh))
-        self.fresh.clear()
+        self.size, self.ids = np.append(self.size, size), np.append(self.ids, np.concatenate(found))
+        self.chars += sum(map(len, fresh))
+        fresh.clear()
+
+
+_held: dict[str, Words] = {}  # of this worker process: its next task goes on with the words met so far
+
 
+def _words(name: str, content) -> Words:
+    if name not in _held:
+        _held.clear()
+        _held[name] = Words(content.value)
+    return _held[name]
 
-def _cut(content, capacity: int, end: int):
-    codec: list[Codec] = []
 
+def _cut(name: str, content, capacity: int, end: int):
     def run(batches):
-        if not codec:
-            codec.append(Words(content.value))
+        codec = _words(name, content)
         part, seen = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
         for batch in batches:
             for some in K.slices(batch.column(1), 1 << 20):
                 rows = batch.slice(some.first, len(some))
-                ids, counts = codec[0].encode([t or "" for t in rows.column(1).to_pylist()])
+                ids, counts = codec.encode([t or "" for t in rows.column(1).to_pylist()])
                 ids = np.insert(ids, np.cumsum(counts), end).astype("<u4")
                 n = -(-(counts + 1) // capacity)  # pieces of each document
                 row = np.repeat(np.arange(len(n)), n)
@@ -104,10 +142,11 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end: int
     """(doc_id, piece, start, length, ids, part, nth) of each row of `docs` (doc_id, text). ids: little-endian unsigned
     32-bit integers; part and nth: the task, and the ordinal among its pieces of this length. They hold for one run: store the rows before they are placed."""
     with open(vocabulary, encoding="utf-8") as f:
-        content = docs.sparkSession.sparkContext.broadcast(f.read())  # executors need not have the file
+        said = f.read()
+    content = docs.sparkSession.sparkContext.broadcast(said)  # executors need not have the file
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(K.tidy(_cut(content, capacity, end)), f"doc_id {kind}, piece int, start long, length long, ids binary, part int, nth long")
+    return rows.mapInArrow(K.tidy(_cut(hashlib.sha256(said.encode()).hexdigest(), content, capacity, end)), f"doc_id {kind}, piece int, start long, length long, ids binary, part int, nth long")
 
 
 class Plan:

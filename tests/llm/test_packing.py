@@ -154,6 +154,24 @@ def test_pieces_and_places(spark):
             assert at <= capacity
 
 
+def test_words_as_the_library(monkeypatch):
+    """Random texts of odd characters, one codec for all of them: marks, capitals, closing marks, added tokens, odd white space."""
+    from tokenizers import Tokenizer
+
+    path = queries.vocabulary("word_bpe_49k.json")
+    library = Tokenizer.from_file(path)
+    with open(path, encoding="utf-8") as f:
+        codec = packing.Words(f.read(), remembered=3000)
+    r = random.Random(12)
+    parts = ["word", "Word", "WORD", "J\u030c", "j\u030c", "H\u0331", "A\u030a", "\u212a", "ß", "Σ", "ΑΣ", "İ", "I\u0307", "'s", "'S", "'re", "it's", "\u2019s", ".", ",", "...", "?!", '"', "(", ")", "<", "=", "\u0338", "<|endoftext|>", "<|ENDOFTEXT|>", "<|", "1", "23", "²", "٣", "ª", "中", "한", "ᄒ", "ᅡ", "😀", "\u200d", "\u00a0", "\u0085", "\u2028", "\x0b", "\x0c", "\x1c", "\x00", "\n", "\t", "\r", " ", " ", " ", " "]
+    for _ in range(40):
+        texts = ["".join(r.choice(parts) for _ in range(r.randrange(0, 40))) for _ in range(50)]
+        ids, counts = codec.encode(texts)
+        want = [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+        got = [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])]
+        assert got == want, next((t, a, b) for t, a, b in zip(texts, got, want) if a != b)
+
+
 def test_sequences_hold_the_tokens(spark):
     docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts())], "doc_id long, text string").repartition(3)
     packed = packing.pack(docs, queries.vocabulary("word_bpe_49k.json"), 512)
