@@ -22,12 +22,14 @@ def sentences(text: Column) -> Column:
     return F.filter(F.split(text, r"(?<=[.!?])\s+"), lambda s: s != "")
 
 
-def contexts(rows: DataFrame, text: Column, longest: int | None = None) -> DataFrame:
-    """(ctx, word): every word but the first of each text, with all words before it or the last `longest` of them."""
-    t = rows.select(tokens(F.lower(text)).alias("t")).filter(F.size("t") > 1)
-    at = t.select("t", F.explode(F.sequence(F.lit(2), F.size("t"))).alias("i"))
-    n = (F.col("i") - 1) if longest is None else F.least(F.lit(longest), F.col("i") - 1)
-    return at.select(F.array_join(F.slice("t", F.col("i") - n, n), " ").alias("ctx"), F.element_at("t", F.col("i")).alias("word"))
+def contexts(rows: DataFrame, text: Column, longest: int | None = None, carry: list[str] = ()) -> DataFrame:
+    """(ctx, word), behind the columns in `carry`: every word but the first of each text, with all words before it or the last `longest` of them.
+
+    The windows are made inside the array, so a row doesn't carry its text for each of its words: with `longest` the work is linear in the text."""
+    t = rows.select(*carry, tokens(F.lower(text)).alias("t")).filter(F.size("t") > 1)
+    before = (lambda i: F.slice("t", 1, i)) if longest is None else (lambda i: F.slice("t", F.greatest(i - (longest - 1), F.lit(1)), F.least(i, F.lit(longest))))
+    pairs = F.transform("t", lambda w, i: F.struct(F.array_join(before(i), " ").alias("ctx"), w.alias("word")))
+    return t.select(*carry, F.explode(F.slice(pairs, F.lit(2), F.size("t") - 1)).alias("p")).select(*carry, "p.ctx", "p.word")
 
 
 def context_counts(pairs: DataFrame) -> DataFrame:

@@ -581,14 +581,10 @@ def q_report_key_values(spark, d):
 
 @query("""SELECT event_type AS task, CAST(ts AS DATE)::VARCHAR AS revision, count(*)::BIGINT AS total, sum(CASE WHEN value > 50 THEN 1 ELSE 0 END)::BIGINT AS correct FROM events GROUP BY 1, 2""")
 def q_stream_counters(spark, d):
-    import uuid
+    from ..functions.folders import new_folder
+    from ..streaming.incremental import parquet_stream, run_available, totals
 
-    from ..streaming.incremental import run_available, totals
-
-    base = spark.conf.get("spark.checkpoint.dir", None) or "/tmp"
-    base = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
-    schema = t(spark, d, "events").schema
-    source = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
+    base, source = new_folder(spark, "stream"), parquet_stream(spark, f"{d}/events.parquet")
     keys = [F.col("event_type").alias("task"), F.to_date("ts").cast("string").alias("revision")]
     run_available(source, lambda rows: rows.groupBy(*keys).agg(F.count("*").alias("total"), F.sum((F.col("value") > 50).cast("long")).alias("correct")), f"{base}/out", f"{base}/state")
     return totals(spark, f"{base}/out", ["task", "revision"])
