@@ -52,12 +52,18 @@ def shape_check(cells: DataFrame, by: str, expected: DataFrame) -> DataFrame:
     return both.select(by, F.coalesce("found_rows", F.lit(0).cast("long")).cast("long").alias("rows"), F.coalesce("found_columns", F.lit(0).cast("long")).cast("long").alias("columns"), F.coalesce(good, F.lit(False)).alias("complete"))
 
 
+def parsed_or_null(value: Column, schema: str) -> Column:
+    """A JSON document, or null where the text is none or a field has another type than the schema's."""
+    whole = F.from_json(value, f"{schema}, __broken string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "__broken"})
+    return F.when(whole["__broken"].isNull(), whole.dropFields("__broken"))
+
+
 def document_or_null(spark: SparkSession, path: str, schema: str, good=None) -> DataFrame:
     """(path, document): the parsed JSON document of a file, null where the file is missing, isn't JSON, or the check (a condition on `document`) fails."""
     asked = spark.createDataFrame([(path,)], "path string")
     folder, _, name = path.rpartition("/")
     try:
-        files = spark.read.option("pathGlobFilter", name).text(folder or ".", wholetext=True).select(F.lit(path).alias("path"), F.from_json("value", schema).alias("document"))
+        files = spark.read.option("pathGlobFilter", name).text(folder or ".", wholetext=True).select(F.lit(path).alias("path"), parsed_or_null(F.col("value"), schema).alias("document"))
     except Exception as e:  # a missing folder is a missing file; anything else is an error
         if "PATH_NOT_FOUND" not in str(e):
             raise

@@ -13,6 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import templates
 from .rank import rollup_weighted
 
 
@@ -68,24 +69,49 @@ def rollup(leaves: DataFrame, configs: list[dict], metric: str = "accuracy", siz
 
 
 def choices_of(config: dict, columns: list[str]) -> Column:
-    """The choices of a row: a fixed list, the name of an array column, or texts with {{column}} places."""
+    """The choices of a row: a fixed list of templates, the name of an array column, or one template expression that gives a list."""
     said = config.get("doc_to_choice")
     if said is None:
         raise ValueError(f"{config.get('task')} has no choices")
     if isinstance(said, str):
-        return F.col(said) if said in columns else F.from_json(F.regexp_replace(doc_to_text(said, columns), "'", '"'), "array<string>")
+        if said in columns:
+            return F.col(said)
+        inner = templates.only_expression(said)
+        if inner is None:
+            raise ValueError(f"{said!r} of {config.get('task')} is neither a column nor a list expression")
+        return templates.expression(inner, columns).cast("array<string>")
     return F.array(*[doc_to_text(str(x), columns) for x in said])
 
 
-def category_filter(config: dict) -> Column | None:
-    """The rows that a config's `process_docs` keeps: one of {column: value}; None where it keeps all. Several configs over one table are one pass with the category as a group key."""
+#: A document filter: the values that columns must have.
+Filter = dict[str, str]
+
+
+def category_functions(column: str, values: list[str], module: str = "utils") -> dict[str, Filter]:
+    """The filters that a family of configs names, one for each category: the name is the category in small letters, with an underscore for a blank and for ` & `."""
+    slug = lambda v: v.lower().replace(" & ", "_").replace(" ", "_")
+    return {f"{module}.process_{slug(v)}": {column: v} for v in values}
+
+
+def category_filter(config: dict, functions: dict[str, Filter] | None = None) -> Filter:
+    """The values that a config's `process_docs` asks for, {} where it has none. It is {column: value}, or a function tag that `functions` knows; any other is an error."""
     said = config.get("process_docs")
-    if not isinstance(said, dict):
-        return None
-    condition = F.lit(True)
-    for column, value in sorted(said.items()):
-        condition = condition & (F.col(column) == F.lit(value))
-    return condition
+    if said is None:
+        return {}
+    if isinstance(said, dict):
+        return said
+    name = re.sub(r"^!function\s+", "", str(said)).strip("'\" ")
+    if name not in (functions or {}):
+        raise ValueError(f"the filter {said!r} of {config.get('task')} isn't known")
+    return functions[name]
+
+
+def kept(condition: Filter) -> Column:
+    """Whether a row has these values; null is no value."""
+    out = F.lit(True)
+    for column, value in sorted(condition.items()):
+        out = out & F.coalesce(F.col(column).cast("string") == F.lit(str(value)), F.lit(False))
+    return out
 
 
 def split_of(config: dict, use: str) -> str | None:
@@ -94,19 +120,23 @@ def split_of(config: dict, use: str) -> str | None:
     return next((config[k] for k in order[use] if config.get(k)), None)
 
 
-def prompted(rows: DataFrame, config: dict, examples: str = "") -> DataFrame:
+def target_of(config: dict, schema, choices: Column) -> Column:
+    """The place of the right choice: a number, a column of numbers, or a text that is looked up among the choices."""
+    said, columns = config.get("doc_to_target"), schema.names
+    if isinstance(said, int):
+        return F.lit(said)
+    if said in columns and schema[said].dataType.typeName() != "string":
+        return F.col(said).cast("int")
+    return target_index(choices, doc_to_text(str(said), columns)).cast("int")
+
+
+def prompted(rows: DataFrame, config: dict, examples: str = "", functions: dict[str, Filter] | None = None) -> DataFrame:
     """The rows with `prompt` (description, examples and text) and `choices`, `target` (its place among the choices) and `continuations`: what follows the prompt, choices behind the target delimiter."""
-    columns = rows.columns
-    kept = category_filter(config)
-    rows = rows.filter(kept) if kept is not None else rows
-    choices = choices_of(config, columns)
-    said = config.get("doc_to_target")
-    target = F.lit(said) if isinstance(said, int) else F.col(said) if said in columns else doc_to_text(str(said), columns)
-    if isinstance(said, str) and said in columns and rows.schema[said].dataType.typeName() == "string" or not isinstance(said, int) and said not in columns:
-        target = target_index(choices, target)
-    text = F.concat(F.lit(str(config.get("description", "")) + examples), doc_to_text(config["doc_to_text"], columns))
+    rows = rows.filter(kept(category_filter(config, functions)))
+    choices = choices_of(config, rows.columns)
+    text = F.concat(F.lit(str(config.get("description", "")) + examples), doc_to_text(config["doc_to_text"], rows.columns))
     delimiter = F.lit(str(config.get("target_delimiter", " ")))
-    return rows.withColumns({"prompt": text, "choices": choices, "target": target.cast("int"), "continuations": F.transform(choices, lambda c: F.concat(delimiter, c))})
+    return rows.withColumns({"prompt": text, "choices": choices, "target": target_of(config, rows.schema, choices), "continuations": F.transform(choices, lambda c: F.concat(delimiter, c))})
 
 
 def generated(names: dict[str, list[str]], available: set[str], label: str, by_size: bool = False) -> list[dict]:
@@ -173,13 +203,8 @@ def closure(spark: SparkSession, configs: list[dict]) -> DataFrame:
 
 
 def doc_to_text(pattern: str, columns: list[str]) -> Column:
-    """A column's name, or a text with {{column}} and {{column.strip()}} places."""
-    if pattern in columns:
-        return F.col(pattern)
-    parts: list[Column] = []
-    for text, name, how in re.findall(r"((?:(?!\{\{).)+)|\{\{\s*(\w+)\s*(\.strip\(\))?\s*\}\}", pattern, re.S):
-        parts.append(F.lit(text) if text else F.trim(F.col(name)) if how else F.col(name).cast("string"))
-    return F.concat(*parts) if parts else F.lit("")
+    """A column's name, or a template."""
+    return F.col(pattern) if pattern in columns else templates.text(pattern, columns)
 
 
 def target_index(choices: Column, target: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.scalars import hash_score, tokens
-from ..operators import complete, finetune, gold, rank, reading, relate, report, stats, tasks, text
+from ..operators import complete, finetune, gold, rank, reading, relate, report, routes, stats, tasks, templates, text
 from .catalogue import TOK, H, query, r6, t
 
 
@@ -114,6 +114,45 @@ def q_task_prompts(spark, d):
     return rows.select("o_orderkey", "prompt", "target", F.get("continuations", F.col("target")).alias("answer"))
 
 
+KINDS = ["ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD"]
+
+
+def _part_configs() -> tuple[list[dict], dict[str, dict]]:
+    """A family of configs as task folders have them: a filter by category each, named by function tags, and three forms of templates."""
+    brands = [f"Brand#{k}" for k in range(1, 26)]
+    functions = tasks.category_functions("p_brand", brands) | tasks.category_functions("p_type", KINDS, "kinds")
+    pair = {"doc_to_text": "{{p_name.strip()}}\nAnswer:", "doc_to_choice": "{{[p_type, p_brand]}}", "doc_to_target": 0}
+    kind = {"doc_to_text": "p_name", "doc_to_choice": [k.capitalize() for k in KINDS], "doc_to_target": "{{p_type|capitalize}}", "target_delimiter": "="}
+    size = {"doc_to_text": "{{ 'big' if p_size > 25 else 'small' }} {{p_name}}", "doc_to_choice": ["a", "{{p_brand.split('#')[1]}}"], "doc_to_target": "a"}
+    configs = [{"task": f"brand_{k + 1}", "process_docs": f"!function utils.process_brand#{k + 1}", "description": f"Of {b}. ", **pair} for k, b in enumerate(brands)]
+    configs += [{"task": f"kind_{k.lower()}", "process_docs": f"!function 'kinds.process_{k.lower()}'", **kind} for k in KINDS]
+    configs += [{"task": f"size_{n}_{k + 1}", "process_docs": {"p_size": n, "p_brand": b}, **size} for n in range(1, 51) for k, b in enumerate(brands)]
+    return configs + [{"task": "all", **pair}], functions
+
+
+@query("""WITH b AS (SELECT *, substr(p_brand, 7) AS b FROM part),
+x AS (SELECT 'brand_' || b AS task, 'Of ' || p_brand || '. ' || trim(p_name) || chr(10) || 'Answer:' AS prompt, ' ' || p_type AS answer, 0 AS target FROM b
+UNION ALL SELECT 'kind_' || lower(p_type), p_name, '=' || substr(p_type, 1, 1) || lower(substr(p_type, 2)), list_position(['ECONOMY', 'LARGE', 'MEDIUM', 'PROMO', 'SMALL', 'STANDARD'], p_type) - 1 FROM b
+UNION ALL SELECT 'size_' || p_size || '_' || b, CASE WHEN p_size > 25 THEN 'big ' ELSE 'small ' END || p_name, ' a', 0 FROM b
+UNION ALL SELECT 'all', trim(p_name) || chr(10) || 'Answer:', ' ' || p_type, 0 FROM b)
+SELECT task, count(*)::BIGINT AS n, min(prompt) AS first_prompt, max(answer) AS last_answer, sum(target)::BIGINT AS targets FROM x GROUP BY 1""")
+def q_config_routes(spark, d):
+    """1,282 configs over one table in one scan: each row goes to the configs whose filters it passes."""
+    configs, functions = _part_configs()
+    rows = routes.prompted(t(spark, d, "part"), configs, functions)
+    answer = F.get("continuations", F.col("target"))
+    return rows.groupBy("task").agg(F.count("*").alias("n"), F.min("prompt").alias("first_prompt"), F.max(answer).alias("last_answer"), F.sum("target").alias("targets"))
+
+
+TEMPLATE = "{{ 'closed' if o_orderstatus == 'F' and not o_totalprice < 1000 else o_orderstatus|lower }} {{o_orderpriority.split('-')[1].strip()|capitalize|replace('i', '!')}} {{[o_orderkey, o_custkey]|join('/')}}{{ ' ' + o_orderpriority if false else '' }}"
+
+
+@query("""SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' AND NOT o_totalprice < 1000 THEN 'closed' ELSE lower(o_orderstatus) END || ' ' || replace(upper(substr(split_part(o_orderpriority, '-', 2), 1, 1)) || lower(substr(split_part(o_orderpriority, '-', 2), 2)), 'i', '!') || ' ' || o_orderkey || '/' || o_custkey AS text FROM orders""")
+def q_template_expressions(spark, d):
+    rows = t(spark, d, "orders")
+    return rows.select("o_orderkey", templates.text(TEMPLATE, rows.columns).alias("text"))
+
+
 @query(f"""WITH c AS (SELECT lang || '/' || source AS leaf, lang, source, avg(CASE WHEN {H('doc_id')} < 0.6 THEN 1.0::DOUBLE ELSE 0 END) AS a, count(*) AS n FROM documents WHERE lang IS NOT NULL AND source IS NOT NULL GROUP BY ALL),
 g AS (SELECT 'mean_' || lang AS task_group, avg(a) AS v, sum(n) AS n FROM c GROUP BY 1 UNION ALL SELECT 'mean', avg(a), sum(n) FROM c UNION ALL SELECT 'sized_' || lang, sum(a * n) / sum(n), sum(n) FROM c GROUP BY 1 UNION ALL SELECT 'sized', sum(a * n) / sum(n), sum(n) FROM c)
 SELECT task_group, round(v, 6) AS value, n::BIGINT AS size FROM g""")

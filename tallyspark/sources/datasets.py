@@ -21,8 +21,8 @@ def steps(paths: DataFrame, path: str = "path") -> DataFrame:
 
 
 def yaml_loader(root: str):
-    """A loader of task configs for tasks.resolve, by their paths below `root`, where PyYAML is installed. Function tags stay as text, but those
-    that filter by a category say so: `process_docs` becomes {column: value} if the caller's `tasks.category_filter` can use it."""
+    """A loader of task configs for tasks.resolve, by their paths below `root`, where PyYAML is installed. Function tags stay as text;
+    `tasks.category_filter` resolves them by a table that the caller gives, and takes none that it doesn't know."""
     try:
         import yaml
     except ImportError as e:

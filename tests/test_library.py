@@ -425,7 +425,7 @@ def test_task_layer(spark, tmp_path):
     got = tasks.prompted(rows, config).collect()
     assert [(r.prompt, r.choices, r.target, r.continuations) for r in got] == [("a?", ["x", "y"], 1, [" x", " y"])]
     assert tasks.split_of(config, "test") == "v" and tasks.split_of(config, "fewshot") == "tr" and tasks.split_of({}, "train") is None
-    item = tasks.prompted(rows, config | {"doc_to_target": "{{options}}", "doc_to_choice": ["x", "{{q}}"], "process_docs": "!function f"}).collect()
+    item = tasks.prompted(rows, config | {"doc_to_target": "{{options}}", "doc_to_choice": ["x", "{{q}}"], "process_docs": "!function f"}, functions={"f": {}}).collect()
     assert [r.choices for r in item] == [["x", "a"], ["x", "b"]] and [r.target for r in item] == [None, None]
     with pytest.raises(ValueError):
         tasks.choices_of({"task": "t"}, [])
