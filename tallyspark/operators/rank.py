@@ -9,8 +9,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from ..functions.scalars import lowest_if_missing, ratio
+from . import ordinals
 
 
 def choose(scores: DataFrame, item: list[str], score: str = "logprob", index: str = "cand_idx", carry: list[str] = (), tie: str = "first") -> DataFrame:
@@ -63,7 +65,10 @@ def best_setting(scored: DataFrame, setting: str, metric: str, by: list[str] = (
 
 
 def numbered(rows: DataFrame, by: list[str], order: list[Column | str], name: str = "seq") -> DataFrame:
-    """The ordinal from 0 within `by`; order must be total."""
+    """The ordinal from 0 within `by`; order must be total. Where its first column is a number a group is numbered range by range, so a large one isn't one task's work."""
+    first = order[0]
+    if isinstance(first, str) and isinstance(rows.schema[first].dataType, NumericType) and all(isinstance(c, str) for c in order):
+        return ordinals.numbered(rows, by, order, name)
     return rows.withColumn(name, (F.row_number().over(Window.partitionBy(*by).orderBy(*order)) - 1).cast("long"))
 
 

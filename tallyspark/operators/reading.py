@@ -1,6 +1,6 @@
 """The reading-time report: what a word's surprisal adds to regressions of eleven measures.
 
-Every regression is one aggregation of products (stats.ols); only moments reach the driver, and the report has a row a measure.
+All regressions of a report are one aggregation of products by measure (stats.nested_fits), after one of means; only moments reach the driver, and the report has a row a measure.
 """
 
 from __future__ import annotations
@@ -22,11 +22,11 @@ REPORT = "measure string, coefficient double, t double, p double, r2 double, del
 def powers(rows: DataFrame, measures: list[str], mains: list[str], added: str = "pred") -> list[dict]:
     """A row for each measure: the model with mains, their products and `added`, against the one without `added`.
 
-    As each model takes the rows that are complete for it, the baseline may have more rows than the model."""
+    As each model takes the rows that are complete for it, the baseline may have more rows than the model. Two passes over the rows for all measures."""
     wide, names = stats.with_interactions(rows, mains)
-    out = []
+    fits, out = stats.nested_fits(wide, measures, names, added), []
     for m in measures:
-        base, full = stats.ols(wide, m, names), stats.ols(wide, m, [*names, added])
+        base, full = fits[m]
         out.append({
             "measure": m, "coefficient": float(full["coef"][-1]), "t": float(full["t"][-1]), "p": float(full["p"][-1]), "r2": full["r2"], "delta_r2": full["r2"] - base["r2"],
             "aic": full["aic"], "delta_aic": full["aic"] - base["aic"], "partial": (full["r2"] - base["r2"]) / (1 - base["r2"]) if base["r2"] < 1 else 0.0, "n": int(full["n"]),

@@ -83,6 +83,27 @@ def in_order(rows: DataFrame, column: str, names: list[str], out: str = "place")
     return rows.withColumn(out, F.when(at > 0, at - 1).otherwise(F.lit(len(names))).cast("int"))
 
 
+#: What names of models say about the languages they were trained on, and the order of the combinations in tables.
+ENGLISH_MARK = "strict"
+LANGUAGES = {"eng": r"en_|^en", "nld": "nld", "zho": "zho"}
+ALONE = r"lm-(nld|zho)"
+COMBINATIONS = ["eng", "nld", "zho", "eng+nld", "eng+zho", "nld+zho", "eng+nld+zho"]
+
+
+def training_languages(model: Column) -> Column:
+    """The languages that a model's name tells, in the order of `LANGUAGES`: a mark for English alone, one language behind a family's name, or parts of the name."""
+    name = F.lower(model)
+    alone = F.regexp_extract(name, ALONE, 1)
+    parts = F.filter(F.array(*[F.when(name.rlike(p), F.lit(code)) for code, p in LANGUAGES.items()]), lambda x: x.isNotNull())
+    found = F.when(name.contains(ENGLISH_MARK), F.array(F.lit("eng"))).when(alone != "", F.array(alone)).otherwise(parts)
+    return F.coalesce(found, F.array().cast("array<string>"))
+
+
+def by_languages(rows: DataFrame, model: str) -> DataFrame:
+    """With `languages` and `place`, the place of their combination in tables; other combinations, and names that tell none, come last."""
+    return in_order(rows.withColumn("languages", training_languages(F.col(model))).withColumn("__c", F.array_join("languages", "+")), "__c", COMBINATIONS).drop("__c")
+
+
 def paired(left: DataFrame, right: DataFrame, left_order: list, right_order: list) -> DataFrame:
     """Two lists of one group side by side, as far as the shorter goes (words and their contexts, rows and their images)."""
     one = F.lit(0).alias("__g")

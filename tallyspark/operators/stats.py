@@ -7,6 +7,7 @@ k x k moments reach the driver. Curve fits, which iterate, run per group in nump
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -111,8 +112,12 @@ def _t_tail(t: float, df: float) -> float:
 
 def ols(rows: DataFrame, y: str, on: list[str]) -> dict:
     """Least squares with an intercept: coef, t, p (intercept first), r2, aic, n."""
-    mean, cross, n = moments(rows, [*on, y])
-    k = len(on)
+    return fit(*moments(rows, [*on, y]))
+
+
+def fit(mean: np.ndarray, cross: np.ndarray, n: int) -> dict:
+    """The same from moments, the last column being y."""
+    k = len(mean) - 1
     inverse = np.linalg.pinv(cross[:k, :k])
     slope = inverse @ cross[:k, k]
     coef = np.append(mean[k] - slope @ mean[:k], slope)
@@ -123,10 +128,49 @@ def ols(rows: DataFrame, y: str, on: list[str]) -> dict:
     with np.errstate(divide="ignore", invalid="ignore"):
         t = coef / se
     r2 = 1 - rss / cross[k, k] if cross[k, k] > 0 else 0.0
-    likelihood = -n / 2 * (math.log(2 * math.pi) + math.log(rss / n) + 1) if rss > 0 else float("inf")
+    likelihood = -n / 2 * (math.log(2 * math.pi) + math.log(rss / n) + 1) if rss > 0 and n else float("inf")
     return {"coef": coef, "t": t, "p": np.array([_t_tail(float(x), df) for x in t]), "r2": float(r2), "aic": 2 * (k + 1) - 2 * likelihood, "n": n}
 
 
+def nested_fits(rows: DataFrame, measures: list[str], on: list[str], added: str) -> dict[str, tuple[dict, dict]]:
+    """For each measure the fit on `on`, and that with `added` behind them, each on the rows that are complete for it.
+
+    Two passes, however many measures there are: means, then products of deviations from them, both grouped by measure. Rows that lack only
+    `added` have sums of their own, so the first fit takes both sums and the second one of them. Only k x k moments of a measure reach the driver."""
+    number = lambda c: F.nullif(F.nanvl(F.col(f"`{c}`").cast("double"), F.lit(None)), F.lit(float("nan")))
+    names = [f"c{i}" for i in range(len(on))]
+    each = F.array(*[F.struct(F.lit(m).alias("measure"), number(m).alias("y")) for m in measures])
+    wide = rows.select(*[number(c).alias(n) for n, c in zip(names, on)], number(added).alias("a"), each.alias("each")).dropna(subset=names)
+    long = wide.select(*names, "a", F.inline("each")).filter("y is not null")
+    columns = [*names, "a", "y"]
+    k = len(columns)
+    centres = {r["measure"]: [r[f"m{i}"] or 0.0 for i in range(k)] for r in long.groupBy("measure").agg(*[F.avg(c).alias(f"m{i}") for i, c in enumerate(columns)]).collect()}  # a row a measure
+    if not centres:
+        nothing = lambda n: fit(np.zeros(n + 1), np.zeros((n + 1, n + 1)), 0)
+        return {m: (nothing(len(on)), nothing(len(on) + 1)) for m in measures}
+    # a chain of conditions of a handful of measures stays in generated code
+    centre = [F.create_map(*[x for m, v in centres.items() for x in (F.lit(m), F.lit(float(v[i])))])[F.col("measure")] for i in range(k)]
+    away = long.select("measure", F.col("a").isNotNull().alias("whole"), *[F.coalesce(F.col(c) - centre[i], F.lit(0.0)).alias(f"d{i}") for i, c in enumerate(columns)])
+    sums = [F.sum(f"d{i}").alias(f"s{i}") for i in range(k)] + [F.sum(F.col(f"d{i}") * F.col(f"d{j}")).alias(f"s{i}_{j}") for i in range(k) for j in range(i, k)]
+    found: dict[str, dict[bool, tuple]] = {m: {} for m in measures}
+    for r in away.groupBy("measure", "whole").agg(F.count("*").alias("n"), *sums).collect():  # two rows a measure
+        cross = np.array([[r[f"s{min(i, j)}_{max(i, j)}"] for j in range(k)] for i in range(k)])
+        found[r["measure"]][r["whole"]] = (r["n"], np.array([r[f"s{i}"] for i in range(k)]), cross)
+    none = (0, np.zeros(k), np.zeros((k, k)))
+    base, out = [i for i in range(k) if i != k - 2], {}
+    for m in measures:
+        whole, part = found[m].get(True, none), found[m].get(False, none)
+        both = tuple(a + b for a, b in zip(whole, part))
+        c = np.array(centres.get(m, [0.0] * k))
+
+        def fitted(sums: tuple, keep: list[int]) -> dict:
+            n, first, cross = sums[0], sums[1][keep], sums[2][np.ix_(keep, keep)]
+            return fit(c[keep] + first / max(1, n), cross - np.outer(first, first) / max(1, n), n)
+
+        out[m] = fitted(both, base), fitted(whole, list(range(k)))
+    return out
+
+
 def with_interactions(rows: DataFrame, mains: list[str]) -> tuple[DataFrame, list[str]]:
     """The main effects and all their pairwise products."""
     pairs = [(a, b) for i, a in enumerate(mains) for b in mains[i + 1 :]]
@@ -150,11 +194,17 @@ def confusion(rows: DataFrame, gold: Column, guess: Column, by: list[str] = ())
     return c.withColumns({"accuracy": ratio(d["tp"] + d["tn"], d["tp"] + d["fp"] + d["fn"] + d["tn"], 0.0), "f1": ratio(2 * d["tp"], 2 * d["tp"] + d["fp"] + d["fn"], 0.0), "mcc": ratio(d["tp"] * d["tn"] - d["fp"] * d["fn"], F.sqrt(product), 0.0)})
 
 
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with `value` computed once: inside a higher-order function an outer expression would run for every element."""
+    return F.transform(F.array(value), use)[0]
+
+
 def softmax(values: Column, beta: float | Column = 1.0) -> Column:
-    """exp(beta (x - max)) over its sum."""
+    """exp(beta (x - max)) over its sum; linear in the number of values."""
     b = beta if isinstance(beta, Column) else F.lit(float(beta))
-    e = F.transform(values, lambda x: F.exp(b * (x.cast("double") - F.array_max(values))))
-    return F.transform(e, lambda x: x / F.aggregate(e, F.lit(0.0), lambda a, y: a + y))
+    powers = _once(F.struct(values.alias("v"), F.array_max(values).cast("double").alias("m")), lambda s: F.transform(s["v"], lambda x: F.exp(b * (x.cast("double") - s["m"]))))
+    whole = lambda e: F.struct(e.alias("e"), F.aggregate(e, F.lit(0.0), lambda a, y: a + y).alias("t"))
+    return _once(powers, lambda e: _once(whole(e), lambda s: F.transform(s["e"], lambda x: x / s["t"])))
 
 
 def kl(p: Column, q: Column, least: float = 1e-10) -> Column:
@@ -163,11 +213,12 @@ def kl(p: Column, q: Column, least: float = 1e-10) -> Column:
     return F.aggregate(F.zip_with(p, q, lambda a, b: clip(a) * F.ln(clip(a) / clip(b))), F.lit(0.0), lambda a, x: a + x)
 
 
-def best_beta(trials: DataFrame, human: str, logits: str, low: float = 0.025, high: float = 40.0, points: int = 25, rounds: int = 4) -> dict:
-    """The inverse temperature with the least mean divergence: a geometric grid, refined around its best point. Each round is one pass."""
-    best = {"beta": low, "kl": float("inf")}
-    for _ in range(rounds):
-        grid = [float(x) for x in np.geomspace(low, high, points)]
+def best_beta(trials: DataFrame, human: str, logits: str, low: float = 0.025, high: float = 40.0, points: int = 25, rounds: int = 4, grid: list[float] | None = None) -> dict:
+    """The inverse temperature with the least mean divergence: the best of a given grid, or of a geometric one that is refined around its best point. Each round is one pass."""
+    best, given = {"beta": low, "kl": float("inf")}, grid
+    for _ in range(1 if given else rounds):
+        grid = given or [float(x) for x in np.geomspace(low, high, points)]
+        points = len(grid)
         scored = trials.agg(*[F.avg(kl(F.col(human), softmax(F.col(logits), b))).alias(f"b{k}") for k, b in enumerate(grid)]).first()
         k = min(range(points), key=lambda i: (scored[f"b{i}"] if scored[f"b{i}"] is not None else float("inf"), i))
         best = {"beta": grid[k], "kl": scored[f"b{k}"]}
