@@ -1,7 +1,7 @@
 """Statistics: correlations, regressions by moments, classification metrics, choice models, curve fits.
 
 Whatever can be is an aggregation of products, so one pass with map-side sums serves any number of rows, and only
-k x k moments reach the driver. Curve fits, which iterate, run per group in numpy.
+k x k moments reach the driver. Curve fits, which iterate, run in numpy on batches of words (curves).
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import ratio
+from .curves import ages, child_age, model_age  # noqa: F401  (fits are part of the statistics)
 
 
 def pearson(rows: DataFrame, a: Column, b: Column, by: list[str] = (), least: int = 2, empty: float | None = None) -> DataFrame:
@@ -51,14 +52,22 @@ def running_total(rows: DataFrame, order: list[str], amount: str, out: str, by:
     before = F.sum("__t").over(Window.partitionBy(*by).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1))  # `parts` rows a group
     totals = totals.select(*by, "__range", F.coalesce(before, F.lit(0)).alias("__before"))
     w = Window.partitionBy(*by, "__range").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return cut.withColumn("__sum", F.sum(amount).over(w)).join(totals if by else F.broadcast(totals), [*by, "__range"]).withColumn(out, F.col("__sum") + F.col("__before")).drop("__range", "__sum", "__before")
+    before = totals.select(*[F.col(c).alias(f"__by_{c}") for c in by], F.col("__range").alias("__at"), "__before")
+    on = F.col("__range") == F.col("__at")
+    for c in by:
+        on = on & F.col(c).eqNullSafe(F.col(f"__by_{c}"))
+    return cut.withColumn("__sum", F.sum(amount).over(w)).join(before if by else F.broadcast(before), on).select(*rows.columns, (F.col("__sum") + F.col("__before")).alias(out))
 
 
 def average_ranks(rows: DataFrame, value: str, out: str, by: list[str] = ()) -> DataFrame:
-    """Ranks with ties shared evenly. Counts by value first, so the ordered pass sees each distinct value once, range by range."""
-    counts = rows.groupBy(*by, value).agg(F.count("*").alias("__c"))
-    ranks = running_total(counts, [value], "__c", "__r", by)
-    return rows.join(ranks.select(*by, value, (F.col("__r") - (F.col("__c") - 1) / 2.0).alias(out)), [*by, value])
+    """Ranks with ties shared evenly; a null or NaN has no rank, and its row stays. Counts by value first, so the ordered pass sees each distinct value once, range by range."""
+    number = F.nullif(F.col(value).cast("double"), F.lit(float("nan")))
+    counts = rows.withColumn("__v", number).filter("__v is not null").groupBy(*by, "__v").agg(F.count("*").alias("__c"))
+    ranks = running_total(counts, ["__v"], "__c", "__r", by).select(*[F.col(c).alias(f"__by_{c}") for c in by], F.col("__v").alias("__at"), (F.col("__r") - (F.col("__c") - 1) / 2.0).alias(out))
+    on = F.col("__v") == F.col("__at")
+    for c in by:
+        on = on & F.col(c).eqNullSafe(F.col(f"__by_{c}"))
+    return rows.withColumn("__v", number).join(ranks, on, "left").select(*rows.columns, out)
 
 
 def residual(rows: DataFrame, y: str, on: list[str], out: str) -> DataFrame:
@@ -230,15 +239,24 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
-def _block_pairs(vectors: DataFrame, key: str, vector: str, block: int) -> DataFrame:
-    """(p, q, role, k, v): every vector, for each pair of blocks p >= q that it belongs to; role 0 in p, 1 in q."""
-    unit = vectors.select(F.col(key).cast("long").alias("k"), F.transform(vector, lambda x: x.cast("double")).alias("v"), F.floor(F.col(key) / block).cast("long").alias("b"))
-    last = vectors.agg(F.max(F.floor(F.col(key) / block)).cast("long").alias("m")).first()["m"] or 0
-    left = unit.select(F.col("b").alias("p"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("b"))).alias("q"), F.lit(0).alias("role"), "k", "v")
-    right = unit.select(F.explode(F.sequence(F.col("b"), F.lit(last).cast("long"))).alias("p"), F.col("b").alias("q"), F.lit(1).alias("role"), "k", "v")
+def _blocks_of(rows: DataFrame, key: str, block: int) -> DataFrame:
+    """(p, q, role, k, v): every row (k, v), for each pair of blocks p >= q that it belongs to; role 0 in p, 1 in q.
+
+    A block is a range of keys, so keys should be dense; sparse ones make blocks of few rows."""
+    at = F.expr(f"(cast({key} as bigint) - pmod(cast({key} as bigint), {block})) div {block}")
+    unit = rows.select(F.col(key).cast("long").alias("k"), "v", at.alias("b"))
+    ends = unit.agg(F.min("b").alias("low"), F.max("b").alias("high")).first()
+    low, high = (F.lit(ends[c] or 0).cast("long") for c in ("low", "high"))
+    left = unit.select(F.col("b").alias("p"), F.explode(F.sequence(low, F.col("b"))).alias("q"), F.lit(0).alias("role"), "k", "v")
+    right = unit.select(F.explode(F.sequence(F.col("b"), high)).alias("p"), F.col("b").alias("q"), F.lit(1).alias("role"), "k", "v")
     return left.union(right)
 
 
+def _block_pairs(vectors: DataFrame, key: str, vector: str, block: int) -> DataFrame:
+    """The same for the vectors of a table."""
+    return _blocks_of(vectors.select(key, F.transform(vector, lambda x: x.cast("double")).alias("v")), key, block)
+
+
 def _cosines(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of a pair of blocks: the keys of both, and their cosines, NaN where a vector is null or zero."""
     sides = []
@@ -279,84 +297,60 @@ def cosine_summary(vectors: DataFrame, key: str, vector: str, block: int = 1024)
     return parts.groupBy("i").agg(F.sum("n").alias("n"), F.max("top").alias("nearest"), F.when(F.sum("valid") > 0, F.sum("total") / F.sum("valid")).alias("mean"))
 
 
+def _bins(values: np.ndarray, digits: int) -> np.ndarray:
+    """Similarities as whole numbers of 10**-digits; halves go away from zero, as rounding does in SQL."""
+    scaled = values * 10**digits
+    return (np.sign(scaled) * np.floor(np.abs(scaled) + 0.5)).astype(np.int64)
+
+
+def matrix_rank_correlation(vectors: DataFrame, key: str, a: str, b: str, digits: int = 6, block: int = 1024) -> DataFrame:
+    """(rho, n): Spearman's correlation of the lower triangles of the cosine matrices of two sets of vectors of the same rows.
+
+    Similarities are ranked after rounding to `digits`, so they are whole numbers within 10**digits of zero, and ties share their
+    rank. Block products are computed twice and never stored: first into counts of the values of each matrix, whose running totals are the ranks, then to
+    look each pair's ranks up and sum their products. What moves are the blocks of vectors and at most 2 * 10**digits + 1 counts a matrix,
+    however many pairs there are. Pairs in which a vector is null, of zero length or not finite in one matrix count in neither."""
+
+    scale = 10**digits
+
+    def both(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        i, j, x = _cosines(pdf.assign(v=pdf.x))
+        _, _, y = _cosines(pdf.assign(v=pdf.y))
+        good = (i[:, None] > j[None, :]) & np.isfinite(x) & np.isfinite(y)
+        return _bins(x[good], digits), _bins(y[good], digits)
+
+    def counts(pdf: pd.DataFrame) -> pd.DataFrame:
+        parts = []
+        for side, values in zip((0, 1), both(pdf)):
+            found, n = np.unique(values, return_counts=True)
+            parts.append(pd.DataFrame({"side": side, "value": found, "n": n}))
+        return pd.concat(parts)
+
+    number = lambda c: F.when(F.forall(F.col(c), lambda x: x.isNotNull() & ~F.isnan(x.cast("double"))), F.transform(c, lambda x: x.cast("double")))
+    rows = vectors.select(F.col(key).alias("k"), F.struct(number(a).alias("x"), number(b).alias("y")).alias("v")).filter("k is not null and v.x is not null and v.y is not null")
+    pairs = _blocks_of(rows, "k", block).select("p", "q", "role", "k", "v.x", "v.y")
+    histogram = pairs.groupBy("p", "q").applyInPandas(counts, "side int, value long, n long").groupBy("side", "value").agg(F.sum("n").alias("n"))
+    tables = []
+    for side in (0, 1):  # bounded by the rounding, whatever the number of pairs
+        found = histogram.filter(F.col("side") == side).select("value", "n").toPandas().sort_values("value")
+        n = found.n.to_numpy(np.int64)
+        tables.append((found.value.to_numpy(np.int64), np.cumsum(n) - (n - 1) / 2.0))
+    total = int(n.sum())
+    if total < 2:
+        return vectors.sparkSession.createDataFrame([(None, total)], "rho double, n long")
+    middle = (total + 1) / 2.0
+    shared = vectors.sparkSession.sparkContext.broadcast(tables)
+
+    def sums(pdf: pd.DataFrame) -> pd.DataFrame:
+        ranks = [table[1][np.searchsorted(table[0], values)] - middle for table, values in zip(shared.value, both(pdf))]
+        x, y = ranks
+        return pd.DataFrame({"xy": [float(x @ y)], "xx": [float(x @ x)], "yy": [float(y @ y)]})
+
+    out = pairs.groupBy("p", "q").applyInPandas(sums, "xy double, xx double, yy double").agg(F.sum("xy").alias("xy"), F.sum("xx").alias("xx"), F.sum("yy").alias("yy"))
+    flat = (F.col("xx") <= 0) | (F.col("yy") <= 0)
+    return out.select(F.when(~flat, F.col("xy") / F.sqrt("xx") / F.sqrt("yy")).alias("rho"), F.lit(total).cast("long").alias("n"))
+
+
 def mean_vector(rows: DataFrame, by: list[str], vector: str) -> DataFrame:
     """(by, pos, mean) of the vectors of each group: one aggregation, no vector is collected."""
     return rows.select(*by, F.posexplode(vector).alias("pos", "x")).groupBy(*by, "pos").agg(F.avg(F.col("x").cast("double")).alias("mean"))
-
-
-# ---- acquisition curves ---------------------------------------------------------------------------
-
-
-def _sigmoid(x, p):
-    return p[0] / (1 + np.exp(-np.clip(p[1] * (x - p[2]), -500, 500))) + p[3]
-
-
-def fit_sigmoid(x: np.ndarray, y: np.ndarray, start, low=None, high=None, rounds: int = 200) -> np.ndarray | None:
-    """Least squares of a four-parameter sigmoid within bounds, by damped Gauss-Newton; None without enough points."""
-    if len(x) < 3:
-        return None
-    low = np.full(4, -np.inf) if low is None else np.array(low, float)
-    high = np.full(4, np.inf) if high is None else np.array(high, float)
-    p, damp = np.clip(np.array(start, float), low, high), 1e-2
-    cost = lambda v: float(((_sigmoid(x, v) - y) ** 2).sum())
-    now = cost(p)
-    for _ in range(rounds):
-        s = 1 / (1 + np.exp(-np.clip(p[1] * (x - p[2]), -500, 500)))
-        g = p[0] * s * (1 - s)
-        j = np.column_stack([s, g * (x - p[2]), -g * p[1], np.ones_like(x)])
-        r = _sigmoid(x, p) - y
-        a = j.T @ j
-        try:
-            step = np.linalg.solve(a + damp * (np.diag(np.diag(a)) + 1e-12 * np.eye(4)), j.T @ r)
-        except np.linalg.LinAlgError:
-            return None
-        trial = np.clip(p - step, low, high)
-        then = cost(trial)
-        if then < now:
-            done = now - then < 1e-14 * (1 + now)
-            p, now, damp = trial, then, max(damp / 3, 1e-12)
-            if done:
-                break
-        else:
-            damp *= 4
-            if damp > 1e12:
-                break
-    return p if np.isfinite(p).all() else None
-
-
-def crossing(p, level: float) -> float | None:
-    """Where the curve reaches a level; None unless it rises through it."""
-    if p is None or not (p[0] > 0 and p[1] > 0 and p[3] < level < p[0] + p[3]):
-        return None
-    return float(p[2] - math.log(p[0] / (level - p[3]) - 1) / p[1])
-
-
-def child_age(x: np.ndarray, y: np.ndarray, level: float = 0.5) -> float | None:
-    """The age at which a bounded sigmoid through the proportions reaches one half, within the observed ages."""
-    if len(x) < 3:
-        return None
-    at = crossing(fit_sigmoid(x, y, (1, 0.1, x.mean(), 0), (0, 0, x[0], -0.5), (2, 1, x[-1], 0.5)), level)
-    return at if at is not None and x[0] <= at <= x[-1] else None
-
-
-def model_age(step: np.ndarray, surprisal: np.ndarray, chance: float = math.log2(300000)) -> float | None:
-    """log10 of the step at which surprisal has gone half the way from chance to its least value, within the observed steps."""
-    keep = np.isfinite(step) & np.isfinite(surprisal)
-    step, y = step[keep], -surprisal[keep]
-    if len(step) < 3:
-        return None
-    x = np.log10(step + 1)
-    level = -(chance + surprisal[keep].min()) / 2
-    at = crossing(fit_sigmoid(x, y, (np.ptp(y) or 1.0, 1, x.mean(), y.min())), level)
-    return at if at is not None and step[0] <= 10**at - 1 <= step[-1] else None
-
-
-def ages(rows: DataFrame, word: str, x: str, y: str, kind: str = "model") -> DataFrame:
-    """(word, age) by a fit for each word; a word's points must fit a task (checkpoints times contexts)."""
-    f = model_age if kind == "model" else child_age
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        name, pdf = pdf[word].iloc[0], pdf.dropna(subset=[x, y]).sort_values([x, y])
-        return pd.DataFrame({word: [name], "age": [f(pdf[x].to_numpy(float), pdf[y].to_numpy(float))]})
-
-    return rows.select(F.col(word).cast("string").alias(word), F.col(x).cast("double").alias(x), F.col(y).cast("double").alias(y)).groupBy(word).applyInPandas(one, f"{word} string, age double")

@@ -424,11 +424,35 @@ def q_surprisal_series(spark, d):
     return e.groupBy("event_type", F.to_date("ts").cast("string").alias("step")).agg(F.count("*").alias("n"), r6(F.avg("value")).alias("mean"), r6(F.min("value")).alias("least"), r6(F.max("value")).alias("most"))
 
 
+STEPS = [*range(1, 11), *range(20, 101, 10), *range(200, 1001, 100)]
+CURVE = f"""k AS (SELECT p_partkey, 5 + 3 * {H("p_partkey || 'a'")} AS a, 3 + 3 * {H("p_partkey || 'b'")} AS b, 6.6 + 1.6 * {H("p_partkey || 'c'")} AS c, -16 + {H("p_partkey || 'd'")} AS d FROM (SELECT DISTINCT p_partkey FROM part)),
+z AS (SELECT p_partkey, a, b, c, d, m * 1e6 AS step, ROW_NUMBER() OVER (PARTITION BY p_partkey ORDER BY CASE WHEN p_partkey % 10 = 3 THEN -m ELSE m END) AS arrival FROM k, (SELECT unnest({STEPS}) AS m)),
+y AS (SELECT *, a / (1 + exp(-b * (log10(step + 1) - c))) + d AS y FROM z)"""
+
+
+def _curves(spark, d) -> DataFrame:
+    """Noiseless learning curves of as many words as there are parts; every tenth arrives in the opposite order."""
+    h = lambda x: hash_score(F.concat(F.col("p_partkey").cast("string"), F.lit(x)))
+    words = t(spark, d, "part").select("p_partkey").distinct()
+    at = words.withColumn("m", F.explode(F.array(*map(F.lit, STEPS)))).withColumn("step", F.col("m") * 1e6)
+    value = (5 + 3 * h("a")) / (1 + F.exp(-(3 + 3 * h("b")) * (F.log10(F.col("step") + 1) - (6.6 + 1.6 * h("c"))))) + (-16 + h("d"))
+    return at.select(F.col("p_partkey").cast("string").alias("word"), F.when(F.col("p_partkey") % 10 == 3, -F.col("m")).otherwise(F.col("m")).alias("arrival"), "step", (-value).alias("surprisal"))
+
+
+@query(f"""WITH {CURVE}, w AS (SELECT p_partkey, any_value(a) AS a, any_value(b) AS b, any_value(c) AS c, any_value(d) AS d, (max(y) - log2(300000)) / 2 AS level, min(step) FILTER (arrival = 1) AS first, max(step) FILTER (arrival = {len(STEPS)}) AS last FROM y GROUP BY 1),
+x AS (SELECT *, CASE WHEN d < level AND level < a + d THEN c - ln(a / (level - d) - 1) / b END AS found FROM w)
+SELECT p_partkey::VARCHAR AS word, round(CASE WHEN first <= power(10, found) - 1 AND power(10, found) - 1 <= last THEN found END, 4) AS age FROM x""")
+def q_aoa_curves(spark, d):
+    """The ages that fits find on noiseless curves, against the curves' own."""
+    found = stats.ages(_curves(spark, d), "word", "step", "surprisal", order=["arrival"])
+    return found.withColumn("age", F.round("age", 4))
+
+
 @query()
 def q_aoa_fit(spark, d):
-    e = t(spark, d, "events").select(F.col("event_type").alias("word"), (F.dayofmonth("ts") * 1e6).alias("step"), F.col("value").alias("surprisal"))
-    daily = e.groupBy("word", "step").agg((20 - F.col("step") / 2e6 + F.avg("surprisal") / 100).alias("surprisal"))
-    return stats.ages(daily, "word", "step", "surprisal")
+    """Fits of noisy series: each event a point of its own, in order of arrival."""
+    e = t(spark, d, "events").select(F.col("event_type").alias("word"), "ts", "event_id", (F.dayofmonth("ts") * 1e6).alias("step"), (20 - F.dayofmonth("ts") / 2 + F.col("value") / 100).alias("surprisal"))
+    return stats.ages(e, "word", "step", "surprisal", order=["ts", "event_id"])
 
 
 @query("""WITH m AS (SELECT month(o_orderdate) AS month, o_orderpriority AS word, avg(o_totalprice) AS prop FROM orders GROUP BY 1, 2), w AS (SELECT word, avg(prop) AS mean, count(*) AS n FROM m GROUP BY 1) SELECT word, round(mean, 6) AS mean, n::BIGINT AS n FROM w""")
@@ -525,14 +549,19 @@ def q_cosine_pairs(spark, d):
     return stats.cosine_summary(t(spark, d, "embeddings"), "vec_id", "embedding").withColumns({"nearest": r6("nearest"), "mean": r6("mean")})
 
 
-@query("""WITH v AS (SELECT vec_id, list_transform(embedding[1:32], lambda x: x::DOUBLE) AS x, list_transform(embedding[33:64], lambda x: x::DOUBLE) AS y FROM embeddings), p AS (SELECT round(list_cosine_similarity(a.x, b.x), 9) AS s, round(list_cosine_similarity(a.y, b.y), 9) AS t FROM v a JOIN v b ON a.vec_id > b.vec_id),
+@query("""WITH v AS (SELECT vec_id, list_transform(embedding[1:32], lambda x: x::DOUBLE) AS x, list_transform(embedding[33:64], lambda x: x::DOUBLE) AS y FROM embeddings), p AS (SELECT round(list_cosine_similarity(a.x, b.x), 4) AS s, round(list_cosine_similarity(a.y, b.y), 4) AS t FROM v a JOIN v b ON a.vec_id > b.vec_id),
 r AS (SELECT rank() OVER (ORDER BY s) + (count(*) OVER (PARTITION BY s) - 1) / 2.0::DOUBLE AS a, rank() OVER (ORDER BY t) + (count(*) OVER (PARTITION BY t) - 1) / 2.0::DOUBLE AS b FROM p) SELECT round(corr(a, b), 4) AS rho, count(*)::BIGINT AS n FROM r""")
 def q_rsa_spearman(spark, d):
-    e = t(spark, d, "embeddings")
-    half = lambda lo, name: stats.cosine_pairs(e.select("vec_id", F.slice("embedding", lo, 32).alias("v")), "vec_id", "v").select("i", "j", F.round("cosine", 9).alias(name))
-    both = half(1, "s").join(half(33, "t"), ["i", "j"])
-    ranked = stats.average_ranks(stats.average_ranks(both, "s", "a"), "t", "b")
-    return stats.pearson(ranked, F.col("a"), F.col("b")).select(F.round("r", 4).alias("rho"), "n")
+    """The two halves of the vectors as two models: the rank correlation of their similarity matrices."""
+    e = t(spark, d, "embeddings").select("vec_id", F.slice("embedding", 1, 32).alias("x"), F.slice("embedding", 33, 32).alias("y"))
+    return stats.matrix_rank_correlation(e, "vec_id", "x", "y", 4).select(F.round("rho", 4).alias("rho"), "n")
+
+
+@query("""WITH v AS (SELECT event_id, event_type, CASE WHEN event_id % 7 <> 0 THEN round(value) END AS x FROM events), r AS (SELECT event_id, rank() OVER (PARTITION BY event_type ORDER BY x) + (count(*) OVER (PARTITION BY event_type, x) - 1) / 2.0::DOUBLE AS r FROM v WHERE x IS NOT NULL) SELECT event_id, r AS rank FROM v LEFT JOIN r USING (event_id)""")
+def q_average_ranks(spark, d):
+    """Ranks with ties within each type of event; events without a value have none."""
+    rows = t(spark, d, "events").select("event_id", "event_type", F.when(F.col("event_id") % 7 != 0, F.round("value")).alias("x"))
+    return stats.average_ranks(rows, "x", "rank", ["event_type"]).select("event_id", "rank")
 
 
 @query("""WITH p AS (SELECT label, unnest(range(0, 64)) AS pos, embedding FROM embeddings) SELECT label, pos::INTEGER AS pos, round(avg(embedding[pos + 1]::DOUBLE), 6) AS mean FROM p GROUP BY 1, 2""")

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import io
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import finite
@@ -35,11 +35,22 @@ def jsonl(spark: SparkSession, path: str, task: str | None = None, schema: str |
     return rows.select("*", _stem().alias("stem"))
 
 
+def numbered_lines(spark: SparkSession, path: str, pattern: str = "*.jsonl") -> DataFrame:
+    """(path, stem, line_no, line) of all lines of the files of a folder, line_no from 0 in each file.
+
+    A file is read in splits, as any text is. One pass counts the lines of each split; what the splits before it in its file hold, and a
+    line's place within its own, give its number. Splits are as many as the readers make; no file has to fit a task, and no line is sorted."""
+    lines = spark.read.option("pathGlobFilter", pattern).text(path).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("__split"), _stem().alias("stem"), F.monotonically_increasing_id().alias("__id"), F.col("value").alias("line"))
+    # a split's lines follow one another in a task, so their ids do; both passes plan the same splits of the same files
+    counts = lines.groupBy("path", "__split").agg(F.count("*").alias("n"), F.min("__id").alias("__first"))
+    before = F.sum("n").over(Window.partitionBy("path").orderBy("__split")) - F.col("n")  # a row a split
+    starts = counts.select("path", "__split", (before - F.col("__first")).alias("__shift"))
+    return lines.join(starts, ["path", "__split"]).select("path", "stem", (F.col("__id") + F.col("__shift")).alias("line_no"), "line")
+
+
 def jsonl_ordered(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """The same with line_no, from 0 in each file; a file is a task's unit, as these files are small."""
-    whole = spark.read.option("pathGlobFilter", "*.jsonl").text(path, wholetext=True)
-    lines = whole.select(_stem().alias("stem"), F.posexplode(F.split(F.regexp_replace("value", r"\r?\n\z", ""), r"\r?\n")).alias("line_no", "line"))
-    return lines.select("stem", F.col("line_no").cast("long").alias("line_no"), F.from_json("line", schema).alias("r")).select("stem", "line_no", "r.*")
+    """The rows of JSON lines with the stem of the file and line_no, from 0 in each file."""
+    return numbered_lines(spark, path).select("stem", "line_no", F.from_json("line", schema).alias("r")).select("stem", "line_no", "r.*")
 
 
 def predictions(spark: SparkSession, path: str) -> DataFrame:
