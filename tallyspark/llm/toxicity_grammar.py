@@ -157,9 +157,9 @@ def clause_kinds(text: str | None, lexicon: Lexicon) -> np.ndarray:
         at = m.start()
         if at < done or at and text[at - 1].isalpha():
             continue
-        end = _END.search(text, at)
+        end, before = _END.search(text, at), done
         done = end.start() if end else len(text)
-        begin = max(text.rfind(c, 0, at) for c in ".!?;:,\n") + 1
+        begin = max(text.rfind(c, max(before, 0), at) for c in ".!?;:,\n") + 1  # the clause before ended with a mark: none further back matters
         words = _WORD.findall(text, begin, done)
         best: dict[int, float] = {}
         for word, kind in zip(words, GRAMMAR.run([lexicon.symbol(w) for w in words])):
