@@ -1,7 +1,9 @@
-"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
 
-Words are `[^\\x20\\x09-\\x0D]+` in lower case. Every word n-gram of a benchmark item is a seed. None is left out as
-common: the rarest ones of an item are those that an edit broke, so a choice by rarity loses edited copies.
+Words are `[^\\x20\\x09-\\x0D]+` in lower case. A word n-gram that few items have is a seed by itself. One that more than `COMMON` items have, such as "which
+of the following is", is a seed only for those of its items of which the document has a rarer word too, near by. No copy is lost by that: a
+score of `least` needs that share of an item's words, so one at least of the rarest others, however the words are ranked; they are by the number of items that have
+them. Grams of a document that no item has cost nothing, and ones that an edit broke don't matter, as every intact one is looked at.
 Wherever a document has a seed, the words around it are aligned with the item by Smith-Waterman (match 2,
 mismatch -1, gap -1), unless they have too few words of the item for the least score; overlapping windows of one item
 are joined. The score is the best local alignment's over that of the item with itself: 1 for an exact copy, less for
@@ -17,6 +19,8 @@ Columns beside doc_id and text don't matter, whatever their names (`drop_contami
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -28,13 +32,15 @@ from ._shared import stored, unused
 
 GRAM = 4
 BLOCK_WORDS = 1_000_000
+COMMON = 32  # items that may share a gram that is a seed by itself
+HELD_WORDS = 4_000_000  # rarer words of the common grams' items that a task keeps at hand
 
 
 class Items:
     """Word hashes of a block of items and their n-grams."""
 
-    def __init__(self, ids: list[int], texts: list[str], n: int = GRAM):
-        self.n, self.ids, self.words = n, ids, []
+    def __init__(self, ids: list[int], texts: list[str], n: int = GRAM, most: int = COMMON):
+        self.n, self.most, self.ids, self.words = n, most, ids, []
         for part in K.slices(pc.utf8_lower(pa.array(texts, pa.large_string()))):
             starts, ends, of = part.words()
             h = part.hashes(starts, ends)
@@ -55,6 +61,40 @@ class Items:
         #: lengths of whole items that are shorter than n: documents' runs of that length are hashed too
         self.short = sorted({len(w) for w in self.words if 0 < len(w) < n})
 
+        held = np.concatenate([b[0] for b in self.bags]) if self.bags else np.zeros(0, np.uint64)
+        #: every word with the number of items that have it
+        self.vocabulary, self.holders = np.unique(held, return_counts=True)
+        self.sizes = np.array([len(w) for w in self.words], np.int64)
+        self._near: dict[int, list[tuple[int, np.ndarray, np.ndarray]]] = {}
+        self._held = 0
+
+    def rarer(self, k: int, least: float) -> np.ndarray:
+        """The rarest words of item k, so many that any `least` of its words has one of them."""
+        words = self.words[k]
+        need = max(1, math.ceil(least * len(words) - 1e-9))
+        rank = self.holders[np.searchsorted(self.vocabulary, words)]
+        return np.unique(words[np.argsort(rank, kind="stable")[: len(words) - need + 1]])
+
+    def near(self, lo: int, hi: int, least: float) -> list[tuple[int, np.ndarray, np.ndarray]]:
+        """Of the seeds lo to hi of a common gram, by classes of item length: the reach in words, the rarer words, and the seed of each."""
+        found = self._near.get(lo)
+        if found is None:
+            if self._held > HELD_WORDS:
+                self._near.clear()
+                self._held = 0
+            found, seeds = [], np.arange(lo, hi)
+            kind = np.ceil(np.log2(np.maximum(self.sizes[self.item[lo:hi]], 16)) / 2)
+            for c in np.unique(kind):
+                some = seeds[kind == c]
+                parts = [self.rarer(int(self.item[e]), least) for e in some]
+                word, seed = np.concatenate(parts), np.repeat(some, [len(x) for x in parts])
+                order = np.argsort(word, kind="stable")
+                longest = int(self.sizes[self.item[some]].max())
+                found.append((longest + longest // 2 + 2, word[order], seed[order]))
+                self._held += len(word)
+            self._near[lo] = found
+        return found
+
     def common(self, k: int, text: np.ndarray) -> int:
         """Words of the text that item k has too, its own number of times at most: no alignment matches more."""
         values, times = self.bags[k]
@@ -92,6 +132,28 @@ def smith_waterman(item: np.ndarray, text: np.ndarray, match: int = 2, mismatch:
     return best, end
 
 
+def _with_rarer_words(block: Items, least: float, words, of, begin, places, lo, hits, many) -> tuple[np.ndarray, np.ndarray]:
+    """Seeds and places of common grams' hits, for the items of which the text has a rarer word in reach."""
+    seeds, at = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    if len(hits):
+        order = np.lexsort((places[hits], lo[hits], of[places[hits]]))
+        hits = hits[order]
+        cut = np.flatnonzero(np.append(True, (lo[hits[1:]] != lo[hits[:-1]]) | (of[places[hits[1:]]] != of[places[hits[:-1]]])))
+        for a, b in zip(cut, np.append(cut[1:], len(hits))):
+            here = places[hits[a:b]]
+            gram, d = int(lo[hits[a]]), int(of[here[0]])
+            for reach, rarer, seed in block.near(gram, gram + int(many[hits[a]]), least):
+                first, last = np.maximum(here - reach, begin[d]), np.minimum(here + reach, begin[d + 1])
+                first = np.maximum(first, np.append(begin[d], last[:-1]))  # places ascend: nothing twice
+                around = np.unique(words[K.ragged(first, np.maximum(last - first, 0))])
+                start = np.searchsorted(rarer, around, "left")
+                n = np.searchsorted(rarer, around, "right") - start
+                met = np.unique(seed[K.ragged(start[n > 0], n[n > 0])])
+                seeds.append(np.tile(met, len(here)))
+                at.append(np.repeat(here, len(met)))
+    return np.concatenate(seeds), np.concatenate(at)
+
+
 def _aligned(items, least: float):
     def run(batches):
         block: Items = items.value
@@ -105,9 +167,11 @@ def _aligned(items, least: float):
                 some = np.flatnonzero(many)
                 if not len(some):
                     continue
-                which = K.ragged(lo[some], many[some])
-                place = np.repeat(places[some], many[some])
                 begin = np.searchsorted(of, np.arange(len(texts) + 1))
+                rare = some[many[some] <= block.most]
+                which, place = K.ragged(lo[rare], many[rare]), np.repeat(places[rare], many[rare])
+                more = _with_rarer_words(block, least, words, of, begin, places, lo, some[many[some] > block.most], many)
+                which, place = np.concatenate([which, more[0]]), np.concatenate([place, more[1]])
                 found: dict[tuple[int, int], list[int]] = {}
                 for d, k, start in zip(of[place].tolist(), block.item[which].tolist(), (place - block.at[which]).tolist()):
                     found.setdefault((d, k), []).append(start)
@@ -140,7 +204,7 @@ def _aligned(items, least: float):
     return run
 
 
-def blocks_of(benchmark: DataFrame, most: int = BLOCK_WORDS, n: int = GRAM):
+def blocks_of(benchmark: DataFrame, most: int = BLOCK_WORDS, n: int = GRAM, common: int = COMMON):
     """The items in blocks of bounded size, read one after the other."""
     rows = benchmark.filter("item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).orderBy("item_id", "text")
     ids, texts, words = [], [], 0
@@ -149,19 +213,19 @@ def blocks_of(benchmark: DataFrame, most: int = BLOCK_WORDS, n: int = GRAM):
         texts.append(row["text"])
         words += len(row["text"].split())
         if words >= most:
-            yield Items(ids, texts, n)
+            yield Items(ids, texts, n, common)
             ids, texts, words = [], [], 0
     if ids:
-        yield Items(ids, texts, n)
+        yield Items(ids, texts, n, common)
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = 0.5, n: int = GRAM, block: int = BLOCK_WORDS) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = 0.5, n: int = GRAM, block: int = BLOCK_WORDS, common: int = COMMON) -> DataFrame:
     """(doc_id, item_id, score, first_word, end_word) of every document and item that align with a score of `least` or more; the span is of the document's words."""
     spark = docs.sparkSession
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).filter("text is not null")
     schema = f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, item_id long, score double, first_word long, end_word long"
     out = None
-    for items in blocks_of(benchmark, block, n):
+    for items in blocks_of(benchmark, block, n, common):
         if not len(items.gram):
             continue
         part = rows.mapInArrow(K.tidy(_aligned(spark.sparkContext.broadcast(items), least)), schema)

@@ -7,7 +7,7 @@ import re
 
 from test_operators import prose, shingle_set, slow_score
 
-from tallyspark.llm import decontamination, html_density, line_dedup, ngram_join
+from tallyspark.llm import decontamination, html_density, line_dedup, ngram_join, toxicity_grammar
 
 
 def test_decontamination_edited(spark):
@@ -30,10 +30,56 @@ def test_decontamination_edited(spark):
     rows.append(" ".join(middle))  # two inner words of 16: 8 of 13 grams are broken
     docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
     bench = spark.createDataFrame(list(items.items()), "item_id long, text string")
-    got = {(x.doc_id, x.item_id): round(x.score, 6) for x in decontamination.best_matches(decontamination.contaminated(docs, bench)).collect()}
+    find = lambda common: {(x.doc_id, x.item_id): round(x.score, 6) for x in decontamination.best_matches(decontamination.contaminated(docs, bench, common=common)).collect()}
+    got = find(32)
     score = {(d, k): slow_score(t, x) for d, x in enumerate(rows) for k, t in items.items() if shingle_set(t, 4) & shingle_set(x, 4)}
     want = {p: round(s, 6) for p, s in score.items() if s >= 0.5}
     assert got == want and (len(rows) - 1, 2) in want
+    assert find(0) == want  # every gram counts as common
+
+
+def test_decontamination_common_grams(spark):
+    """Items and documents that share phrases by the hundred: the pairs are those of all pairs with a gram in common, whatever counts as common."""
+    r = random.Random(3)
+    phrases = ["which of the following is", "what is the name of the", "all of the above are true"]
+    own = lambda k: " ".join(f"{p}{r.randrange(25)}" for p in ["ka", "lo", "mi", "nu"] * k)
+    items = {k: f"{own(r.choice([1, 2]))} {phrases[k % 3]} {own(r.choice([1, 2, 12]))}" for k in range(90)}
+    items |= {90: phrases[0], 91: phrases[0], 92: "of the", 93: ""}
+    rows = [f"{own(2)} {phrases[k % 3]} {own(3)}" for k in range(60)]
+    for k in range(0, 90, 4):
+        words = items[k].split()
+        for at in r.sample(range(len(words)), len(words) // 4):
+            words[at] = "edited"
+        rows.append(f"{own(1)} {' '.join(words)} {phrases[(k + 1) % 3]}")
+    rows += ["", phrases[0], " ".join(rows)]
+    docs, bench = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string"), spark.createDataFrame(list(items.items()), "item_id long, text string")
+    find = lambda **how: {(x.doc_id, x.item_id): round(x.score, 6) for x in decontamination.best_matches(decontamination.contaminated(docs, bench, **how)).collect()}
+    want = find(common=10**9)
+    assert len(want) > 60 and all(find(**how) == want for how in ({}, {"common": 0}, {"common": 5}, {"common": 5, "block": 200}))
+    plain = {(d, k): slow_score(t, x) for d, x in enumerate(rows[:-1]) for k, t in items.items() if k < 90 and shingle_set(t, 4) & shingle_set(x, 4)}
+    assert {p: s for p, s in want.items() if p[0] < len(rows) - 1 and p[1] < 90} == {p: round(s, 6) for p, s in plain.items() if s >= 0.5}
+
+
+def test_decontamination_is_linear_in_common_grams():
+    """Documents and items with nothing in common but one phrase meet nowhere."""
+    import time
+
+    import pyarrow as pa
+
+    class Shared:
+        def __init__(self, value):
+            self.value = value
+
+    def seconds(n):
+        r = random.Random(1)
+        made = lambda p: [" ".join([*(f"{p}{k}w{r.randrange(10**6)}" for _ in range(12)), "which of the following is", f"{p}{k}v"]) for k in range(n)]
+        items = decontamination.Items(list(range(n)), made("i"))
+        batch = pa.RecordBatch.from_arrays([pa.array(range(n)), pa.array(made("d"))], ["doc_id", "text"])
+        start = time.process_time()
+        assert list(decontamination._aligned(Shared(items), 0.5)([batch])) == []
+        return time.process_time() - start
+
+    assert seconds(4000) < 8 * max(0.1, seconds(1000))  # 16 times for all pairs
 
 
 def test_ngram_repeated_rows_alone(spark):
@@ -161,3 +207,21 @@ def test_html_densities():
         for g, w, total in zip(got, want, sums):
             assert (g.chars, g.tags, g.link_chars, g.link_tags) == (w["chars"], w["tags"], w["lc"], w["lt"])
             assert abs(g.density - density(w)) < 1e-9 and abs(g.sum - total) < 1e-9
+
+
+def test_toxicity_long_texts():
+    """Many clauses in one text: the time is that of its length, and each clause counts as it does alone."""
+    import time
+
+    lexicon = toxicity_grammar.Lexicon({"idiot$": 1.0})
+    r = random.Random(2)
+    clauses = [r.choice(["you idiot", "he said idiot", "not an idiot", "fine words", "idiot idiot"]) + r.choice([".", "!", "?", ";", ":", ",", "\n"]) + r.choice(["", " "]) for _ in range(400)]
+    want = sum(toxicity_grammar.clause_kinds(c, lexicon) for c in clauses)
+    assert (toxicity_grammar.clause_kinds("".join(clauses), lexicon) == want).all()
+
+    def seconds(n):
+        start = time.process_time()
+        assert toxicity_grammar.clause_kinds("you idiot. " * n, lexicon).sum() == n
+        return time.process_time() - start
+
+    assert seconds(160_000) < 10 * max(0.05, seconds(40_000))
