@@ -117,7 +117,7 @@ def test_line_dedup_whole_copies(spark):
     out = {r.doc_id: (r.text.strip(), r.n_deleted) for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert out[4] == ("", 3) and out[6] == ("", 4) and out[8] == ("", 6) and out[12] == ("", 4)
     assert out[1] == (one, 0) and out[3] == ("ss", 2) and out[5][1] == 1 and out[7] == (verse, 0) and out[11][1] == 0
-    assert out[9] == ("short\nshort\nare long\ntogether\nand", 2)  # two neighbours of four words together
+    assert out[9] == ("and", 6)  # two neighbours of four words together bring them together, and the block is whole
 
 
 def test_html_header_form_and_search():
@@ -209,6 +209,56 @@ def test_html_densities():
             assert abs(g.density - density(w)) < 1e-9 and abs(g.sum - total) < 1e-9
 
 
+def test_line_dedup_whole_blocks(spark):
+    """A common block goes with its common lines, which others hold too; the same lines elsewhere stay."""
+    often = [f"common line number {k} of everybody" for k in range(4)]
+    block = ["rare first line of the block", *often[:2], often[2], often[3], "rare last line of the block"]
+    rows = [(k, "\n".join([*often, f"an own line of document {k}"])) for k in range(30)]
+    rows += [(100, "\n".join([often[3], "head of one hundred", *block, "tail of one hundred"])), (200, "\n".join([often[0], "head of two hundred", *block, "tail of two hundred", often[1]]))]
+    got = {r.doc_id: r for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[200].text.split("\n") == [often[0], "head of two hundred", "tail of two hundred", often[1]]
+    assert got[200].n_deleted == 6 and got[100].n_deleted == 0
+    assert [(b.first, b.last, b.partner) for b in got[200].blocks] == [(2, 7, 100)]
+
+
+def test_line_dedup_recall(spark):
+    """Blocks that documents took from earlier ones, with common lines among theirs: at least nine tenths of their lines go, and nothing of the own ones."""
+    r = random.Random(17)
+    often = [f"common line number {k} here" for k in range(6)]
+    rows, own, taken = [], {}, {}
+    for d in range(160):
+        x = [(f"line {j} of document {d} {prose(d * 50 + j, r.choice([1, 3, 8]))}", "own") for j in range(r.randrange(3, 14))]
+        x += [(r.choice(often), "common") for _ in range(r.randrange(3))]
+        r.shuffle(x)
+        if d > 20 and r.random() < 0.6:
+            source = [s for s, _ in rows[r.randrange(d)][1]]
+            a = r.randrange(len(source))
+            part = source[a : a + r.randrange(2, 8)]
+            if any(s not in often for s in part):
+                at = r.randrange(len(x) + 1)
+                x[at:at] = [(s, "taken") for s in part]
+        rows.append((d, x))
+    docs = spark.createDataFrame([(d, "\n".join(s for s, _ in x)) for d, x in rows], "doc_id long, text string").repartition(4)
+    hit = all_of = 0
+    for x in line_dedup.dedup_lines(docs).collect():
+        gone = {k for b in x.blocks or [] for k in range(b.first, b.last + 1)}
+        kinds = [kind for _, kind in rows[x.doc_id][1]]
+        hit += sum(kinds[k] == "taken" for k in gone)
+        all_of += kinds.count("taken")
+        assert not any(kinds[k] == "own" for k in gone)
+    assert all_of > 200 and hit >= 0.9 * all_of
+
+
+def test_line_dedup_long_partners(spark):
+    """One document of many thousand lines, of which each of many others took a block."""
+    long = [f"line number {k} of the long one" for k in range(6000)]
+    rows = [(0, "\n".join(long))] + [(k, "\n".join([f"own line of document {k}", *long[k * 20 : k * 20 + 15]])) for k in range(1, 290)]
+    rows += [(1000, "\n".join([x for k in range(1, 290) for x in (f"own line of document {k}", "and one of the last")]))]
+    got = {r.doc_id: r for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(got[k].text == f"own line of document {k}" for k in range(1, 290)) and got[0].n_deleted == 0
+    assert got[1000].n_deleted == 289 and set(got[1000].text.split("\n")) == {"and one of the last"}
+
+
 def test_toxicity_long_texts():
     """Many clauses in one text: the time is that of its length, and each clause counts as it does alone."""
     import time
