@@ -7,8 +7,10 @@ characters per tag, adjusted for links: characters in links count against it, mo
 The element with the greatest sum of its children's densities is the core. If it is in an article or main element, the
 outermost of these is the text, whole; else the core is raised as long as what is beside it has more text than links. Siblings
 along the way up from there to the body belong to the text too if they are as dense as the thinnest element on that way.
-Lists of links without a name are menus, but not in an article (or in a main element without one), where they are references.
-A header inside an article is the article's own and stays. A form goes, unless the page is in it.
+Lists of links without a name are menus, but not in an article (or in a main element without one), where they are references; such
+a list of one or two links is a menu where it stands, at the text's beginning or end.
+Inside an article or main element a name goes by its whole words only: "comments" and "post-comments" are comments, but "share-price" is text; headings
+and paragraphs aren't judged by parts of a name, and a header inside an article, by tag or name, is the article's own and stays. A form goes, unless the page is in it.
 
 Character references are decoded; white space inside a block becomes one space, blocks are
 trimmed and joined by one space. Null or empty pages, and pages without text, give an empty text. Nothing is cut
@@ -37,6 +39,9 @@ INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins
 CLOSES_P = set("address article aside blockquote center details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 SELF_CLOSING = {"li": ("li", ("ul", "ol", "menu")), "dt": ("dt dd", ("dl",)), "dd": ("dt dd", ("dl",)), "tr": ("tr td th", ("table",)), "td": ("td th", ("tr", "table")), "th": ("td th", ("tr", "table")), "option": ("option", ("select",))}
 NAMES = set("ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner nav navbar navigation menu breadcrumb breadcrumbs header masthead footer sidebar aside comment comments disqus respond replies cookie cookies consent notice notices gdpr popup modal overlay share sharing social related recommended subscribe newsletter signup login search pagination pager toolbar widget skip hidden".split())
+#: Words that say nothing about what an element holds, beside a name that does.
+NEUTRAL = set("area bar block body box button buttons container content entry group icons inner item items left link links list main module outer page panel post posts right row section site top bottom wrap wrapper".split())
+TEXT = set("p h1 h2 h3 h4 h5 h6".split())
 LISTS = set("ul ol dl div section table".split())
 ROLES = set("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 
@@ -59,7 +64,8 @@ class Node:
         self.density = self.sum = 0.0
 
 
-def unwanted(tag: str, attributes: str) -> bool:
+def unwanted(tag: str, attributes: str, inside: bool = False) -> bool:
+    """Whether an element is no main text by its tag or attributes; inside: of an article or main element."""
     if tag in DROPPED:
         return True
     if not attributes or tag in ("html", "body", "article", "main"):
@@ -73,6 +79,8 @@ def unwanted(tag: str, attributes: str) -> bool:
         if name in ("class", "id"):
             for word in _CAMEL.sub(r"\1-\2", value).lower().split():
                 parts = _PART.findall(word)  # "post-comments" and "comments-area" are comments, "has-sidebar" is no sidebar
+                if inside and (len(parts) > 1 and tag in TEXT or "header" in parts or not set(parts) <= NAMES | NEUTRAL or set(parts) <= NEUTRAL):
+                    continue
                 if parts and not _ABOUT & set(parts) and (parts[0] in NAMES or parts[-1] in NAMES):
                     return True
     return False
@@ -195,7 +203,7 @@ def parse(page: str) -> Node:
         if tag in SELF_CLOSING:
             names, stops = SELF_CLOSING[tag]
             close(names.split(), stops)
-        if unwanted(tag, attributes) and not (tag == "header" and places.get("article")):
+        if unwanted(tag, attributes, bool(places.get("article") or places.get("main"))) and not (tag == "header" and places.get("article")):
             if not attributes.endswith("/"):
                 path[-1].content.append("\n" if tag not in INLINE else "")
                 dead.append(tag)
@@ -268,21 +276,26 @@ def weigh(root: Node) -> list[Node]:
 
 def blocks(nodes: list[Node], articles: set[int]) -> str:
     """The text of these elements; a new block begins and ends with every element that isn't inline."""
-    parts: list[str] = []
-    stack: list[tuple[Node | str, bool]] = [(n, False) for n in reversed(nodes)]
+    parts: list[tuple[str, bool]] = []  # with whether it is in a small menu
+    stack: list[tuple[Node | str, bool, bool]] = [(n, False, False) for n in reversed(nodes)]
     while stack:
-        item, whole = stack.pop()
+        item, whole, small = stack.pop()
         if isinstance(item, str):
-            parts.append(item)
+            parts.append((item, small))
             continue
         whole = whole or id(item) in articles
-        if not whole and item.tag in LISTS and item.link_chars > 0.66 * item.chars and item.link_tags > 2:
-            continue  # a menu without a name
+        if not whole and item.tag in LISTS and item.link_chars > 0.66 * item.chars:
+            if item.link_tags > 2:
+                continue  # a menu without a name
+            small = True
         edge = "" if item.tag in INLINE else "\n"
-        stack.append((edge, whole))
-        stack.extend((c, whole) for c in reversed(item.content))
-        stack.append((edge, whole))
-    return _SPACE.sub(" ", "".join(parts)).strip()
+        stack.append((edge, whole, small))
+        stack.extend((c, whole, small) for c in reversed(item.content))
+        stack.append((edge, whole, small))
+    own = [k for k, (text, small) in enumerate(parts) if not small and text.strip()]
+    if own:  # small menus before the first and after the last text
+        parts = [x for k, x in enumerate(parts) if not x[1] or own[0] < k < own[-1]]
+    return _SPACE.sub(" ", "".join(text for text, _ in parts)).strip()
 
 
 def article_of(core: Node, way: list[Node]) -> Node:

@@ -5,6 +5,9 @@ from __future__ import annotations
 import random
 import re
 
+from html import escape as html_escape
+from html import unescape as html_unescape
+
 from test_operators import prose, shingle_set, slow_score
 
 from tallyspark.llm import decontamination, html_density, line_dedup, ngram_join, toxicity_grammar
@@ -275,3 +278,42 @@ def test_toxicity_long_texts():
         return time.process_time() - start
 
     assert seconds(160_000) < 10 * max(0.05, seconds(40_000))
+
+
+def test_html_names_inside_an_article():
+    """What a name says goes by whole words there; titles, and paragraphs with a word of the list in their names, stay."""
+    body = "<p>" + "Long enough to be the text of an article. " * 8 + "</p>"
+    words = lambda h: html_density._SPACE.sub(" ", re.sub("<[^>]*>", " ", h)).strip()
+    stay = ["<div class='entry-header'><h1>A title</h1></div>", "<p class='share-price'>The price of a share.</p>", "<p class='banner-headline'>A headline.</p>", "<div class='social-science'>About society.</div>", "<h2 class='related-title'>Related work</h2>", "<div class='ad-hoc'>Made for it.</div>", "<div id='articleHeader'>By somebody</div>"]
+    go = ["<div class='comments'>I disagree.</div>", "<div class='post-comments'>Me too.</div>", "<section id='comments-area'>Not me.</section>", "<div class='share-buttons'>Send</div>", "<div class='relatedPosts'>Read on</div>", "<div class='ad'>Buy</div>", "<div class='newsletter-signup'>Mail</div>", "<p class='ad'>Buy more</p>"]
+    for tag in ("article", "main"):
+        for x in stay:
+            assert html_density.extract(f"<body><nav>home</nav><{tag}>{x}{body}</{tag}><footer>f</footer>") == words(x + body), x
+        for x in go:
+            assert html_density.extract(f"<body><nav>home</nav><{tag}>{body}{x}</{tag}><footer>f</footer>") == words(body), x
+
+
+def test_html_small_menus_go_by_place():
+    body = "".join(f"<p>{'Text of the page without any article. ' * 6}{k}</p>" for k in range(4))
+    menu, links = "<div><a href=/a>Home</a> <a href=/b>About</a></div>", "<div>see <a href=/x>one reference of the text</a></div>"
+    words = lambda h: html_density._SPACE.sub(" ", re.sub("<[^>]*>", " ", h)).strip()
+    assert html_density.extract(f"<body><div>{menu}{body}{menu}</div>") == words(body)
+    assert html_density.extract(f"<body><div>{body}{links}{body}</div>") == words(body + links + body)
+    assert html_density.extract(f"<body><div>{menu}</div>") == "Home About"
+
+
+def test_html_made_pages():
+    """Pages put together of known parts, in article elements and without: the text is that of the parts that are text, in their order."""
+    r = random.Random(21)
+    sentence = lambda k: f"Sentence {k} of the text, which goes on for a while & ends here."
+    parts = lambda k: r.choice([lambda: f"<p>{html_escape(sentence(k))}</p>", lambda: f"<h2>Title {k}</h2><p>{html_escape(sentence(k))}</p>", lambda: f"<blockquote><p>{html_escape(sentence(k))}</p></blockquote>", lambda: f"<ul><li>{html_escape(sentence(k))}<li>and {k} more</ul>", lambda: f"<div>{html_escape(sentence(k))} <a href=/l>a link</a> and on.</div>"])()
+    noise = ["<div class=ad>Buy this now</div>", "<nav><a href=/>Home</a></nav>", "<aside>By the way</aside>", "<div id=comments><p>No!</p></div>", "<script>var x = '<p>no</p>'</script>", "<style>p {}</style>", "<form><input>Search</form>", "<div role=banner>Welcome</div>", "<!-- <p>no</p> -->"]
+    hit = 0
+    for n in range(60):
+        text = [parts(k) for k in range(r.randrange(6, 14))]
+        mixed = [x for t in text for x in ([t] if r.random() < 0.7 else [r.choice(noise), t])]
+        wrap = r.choice(["<article>{}</article>", "<main>{}</main>", "<div><article>{}</article></div>", "<div>{}</div>"])
+        page = "<html><head><title>t</title></head><body>" + r.choice(noise) + wrap.format("".join(mixed)) + r.choice(noise) + "<footer>f</footer></body></html>"
+        want = html_density._SPACE.sub(" ", html_unescape(re.sub("<[^>]*>", lambda m: "" if m[0].startswith(("<a", "</a")) else " ", "".join(text)))).strip()
+        hit += html_density.extract(page) == want
+    assert hit >= 57
