@@ -5,8 +5,9 @@ different ways. Rows are dealt to source partitions by a hash of their content a
 that it sends to each shard is drawn from the multivariate hypergeometric distribution, one
 partition after the other out of what the shards still have room for: the law of a uniform permutation,
 with shard sizes exact. Each partition permutes its rows and cuts them by its row of the matrix; after the exchange
-each shard permutes again, in cells of bounded size, which gives the slots. Partitions hold about `ROWS_A_PARTITION` rows,
-however many rows there are; only their row counts reach the driver, which draws the matrix.
+each shard permutes again, in cells of bounded size, which gives the slots. Partitions hold about `ROWS_A_PARTITION` rows, and more where there
+would be more than `MOST_PARTITIONS` of them: a partition is sorted, not held, so it may grow, while the matrix, which the driver draws
+from the partitions' row counts, stays within a few hundred thousand numbers however many rows there are.
 
 Law `rows`: shard sizes differ by one at most. Null texts count as empty. Rows that agree in everything are
 interchangeable; ids may repeat or be null. An empty table gives an empty result. Columns beside doc_id and text are ignored, whatever their names.
@@ -27,36 +28,37 @@ ROWS_A_PARTITION = 100_000  # on average
 COPIES_A_ROW = 10_000  # of more equal rows, each so many are made in a task of their own
 MATRIX = 1_000_000  # numbers of a matrix that is broadcast (8 MB); a larger one is joined by a shuffle
 LEAST_PARTITIONS = 64
+MOST_PARTITIONS = 20_000
 
 
 def draw(rng: np.random.Generator, good: int, bad: int, n: int) -> int:
-    """A hypergeometric variate: how many of n drawn are good; of any size."""
+    """A hypergeometric variate: how many of n drawn are good; of any size, in time that doesn't depend on it."""
+    if not n or not good or not bad:
+        return min(good, n)
     if good + bad < 1_000_000_000:
-        return int(rng.hypergeometric(good, bad, n)) if n and good else 0
+        return int(rng.hypergeometric(good, bad, n))
+    return large(rng, good, bad, n)
+
+
+def large(rng: np.random.Generator, good: int, bad: int, n: int) -> int:
+    """The same by ratio of uniforms: points of a table's hat around the mode, each kept with the odds of its probability to that of the mode."""
     low, high = max(0, n - bad), min(n, good)
-    ln = lambda k: math.lgamma(good + 1) - math.lgamma(k + 1) - math.lgamma(good - k + 1) + math.lgamma(bad + 1) - math.lgamma(n - k + 1) - math.lgamma(bad - n + k + 1)
     mode = min(high, max(low, (n + 1) * (good + 1) // (good + bad + 2)))
-    # inversion outwards from the mode, by the ratio of neighbouring probabilities
-    all_of = math.lgamma(good + bad + 1) - math.lgamma(n + 1) - math.lgamma(good + bad - n + 1)
-    p_mode = math.exp(ln(mode) - all_of)
-    u = rng.random() - p_mode
-    up, down, p_up, p_down = mode, mode, p_mode, p_mode
-    while u > 0 and (up < high or down > low):
-        if up < high:
-            p_up *= (good - up) * (n - up) / ((up + 1) * (bad - n + up + 1))
-            up += 1
-            u -= p_up
-            if u <= 0:
-                return up
-        if down > low:
-            p_down *= down * (bad - n + down) / ((good - down + 1) * (n - down + 1))
-            down -= 1
-            u -= p_down
-            if u <= 0:
-                return down
-        if p_up + p_down < 1e-300:
-            break
-    return mode
+    total = good + bad
+    spread = math.sqrt(n * (good / total) * (bad / total) * ((total - n) / max(1, total - 1)) + 0.5)
+    # a hat of this width lies above the square root of every probability's odds (log-concave, so a width by the spread is enough)
+    width, centre = 2 * math.sqrt(2 / math.e) * spread + (3 - 2 * math.sqrt(3 / math.e)), n * (good / total) + 0.5
+    at_mode = _ln(good, bad, n, mode)
+    while True:
+        u = 1.0 - rng.random()
+        k = math.floor(centre + width * (rng.random() - 0.5) / u)
+        if low <= k <= high and 2 * math.log(u) <= _ln(good, bad, n, k) - at_mode:
+            return k
+
+
+def _ln(good: int, bad: int, n: int, k: int) -> float:
+    """The logarithm of a probability, but for a constant."""
+    return -(math.lgamma(k + 1) + math.lgamma(good - k + 1) + math.lgamma(n - k + 1) + math.lgamma(bad - n + k + 1))
 
 
 def communication(counts: list[int], shards: int, seed: int) -> list[list[int]]:
@@ -92,7 +94,7 @@ def shuffled(rows: DataFrame, shards: int = 16, seed: int = 20240611, rows_a_par
     spark, key = rows.sparkSession, [F.col(c) for c in rows.columns]
     rows = stored(numbered(rows))
     total = rows.count()
-    parts = max(LEAST_PARTITIONS, -(-total // rows_a_partition))
+    parts = min(MOST_PARTITIONS, max(LEAST_PARTITIONS, -(-total // rows_a_partition)))
     h = [F.xxhash64(*key, F.col("__o"), F.lit(seed + k)) for k in range(3)]
     base = rows.withColumns({"__p": F.pmod(h[0], F.lit(parts)), "__a": h[1], "__b": h[2]})
     counts = {r["__p"]: r["n"] for r in base.groupBy("__p").agg(F.count("*").alias("n")).collect()}
