@@ -39,6 +39,7 @@ from ._shared import checkpointed, components, partitions, stored
 
 TOKEN_BITS = 40  # of a shingle, for candidates only: an accidental match there costs a comparison, never a result
 SLICE_TOKENS = 300_000
+MOST_SLICE_TOKENS = 4_000_000  # where there are very many buckets a slice is larger, so that it has something for each
 BUCKET_TOKENS = 1_000_000
 FEW = 1_000_000  # ids that may be broadcast (8 MB); more are joined by a shuffle
 CHUNK_DOCS = 256
@@ -197,7 +198,7 @@ def _facts(size: int):
     return run
 
 
-def _dealt(size: int, buckets: int):
+def _dealt(size: int, buckets: int, slice_tokens: int):
     """The cut shingles of about a third of a million at a time, dealt to buckets by value.
 
     A shingle of one document of the slice goes with its owner; one of several, once and without them (`known`), as these have met
@@ -243,7 +244,7 @@ def _dealt(size: int, buckets: int):
                 parts.append(hashes >> np.uint64(64 - TOKEN_BITS))
                 lengths.append(np.bincount(of, minlength=len(texts)))
                 n += len(hashes)
-                if n >= SLICE_TOKENS:
+                if n >= slice_tokens:
                     yield rows(ids, parts, np.concatenate(lengths))
                     ids, parts, lengths, n = [], [], [], 0
         if n:
@@ -296,7 +297,7 @@ def _summed(batches):
         yield pa.RecordBatch.from_arrays([pa.array(each), pa.array(np.bincount(at, met, len(each)).astype(np.int64))], ["doc_id", "met"])
 
 
-def _slices(size: int, buckets: int):
+def _slices(size: int, buckets: int, slice_tokens: int):
     """One row for each slice of about a million shingles: its documents' sets, and all of its shingles dealt to buckets by their value."""
 
     def row(ids, sets):
@@ -326,7 +327,7 @@ def _slices(size: int, buckets: int):
                     ids.append(i)
                     sets.append(s)
                     n += len(s) + 1
-                    if n >= SLICE_TOKENS:
+                    if n >= slice_tokens:
                         yield row(ids, sets)
                         ids, sets, n = [], [], 0
         if ids:
@@ -557,8 +558,9 @@ def ngram_components(docs: DataFrame, size: int = 5, num: int = 80, den: int = 1
 
     # only a document that shares its share of shingles with others can be similar to one of them
     buckets = max(16, int(length) // 6 // BUCKET_TOKENS)
+    slice_tokens = min(MOST_SLICE_TOKENS, max(SLICE_TOKENS, 64 * buckets))
     parts = min(buckets, max(MOST_PARTITIONS, partitions(spark)))  # more buckets than that share a task, one after the other
-    dealt = docs.filter("doc_id is not null").mapInArrow(K.tidy(_dealt(size, buckets)), "bucket long, slice long, ids binary, tokens binary, owners binary, known binary, local binary")
+    dealt = docs.filter("doc_id is not null").mapInArrow(K.tidy(_dealt(size, buckets, slice_tokens)), "bucket long, slice long, ids binary, tokens binary, owners binary, known binary, local binary")
     met = _in_parts(dealt, parts).sortWithinPartitions("bucket").mapInArrow(K.tidy(_met), "slice long, ids binary, met binary")
     met = met.repartition(partitions(spark), "slice").sortWithinPartitions("slice").mapInArrow(K.tidy(_summed), "doc_id long, met long")
     met = met.groupBy("doc_id").agg(F.sum("met").alias("met"))
@@ -567,7 +569,7 @@ def ngram_components(docs: DataFrame, size: int = 5, num: int = 80, den: int = 1
     able = checkpointed(able)
     few = able.count() <= FEW
     ids = able.select(F.col("rep").alias("doc_id")).distinct()
-    slices = stored(docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi").mapInArrow(K.tidy(_slices(size, buckets)), SLICE_SCHEMA))
+    slices = stored(docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi").mapInArrow(K.tidy(_slices(size, buckets, slice_tokens)), SLICE_SCHEMA))
 
     dealt = slices.select(F.posexplode("blobs").alias("bucket", "blob"), "slice").filter("length(blob) > 0").select(F.col("bucket").cast("long").alias("bucket"), "slice", "blob")
     shared = _in_parts(dealt, parts).sortWithinPartitions("bucket").mapInArrow(K.tidy(_repeated), "slice long, bucket long, shared binary, freq binary")

@@ -456,6 +456,39 @@ def test_sharding_equal_rows(spark, monkeypatch):
     assert sum(b - a == 1 for a, b in zip(places, places[1:])) < len(places) / 2  # a quarter by chance
 
 
+def test_draws_of_any_size():
+    """The draws for great totals have the law: against exact probabilities by a chi-square of their counts."""
+    import math
+
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    for good, bad, n in ((6, 9, 7), (50, 1000, 700), (300, 400, 690), (1, 10, 5), (2_000_000_000, 30_000_000_000, 90)):
+        low, high = max(0, n - bad), min(n, good)
+        logs = np.array([sharding._ln(good, bad, n, k) for k in range(low, high + 1)])
+        p = np.exp(logs - logs.max())
+        p /= p.sum()
+        size = 20_000
+        got = np.bincount(np.array([sharding.large(rng, good, bad, n) for _ in range(size)]) - low, minlength=len(p))
+        some = size * p >= 5
+        rest = max(1e-9, size * p[~some].sum())
+        chi = ((got[some] - size * p[some]) ** 2 / (size * p[some])).sum() + (got[~some].sum() - rest) ** 2 / max(rest, 5)
+        df = some.sum()
+        assert chi < df + 5 * math.sqrt(2 * df) + 5
+    assert [sharding.draw(rng, a, b, n) for a, b, n in ((0, 5, 3), (5, 0, 3), (5, 5, 0), (10**12, 0, 7), (0, 10**12, 7))] == [0, 3, 0, 7, 0]
+
+
+def test_matrix_of_very_many_rows():
+    """A thousand billion rows: as many numbers as partitions and shards, drawn in seconds."""
+    import time
+
+    start = time.process_time()
+    m = sharding.communication([50_000_000] * sharding.MOST_PARTITIONS, 16, 3)
+    assert time.process_time() - start < 60
+    sizes = [sum(r[k] for r in m) for k in range(16)]
+    assert sum(sizes) == 50_000_000 * sharding.MOST_PARTITIONS and max(sizes) - min(sizes) <= 1 and all(sum(r) == 50_000_000 for r in m)
+
+
 def test_communication():
     m = sharding.communication([100, 0, 7, 333], 6, 1)
     assert [sum(r) for r in m] == [100, 0, 7, 333]
