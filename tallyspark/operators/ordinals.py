@@ -45,3 +45,13 @@ def numbered(rows: DataFrame, by: list[str], order: list[str], name: str = "seq"
     """The ordinal from 0 within `by`; order must be total, its first column a number."""
     out = running(rows.withColumn("__one", F.lit(1).cast("long")), by, order, {"__end": ("__one", "sum")}, parts)
     return out.withColumn(name, F.col("__end") - 1).drop("__one", "__end")
+
+
+def with_next(rows: DataFrame, by: list[str], order: list[str], columns: dict[str, str], parts: int = 64) -> DataFrame:
+    """`rows`, without the last one of each group, with columns {new: old} of the row that follows in order; order as in `numbered`."""
+    here = numbered(rows, by, order, "__seq", parts)
+    after = here.select(*[F.col(c).alias(f"__n_{c}") for c in by], (F.col("__seq") - 1).alias("__before"), *[F.col(old).alias(new) for new, old in columns.items()])
+    on = F.col("__seq") == F.col("__before")
+    for c in by:
+        on = on & F.col(c).eqNullSafe(F.col(f"__n_{c}"))
+    return here.join(after, on).select(*rows.columns, *columns)

@@ -7,6 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import ordinals
 from .rank import numbered
 
 
@@ -57,10 +58,15 @@ def sampled_exactly(rows: DataFrame, key: Column, n: int) -> DataFrame:
 
 
 def split_by_hash(rows: DataFrame, key: Column, by: list[str], valid: float = 0.2) -> DataFrame:
-    """split = valid for the ceil(valid n) first rows of each group by hash, else train."""
-    w = Window.partitionBy(*by)
-    ranked = rows.withColumns({"__r": F.row_number().over(w.orderBy(F.md5(key.cast("string")), key)), "__n": F.count("*").over(w)})
-    return ranked.withColumn("split", F.when(F.col("__r") <= F.ceil(F.col("__n") * F.lit(valid)), F.lit("valid")).otherwise(F.lit("train"))).drop("__r", "__n")
+    """split = valid for the ceil(valid n) first rows of each group by hash, else train. Groups are ranked range by range of the hash, so a large one is many tasks' work."""
+    h = F.md5(key.cast("string"))
+    marked = rows.withColumns({"__head": F.conv(F.substring(h, 1, 8), 16, 10).cast("long"), "__md5": h, "__key": key})
+    ranked = ordinals.numbered(marked, by, ["__head", "__md5", "__key"], "__r")
+    sizes = rows.groupBy(*by).agg(F.count("*").alias("__n")).select(*[F.col(c).alias(f"__by_{c}") for c in by], F.ceil(F.col("__n") * F.lit(valid)).alias("__most"))
+    on = F.lit(True)
+    for c in by:
+        on = on & F.col(c).eqNullSafe(F.col(f"__by_{c}"))
+    return ranked.join(sizes, on).select(*rows.columns, F.when(F.col("__r") < F.col("__most"), F.lit("valid")).otherwise(F.lit("train")).alias("split"))
 
 
 def first_n(rows: DataFrame, by: list[str], order: list, n: int) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import hash_score, strip, tokens
+from .ordinals import running
 from .stats import running_total
 
 
@@ -61,11 +62,10 @@ def all_tokens_known(rows: DataFrame, key: str, text: Column, vocabulary: DataFr
 
 
 def token_table(rows: DataFrame, key: list[str], text: Column) -> DataFrame:
-    """(key, pos, token, char_start, char_end) of blank-separated tokens; offsets count characters from 0."""
-    parts = F.split(text, " ")
-    at = rows.select(*key, F.posexplode(parts).alias("pos", "token"), parts.alias("__p"))
-    start = F.aggregate(F.slice("__p", F.lit(1), F.col("pos")), F.lit(0), lambda a, t: a + F.char_length(t) + 1)
-    return at.select(*key, F.col("pos").cast("long").alias("pos"), "token", start.cast("long").alias("char_start"), (start + F.char_length("token")).cast("long").alias("char_end"))
+    """(key, pos, token, char_start, char_end) of blank-separated tokens; offsets count characters from 0. key: of one row; its tokens' offsets are a running sum, linear in the text."""
+    at = rows.select(*key, F.posexplode(F.split(text, " ")).alias("pos", "token")).withColumn("__n", F.char_length("token").cast("long") + 1)
+    end = running(at, key, ["pos"], {"__end": ("__n", "sum")}, parts=1)
+    return end.select(*key, F.col("pos").cast("long").alias("pos"), "token", (F.col("__end") - F.col("__n")).alias("char_start"), (F.col("__end") - 1).alias("char_end"))
 
 
 def phrase_sum(spans: DataFrame, key: list[str], start: Column, value: str) -> DataFrame:

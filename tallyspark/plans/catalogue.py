@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import hash_score, step_number, tokens
-from ..operators import decode, progress, rank, relate, report, revisions, score, stats, tasks, text
+from ..operators import decode, ordinals, progress, rank, relate, report, revisions, score, stats, tasks, text
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _ORACLES: dict[str, str] = {}
@@ -56,8 +56,7 @@ def _pairs(spark, d) -> DataFrame:
     """Documents as minimal pairs: a document, and the next one of its language and source; scored by a surrogate."""
     docs = t(spark, d, "documents")
     s = (-hash_score(F.col("doc_id")) * F.col("n_chars")).alias("s")
-    w = Window.partitionBy("lang", "source").orderBy("doc_id")
-    two = docs.select("doc_id", "lang", "source", s).withColumn("other", F.lead("s").over(w)).filter("other is not null")
+    two = ordinals.with_next(docs.select("doc_id", "lang", "source", s), ["lang", "source"], ["doc_id"], {"other": "s"}).filter("other is not null")
     return two.withColumn("chosen", rank.choose_in_array(F.array("s", "other"))).withColumn("correct", (F.col("chosen") == 0).cast("int"))
 
 
@@ -111,7 +110,7 @@ def q_rank_two_level_macro(spark, d):
 s AS (SELECT temp, -{H('doc_id')} / temp + {H("doc_id || '#'")} AS a, -{H('other')} / temp + {H("other || '#'")} AS b FROM p, g WHERE other IS NOT NULL),
 c AS (SELECT temp, round(100.0::DOUBLE * sum(CASE WHEN a >= b THEN 1 ELSE 0 END) / count(*), 6) AS accuracy FROM s GROUP BY 1) SELECT temp, accuracy FROM c ORDER BY accuracy DESC, temp LIMIT 1""")
 def q_rank_temperature_best(spark, d):
-    docs = t(spark, d, "documents").select("doc_id", F.lead("doc_id").over(Window.partitionBy("lang").orderBy("doc_id")).alias("other")).filter("other is not null")
+    docs = ordinals.with_next(t(spark, d, "documents").select("doc_id", "lang"), ["lang"], ["doc_id"], {"other": "doc_id"}).select("doc_id", "other")
     grid = docs.withColumn("temp", F.explode(F.array(*map(F.lit, (0.5, 1.0, 1.5, 2.0, 2.5)))))
     score = lambda c: -hash_score(F.col(c)) / F.col("temp") + hash_score(F.concat(F.col(c).cast("string"), F.lit("#")))
     items = grid.select("temp", (score("doc_id") >= score("other")).cast("int").alias("correct"))
@@ -133,8 +132,7 @@ def q_rank_nan_ties(spark, d):
 s AS (SELECT lang, -100 * {H('doc_id')} AS a, -100 * {H('o')} AS b, n_chars, m FROM p WHERE o IS NOT NULL AND n_chars > 0 AND m > 0)
 SELECT lang, count(*)::BIGINT AS n, round(avg(CASE WHEN a >= b THEN 1.0::DOUBLE ELSE 0 END), 6) AS acc, round(avg(CASE WHEN a / n_chars >= b / m THEN 1.0::DOUBLE ELSE 0 END), 6) AS acc_norm FROM s GROUP BY 1""")
 def q_acc_norm(spark, d):
-    w = Window.partitionBy("lang").orderBy("doc_id")
-    p = t(spark, d, "documents").select("doc_id", "lang", "n_chars", F.lead("doc_id").over(w).alias("o"), F.lead("n_chars").over(w).alias("m")).filter("o is not null and n_chars > 0 and m > 0")
+    p = ordinals.with_next(t(spark, d, "documents").select("doc_id", "lang", "n_chars"), ["lang"], ["doc_id"], {"o": "doc_id", "m": "n_chars"}).filter("n_chars > 0 and m > 0")
     a, b = -100 * hash_score(F.col("doc_id")), -100 * hash_score(F.col("o"))
     right = lambda x, y: F.avg((rank.choose_in_array(F.array(x, y)) == 0).cast("double"))
     return p.groupBy("lang").agg(F.count("*").alias("n"), r6(right(a, b)).alias("acc"), r6(right(a / F.col("n_chars"), b / F.col("m"))).alias("acc_norm"))

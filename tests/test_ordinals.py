@@ -37,3 +37,30 @@ def test_no_window_over_the_group_alone(spark, rows):
     df = spark.createDataFrame(rows, "g string, first long, id long, n long")
     plan = ordinals.numbered(df, ["g"], ["first", "id"])._jdf.queryExecution().optimizedPlan().toString()
     assert all("__range" in line for line in plan.splitlines() if line.strip().lstrip(":+- ").startswith("Window"))
+
+
+@pytest.mark.parametrize("parts", [1, 64])
+def test_next(spark, rows, parts):
+    df = spark.createDataFrame(rows, "g string, first long, id long, n long").repartition(3)
+    got = {r.id: (r.after, r.m) for r in ordinals.with_next(df, ["g"], ["first", "id"], {"after": "id", "m": "n"}, parts).collect()}
+    groups = collections.defaultdict(list)
+    for g, first, i, n in sorted(rows, key=lambda x: (x[1] is not None, x[1] or 0, x[2])):
+        groups[g].append((i, n))
+    assert got == {a[0]: b for v in groups.values() for a, b in zip(v, v[1:])}
+
+
+def test_splits_and_tokens(spark):
+    from pyspark.sql import functions as F
+
+    from tallyspark.operators import relate, text
+
+    df = spark.createDataFrame([(k, ["a", "b", None][k % 3]) for k in range(100)], "id long, g string")
+    got = relate.split_by_hash(df, F.col("id"), ["g"], 0.3).collect()
+    import hashlib
+
+    for g in ("a", "b", None):
+        mine = sorted((r.id for r in got if r.g == g), key=lambda i: hashlib.md5(str(i).encode()).hexdigest())
+        assert {r.id for r in got if r.g == g and r.split == "valid"} == set(mine[: -(-len(mine) * 3 // 10)])
+    said = ["one two  three", "", "é 😀x"]
+    rows = text.token_table(spark.createDataFrame(list(enumerate(said)), "id int, t string"), ["id"], F.col("t")).collect()
+    assert sum(len(x.split(" ")) for x in said) == len(rows) and all(said[r.id][r.char_start : r.char_end] == r.token for r in rows)
