@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import hash_score, step_number, tokens
-from ..operators import decode, ordinals, progress, rank, relate, report, revisions, score, stats, tasks, text
+from ..operators import decode, ordinals, progress, rank, relate, report, revisions, score, sentences, stats, tasks, text
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _ORACLES: dict[str, str] = {}
@@ -342,6 +342,16 @@ def q_topn_contexts(spark, d):
     return text.top_contexts(pairs, words, 5)
 
 
+@query(f"""WITH k AS (SELECT lower(t) AS t FROM (SELECT unnest({TOK('text')}) AS t FROM documents)), m AS (SELECT regexp_extract(t, '^["''‘“«(\\[]*(.*?)\\.["''’”»)\\]]*$', 1) AS s, regexp_extract(t, '^["''‘“«(\\[]*(.*?)[,;:!?"''’”»)\\]]*$', 1) AS b FROM k),
+w AS (SELECT CASE WHEN regexp_full_match(s, '[\\p{{L}}.]*\\p{{L}}') THEN s END AS s, CASE WHEN regexp_full_match(b, '[\\p{{L}}.]*\\p{{L}}') THEN b END AS b FROM m),
+c AS (SELECT coalesce(s, b) AS word, count(s)::DOUBLE AS a, count(*)::DOUBLE AS c FROM w WHERE coalesce(s, b) IS NOT NULL GROUP BY 1), t AS (SELECT least(greatest(sum(a) / sum(c), 1e-9), 1 - 1e-9) AS p FROM c),
+z AS (SELECT word, a, c, -2 * (a * ln(p) + (c - a) * ln(1 - p) - a * ln(0.99::DOUBLE) - (c - a) * ln(0.01::DOUBLE)) AS ratio, length(replace(word, '.', '')) AS n FROM c, t WHERE a > 0)
+SELECT word, a::BIGINT AS with_stop, (c - a)::BIGINT AS without, round(ratio * exp(-n) * (length(word) - n + 1) * power(n::DOUBLE, -(c - a)), 6) AS score FROM z""")
+def q_sentence_abbreviations(spark, d):
+    """How much each word before a full stop looks like an abbreviation, by the counts of the whole corpus."""
+    return sentences.scored(sentences.word_counts(t(spark, d, "documents"), F.col("text"))).withColumn("score", r6("score"))
+
+
 @query(f"""WITH k AS (SELECT conv_id, turn, role, string_split(text, ' ') AS p FROM (SELECT * FROM conversations) WHERE text IS NOT NULL), a AS (SELECT conv_id, turn, role, p, unnest(range(0, len(p))) AS pos FROM k),
 s AS (SELECT conv_id, turn, role, pos, p[pos + 1] AS token, coalesce(list_sum(list_transform(p[1:pos], lambda x: length(x) + 1)), 0) AS char_start FROM a)
 SELECT conv_id, turn, role, round(sum(CASE WHEN char_start + length(token) > 20 THEN {H('token')} END), 6) AS total, sum(CASE WHEN char_start + length(token) > 20 THEN 1 ELSE 0 END)::BIGINT AS n_tokens FROM s GROUP BY 1, 2, 3""")
