@@ -651,6 +651,23 @@ def q_stream_counters(spark, d):
     return totals(spark, f"{base}/out", ["task", "revision"])
 
 
+@query("""WITH l AS (SELECT o_custkey AS run, (date_diff('day', DATE '1992-01-01', o_orderdate::DATE) // 120)::INTEGER AS epoch, arg_max(round(o_totalprice, 2), o_orderkey) AS metric FROM orders GROUP BY 1, 2),
+w AS (SELECT *, max(metric) OVER (PARTITION BY run ORDER BY epoch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS top, row_number() OVER (PARTITION BY run ORDER BY epoch) AS n FROM l),
+i AS (SELECT *, n - max(CASE WHEN coalesce(metric > top + 0.001, true) THEN n END) OVER (PARTITION BY run ORDER BY epoch ROWS UNBOUNDED PRECEDING) AS waited FROM w)
+SELECT run::VARCHAR AS run, count(*)::INTEGER AS epochs, round(max(metric), 2) AS best, arg_max(epoch, metric) AS best_epoch, min(CASE WHEN waited >= 3 THEN epoch END)::INTEGER AS stop FROM i GROUP BY 1""")
+def q_stream_progress(spark, d):
+    """Orders as the logs of a run for each customer, four months an epoch, later orders correcting earlier ones: best-so-far and early stopping by keyed state."""
+    from ..functions.folders import new_folder
+    from ..streaming import progress_stream
+    from ..streaming.incremental import parquet_stream
+
+    base = new_folder(spark, "progress")
+    epoch = F.expr("cast(datediff(to_date(o_orderdate), date'1992-01-01') div 120 as int)")
+    updates = progress_stream.followed(parquet_stream(spark, f"{d}/orders.parquet"), F.col("o_custkey"), epoch, F.round("o_totalprice", 2), F.col("o_orderkey"))
+    progress_stream.run_available(updates, f"{base}/out", f"{base}/state")
+    return progress_stream.latest(spark, f"{base}/out").select("run", "epochs", F.round("best", 2).alias("best"), "best_epoch", "stop")
+
+
 # ---- scorers, training logs, paths -----------------------------------------------------------------
 
 
