@@ -52,6 +52,19 @@ def or_zero(expected: DataFrame, found: DataFrame, on: list[str], value: str) ->
     return expected.join(found, on, "left").withColumn(value, F.coalesce(F.col(value), F.lit(0)))
 
 
+def leaderboard(found: DataFrame, model: str, task: str, value: str, tasks: list[str] | None = None) -> DataFrame:
+    """(model, macro, present, place): the plain mean over all tasks, a task that a model lacks being 0; equal means share the better place.
+
+    tasks: those that count, all that are found if none are given. One aggregation: only a model's sum and the number of tasks are needed."""
+    rows = found.groupBy(model, task).agg(F.max(value).alias("__v")).filter(F.col(task).isNotNull())
+    if tasks is not None:
+        rows = rows.join(F.broadcast(found.sparkSession.createDataFrame([(t,) for t in sorted(set(tasks))], f"`{task}` string")), task, "left_semi")
+    n = F.lit(len(set(tasks)) if tasks is not None else rows.select(task).distinct().count())  # one number
+    sums = rows.groupBy(model).agg(F.sum(F.coalesce("__v", F.lit(0.0))).alias("s"), F.count("__v").alias("present"))
+    out = sums.select(model, (F.col("s") / n).alias("macro"), "present")
+    return out.withColumn("place", F.rank().over(Window.orderBy(F.desc(F.round("macro", 12)))))  # a row a model
+
+
 def sampled_exactly(rows: DataFrame, key: Column, n: int) -> DataFrame:
     """n rows by the order of a hash: the same ones whatever the partitioning."""
     return rows.withColumn("__h", F.md5(key.cast("string"))).orderBy("__h").limit(n).drop("__h")

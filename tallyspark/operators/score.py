@@ -6,6 +6,7 @@ scores are a column, a surrogate, or come from a function over pandas batches.
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Callable, Iterator
 from typing import Protocol
 
@@ -16,6 +17,9 @@ from pyspark.sql import functions as F
 from ..functions.scalars import finite, hash_score
 
 
+LOG = logging.getLogger("tallyspark.score")
+
+
 class Scorer(Protocol):
     def __call__(self, candidates: DataFrame) -> DataFrame: ...
 
@@ -30,14 +34,26 @@ def surrogate(*key: str) -> Scorer:
 
 
 def batched(score: Callable[[pd.DataFrame], pd.Series]) -> Scorer:
-    """A model behind a function over batches of rows; a batch that fails scores NaN, which is null here."""
+    """A model behind a function over batches of rows. Where a batch fails its rows are scored one by one, and those that fail alone score NaN, which is null here."""
+
+    def one_by_one(batch: pd.DataFrame) -> list[float]:
+        out = []
+        for k in range(len(batch)):
+            try:
+                out.append(float(score(batch.iloc[[k]]).iloc[0]))
+            except Exception as e:  # a model's own errors: an input that it can't score isn't a failed job
+                LOG.warning("a row couldn't be scored: %s", e)
+                out.append(float("nan"))
+        return out
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             try:
-                yield batch.assign(logprob=score(batch).astype(float))
-            except (ValueError, ArithmeticError):
-                yield batch.assign(logprob=float("nan"))
+                found = score(batch).astype(float)
+            except Exception as e:
+                LOG.warning("a batch of %d rows failed: %s", len(batch), e)
+                found = one_by_one(batch)
+            yield batch.assign(logprob=found)
 
     def scorer(candidates: DataFrame) -> DataFrame:
         schema = candidates.select("*", F.lit(None).cast("double").alias("logprob")).schema

@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import hash_score, step_number, tokens
+from ..functions.scalars import hash_score, learning_rate, step_number, tokens
 from ..operators import decode, ordinals, progress, rank, relate, report, revisions, score, sentences, stats, tasks, text
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -668,6 +668,29 @@ def q_stream_progress(spark, d):
     return progress_stream.latest(spark, f"{base}/out").select("run", "epochs", F.round("best", 2).alias("best"), "best_epoch", "stop")
 
 
+@query("""WITH c AS (SELECT source, lang, avg(n_chars) AS v FROM documents WHERE NOT (source = 'src3' AND lang = 'de') AND source IS NOT NULL AND lang IS NOT NULL GROUP BY 1, 2), t AS (SELECT count(DISTINCT lang) AS n FROM c), m AS (SELECT source, sum(v) / any_value(n) AS macro, count(*) AS present FROM c, t GROUP BY 1)
+SELECT source, round(macro, 6) AS macro, present::BIGINT AS present, (rank() OVER (ORDER BY round(macro, 12) DESC))::INTEGER AS place FROM m""")
+def q_leaderboard_macro(spark, d):
+    """Sources as models, languages as tasks, one of which one model lacks."""
+    rows = t(spark, d, "documents").filter("source is not null and lang is not null and not (source = 'src3' and lang = 'de')")
+    return relate.leaderboard(rows.groupBy("source", "lang").agg(F.avg("n_chars").alias("v")), "source", "lang", "v").withColumn("macro", r6("macro"))
+
+
+@query("""WITH s AS (SELECT l_orderkey, l_linenumber, l_orderkey * 10 + l_linenumber AS step FROM lineitem GROUP BY ALL), p AS (SELECT *, (step - 500) / 60000.0::DOUBLE AS done FROM s)
+SELECT l_orderkey, l_linenumber, round(CASE WHEN step < 500 THEN 0.7::DOUBLE * step / 500 ELSE 0.7::DOUBLE * greatest(0.1::DOUBLE, 0.1::DOUBLE + 0.9::DOUBLE * (1 + cos(pi() * done)) / 2) END, 6) AS rate FROM p""")
+def q_learning_rate(spark, d):
+    """A cosine schedule with warm-up, a step for each line of an order."""
+    steps = t(spark, d, "lineitem").select("l_orderkey", "l_linenumber").distinct()
+    return steps.select("l_orderkey", "l_linenumber", F.round(learning_rate(F.col("l_orderkey") * 10 + F.col("l_linenumber"), 60_500, 500, 0.7), 6).alias("rate"))
+
+
+@query(f"""WITH k AS (SELECT conv_id, turn, role, unnest(list_zip({TOK('text')}, range(0, len({TOK('text')})))) AS x FROM conversations) SELECT conv_id, turn, role, round(sum(CASE WHEN x[2] >= 2 THEN -{H('x[1]')} ELSE 0 END), 6) AS logprob, count(*)::BIGINT AS n_tokens FROM k GROUP BY 1, 2, 3""")
+def q_sequence_scores(spark, d):
+    """Token scores summed up over what comes behind a prefix of two tokens."""
+    each = t(spark, d, "conversations").select("conv_id", "turn", "role", F.posexplode(tokens(F.col("text"))).alias("pos", "token")).withColumn("logprob", -hash_score(F.col("token")))
+    return score.sequence_scores(each, ["conv_id", "turn", "role"], inside=F.col("pos") >= 2).withColumn("logprob", r6("logprob"))
+
+
 # ---- scorers, training logs, paths -----------------------------------------------------------------
 
 

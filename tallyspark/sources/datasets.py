@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,6 +15,24 @@ def dataset(spark: SparkSession, root: str, name: str, config: str = "default",
     return rows.select("*", F.regexp_extract(F.col("_metadata.file_path"), rf"/([^/]+)\.{kind}(?:/[^/]*)?$", 1).alias("split"))
 
 
+def dataset_or_none(spark: SparkSession, root: str, name: str, configs: list[str], needed: list[str] = (), schema: str | None = None) -> DataFrame | None:
+    """The first of these configs that is there, such as a language and then the default; None where none is, so that a language can be left out.
+
+    A table that lacks a needed column is an error, with the columns that it has."""
+    for config in configs:
+        try:
+            rows = dataset(spark, root, name, config, schema=schema)
+        except AnalysisException as e:
+            if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+                raise
+            continue
+        missing = [c for c in needed if c not in rows.columns]
+        if missing:
+            raise ValueError(f"{name}/{config} has no column {', '.join(missing)}; there are {rows.columns}")
+        return rows
+    return None
+
+
 def steps(paths: DataFrame, path: str = "path") -> DataFrame:
     """(path, step) of folders that are named by a number, the last ones first; others are passed over."""
     step = F.element_at(F.split(F.regexp_replace(F.col(path), "/+$", ""), "/"), -1).try_cast("long")
