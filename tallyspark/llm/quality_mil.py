@@ -4,7 +4,7 @@ A text is a bag of passages of `passage` words. Each passage is encoded from its
 gated attention layer (tanh times sigmoid, softmax over the bag) learns from document labels which
 passages decide, and the attention-weighted mean of the encodings is scored. All weights
 are fitted together, by Adam, on labelled rows outside the held-out fold: at most about `per_class` of each
-label, and of a text of more than `sample_chars` characters so many in a row from a place that its hash tells. Scoring reads every whole text,
+label, and of a text of more than `sample_chars` characters so many, in pieces from all over it. Scoring reads every whole text,
 in slices of bounded size; a long text has more passages and no other treatment. Null, empty and blank texts have
 one passage without content. Labels of a repeated id count once, the lower one. Without
 labels of both kinds every score is one half. Repeated rows are scored alike, an empty table gives an empty one; columns beside

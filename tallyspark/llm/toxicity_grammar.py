@@ -8,7 +8,7 @@ scored by the path its words take through the composition; a document by the cla
 
 Insult patterns are learned from labelled documents, besides a short fixed list; so are the
 weights. The fit uses a sample of labelled rows of bounded size (about `per_class` of each
-label; of a text of more than `sample_chars` characters so many in a row, from a place that its hash tells); scoring reads every whole text.
+label; of a text of more than `sample_chars` characters so many, in `WINDOWS` pieces at even distances from its beginning to its end); scoring reads every whole text.
 Null and empty texts have no clause and get the score of the bias alone. Without usable labels the fixed list and the
 prior weights remain. Labels of a repeated id count once, toxic if any says so. Repeated rows are scored alike, an empty table gives
 an empty one; columns beside doc_id and text don't matter, whatever their names.
@@ -23,7 +23,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import _kernel as K
@@ -45,6 +45,7 @@ _END = re.compile(r"[.!?;:,\n]")
 _WORD = re.compile(r"\w+(?:'\w+)*|[\"“«„]")
 
 
+WINDOWS = 16  # pieces of a long labelled text
 SALTS = (0, 0x5BD1E995, 0x9E3779B9, 0x85EBCA6B)
 
 
@@ -277,6 +278,13 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(z, -30, 30))), kinds
 
 
+def spread(text: Column, most: int) -> Column:
+    """A text of at most so many characters whole; of a longer one pieces from all over it, a line each."""
+    width, n = max(1, most // WINDOWS), F.length(text)
+    pieces = F.transform(F.sequence(F.lit(0), F.lit(WINDOWS - 1)), lambda k: F.substr(text, F.floor(k * ((n - width) / F.lit(float(WINDOWS - 1)))).cast("int") + 1, F.lit(width)))
+    return F.when(n > most, F.array_join(pieces, "\n")).otherwise(text)
+
+
 def sampled(docs: DataFrame, labels: DataFrame, column: str, fold: int, held: int, per_class: int, sample_chars: int) -> tuple[list[str], list[int]]:
     """Labelled texts outside the held-out fold: at most about `per_class` of each label, by the hash of the id."""
     known = labels.filter(F.col(column).isin(0, 1) & F.col("doc_id").isNotNull() & (bucket(F.col("doc_id"), fold) != held))
@@ -285,8 +293,7 @@ def sampled(docs: DataFrame, labels: DataFrame, column: str, fold: int, held: in
     share = F.when(F.col("y") == 1, min(1.0, per_class / max(1, counts.get(1, 0)))).otherwise(min(1.0, per_class / max(1, counts.get(0, 0))))
     picked = known.filter(F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1_000_003)) < share * 1_000_003).hint("broadcast")
     texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).filter(F.col("text").isNotNull())
-    begin = F.pmod(F.xxhash64("text", F.lit(12)), F.greatest(F.lit(1), F.length("text") - sample_chars + 1)).cast("int") + 1
-    rows = texts.join(picked, "doc_id").select("doc_id", F.substring("text", begin, F.lit(sample_chars)).alias("text"), "y").orderBy("doc_id", "text").toArrow()
+    rows = texts.join(picked, "doc_id").select("doc_id", spread(F.col("text"), sample_chars).alias("text"), "y").orderBy("doc_id", "text").toArrow()
     return rows["text"].to_pylist(), rows["y"].to_pylist()
 
 

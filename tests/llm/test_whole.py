@@ -317,3 +317,57 @@ def test_html_made_pages():
         want = html_density._SPACE.sub(" ", html_unescape(re.sub("<[^>]*>", lambda m: "" if m[0].startswith(("<a", "</a")) else " ", "".join(text)))).strip()
         hit += html_density.extract(page) == want
     assert hit >= 57
+
+
+def test_long_labelled_texts_are_drawn_from_all_over(spark):
+    from pyspark.sql import functions as F
+
+    texts = {"short": "é" * 160, "long": "".join(f"{k:08d}" for k in range(10_000)), "none": None, "empty": ""}
+    df = spark.createDataFrame(list(texts.items()), "id string, text string").select("id", toxicity_grammar.spread(F.col("text"), 160).alias("t"))
+    got = {r.id: r.t for r in df.collect()}
+    assert got["short"] == texts["short"] and got["none"] is None and got["empty"] == ""
+    pieces = got["long"].split("\n")
+    step = (80_000 - 10) / 15
+    assert pieces == [texts["long"][int(k * step) :][:10] for k in range(16)]
+
+
+def plain_score(text, stems, weights):
+    """The score of a text by whole clauses: cut at marks, classes word by word, no transducers."""
+    kinds = [0.0] * len(toxicity_grammar.KINDS)
+    lexicon = toxicity_grammar.Lexicon(stems)
+    for clause in re.split(r"[.!?;:,\n]", text.lower()):
+        symbols = [(w, lexicon.symbol(w)) for w in toxicity_grammar._WORD.findall(clause)]
+        best = {}
+        for k, (w, s) in enumerate(symbols):
+            if s not in "IH":
+                continue
+            near = lambda kind, reach: any(x == kind for _, x in symbols[max(0, k - reach) : k])  # noqa: B023, E731
+            if near("N", 3):
+                kind = 2
+            elif near("R", 6):
+                kind = 3
+            else:
+                kind = {"I": (0, 1), "H": (4, 5)}[s][near("T", 4)]
+            best[kind] = best.get(kind, 0.0) + (lexicon.weight(w) or 1.0)
+        for kind, v in best.items():
+            kinds[kind] += v
+    return kinds, sum(min(v, 6.0) * w for v, w in zip(kinds, weights)) + weights[-1]
+
+
+def test_toxicity_against_a_plain_scorer():
+    """The composed transducers against rules that look back from each word."""
+    import numpy as np
+
+    stems = {"idiot$": 1.0, "stup+": 0.8, "moron$": 1.5}
+    weights = np.append(toxicity_grammar.PRIOR, toxicity_grammar.BIAS)
+    model = toxicity_grammar.Model(stems, weights)
+    r = random.Random(14)
+    pool = ["idiot", "stupid", "moron", "fine", "word", "tree", *sorted(toxicity_grammar.THREATS)[:3], *sorted(toxicity_grammar.CLASSES)[:: max(1, len(toxicity_grammar.CLASSES) // 25)]]
+    texts = [" ".join(r.choice(pool) + r.choice(["", "", "", "", ".", ",", "!"]) for _ in range(r.randrange(1, 30))) for _ in range(400)]
+    scores, kinds = model.score(texts)
+    hit = 0
+    for t, s, k in zip(texts, scores, kinds):
+        want, z = plain_score(t, stems, weights)
+        assert np.allclose(k, want) and abs(s - 1 / (1 + np.exp(-z))) < 1e-9, t
+        hit += any(want)
+    assert hit > 100
