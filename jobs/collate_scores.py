@@ -9,8 +9,9 @@ all tasks, a task without any answer being 0. `coverage` is the share of gold it
 
     OUT/task=<task>/     (model, subtask, total, answered, correct, score, coverage, complete, place)
 
-subtask is null in a task's own row; the partition `average` has the rows over all tasks. place is the model's place by
-score in the same subtask, task or average, from 1; equal scores share the better place.
+subtask is null in a task's own row; the partition `average` has the rows over all tasks. A model has rows for the subtasks and tasks of which it answered
+something, and its average. Rows without a model say what there is to answer: the gold items of each subtask, task and of all.
+place is the model's place by score in the same subtask, task or average, from 1; equal scores share the better place.
 
 The config says how columns are found: SQL expressions for `model`, `item`, `answer` and `order` (a list; later is greater) of predictions, and for
 `item`, `answer`, `task` and `subtask` of gold. `tasks` names the tasks to collate, null all of them. With a list only the
@@ -54,34 +55,39 @@ def golden(rows: DataFrame, said: dict, tasks: list[str] | None) -> DataFrame:
 
 
 def scores(predictions: DataFrame, gold: DataFrame) -> DataFrame:
-    """(task, subtask, model, total, answered, correct): every subtask for every model, whether it answered or not."""
-    sizes = gold.groupBy("task", "subtask").agg(F.count("*").alias("total"))
+    """(task, subtask, model, total, answered, correct, score): subtasks, then tasks with a null subtask; both also without a model."""
+    sizes = gold.groupBy("task", F.coalesce("subtask", F.lit("")).alias("subtask")).agg(F.count("*").alias("total"))
     right = F.coalesce(strip(F.col("p.answer")) == strip(F.col("g.answer")), F.lit(False))
     met = predictions.alias("p").join(gold.alias("g"), F.col("p.item") == F.col("g.item"))
-    found = met.groupBy("g.task", "g.subtask", "p.model").agg(F.count("*").alias("answered"), F.count_if(right).alias("correct"))
-    models = predictions.select("model").distinct()
-    wanted = sizes.crossJoin(models)  # subtasks by models: the size of the result
-    both = wanted.alias("w").join(found.alias("f"), (F.col("w.task") == F.col("f.task")) & F.col("w.subtask").eqNullSafe(F.col("f.subtask")) & (F.col("w.model") == F.col("f.model")), "left")
-    return both.select("w.task", F.coalesce("w.subtask", F.lit("")).alias("subtask"), "w.model", "w.total", F.coalesce("f.answered", F.lit(0)).alias("answered"), F.coalesce("f.correct", F.lit(0)).alias("correct"))
-
-
-def summed(rows: DataFrame, score, by: list[str]) -> DataFrame:
-    """The rows above `rows`: counts are summed, the score is what `score` says."""
-    return rows.groupBy(*by).agg(*[F.sum(c).alias(c) for c in ("total", "answered", "correct")], score.alias("score"))
+    found = met.groupBy("g.task", F.coalesce("g.subtask", F.lit("")).alias("subtask"), "p.model").agg(F.count("*").alias("answered"), F.count_if(right).alias("correct"))
+    sub = found.join(sizes, ["task", "subtask"]).withColumn("score", F.col("correct").cast("double") / F.col("total"))
+    whole = sizes.groupBy("task").agg(F.sum("total").alias("total"), F.count("*").alias("parts"))
+    sums = sub.groupBy("task", "model").agg(F.sum("answered").alias("answered"), F.sum("correct").alias("correct"), F.sum("score").alias("s")).join(whole, "task")
+    none = {"model": F.lit(None).cast("string"), "answered": F.lit(0).cast("long"), "correct": F.lit(0).cast("long"), "score": F.lit(None).cast("double")}
+    names = ["task", "subtask", "model", "total", "answered", "correct", "score"]
+    null = F.lit(None).cast("string")
+    tables = [sub, sizes.withColumns(none), sums.withColumns({"subtask": null, "score": F.col("s") / F.col("parts")}), whole.withColumns(none | {"subtask": null})]
+    out = tables[0].select(names)
+    for table in tables[1:]:
+        out = out.unionByName(table.select(names))
+    return out
 
 
 def finished(rows: DataFrame) -> DataFrame:
     """With coverage, complete and place."""
-    w = Window.partitionBy("task", "subtask").orderBy(F.desc(F.round("score", 12)))  # a row a model; sums of doubles may differ in their last bits
+    w = Window.partitionBy("task", "subtask").orderBy(F.desc_nulls_last(F.round("score", 12)))  # a row a model; sums of doubles may differ in their last bits
     share = F.col("answered").cast("double") / F.col("total")
-    return rows.withColumns({"coverage": share, "complete": F.col("answered") == F.col("total"), "place": F.rank().over(w)})
+    return rows.withColumns({"coverage": share, "complete": F.col("answered") == F.col("total"), "place": F.when(F.col("model").isNotNull(), F.rank().over(w))})
 
 
 def averages(tasks: DataFrame) -> DataFrame:
-    """The rows over all tasks. Every task there has a row for every model of its run; one that a model lacks counts as 0."""
-    n = F.lit(tasks.select("task").distinct().count())  # one number
-    sums = summed(tasks, F.sum("score") / n, ["model"])
-    return finished(sums.withColumns({"task": F.lit(AVERAGE), "subtask": F.lit(None).cast("string")}))
+    """The rows over all tasks, of their own rows: a task that a model lacks counts as 0."""
+    there = tasks.filter("model is null").agg(F.count("*").alias("n"), F.sum("total").alias("total")).first()  # two numbers
+    null = F.lit(None).cast("string")
+    every = {"task": F.lit(AVERAGE), "subtask": null, "total": F.lit(there["total"]).cast("long")}
+    sums = tasks.groupBy("model").agg(F.sum("answered").alias("answered"), F.sum("correct").alias("correct"), F.sum("score").alias("score"))
+    sums = sums.withColumn("score", F.when(F.col("model").isNotNull(), F.col("score") / F.lit(there["n"])))
+    return finished(sums.withColumns(every))
 
 
 def written(rows: DataFrame, out: str, whole: bool) -> None:
@@ -102,9 +108,7 @@ def run(spark: SparkSession, predictions: str, gold: str, out: str, given: dict)
     said = predicted(spark.read.parquet(predictions), settings["predictions"])
     if tasks is not None and AVERAGE in tasks:
         raise ValueError(f"{AVERAGE} is no task")
-    sub = scores(said, answers).withColumn("score", F.col("correct").cast("double") / F.col("total"))
-    task = summed(sub, F.avg("score"), ["task", "model"]).withColumn("subtask", F.lit(None).cast("string"))
-    written(finished(sub.unionByName(task)), out, tasks is None)
+    written(finished(scores(said, answers)), out, tasks is None)
     there = output(spark, out).filter((F.col("task") != AVERAGE) & F.col("subtask").isNull())
     average = averages(there)
     kept = spark.createDataFrame(average.collect(), average.schema)  # a row a model; the table it was read from is about to change

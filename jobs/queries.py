@@ -41,13 +41,13 @@ SPACE = "[ \\t\\n\\r\\f\\x0b]+"
 ORACLES = {
     "job1_collate_scores": """WITH p AS (SELECT 'model-' || (l_suppkey % 10) AS model, l_orderkey AS item, l_linestatus AS answer, row_number() OVER (PARTITION BY l_suppkey % 10, l_orderkey ORDER BY l_linenumber DESC, l_partkey DESC, l_suppkey DESC, l_linestatus DESC) AS r FROM lineitem WHERE l_suppkey IS NOT NULL AND l_orderkey IS NOT NULL),
 g AS (SELECT o_orderkey AS item, o_orderpriority AS task, year(o_orderdate)::VARCHAR AS subtask, o_orderstatus AS answer FROM orders WHERE o_orderkey IS NOT NULL AND o_orderpriority IS NOT NULL),
-s AS (SELECT task, subtask, count(*) AS total FROM g GROUP BY 1, 2), m AS (SELECT DISTINCT model FROM p WHERE r = 1),
-f AS (SELECT g.task, g.subtask, p.model, count(*) AS answered, sum((trim(p.answer) = trim(g.answer))::INT) AS correct FROM p JOIN g ON p.item = g.item AND p.r = 1 GROUP BY 1, 2, 3),
-u AS (SELECT s.task, s.subtask, m.model, s.total, coalesce(f.answered, 0) AS answered, coalesce(f.correct, 0) AS correct, coalesce(f.correct, 0) / s.total::DOUBLE AS score FROM s CROSS JOIN m LEFT JOIN f ON f.task = s.task AND f.subtask = s.subtask AND f.model = m.model),
-t AS (SELECT task, NULL AS subtask, model, sum(total) AS total, sum(answered) AS answered, sum(correct) AS correct, avg(score) AS score FROM u GROUP BY 1, 3),
-a AS (SELECT 'average' AS task, NULL AS subtask, model, sum(total) AS total, sum(answered) AS answered, sum(correct) AS correct, avg(score) AS score FROM t GROUP BY 3),
-x AS (SELECT * FROM u UNION ALL SELECT * FROM t UNION ALL SELECT * FROM a)
-SELECT model, subtask, total::BIGINT AS total, answered::BIGINT AS answered, correct::BIGINT AS correct, round(score, 6) AS score, round(answered / total::DOUBLE, 6) AS coverage, answered = total AS complete, (rank() OVER (PARTITION BY task, subtask ORDER BY round(score, 12) DESC))::INTEGER AS place, task FROM x""",
+s AS (SELECT task, subtask, count(*) AS total FROM g GROUP BY 1, 2), k AS (SELECT task, sum(total) AS total, count(*) AS parts FROM s GROUP BY 1),
+u AS (SELECT g.task, g.subtask, p.model, any_value(s.total) AS total, count(*) AS answered, sum((trim(p.answer) = trim(g.answer))::INT) AS correct, sum((trim(p.answer) = trim(g.answer))::INT) / any_value(s.total)::DOUBLE AS score FROM p JOIN g ON p.item = g.item AND p.r = 1 JOIN s ON s.task = g.task AND s.subtask = g.subtask GROUP BY 1, 2, 3),
+t AS (SELECT u.task, NULL AS subtask, model, any_value(k.total) AS total, sum(answered) AS answered, sum(correct) AS correct, sum(score) / any_value(parts) AS score FROM u JOIN k ON k.task = u.task GROUP BY 1, 3),
+a AS (SELECT 'average' AS task, NULL AS subtask, model, (SELECT sum(total) FROM k) AS total, sum(answered) AS answered, sum(correct) AS correct, sum(score) / (SELECT count(*) FROM k) AS score FROM t GROUP BY 3),
+n AS (SELECT task, subtask, total FROM s UNION ALL SELECT task, NULL, total FROM k UNION ALL SELECT 'average', NULL, sum(total) FROM k),
+x AS (SELECT * FROM u UNION ALL SELECT * FROM t UNION ALL SELECT * FROM a UNION ALL SELECT task, subtask, NULL, total, 0, 0, NULL FROM n)
+SELECT model, subtask, total::BIGINT AS total, answered::BIGINT AS answered, correct::BIGINT AS correct, round(score, 6) AS score, round(answered / total::DOUBLE, 6) AS coverage, answered = total AS complete, CASE WHEN model IS NOT NULL THEN (rank() OVER (PARTITION BY task, subtask ORDER BY round(score, 12) DESC NULLS LAST))::INTEGER END AS place, task FROM x""",
     "job2_word_contexts": f"""WITH w AS (SELECT DISTINCT word FROM (SELECT unnest(string_split_regex(lower(text), '{SPACE}')) AS word FROM benchmark) WHERE length(word) >= 2),
 s AS (SELECT lang AS language, unnest(string_split(regexp_replace(text, '([.!?]){SPACE}', '\\1' || chr(30), 'g'), chr(30))) AS sentence FROM documents),
 k AS (SELECT language, list_filter(string_split_regex(lower(sentence), '{SPACE}'), lambda x: x <> '') AS t FROM s), i AS (SELECT language, t, unnest(range(2, len(t) + 1)) AS i FROM k WHERE len(t) > 1),

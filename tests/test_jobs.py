@@ -207,23 +207,29 @@ def plain_scores(predictions, gold, tasks=None):
     for m, i, a, at in predictions:
         if m is not None and i is not None and (at, a or "") >= last.get((m, i), (-1, "", None))[:2]:
             last[m, i] = (at, a or "", a)
-    models, sizes = {m for m, _ in last}, collections.Counter((t, s or "") for t, s, _ in golden.values())
-    cells = {(t, s, m): [n, 0, 0] for (t, s), n in sizes.items() for m in models}
+    sizes = collections.Counter((t, s or "") for t, s, _ in golden.values())
+    cells = {}
     for (m, i), (_, _, a) in last.items():
         if i in golden:
             t, s, g = golden[i]
-            cells[t, s or "", m][1] += 1
-            cells[t, s or "", m][2] += a is not None and a.strip() == g.strip()
+            cell = cells.setdefault((t, s or "", m), [sizes[t, s or ""], 0, 0])
+            cell[1] += 1
+            cell[2] += a is not None and a.strip() == g.strip()
     rows = {k: (*v, v[2] / v[0]) for k, v in cells.items()}
-    over = lambda keys, scores: (*[sum(rows[k][j] for k in keys) for j in range(3)], sum(scores) / len(scores))
-    for t in {t for t, _ in sizes}:
-        for m in models:
-            keys = [k for k in cells if k[0] == t and k[2] == m]
-            rows[t, None, m] = over(keys, [rows[k][3] for k in keys])
-    for m in models:
-        rows[AVERAGE, None, m] = over([k for k in cells if k[2] == m], [v[3] for k, v in rows.items() if k[1] is None and k[2] == m])
+    tasks = sorted({t for t, _ in sizes})
+    parts = {t: [s for u, s in sizes if u == t] for t in tasks}
+    total = {t: sum(sizes[t, s] for s in parts[t]) for t in tasks}
+    for t in tasks:
+        for m in {k[2] for k in cells if k[0] == t}:
+            own = [rows[t, s, m] for s in parts[t] if (t, s, m) in cells]
+            rows[t, None, m] = (total[t], sum(v[1] for v in own), sum(v[2] for v in own), sum(v[3] for v in own) / len(parts[t]))
+    for m in {k[2] for k in cells}:
+        own = [v for k, v in rows.items() if k[1] is None and k[2] == m]
+        rows[AVERAGE, None, m] = (sum(total.values()), sum(v[1] for v in own), sum(v[2] for v in own), sum(v[3] for v in own) / len(tasks))
     place = lambda k: 1 + sum(v[3] > rows[k][3] + 1e-12 for j, v in rows.items() if j[:2] == k[:2])
-    return {(*k, *v[:3], round(v[3], 9), v[1] == v[0], place(k)) for k, v in rows.items()}
+    found = {(*k, *v[:3], round(v[3], 9), v[1] == v[0], place(k)) for k, v in rows.items()}
+    gold = {(t, s): n for (t, s), n in sizes.items()} | {(t, None): n for t, n in total.items()} | ({(AVERAGE, None): sum(total.values())} if tasks else {})
+    return found | {(t, s, None, n, 0, 0, None, False, None) for (t, s), n in gold.items()}
 
 
 class Board:
@@ -242,7 +248,7 @@ class Board:
     def found(self):
         rows = collate_scores.output(self.spark, self.out).collect()
         assert all(abs(r.coverage - r.answered / r.total) < 1e-12 for r in rows)
-        got = [(r.task, r.subtask, r.model, r.total, r.answered, r.correct, round(r.score, 9), r.complete, r.place) for r in rows]
+        got = [(r.task, r.subtask, r.model, r.total, r.answered, r.correct, None if r.score is None else round(r.score, 9), r.complete, r.place) for r in rows]
         assert len(set(got)) == len(got)
         return set(got)
 
@@ -272,7 +278,9 @@ def test_one_task_anew(board):
 
 def test_nothing_to_collate(board):
     board.run([])
-    assert board.found() == set()
+    assert board.found() == plain_scores([], GOLD)
+    board.run(answers(), [])
+    assert board.found() <= {(AVERAGE, None, None, 0, 0, 0, None, True, None)} or not board.found()
 
 
 # ---- command lines -------------------------------------------------------------------------------------
