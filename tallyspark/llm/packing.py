@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import bisect
 import hashlib
+import itertools
 import os
 import re
 
@@ -66,32 +67,37 @@ class Words(Codec):
     def pieces(self, text: str) -> list[str]:
         if "<|" not in text and (text.isascii() or not self.MARKS.search(text)):
             text = self.CLOSING.sub(r" \1", text.encode().lower().decode())  # of bytes: ASCII letters only
-        return [w for w in text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") if w]
+        return text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")  # an empty chunk has no ids
 
-    def encoded(self, chunks: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, np.int64) for e in self.library.encode_batch_fast(chunks, add_special_tokens=False)]
+    def encoded(self, chunks: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.library.encode_batch_fast(chunks, add_special_tokens=False)] if chunks else []
 
     def learn(self) -> None:
         if not self.fresh:
             return
         fresh = self.fresh
-        found: list[np.ndarray] = [None] * len(fresh)
+        size, at = np.zeros(len(fresh), np.int64), np.zeros(len(fresh), np.int64)
+        found, total = [self.ids], len(self.ids)
         # letters alone are one word each, and a word's last token says so: many are encoded as one text
-        plain = [k for k, w in enumerate(fresh) if w.isalpha()]
-        rest = [k for k, w in enumerate(fresh) if not w.isalpha()]
+        letters = np.fromiter(map(str.isalpha, fresh), bool, len(fresh))
+        plain, rest = np.flatnonzero(letters), np.flatnonzero(~letters).tolist()
         groups = [plain[k : k + self.TOGETHER] for k in range(0, len(plain), self.TOGETHER)]
         for group, ids in zip(groups, self.encoded([" ".join([fresh[k] for k in g]) for g in groups])):
+            ids = np.array(ids, np.int64)
             cut = np.flatnonzero(self.ends[ids]) + 1
             if len(cut) == len(group) and cut[-1] == len(ids):
-                for k, x in zip(group, np.split(ids, cut[:-1])):
-                    found[k] = x
+                size[group] = np.diff(cut, prepend=0)
+                at[group] = total + cut - size[group]
+                found.append(ids)
+                total += len(ids)
             else:
-                rest += group
-        for k, ids in zip(rest, self.encoded([fresh[k] for k in rest])):
-            found[k] = ids
-        size = np.fromiter(map(len, found), np.int64, len(found))
-        self.at = np.append(self.at, len(self.ids) + np.cumsum(size) - size)
-        self.size, self.ids = np.append(self.size, size), np.append(self.ids, np.concatenate(found))
+                rest += group.tolist()
+        each = self.encoded([fresh[k] for k in rest])
+        if rest:
+            size[rest] = list(map(len, each))
+            at[rest] = total + np.cumsum(size[rest]) - size[rest]
+            found.append(np.fromiter(itertools.chain.from_iterable(each), np.int64, int(size[rest].sum())))
+        self.at, self.size, self.ids = np.append(self.at, at), np.append(self.size, size), np.concatenate(found)
         self.chars += sum(map(len, fresh))
         fresh.clear()
 
