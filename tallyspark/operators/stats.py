@@ -144,22 +144,20 @@ def fit(mean: np.ndarray, cross: np.ndarray, n: int) -> dict:
 def nested_fits(rows: DataFrame, measures: list[str], on: list[str], added: str) -> dict[str, tuple[dict, dict]]:
     """For each measure the fit on `on`, and that with `added` behind them, each on the rows that are complete for it.
 
-    Two passes, however many measures there are: means, then products of deviations from them, both grouped by measure. Rows that lack only
+    Two passes, however many measures there are: means, then products of deviations from them, by measure. Rows that lack only
     `added` have sums of their own, so the first fit takes both sums and the second one of them. Only k x k moments of a measure reach the driver."""
-    number = lambda c: F.nullif(F.nanvl(F.col(f"`{c}`").cast("double"), F.lit(None)), F.lit(float("nan")))
+    number = lambda c: F.nullif(F.col(f"`{c}`").cast("double"), F.lit(float("nan")))
     names = [f"c{i}" for i in range(len(on))]
-    each = F.array(*[F.struct(F.lit(m).alias("measure"), number(m).alias("y")) for m in measures])
-    wide = rows.select(*[number(c).alias(n) for n, c in zip(names, on)], number(added).alias("a"), each.alias("each")).dropna(subset=names)
-    long = wide.select(*names, "a", F.inline("each")).filter("y is not null")
+    wide = rows.select(*[number(c).alias(n) for n, c in zip(names, on)], number(added).alias("a"), *[number(m).alias(f"y{j}") for j, m in enumerate(measures)]).dropna(subset=names)
+    ys = [f"y{j}" for j in range(len(measures))]
+    means = wide.agg(*[F.avg(c).alias(c) for c in [*names, "a", *ys]]).first()  # any shift near the mean keeps the digits
+    middle = {c: float(means[c] or 0.0) for c in [*names, "a", *ys]}
+    each = F.array(*[F.struct(F.lit(m).alias("measure"), (F.col(y) - F.lit(middle[y])).alias("y")) for m, y in zip(measures, ys)])
+    long = wide.select(*[(F.col(c) - F.lit(middle[c])).alias(c) for c in names], (F.col("a") - F.lit(middle["a"])).alias("a"), F.inline(F.filter(each, lambda e: e["y"].isNotNull())))
     columns = [*names, "a", "y"]
     k = len(columns)
-    centres = {r["measure"]: [r[f"m{i}"] or 0.0 for i in range(k)] for r in long.groupBy("measure").agg(*[F.avg(c).alias(f"m{i}") for i, c in enumerate(columns)]).collect()}  # a row a measure
-    if not centres:
-        nothing = lambda n: fit(np.zeros(n + 1), np.zeros((n + 1, n + 1)), 0)
-        return {m: (nothing(len(on)), nothing(len(on) + 1)) for m in measures}
-    # a chain of conditions of a handful of measures stays in generated code
-    centre = [F.create_map(*[x for m, v in centres.items() for x in (F.lit(m), F.lit(float(v[i])))])[F.col("measure")] for i in range(k)]
-    away = long.select("measure", F.col("a").isNotNull().alias("whole"), *[F.coalesce(F.col(c) - centre[i], F.lit(0.0)).alias(f"d{i}") for i, c in enumerate(columns)])
+    centres = {m: [*[middle[c] for c in names], middle["a"], middle[y]] for m, y in zip(measures, ys)}
+    away = long.select("measure", F.col("a").isNotNull().alias("whole"), *[F.coalesce(c, F.lit(0.0)).alias(f"d{i}") for i, c in enumerate(columns)])
     sums = [F.sum(f"d{i}").alias(f"s{i}") for i in range(k)] + [F.sum(F.col(f"d{i}") * F.col(f"d{j}")).alias(f"s{i}_{j}") for i in range(k) for j in range(i, k)]
     found: dict[str, dict[bool, tuple]] = {m: {} for m in measures}
     for r in away.groupBy("measure", "whole").agg(F.count("*").alias("n"), *sums).collect():  # two rows a measure
@@ -170,7 +168,7 @@ def nested_fits(rows: DataFrame, measures: list[str], on: list[str], added: str)
     for m in measures:
         whole, part = found[m].get(True, none), found[m].get(False, none)
         both = tuple(a + b for a, b in zip(whole, part))
-        c = np.array(centres.get(m, [0.0] * k))
+        c = np.array(centres[m])
 
         def fitted(sums: tuple, keep: list[int]) -> dict:
             n, first, cross = sums[0], sums[1][keep], sums[2][np.ix_(keep, keep)]

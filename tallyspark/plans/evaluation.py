@@ -76,10 +76,8 @@ def q_reading_report(spark, d):
 
 def _measures(spark, d):
     """Eleven measures, each missing elsewhere, and a prediction that some rows lack."""
-    l = t(spark, d, "lineitem")
-    noise = hash_score(F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey"))
-    base = F.col("l_tax").cast("double") * 100 + F.col("l_extendedprice").cast("double") / 1e4
-    values = [F.when(F.col("l_orderkey") % (7 + k) != 0, base + noise * (k + 1)).alias(m) for k, m in enumerate(reading.MEASURES)]
+    l = t(spark, d, "lineitem").withColumns({"noise": hash_score(F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey")), "base": F.col("l_tax").cast("double") * 100 + F.col("l_extendedprice").cast("double") / 1e4})
+    values = [F.when(F.col("l_orderkey") % (7 + k) != 0, F.col("base") + F.col("noise") * (k + 1)).alias(m) for k, m in enumerate(reading.MEASURES)]
     return l.select(F.col("l_quantity").cast("double").alias("length"), F.col("l_linenumber").cast("double").alias("context_length"), F.when(F.col("l_orderkey") % 11 != 0, F.col("l_extendedprice").cast("double")).alias("pred"), *values)
 
 
