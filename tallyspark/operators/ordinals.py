@@ -21,10 +21,13 @@ def cuts(rows: DataFrame, first: str, parts: int) -> list[float]:
     return sorted({c for c in found if c is not None and not math.isnan(c)})
 
 
-def running(rows: DataFrame, by: list[str], order: list[str], totals: dict[str, tuple[str, str]], parts: int = 64) -> DataFrame:
+def running(rows: DataFrame, by: list[str], order: list[str], totals: dict[str, tuple[str, str]], parts: int | None = None) -> DataFrame:
     """`rows` with each total {name: (column, "sum" or "bit_xor")} over the rows of its group up to it, itself included.
 
-    order: total within a group, nulls first; its first column is a number where parts > 1. With parts = 1 a group is one window: for groups that are known to be small."""
+    order: total within a group, nulls first; its first column is a number where parts > 1. With parts = 1 a group is one window: for groups that are known to be small.
+    By default there are as many ranges as the session shuffles to, 64 at most: several groups share the tasks."""
+    if parts is None:
+        parts = min(64, max(2, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     if parts <= 1:
         w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
         return rows.withColumns({name: HOW[how][0](column).over(w) for name, (column, how) in totals.items()})
@@ -41,13 +44,13 @@ def running(rows: DataFrame, by: list[str], order: list[str], totals: dict[str,
     return out.select(*[F.col(f"l.{c}") for c in rows.columns], *[HOW[how][1](F.col(f"l.{name}"), F.col(f"r.__b_{name}")).alias(name) for name, (_, how) in totals.items()])
 
 
-def numbered(rows: DataFrame, by: list[str], order: list[str], name: str = "seq", parts: int = 64) -> DataFrame:
+def numbered(rows: DataFrame, by: list[str], order: list[str], name: str = "seq", parts: int | None = None) -> DataFrame:
     """The ordinal from 0 within `by`; order must be total, its first column a number."""
     out = running(rows.withColumn("__one", F.lit(1).cast("long")), by, order, {"__end": ("__one", "sum")}, parts)
     return out.withColumn(name, F.col("__end") - 1).drop("__one", "__end")
 
 
-def with_next(rows: DataFrame, by: list[str], order: list[str], columns: dict[str, str], parts: int = 64) -> DataFrame:
+def with_next(rows: DataFrame, by: list[str], order: list[str], columns: dict[str, str], parts: int | None = None) -> DataFrame:
     """`rows`, without the last one of each group, with columns {new: old} of the row that follows in order; order as in `numbered`."""
     here = numbered(rows, by, order, "__seq", parts)
     after = here.select(*[F.col(c).alias(f"__n_{c}") for c in by], (F.col("__seq") - 1).alias("__before"), *[F.col(old).alias(new) for new, old in columns.items()])
