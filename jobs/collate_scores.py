@@ -104,10 +104,14 @@ def run(spark: SparkSession, predictions: str, gold: str, out: str, given: dict)
     """Writes the scores of the config's tasks and the averages over all tasks; returns what it read and wrote."""
     settings, out = checked(given, DEFAULTS), out.rstrip("/")
     tasks = settings["tasks"]
-    answers = golden(spark.read.parquet(gold), settings["gold"], tasks)
-    said = predicted(spark.read.parquet(predictions), settings["predictions"])
     if tasks is not None and AVERAGE in tasks:
         raise ValueError(f"{AVERAGE} is no task")
+    tables = {path: spark.read.parquet(path) for path in (predictions, gold)}
+    read = {path: table.count() for path, table in tables.items()}  # Parquet's footers know
+    for path, n in read.items():
+        LOG.info("read %d rows of %s", n, path)
+    answers = golden(tables[gold], settings["gold"], tasks)
+    said = predicted(tables[predictions], settings["predictions"])
     written(finished(scores(said, answers)), out, tasks is None)
     there = output(spark, out).filter((F.col("task") != AVERAGE) & F.col("subtask").isNull())
     average = averages(there)
@@ -116,7 +120,7 @@ def run(spark: SparkSession, predictions: str, gold: str, out: str, given: dict)
     sizes = {r["task"]: r["n"] for r in output(spark, out).groupBy("task").agg(F.count("*").alias("n")).collect()}  # a row a task
     for name, n in sorted(sizes.items(), key=str):
         LOG.info("%s/task=%s has %d rows", out, name, n)
-    return {"tasks": sorted(str(t) for t in sizes if t != AVERAGE), "rows": sum(sizes.values())}
+    return {"tasks": sorted(str(t) for t in sizes if t != AVERAGE), "rows": sum(sizes.values()), "predictions": read[predictions], "gold": read[gold]}
 
 
 if __name__ == "__main__":

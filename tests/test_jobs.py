@@ -260,7 +260,7 @@ def board(spark, tmp_path):
 
 def test_leaderboard(board):
     done = board.run(answers())
-    assert done["tasks"] == ["x", "y", "z"] and board.found() == plain_scores(answers(), GOLD)
+    assert done["tasks"] == ["x", "y", "z"] and (done["predictions"], done["gold"]) == (len(answers()), len(GOLD)) and board.found() == plain_scores(answers(), GOLD)
     board.run(answers())
     assert board.found() == plain_scores(answers(), GOLD)
 
@@ -306,7 +306,7 @@ def test_command_lines(spark, tmp_path):
     p, g = board.put("p", answers(), "m string, i string, a string, at int"), board.put("g", GOLD, "i string, a string, t string, s string")
     config.write_text(json.dumps(SAID))
     said = call("collate_scores", "--predictions", p, "--gold", g, "--out", board.out, "--config", str(config))
-    assert "task=average has" in said and board.found() == plain_scores(answers(), GOLD)
+    assert "task=average has" in said and f"read {len(GOLD)} rows" in said and board.found() == plain_scores(answers(), GOLD)
 
 
 def test_shipped_configs():
