@@ -68,6 +68,14 @@ def rollup(leaves: DataFrame, configs: list[dict], metric: str = "accuracy", siz
     return both.join(how, "task_group").select("task_group", F.when(F.col("by_size"), F.col("weighted")).otherwise(F.col("unweighted")).alias("value"), "size")
 
 
+def rollup_generated(leaves: DataFrame, language: Column, label: str, by_size: bool = False, metric: str = "accuracy", size: str = "size") -> DataFrame:
+    """(task_group, value, size) of the groups that `generated` makes of these leaves: one a language, and one over all; the leaves say which there are, so no name leaves the tables."""
+    name = F.explode(F.array(F.concat_ws("_", F.lit(label), language), F.lit(label))).alias("task_group")
+    rows = leaves.filter(language.isNotNull()).select(name, metric, size).groupBy("task_group")
+    value = F.sum(F.col(metric) * F.col(size)) / F.sum(size) if by_size else F.avg(metric)
+    return rows.agg(value.alias("value"), F.sum(size).cast("long").alias("size"))
+
+
 def choices_of(config: dict, columns: list[str]) -> Column:
     """The choices of a row: a fixed list of templates, the name of an array column, or one template expression that gives a list."""
     said = config.get("doc_to_choice")

@@ -188,15 +188,10 @@ def q_template_expressions(spark, d):
 g AS (SELECT 'mean_' || lang AS task_group, avg(a) AS v, sum(n) AS n FROM c GROUP BY 1 UNION ALL SELECT 'mean', avg(a), sum(n) FROM c UNION ALL SELECT 'sized_' || lang, sum(a * n) / sum(n), sum(n) FROM c GROUP BY 1 UNION ALL SELECT 'sized', sum(a * n) / sum(n), sum(n) FROM c)
 SELECT task_group, round(v, 6) AS value, n::BIGINT AS size FROM g""")
 def q_group_rollup(spark, d):
-    """Groups made by rule of the leaves that are there, weighted by size or not as their configs say."""
+    """Groups made by rule of the leaves that are there, weighted by size or not."""
     docs = t(spark, d, "documents").filter("lang is not null and source is not null")
     leaves = docs.groupBy("lang", F.concat_ws("/", "lang", "source").alias("leaf")).agg(F.avg((hash_score(F.col("doc_id")) < 0.6).cast("double")).alias("accuracy"), F.count("*").alias("size"))
-    by: dict[str, list[str]] = {}
-    for r in leaves.select("lang", "leaf").collect():  # one name a task
-        by.setdefault(r["lang"], []).append(r["leaf"])
-    names = {x for v in by.values() for x in v}
-    configs = [{"task": x} for x in sorted(names)] + tasks.generated(by, names, "mean") + tasks.generated(by, names, "sized", True)
-    out = tasks.rollup(leaves, configs)
+    out = tasks.rollup_generated(leaves, F.col("lang"), "mean").unionByName(tasks.rollup_generated(leaves, F.col("lang"), "sized", True))
     return out.select("task_group", r6("value").alias("value"), "size")
 
 

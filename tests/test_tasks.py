@@ -136,3 +136,12 @@ def test_documents_that_are_no_json(spark, tmp_path):
     assert tuple(get("good")) == (1, "x") and tuple(get("more")) == (2, None)
     assert [get(n) for n in ("broken", "text", "other", "empty", "list", "absent")] == [None] * 6
     assert get("good", good=lambda d: d["u"] > 1) is None and get("text", good=lambda d: d["u"].isNull()) is None
+
+
+def test_generated_groups_as_configs_say(spark):
+    leaves = spark.createDataFrame([("a", "en", 0.5, 10), ("b", "en", 1.0, 30), ("c", "de", 0.25, 4), ("d", None, 0.9, 9)], "leaf string, lang string, accuracy double, size long")
+    for by_size in (False, True):
+        made = tasks.generated({"en": ["a", "b"], "de": ["c"]}, {"a", "b", "c"}, "g", by_size)
+        want = {r.task_group: (round(r.value, 12), r["size"]) for r in tasks.rollup(leaves.filter("lang is not null"), [{"task": x} for x in "abc"] + made).collect()}
+        got = {r.task_group: (round(r.value, 12), r["size"]) for r in tasks.rollup_generated(leaves, F.col("lang"), "g", by_size).collect()}
+        assert got == want and set(got) == {"g", "g_en", "g_de"}
