@@ -52,6 +52,8 @@ class Words(Codec):
     CLOSING = re.compile(r"(?<=[a-zß-öø-ÿ])([.,;:!?]+)(?=[ \n\t\r]|\Z)")
     MARKS = re.compile("[\u0300-\u036f\u1ab0-\u1aff\u1dc0-\u1dff\u20d0-\u20ff\ufe20-\ufe2f]")
     TOGETHER = 500
+    PART = 1 << 20  # characters of a long text whose chunks are made at once
+    BLANK = re.compile(r"[ \n\t\r]")
 
     def __init__(self, content: str, remembered: int = 2 * REMEMBERED_CHARS):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -69,6 +71,26 @@ class Words(Codec):
             text = self.CLOSING.sub(r" \1", text.encode().lower().decode())  # of bytes: ASCII letters only
         return text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")  # an empty chunk has no ids
 
+    def parts(self, text: str):
+        """A long text in parts that end before a blank, so that its chunks aren't all held as strings."""
+        at = 0
+        while len(text) - at > self.PART:
+            end = self.BLANK.search(text, at + self.PART)
+            if end is None:
+                break
+            yield text[at : end.start()]
+            at = end.start()
+        yield text[at:] if at else text
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        parts, of = [], []
+        for k, text in enumerate(texts):
+            for part in self.parts(text):
+                parts.append(part)
+                of.append(k)
+        ids, counts = super().encode(parts)
+        return ids, np.bincount(of, counts, len(texts)).astype(np.int64)
+
     def encoded(self, chunks: list[str]) -> list[list[int]]:
         return [e.ids for e in self.library.encode_batch_fast(chunks, add_special_tokens=False)] if chunks else []
 
