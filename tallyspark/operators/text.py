@@ -26,9 +26,13 @@ def sentences(text: Column) -> Column:
 def contexts(rows: DataFrame, text: Column, longest: int | None = None, carry: list[str] = ()) -> DataFrame:
     """(ctx, word), behind the columns in `carry`: every word but the first of each text, with all words before it or the last `longest` of them.
 
-    The windows are made inside the array, so a row doesn't carry its text for each of its words: with `longest` the work is linear in the text."""
+    With `longest` the windows are made inside the array, so a row doesn't carry its text for each of its words and the work is linear in the text.
+    Without it a text's contexts are as long as its square; they come one by one, for texts that are sentences."""
     t = rows.select(*carry, tokens(F.lower(text)).alias("t")).filter(F.size("t") > 1)
-    before = (lambda i: F.slice("t", 1, i)) if longest is None else (lambda i: F.slice("t", F.greatest(i - (longest - 1), F.lit(1)), F.least(i, F.lit(longest))))
+    if longest is None:
+        at = t.select(*carry, "t", F.explode(F.sequence(F.lit(1), F.size("t") - 1)).alias("n"))
+        return at.select(*carry, F.array_join(F.slice("t", F.lit(1), F.col("n")), " ").alias("ctx"), F.element_at("t", F.col("n") + 1).alias("word"))
+    before = lambda i: F.slice("t", F.greatest(i - (longest - 1), F.lit(1)), F.least(i, F.lit(longest)))
     pairs = F.transform("t", lambda w, i: F.struct(F.array_join(before(i), " ").alias("ctx"), w.alias("word")))
     return t.select(*carry, F.explode(F.slice(pairs, F.lit(2), F.size("t") - 1)).alias("p")).select(*carry, "p.ctx", "p.word")
 

@@ -64,3 +64,18 @@ def test_splits_and_tokens(spark):
     said = ["one two  three", "", "é 😀x"]
     rows = text.token_table(spark.createDataFrame(list(enumerate(said)), "id int, t string"), ["id"], F.col("t")).collect()
     assert sum(len(x.split(" ")) for x in said) == len(rows) and all(said[r.id][r.char_start : r.char_end] == r.token for r in rows)
+
+
+@pytest.mark.parametrize("longest", [1, 3, 50, None])
+def test_contexts(spark, longest):
+    from pyspark.sql import functions as F
+
+    from tallyspark.operators import text
+
+    said = ["The cat sat on the mat", "one", "", None, "a  b\nc", " ".join(f"W{k}" for k in range(40))]
+    got = collections.Counter((r.id, r.ctx, r.word) for r in text.contexts(spark.createDataFrame(list(enumerate(said)), "id int, t string"), F.col("t"), longest, carry=["id"]).collect())
+    want = collections.Counter()
+    for k, s in enumerate(said):
+        w = (s or "").lower().split()
+        want.update((k, " ".join(w[max(0, i - longest) if longest else 0 : i]), w[i]) for i in range(1, len(w)))
+    assert got == want
