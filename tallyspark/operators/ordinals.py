@@ -25,7 +25,8 @@ def running(rows: DataFrame, by: list[str], order: list[str], totals: dict[str,
     """`rows` with each total {name: (column, "sum" or "bit_xor")} over the rows of its group up to it, itself included.
 
     order: total within a group, nulls first; its first column is a number where parts > 1. With parts = 1 a group is one window: for groups that are known to be small.
-    By default there are as many ranges as the session shuffles to, 64 at most: several groups share the tasks."""
+    By default there are as many ranges as the session shuffles to, 64 at most: several groups share the tasks. `rows` is read three times, for cuts, totals and sums: store
+    what is dear to make."""
     if parts is None:
         parts = min(64, max(2, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     if parts <= 1:
