@@ -120,6 +120,22 @@ def test_rank_correlation_of_matrices(spark, digits):
     assert stats.matrix_rank_correlation(same, "id", "a", "b").first().rho is None  # one of them is constant
 
 
+def test_blocks_of_sparse_keys(spark):
+    """Keys far apart make no more blocks than dense ones, and single numbers move as such: what the blocks of all pairs hold is a few times the input."""
+    r = np.random.default_rng(4)
+    rows = [(int(k) * 1_000_003 - 7, r.normal(size=5).tolist()) for k in r.permutation(300)] + [(-50, [0.0] * 5), (-51, [1.0, None, 0.0, 0.0, 0.0]), (-52, None)]
+    df = spark.createDataFrame(rows, "id long, v array<float>").repartition(5)
+    moved = stats._blocks_of(df, "id", 100, ["v"])
+    assert moved.count() <= 6 * len(rows) and moved.schema["v"].dataType.simpleString() == "array<float>"
+    unit = {k: np.array(v, np.float32).astype(float) / np.linalg.norm(np.array(v, np.float32).astype(float)) for k, v in rows if v and None not in v and any(v)}
+    for block in (None, 100, 7):
+        got = {x.i: x for x in stats.cosine_summary(df, "id", "v", block).collect()}
+        assert len(got) == len(rows) - 1 and all(x.n == sum(j < i for j, _ in rows) for i, x in got.items())
+        for i in got:
+            below = [unit[i] @ unit[j] for j in unit if j < i] if i in unit else []
+            assert (got[i].nearest is None) == (not below) and (not below or abs(got[i].nearest - max(below)) < 1e-9 and abs(got[i].mean - np.mean(below)) < 1e-9)
+
+
 def test_average_ranks_keep_rows(spark):
     df = spark.createDataFrame([("a", 3.0, 1), ("a", None, 2), ("a", 1.0, 3), ("a", 3.0, 4), (None, 5.0, 5), (None, math.nan, 6), (None, 4.0, 7)], "g string, x double, id int")
     assert {r.id: r.rank for r in stats.average_ranks(df, "x", "rank", ["g"]).collect()} == {1: 2.5, 2: None, 3: 1.0, 4: 2.5, 5: 2.0, 6: None, 7: 1.0}
