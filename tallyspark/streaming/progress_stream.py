@@ -1,8 +1,11 @@
 """Best-so-far and early stopping of training runs while their logs arrive.
 
-The state of a run is its epochs' metrics, with the revision that gave each: as many numbers as the run has epochs. Results may come late, out
+The state holds each run's epochs with their metrics, and the revision that gave each: as many rows as the run has epochs. Results may come late, out
 of order, more than once or corrected; a row counts if its revision is later than what its epoch has. After each micro-batch the
 runs that it touched are judged anew, so whatever the batches, a run's last output is what the batch operators say of its latest revisions.
+
+A call of a stateful function costs about a millisecond, so runs share keys: a key is one of BUCKETS hashes of a run's name, and its state the table
+of its runs. A bucket without news is neither read nor written.
 """
 
 from __future__ import annotations
@@ -11,11 +14,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 OUT = "run string, epochs int, best double, best_epoch int, stop int, seen long"
-STATE = "epochs array<int>, metrics array<double>, revisions array<long>, seen long"
+STATE = "held binary"  # an Arrow table of HELD
+HELD = pa.schema([("run", pa.string()), ("epoch", pa.int32()), ("revision", pa.int64()), ("metric", pa.float64()), ("seen", pa.int64())])
+BUCKETS = 4096
 
 
 def judge(epochs: np.ndarray, metrics: np.ndarray, patience: int, threshold: float, sign: int) -> tuple[float | None, int | None, int | None]:
@@ -40,21 +46,33 @@ def followed(logs: DataFrame, run: Column, epoch: Column, metric: Column, revisi
     rows = logs.select(run.cast("string").alias("run"), epoch.cast("int").alias("epoch"), metric.cast("double").alias("metric"), revision.cast("long").alias("revision")).filter("run is not null and epoch is not null")
 
     def update(key: tuple, parts: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        old = state.get if state.exists else ([], [], [], 0)
-        held = {e: (r, m) for e, m, r in zip(old[0], old[1], old[2])}
-        seen = old[3]
-        for part in parts:
-            seen += len(part)
-            for e, m, r in zip(part.epoch.tolist(), part.metric.tolist(), part.revision.fillna(-(2**62)).astype("int64").tolist()):
-                if e not in held or r > held[e][0]:
-                    held[e] = (r, float("nan") if m is None else m)
-        epochs = sorted(held)
-        metrics = [held[e][1] for e in epochs]
-        state.update((epochs, metrics, [held[e][0] for e in epochs], seen))
-        best, at, stop = judge(np.array(epochs, np.int64), np.array([np.nan if m is None else m for m in metrics], float), patience, threshold, sign)
-        yield pd.DataFrame({"run": [key[0]], "epochs": pd.array([len(epochs)], "Int32"), "best": [best], "best_epoch": pd.array([at], "Int32"), "stop": pd.array([stop], "Int32"), "seen": [seen]})
-
-    return rows.groupBy("run").applyInPandasWithState(update, OUT, STATE, "update", "NoTimeout")
+        old = pa.ipc.open_stream(state.get[0]).read_pandas() if state.exists else HELD.empty_table().to_pandas()
+        new = pd.concat(parts).assign(seen=1)
+        new["revision"] = new.revision.fillna(-(2**62)).astype("int64")
+        both = pd.concat([old, new[old.columns]], ignore_index=True) if len(old) else new[old.columns].reset_index(drop=True)
+        code = pd.factorize(both.run)[0]
+        touched = np.zeros(code.max() + 1, bool)
+        touched[code[len(old) :]] = True
+        order = np.lexsort((-both.revision.to_numpy(), both.epoch.to_numpy(), code))  # stable: of equal revisions the first stays first
+        both, code = both.iloc[order], code[order]
+        epoch = both.epoch.to_numpy()
+        starts = np.flatnonzero(np.append(True, (code[1:] != code[:-1]) | (epoch[1:] != epoch[:-1])))
+        seen = np.add.reduceat(both.seen.to_numpy(np.int64), starts)
+        both, code = both.iloc[starts].assign(seen=seen), code[starts]
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, HELD) as writer:
+            writer.write_table(pa.Table.from_pandas(both, HELD, preserve_index=False))
+        state.update((sink.getvalue().to_pybytes(),))
+        names, epoch, metric = both.run.to_numpy(), both.epoch.to_numpy(np.int64), both.metric.to_numpy(float)
+        ends = np.append(np.flatnonzero(code[1:] != code[:-1]) + 1, len(code))
+        out = []
+        for lo, hi in zip(np.append(0, ends[:-1]), ends):
+            if touched[code[lo]]:
+                out.append((names[lo], hi - lo, *judge(epoch[lo:hi], metric[lo:hi], patience, threshold, sign), seen[lo:hi].sum()))
+        run, n, best, at, stop, total = zip(*out)
+        yield pd.DataFrame({"run": run, "epochs": pd.array(n, "Int32"), "best": pd.array(best, "Float64"), "best_epoch": pd.array(at, "Int32"), "stop": pd.array(stop, "Int32"), "seen": total})
+
+    return rows.withColumn("bucket", F.pmod(F.xxhash64("run"), F.lit(BUCKETS))).groupBy("bucket").applyInPandasWithState(update, OUT, STATE, "update", "NoTimeout")
 
 
 def run_available(updates: DataFrame, out: str, checkpoint: str) -> None:

@@ -75,6 +75,22 @@ def test_whatever_the_batches(spark, tmp_path, seed, higher):
         assert all((b is None) == (e is None) for b, e in at.values())
 
 
+def test_runs_share_the_calls_of_their_state(spark, tmp_path):
+    """Many short runs are a few tables of state, not a call each; a later batch judges only the runs that it touches."""
+    rows = [(f"r{k}", e, float((k * 7 + e * 3) % 11), 1, 0) for k in range(20_000) for e in range(3)]
+    source, out, state = (str(tmp_path / x) for x in ("in", "out", "state"))
+    columns = list(map(F.col, ("model", "step", "score", "version")))
+    for part in (rows, [("r5", 3, 99.0, 1, 0), ("r5", 0, -1.0, 2, 0), ("new", 1, 2.0, 1, 0)]):
+        write(spark, part, source)
+        progress_stream.run_available(progress_stream.followed(incremental.parquet_stream(spark, source), *columns), out, state)
+    stored = spark.read.format("statestore").load(state)
+    assert stored.count() <= progress_stream.BUCKETS
+    got = {r.run: r for r in progress_stream.latest(spark, out).collect()}
+    assert len(got) == 20_001 and all(got[f"r{k}"].best == max((k * 7 + e * 3) % 11 for e in range(3)) for k in range(20_000) if k != 5)
+    assert (got["r5"].epochs, got["r5"].best, got["r5"].best_epoch, got["r5"].seen, got["new"].best) == (4, 99.0, 3, 5, 2.0)
+    assert {r.run for r in spark.read.parquet(out).filter("batch > 0").collect()} == {"r5", "new"}
+
+
 def test_judge():
     nan = math.nan
     j = lambda m, **k: progress_stream.judge(__import__("numpy").arange(len(m)), __import__("numpy").array(m, float), **({"patience": 2, "threshold": 0.0, "sign": 1} | k))
