@@ -35,7 +35,9 @@ def subtask_of_file(stem: Column) -> Column:
 
 
 def judged(predictions: DataFrame, gold: DataFrame, order: list, text: Column, uid: Column | str = "uid") -> DataFrame:
-    """(uid, seq, pred, gold, correct) of every prediction that has a gold row at its place; predictions: (uid, seq, pred)."""
+    """(uid, seq, pred, gold, correct) of every prediction that has a gold row at its place; predictions: (uid, seq, pred).
+
+    Both sides are numbered, which reads them three times each: store what is dear to make, above all what was numbered before (functions.folders.stored)."""
     name = F.col(uid) if isinstance(uid, str) else uid
     answers = numbered(gold.select(name.alias("uid"), *order, text.alias("gold")), ["uid"], order).select("uid", "seq", "gold")
     mine = numbered(predictions.select("uid", F.col("seq").alias("__order"), "pred"), ["uid"], ["__order"]).drop("__order")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.folders import stored
 from ..functions.scalars import hash_score, tokens
 from ..operators import complete, finetune, gold, rank, reading, relate, report, routes, stats, tasks, templates, text
 from .catalogue import TOK, H, query, r6, t
@@ -11,10 +12,10 @@ from .catalogue import TOK, H, query, r6, t
 
 def _predictions(spark, d):
     order = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
-    l = t(spark, d, "lineitem").select(F.concat_ws("_", "l_returnflag", "l_linestatus").alias("uid"), *order).distinct()
+    l = stored(t(spark, d, "lineitem").select(F.concat_ws("_", "l_returnflag", "l_linestatus").alias("uid"), *order).distinct())
     right = hash_score(F.concat_ws("-", "l_orderkey", "l_linenumber")) < 0.7
     pred = rank.numbered(l, ["uid"], order).select("uid", "seq", F.when(right, F.concat(F.lit(" "), F.col("l_partkey").cast("string"), F.lit("\t"))).otherwise("wrong").alias("pred"))
-    return pred, l, order
+    return stored(pred), l, order
 
 
 @query("""WITH l AS (SELECT DISTINCT l_returnflag || '_' || l_linestatus AS uid, l_orderkey, l_linenumber, l_partkey, l_suppkey FROM lineitem), j AS (SELECT uid, CASE WHEN """ + H("l_orderkey || '-' || l_linenumber") + """ < 0.7 THEN 1 ELSE 0 END AS correct FROM l)
@@ -29,7 +30,7 @@ j AS (SELECT uid, CASE WHEN """ + H("l_orderkey || '-' || l_linenumber") + """ <
 def q_gold_truncated(spark, d):
     """Gold files that end early: the predictions beyond them count for nothing."""
     pred, l, order = _predictions(spark, d)
-    short = rank.numbered(l, ["uid"], order).filter("seq < 700").drop("seq")
+    short = stored(rank.numbered(l, ["uid"], order).filter("seq < 700").drop("seq"))
     return gold.score(gold.judged(pred, short, order, F.col("l_partkey").cast("string"))).select(r6("macro").alias("macro"), "parts")
 
 
@@ -38,10 +39,10 @@ SELECT uid, round(100.0::DOUBLE * sum(correct) / count(*), 6) AS accuracy FROM j
 def q_gold_restart(spark, d):
     """Places start again in each run of rows with the same number of operations."""
     order = ["l_orderkey", "l_partkey", "l_suppkey"]
-    l = t(spark, d, "lineitem").select("l_returnflag", "l_linenumber", *order).distinct().withColumn("uid", gold.operations_uid(F.col("l_returnflag"), F.col("l_linenumber")))
+    l = stored(t(spark, d, "lineitem").select("l_returnflag", "l_linenumber", *order).distinct().withColumn("uid", gold.operations_uid(F.col("l_returnflag"), F.col("l_linenumber"))))
     right = hash_score(F.concat_ws("-", "l_orderkey", "l_partkey")) < 0.4
     pred = rank.numbered(l, ["uid"], order).select("uid", "seq", F.when(right, F.col("l_suppkey").cast("string")).otherwise("none").alias("pred"))
-    return gold.scored(gold.judged(pred, l, order, F.col("l_suppkey").cast("string"))).select("uid", r6("accuracy").alias("accuracy"))
+    return gold.scored(gold.judged(stored(pred), l, order, F.col("l_suppkey").cast("string"))).select("uid", r6("accuracy").alias("accuracy"))
 
 
 @query(f"""WITH c AS (SELECT conv_id, turn, role, text, row_number() OVER (PARTITION BY role ORDER BY conv_id, turn, text) - 1 AS seq FROM conversations) SELECT role AS uid, role || '_' || seq AS id, CASE WHEN {H("role || '-' || seq")} < 0.5 THEN text ELSE ' none' END AS pred FROM c""")
