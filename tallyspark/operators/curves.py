@@ -1,7 +1,8 @@
 """Acquisition curves: sigmoids fitted to many words at once, and the ages at which they cross a level.
 
-A word's series is gathered in one row, in the order in which its results arrived: it has as many points as there are checkpoints
-and contexts, and a fit needs them together. A task then fits its words in batches: damped Gauss-Newton steps of all words of a batch are the same
+Results of one word at one step are summed up before they are gathered: a fit needs their number and mean only, as what the squares around the mean add
+doesn't depend on the curve. So a word's row has as many points as there are checkpoints, however many results; what counts besides are its
+least and greatest value, and the steps of the first and the last result in the order of arrival. A task then fits its words in batches: damped Gauss-Newton steps of all words of a batch are the same
 few array operations, each word with a damping of its own, until every word is done. No word costs a call of its own.
 """
 
@@ -25,26 +26,27 @@ def _sigmoid(x: np.ndarray, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return s, p[:, 0:1] * s + p[:, 3:4]
 
 
-def fit_sigmoids(x: np.ndarray, y: np.ndarray, mask: np.ndarray, start: np.ndarray, low: np.ndarray, high: np.ndarray, rounds: int = 200) -> np.ndarray:
+def fit_sigmoids(x: np.ndarray, y: np.ndarray, mask: np.ndarray, start: np.ndarray, low: np.ndarray, high: np.ndarray, rounds: int = 200, weight: np.ndarray | None = None) -> np.ndarray:
     """(words, 4): a, b, c, d of a / (1 + exp(-b (x - c))) + d with the least squares over each word's points, within bounds.
 
-    x, y, mask: words by points; start, low, high: words by parameters. A word that can't be fitted is NaN."""
+    x, y, mask: words by points; start, low, high: words by parameters; weight: how many results a point stands for. A word that can't be fitted is NaN."""
     p = np.clip(start.astype(float), low, high)
+    weight = np.where(mask, 1.0 if weight is None else weight, 0.0)
     damp = np.full(len(p), 1e-2)
 
     def cost(rows, q):
-        return (np.where(mask[rows], _sigmoid(x[rows], q)[1] - y[rows], 0.0) ** 2).sum(1)
+        return (np.where(mask[rows], _sigmoid(x[rows], q)[1] - y[rows], 0.0) ** 2 * weight[rows]).sum(1)
 
     live = np.arange(len(p))
     now = cost(live, p)
     for _ in range(rounds):
         if not len(live):
             break
-        q, m = p[live], mask[live]
+        q, m, root = p[live], mask[live], np.sqrt(weight[live])
         s, value = _sigmoid(x[live], q)
         g = q[:, 0:1] * s * (1 - s)
-        j = np.stack([s, g * (x[live] - q[:, 2:3]), -g * q[:, 1:2], np.ones_like(s)], 2) * m[:, :, None]
-        r = np.where(m, value - y[live], 0.0)
+        j = np.stack([s, g * (x[live] - q[:, 2:3]), -g * q[:, 1:2], np.ones_like(s)], 2) * root[:, :, None]
+        r = np.where(m, value - y[live], 0.0) * root
         a = np.einsum("wpi,wpj->wij", j, j)
         diagonal = np.einsum("wii->wi", a)
         damped = a + np.eye(4) * (damp[live, None] * (diagonal + 1e-12))[:, None, :]
@@ -73,47 +75,44 @@ def crossings(p: np.ndarray, level: np.ndarray) -> np.ndarray:
         return np.where(rises, c - np.log(np.where(rises, a / (level - d) - 1, 1.0)) / np.where(rises, b, 1.0), np.nan)
 
 
-def _few(mask: np.ndarray) -> np.ndarray:
-    return mask.sum(1) < 3
+class Told:
+    """What points tell of a word: the number of results of each, the first and the last x in order of arrival, the least and the greatest y. From the points, filled from the left, unless given."""
 
+    def __init__(self, x: np.ndarray, y: np.ndarray, mask: np.ndarray, weight=None, first=None, last=None, least=None, most=None):
+        self.weight = np.where(mask, 1.0 if weight is None else weight, 0.0)
+        self.n = self.weight.sum(1)
+        self.few = self.n < 3
+        self.mean = lambda v: (np.where(mask, v, 0) * self.weight).sum(1) / np.maximum(self.n, 1)
+        at = np.maximum(mask.sum(1) - 1, 0)
+        end = lambda k: np.where(self.n > 0, x[np.arange(len(x)), k], 0.0) if x.shape[1] else np.zeros(len(x))
+        self.first, self.last = end(0 * at) if first is None else first, end(at) if last is None else last
+        self.least = np.where(mask, y, np.inf).min(1, initial=np.inf) if least is None else least
+        self.most = np.where(mask, y, -np.inf).max(1, initial=-np.inf) if most is None else most
 
-def child_ages(x: np.ndarray, y: np.ndarray, mask: np.ndarray, level: float = 0.5) -> np.ndarray:
+
+def child_ages(x: np.ndarray, y: np.ndarray, mask: np.ndarray, level: float = 0.5, told: Told | None = None) -> np.ndarray:
     """The ages at which bounded sigmoids through proportions reach a half, within the first and the last age; NaN where there is none."""
-    n = np.maximum(mask.sum(1), 1)
-    first, last = _ends(x, mask)
-    mean = np.where(mask, x, 0).sum(1) / n
+    t = told or Told(x, y, mask)
     one = np.ones(len(x))
-    start = np.stack([one, 0.1 * one, mean, 0 * one], 1)
-    low, high = np.stack([0 * one, 0 * one, np.minimum(first, last), -0.5 * one], 1), np.stack([2 * one, one, np.maximum(first, last), 0.5 * one], 1)
-    at = crossings(fit_sigmoids(x, y, mask, start, low, high), np.full(len(x), level))
-    return np.where(~_few(mask) & (first <= at) & (at <= last), at, np.nan)
+    start = np.stack([one, 0.1 * one, t.mean(x), 0 * one], 1)
+    low, high = np.stack([0 * one, 0 * one, np.minimum(t.first, t.last), -0.5 * one], 1), np.stack([2 * one, one, np.maximum(t.first, t.last), 0.5 * one], 1)
+    at = crossings(fit_sigmoids(x, y, mask, start, low, high, weight=t.weight), np.full(len(x), level))
+    return np.where(~t.few & (t.first <= at) & (at <= t.last), at, np.nan)
 
 
-def model_ages(step: np.ndarray, surprisal: np.ndarray, mask: np.ndarray, chance: float = CHANCE) -> np.ndarray:
+def model_ages(step: np.ndarray, surprisal: np.ndarray, mask: np.ndarray, chance: float = CHANCE, told: Told | None = None) -> np.ndarray:
     """log10 of the steps at which surprisal has gone half the way from chance to its least value, from the first to the last step in order of arrival."""
-    n = np.maximum(mask.sum(1), 1)
-    first, last = _ends(step, mask)
+    t = told or Told(step, surprisal, mask)
     x, y = np.log10(np.where(mask, step, 0) + 1), np.where(mask, -surprisal, 0.0)
-    least = np.where(mask, y, np.inf).min(1, initial=np.inf)
-    most = np.where(mask, y, -np.inf).max(1, initial=-np.inf)
-    some = mask.any(1)
-    least, most = np.where(some, least, 0.0), np.where(some, most, 0.0)
+    some = t.n > 0
+    least, most = np.where(some, -t.most, 0.0), np.where(some, -t.least, 0.0)
     one = np.ones(len(x))
-    start = np.stack([most - least, one, np.where(mask, x, 0).sum(1) / n, least], 1)
+    start = np.stack([most - least, one, t.mean(x), least], 1)
     free = np.full((len(x), 4), np.inf)
-    at = crossings(fit_sigmoids(x, y, mask, start, -free, free), (most - chance) / 2)
+    at = crossings(fit_sigmoids(x, y, mask, start, -free, free, weight=t.weight), (most - chance) / 2)
     with np.errstate(over="ignore", invalid="ignore"):
         back = 10**at - 1
-        return np.where(~_few(mask) & (first <= back) & (back <= last), at, np.nan)
-
-
-def _ends(x: np.ndarray, mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The first and the last value of each row; points are filled from the left."""
-    n = mask.sum(1)
-    rows = np.arange(len(x))
-    if not x.shape[1]:
-        return np.zeros(len(x)), np.zeros(len(x))
-    return np.where(n > 0, x[rows, 0], 0.0), np.where(n > 0, x[rows, np.maximum(n - 1, 0)], 0.0)
+        return np.where(~t.few & (t.first <= back) & (back <= t.last), at, np.nan)
 
 
 KINDS = {"model": model_ages, "child": child_ages}
@@ -136,11 +135,16 @@ def _one(f, x, y, more) -> float | None:
 
 
 def series(rows: DataFrame, word: str, x: str, y: str, order: list[str]) -> DataFrame:
-    """(word, xs, ys): each word's points in order, without those that lack a number."""
+    """(word, xs, ys, ns, first, last, least, most): each word's distinct xs with the mean and number of their ys; the first and last x in order of arrival. Results that lack a number don't count."""
     number = lambda c: F.nullif(F.col(c).cast("double"), F.lit(float("nan")))
-    point = F.struct(*[F.col(c).alias(f"o{k}") for k, c in enumerate(order)], number(x).alias("x"), number(y).alias("y"))
-    points = F.filter(F.array_sort(F.collect_list(point)), lambda p: p["x"].isNotNull() & p["y"].isNotNull())
-    return rows.groupBy(word).agg(points.alias("p")).select(F.col(word).cast("string").alias(word), F.col("p.x").alias("xs"), F.col("p.y").alias("ys"))
+    whole = number(x).isNotNull() & number(y).isNotNull()
+    come = F.struct(*[F.col(c).alias(f"o{k}") for k, c in enumerate(order)], number(x).alias("x"), number(y).alias("y"))
+    each = rows.select(F.col(word).cast("string").alias(word), F.when(whole, number(x)).alias("x"), F.when(whole, number(y)).alias("y"), F.when(whole, come).alias("o"))
+    ends = lambda c: [F.min(f"{c}").alias("first"), F.max(f"{c}").alias("last")]
+    points = each.groupBy(word, "x").agg(F.avg("y").alias("y"), F.count("y").cast("double").alias("n"), F.min("y").alias("least"), F.max("y").alias("most"), *ends("o"))
+    point = F.when(F.col("x").isNotNull(), F.struct("x", "y", "n"))
+    found = points.groupBy(word).agg(F.sort_array(F.collect_list(point)).alias("p"), F.min("first").alias("first"), F.max("last").alias("last"), F.min("least").alias("least"), F.max("most").alias("most"))
+    return found.select(word, F.col("p.x").alias("xs"), F.col("p.y").alias("ys"), F.col("p.n").alias("ns"), F.col("first.x").alias("first"), F.col("last.x").alias("last"), "least", "most")
 
 
 def _fitted(kind: str, word: str):
@@ -156,17 +160,18 @@ def _fitted(kind: str, word: str):
 
     def run(batches):
         for batch in batches:
-            xs, ys = (batch.column(k).combine_chunks() if isinstance(batch.column(k), pa.ChunkedArray) else batch.column(k) for k in (1, 2))
+            xs, ys, ns = (batch.column(k).combine_chunks() if isinstance(batch.column(k), pa.ChunkedArray) else batch.column(k) for k in (1, 2, 3))
+            ends = [np.asarray(batch.column(k).fill_null(0.0), float) for k in range(4, 8)]
             sizes = np.asarray(xs.value_lengths().fill_null(0), np.int64)
             at = np.cumsum(sizes) - sizes
-            flat_x, flat_y = (np.asarray(v.flatten(), float) for v in (xs, ys))
+            flat_x, flat_y, flat_n = (np.asarray(v.flatten(), float) for v in (xs, ys, ns))
             out = np.full(batch.num_rows, np.nan)
             for some in batched(sizes):
                 mask = np.arange(int(sizes[some].max(initial=0)))[None, :] < sizes[some][:, None]
                 place = (at[some][:, None] + np.arange(mask.shape[1])[None, :])[mask]
-                x, y = np.zeros(mask.shape), np.zeros(mask.shape)
-                x[mask], y[mask] = flat_x[place], flat_y[place]
-                out[some] = f(x, y, mask)
+                x, y, n = np.zeros(mask.shape), np.zeros(mask.shape), np.zeros(mask.shape)
+                x[mask], y[mask], n[mask] = flat_x[place], flat_y[place], flat_n[place]
+                out[some] = f(x, y, mask, told=Told(x, y, mask, n, *[e[some] for e in ends]))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, mask=np.isnan(out))], [word, "age"])
 
     return run
@@ -175,7 +180,7 @@ def _fitted(kind: str, word: str):
 def ages(rows: DataFrame, word: str, x: str, y: str, kind: str = "model", order: list[str] | None = None) -> DataFrame:
     """(word, age) of every word, null where its curve doesn't cross. order: that of arrival, by which the first and the last point bound the age; by x and y where none is given.
 
-    Several results of one step are points of their own."""
+    Several results of one step count as so many."""
     return series(rows, word, x, y, order or [x, y]).mapInArrow(_fitted(kind, word), f"{word} string, age double")
 
 

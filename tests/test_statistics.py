@@ -71,6 +71,19 @@ def test_arrival_bounds_the_age(spark):
     assert got["in order"] is not None and got["late"] is None
 
 
+def test_results_of_a_step_are_summed_up(spark):
+    """A word with many results at few steps is a row of few points, and its age that of all results."""
+    r = np.random.default_rng(6)
+    step, s, _ = words(3, 8)[2]
+    x, y = np.repeat(step, 500), np.repeat(s, 500) + r.normal(0, 0.2, 500 * len(s))
+    rows = [("w", k, float(a), float(b)) for k, (a, b) in enumerate(zip(x, y))] + [("w", -1, None, 1.0), ("w", 10**6, 5.0, None)]
+    df = spark.createDataFrame(rows, "word string, n int, step double, s double").repartition(5)
+    made = curves.series(df, "word", "step", "s", ["n"]).first()
+    assert len(made.xs) == len(step) and made.ns == [500.0] * len(step) and (made.first, made.last) == (x[0], x[-1])
+    got, want = stats.ages(df, "word", "step", "s", order=["n"]).first().age, curves.model_age(x, y)
+    assert (got is None) == (want is None) and (want is None or abs(got - want) < 1e-6)
+
+
 def test_many_words(spark):
     base = words(200, 7)
     n = 20_000
