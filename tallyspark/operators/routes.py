@@ -57,6 +57,9 @@ def routed(rows: DataFrame, configs: list[dict], functions: dict[str, tasks.Filt
     found = rows.sparkSession.createDataFrame(made, "column string, value string, rest map<string,string>, task string, description string, form int")
     keys = sorted({e[0] for e in made})
     text = lambda c: F.col(f"`{c}`").cast("string") if c else F.lit("")
+    # each row becomes several, with a prompt each: a task that read a whole file of short rows would hold them all
+    many = max(4 * rows.sparkSession.sparkContext.defaultParallelism, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    rows = rows.repartition(many, F.monotonically_increasing_id())
     each = rows.withColumn("__key", F.explode(F.array(*[F.struct(F.lit(c).alias("column"), text(c).alias("value")) for c in keys]))) if keys else rows.withColumn("__key", F.lit(None).cast("struct<column:string,value:string>"))
     met = each.join(F.broadcast(found) if len(configs) <= BROADCAST else found, (F.col("__key.column") == F.col("column")) & (F.col("__key.value") == F.col("value")))
     own = F.create_map(*[x for c in columns for x in (F.lit(c), text(c))]) if columns else F.create_map().cast("map<string,string>")

@@ -145,3 +145,12 @@ def test_generated_groups_as_configs_say(spark):
         want = {r.task_group: (round(r.value, 12), r["size"]) for r in tasks.rollup(leaves.filter("lang is not null"), [{"task": x} for x in "abc"] + made).collect()}
         got = {r.task_group: (round(r.value, 12), r["size"]) for r in tasks.rollup_generated(leaves, F.col("lang"), "g", by_size).collect()}
         assert got == want and set(got) == {"g", "g_en", "g_de"}
+
+
+def test_one_file_is_many_tasks(spark, tmp_path):
+    """Rows that lie in one file are dealt out before each becomes several."""
+    spark.range(20_000).selectExpr("cast(id % 3 as string) as kind", "cast(id as string) as question").coalesce(1).write.parquet(str(tmp_path / "t"))
+    made = [{"task": f"k{k}", "process_docs": {"kind": str(k)}, "doc_to_text": "question", "doc_to_choice": ["a", "b"], "doc_to_target": "a"} for k in range(3)]
+    out = routes.prompted(spark.read.parquet(str(tmp_path / "t")), made)
+    sizes = [r["count"] for r in out.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(sizes) == 20_000 and max(sizes) < 5000
