@@ -194,6 +194,18 @@ def test_beta_against_a_scan(spark):
     assert stats.best_beta(df, "h", "l", grid=[0.5, 1.0, 30.0])["beta"] == min((0.5, 1.0, 30.0), key=divergence)
 
 
+def test_divergences_are_those_of_the_expressions(spark):
+    """Nulls, missing mates, NaN and infinite logits count as in `kl` of `softmax`; a pass gives a row of sums, no expression of arrays is left in it."""
+    nan, inf = math.nan, math.inf
+    rows = [([0.2, 0.8], [1.0, 2.0]), ([0.5, None], [1.0, 2.0]), ([0.5, 0.5], [None, 2.0]), ([0.1, 0.2, 0.7], [3.0, 1.0]), ([1.0], [4.0, -2.0, 900.0]), ([nan, 0.5], [1.0, 0.0])]
+    rows += [([0.5, 0.5], [nan, 1.0]), ([0.5, 0.5], [inf, 1.0]), (None, [1.0]), ([1.0], None), ([], []), ([1.0], []), ([], [1.0]), ([0.0, 1.0], [0.0, 1000.0]), ([None], [None])]
+    df = spark.createDataFrame(rows, "h array<double>, l array<double>").repartition(3)
+    for beta in (0.025, 1.0, 40.0):
+        want = df.agg(F.avg(stats.kl(F.col("h"), stats.softmax(F.col("l"), beta)))).first()[0]
+        assert abs(stats.best_beta(df, "h", "l", grid=[beta])["kl"] - want) < 1e-9
+    assert stats.best_beta(df.filter("h is null"), "h", "l", grid=[1.0])["kl"] is None
+
+
 def test_languages_of_models(spark):
     names = ["GPT-Strict-Small", "x-lm-zho", "en_nld_equal", "nld_zho_equal", "en_nld_zho_equal", "english", "gpt", "zho", None]
     got = {r.m: (r.languages, r.place) for r in relate.by_languages(spark.createDataFrame([(n,) for n in names], "m string"), "m").collect()}
