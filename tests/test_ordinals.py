@@ -79,3 +79,11 @@ def test_contexts(spark, longest):
         w = (s or "").lower().split()
         want.update((k, " ".join(w[max(0, i - longest) if longest else 0 : i]), w[i]) for i in range(1, len(w)))
     assert got == want
+
+
+def test_options_take_one_shuffle(spark):
+    """Lines of an order stay together from the first shuffle on: no ranges, cuts or joins for groups of a few rows."""
+    from tallyspark.plans import catalogue
+
+    plan = catalogue._options(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") == 1 and "Join" not in plan
