@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.folders import stored
 from ..functions.scalars import hash_score, strip, tokens
 from .ordinals import running
 from .stats import running_total
@@ -32,6 +33,9 @@ def contexts(rows: DataFrame, text: Column, longest: int | None = None, carry: l
     if longest is None:
         at = t.select(*carry, "t", F.explode(F.sequence(F.lit(1), F.size("t") - 1)).alias("n"))
         return at.select(*carry, F.array_join(F.slice("t", F.lit(1), F.col("n")), " ").alias("ctx"), F.element_at("t", F.col("n") + 1).alias("word"))
+    if longest == 1:  # neighbours: two slices, no function of a row's words
+        pairs = F.arrays_zip(F.slice("t", F.lit(1), F.size("t") - 1).alias("ctx"), F.slice("t", F.lit(2), F.size("t") - 1).alias("word"))
+        return t.select(*carry, F.inline(pairs).alias("ctx", "word"))
     before = lambda i: F.slice("t", F.greatest(i - (longest - 1), F.lit(1)), F.least(i, F.lit(longest)))
     pairs = F.transform("t", lambda w, i: F.struct(F.array_join(before(i), " ").alias("ctx"), w.alias("word")))
     return t.select(*carry, F.explode(F.slice(pairs, F.lit(2), F.size("t") - 1)).alias("p")).select(*carry, "p.ctx", "p.word")
@@ -136,8 +140,9 @@ def encoder_decoder(rows: DataFrame, key: list[str], prefix: Column, completion:
 
 def context_frequencies(pairs: DataFrame) -> DataFrame:
     """(ctx, word, n, frequency, log_per_million, ctx_n, ctx_frequency, ctx_log_per_million): of words within their context, and of contexts among all windows."""
-    both = context_counts(pairs)
-    total = float(pairs.count() or 1)  # one number
+    each = stored(pairs.groupBy("ctx", "word").agg(F.count("*").alias("n")))  # texts are cut up once
+    both = each.join(each.groupBy("ctx").agg(F.sum("n").alias("ctx_n")), "ctx")
+    total = float(each.agg(F.sum("n")).first()[0] or 1)  # one number
     inside, among = F.col("n").cast("double") / F.col("ctx_n"), F.col("ctx_n").cast("double") / F.lit(total)
     return both.select("ctx", "word", "n", inside.alias("frequency"), F.log10(inside * 1e6).alias("log_per_million"), "ctx_n", among.alias("ctx_frequency"), F.log10(among * 1e6).alias("ctx_log_per_million"))
 

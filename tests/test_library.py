@@ -4,6 +4,7 @@ import json
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tallyspark.functions.scalars import step_number, strip, tokens
 from tallyspark.operators import decode, rank, relate, report, stats, tasks, text
@@ -464,3 +465,22 @@ def test_token_inputs(spark):
     assert stats.running_total(numbers.limit(0), ["x"], "n", "s").count() == 0
     split = relate.split_exactly(numbers.filter("x is not null"), ["x"], 0.25).groupBy("split").count().collect()
     assert {r.split: r["count"] for r in split} == {"valid": 125, "train": 375}
+
+
+def test_context_frequencies_read_texts_once(spark):
+    """Counts are made once and stored; neighbours are those of the general windows."""
+    from tallyspark.operators import text
+
+    df = spark.createDataFrame([("a b a b c",), ("a",), ("",), (None,), ("B a",)], "text string")
+    pairs = text.contexts(df, F.col("text"), 1)
+    assert sorted(map(tuple, pairs.collect())) == [("a", "b"), ("a", "b"), ("b", "a"), ("b", "a"), ("b", "c")]
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(rows):
+        for r in rows:
+            seen.add(1)
+            yield r
+
+    counted = spark.createDataFrame(pairs.rdd.mapPartitions(count), "ctx string, word string")
+    got = {(r.ctx, r.word): (r.n, r.frequency, r.ctx_n, r.ctx_frequency) for r in text.context_frequencies(counted).collect()}
+    assert got == {("a", "b"): (2, 1.0, 2, 0.4), ("b", "a"): (2, 2 / 3, 3, 0.6), ("b", "c"): (1, 1 / 3, 3, 0.6)} and seen.value == 5
