@@ -87,3 +87,20 @@ def test_options_take_one_shuffle(spark):
 
     plan = catalogue._options(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange ") == 1 and "Join" not in plan
+
+
+def test_ranges_are_compiled(spark):
+    """A row's range is a sum of comparisons; what gold queries number twice comes from a table, not from its making again."""
+    import math
+
+    from pyspark.sql import functions as F
+    from tallyspark.plans import evaluation
+
+    df = spark.createDataFrame([(x,) for x in (None, -1.0, 1.0, 1.5, 2.0, 9.0, math.nan)], "x double")
+    got = [r.r for r in df.select(ordinals.range_of(F.col("x"), [1.0, 2.0, 3.0]).alias("r")).collect()]
+    assert got == [None, 0, 0, 1, 1, 3, 3]
+    assert [r.r for r in df.select(ordinals.range_of(F.col("x"), []).alias("r")).collect()] == [None] + [0] * 6
+    rows = spark.range(1000).selectExpr("id % 3 as g", "id as first")
+    assert "lambda" not in ordinals.numbered(rows, ["g"], ["first"], parts=8)._jdf.queryExecution().optimizedPlan().toString()
+    pred, l, _ = evaluation._predictions(spark, "/root/testdata/sf0.001")
+    assert all("Exchange" not in x._jdf.queryExecution().executedPlan().toString() for x in (pred, l))
