@@ -24,18 +24,35 @@ def sentences(text: Column) -> Column:
     return F.filter(F.split(text, r"(?<=[.!?])\s+"), lambda s: s != "")
 
 
+WIDE = 16  # words before a word that are made as columns at most
+
+
+def windows(rows: DataFrame, text: Column, longest: int, carry: list[str] = ()) -> DataFrame:
+    """(before<longest>, ..., before1, word), behind the columns in `carry`: every word but the first of each text beside the words before it, null where there is none.
+
+    The columns are slices of one array, each a word further on: no function of a row's words, and a text is cut up once."""
+    p = rows.select(*carry, F.concat(F.array_repeat(F.lit(None).cast("string"), longest - 1), tokens(F.lower(text))).alias("p"))
+    n = F.greatest(F.size("p") - longest, F.lit(0))
+    names = [*(f"before{k}" for k in range(longest, 0, -1)), "word"]
+    return p.select(*carry, F.inline(F.arrays_zip(*[F.slice("p", F.lit(k + 1), n).alias(c) for k, c in enumerate(names)])))
+
+
+def joined(longest: int) -> Column:
+    """The words before one as a context."""
+    return F.concat_ws(" ", *[f"before{k}" for k in range(longest, 0, -1)])
+
+
 def contexts(rows: DataFrame, text: Column, longest: int | None = None, carry: list[str] = ()) -> DataFrame:
     """(ctx, word), behind the columns in `carry`: every word but the first of each text, with all words before it or the last `longest` of them.
 
     With `longest` the windows are made inside the array, so a row doesn't carry its text for each of its words and the work is linear in the text.
     Without it a text's contexts are as long as its square; they come one by one, for texts that are sentences."""
+    if longest is not None and longest <= WIDE:
+        return windows(rows, text, longest, carry).select(*carry, joined(longest).alias("ctx"), "word")
     t = rows.select(*carry, tokens(F.lower(text)).alias("t")).filter(F.size("t") > 1)
     if longest is None:
         at = t.select(*carry, "t", F.explode(F.sequence(F.lit(1), F.size("t") - 1)).alias("n"))
         return at.select(*carry, F.array_join(F.slice("t", F.lit(1), F.col("n")), " ").alias("ctx"), F.element_at("t", F.col("n") + 1).alias("word"))
-    if longest == 1:  # neighbours: two slices, no function of a row's words
-        pairs = F.arrays_zip(F.slice("t", F.lit(1), F.size("t") - 1).alias("ctx"), F.slice("t", F.lit(2), F.size("t") - 1).alias("word"))
-        return t.select(*carry, F.inline(pairs).alias("ctx", "word"))
     before = lambda i: F.slice("t", F.greatest(i - (longest - 1), F.lit(1)), F.least(i, F.lit(longest)))
     pairs = F.transform("t", lambda w, i: F.struct(F.array_join(before(i), " ").alias("ctx"), w.alias("word")))
     return t.select(*carry, F.explode(F.slice(pairs, F.lit(2), F.size("t") - 1)).alias("p")).select(*carry, "p.ctx", "p.word")

@@ -181,6 +181,92 @@ def test_settings_are_checked(corpus):
         collate_scores.run(corpus.spark, corpus.docs, corpus.docs, corpus.out, {})
 
 
+def files(path):
+    return sorted(os.path.join(d, n) for d, _, names in os.walk(path) for n in names if n.endswith(".parquet"))
+
+
+def test_no_news_leaves_the_tables(corpus):
+    """A run that finds nothing newer writes no table; a new setting, a new file or a lost table is published."""
+    corpus.add(TEXTS[:4])
+    first, was = corpus.run(), None
+    tables = lambda: files(f"{corpus.out}/contexts") + files(f"{corpus.out}/words")
+    was = tables()
+    again = corpus.run()
+    assert tables() == was and again == first | {"batches": 0, "rows": 0}
+    corpus.run(top=5)
+    assert tables() != was
+    corpus.check(TEXTS[:4], top=5)
+    for f in files(f"{corpus.out}/contexts"):
+        os.remove(f)
+    corpus.run(top=5)
+    corpus.check(TEXTS[:4], top=5)
+    corpus.add(TEXTS[4:])
+    corpus.run()
+    corpus.check(TEXTS)
+
+
+def test_half_published_is_mended(corpus, monkeypatch):
+    """Where one table was written with another setting and the other wasn't, the mark of before doesn't count."""
+    corpus.add(TEXTS)
+    corpus.run()
+    real = word_contexts.published
+    monkeypatch.setattr(word_contexts, "published", lambda *a: (real(*a)[0], None))
+    with pytest.raises(AttributeError):
+        corpus.run(top=1)
+    monkeypatch.setattr(word_contexts, "published", real)
+    corpus.run()
+    corpus.check(TEXTS)
+
+
+@pytest.mark.parametrize(("longest", "least"), [(1, 1), (3, 0), (3, 2), (3, 3), (3, 4), (17, 2), (None, 2)])
+def test_counts_are_those_of_whole_contexts(spark, longest, least):
+    rows, words = spark.createDataFrame(TEXTS, "lang string, text string"), spark.createDataFrame([("the",), ("cat",), ("sat",)], "word string")
+    want = collections.Counter()
+    for lang, text in TEXTS:
+        for s in re.split(r"(?<=[.!?])\s+", text or ""):
+            t = s.lower().split()
+            for i in range(1, len(t)):
+                before = t[max(0, i - longest) if longest else 0 : i]
+                known = t[i] in ("the", "cat", "sat")
+                want[lang, t[i] if known else None, " ".join(before) if known and len(before) >= least else None] += 1
+    for few in (True, False):
+        got = word_contexts.counted(rows, words, word_contexts.DEFAULTS | {"longest": longest, "least_tokens": least}, few)
+        assert sorted(map(repr, (((r.language, r.word, r.ctx), r.n) for r in got.collect()))) == sorted(map(repr, want.items()))
+    if longest == 3:
+        plan = got._jdf.queryExecution().optimizedPlan().toString()
+        assert "transform(" not in plan and "array_join(" not in plan  # no function of each of a row's words
+
+
+def test_one_batch_is_published_without_a_shuffle_of_contexts(spark):
+    """The counts of one batch are sums; what is cut before the sort changes nothing, ties and words of few contexts neither."""
+    rows = [(lang, f"w{w}", f"c{c:02}", 1 + (c * c * (w + 1)) % (1 + 3 * w)) for lang in ("a", None) for w in range(5) for c in range(3 + 4 * w)]
+    counts = spark.createDataFrame([*rows, ("a", None, None, 50), (None, None, None, 9), ("a", "w0", None, 4)], word_contexts.COUNTS)
+    want = [sorted(map(repr, t.collect())) for t in word_contexts.published(counts, 4)]
+    for few in (True, False):
+        got = word_contexts.published(counts, 4, True, few)
+        assert [sorted(map(repr, t.select(*u.columns).collect())) for t, u in zip(got, word_contexts.published(counts, 4))] == want
+        shuffles = re.findall(r"Exchange hashpartitioning\(([^)]*)\)", got[0]._jdf.queryExecution().executedPlan().toString())
+        assert shuffles and not any("ctx" in keys for keys in shuffles)
+    kept = word_contexts.frequent(counts.filter("ctx is not null"), 4).count()
+    assert 4 * 4 <= kept < len(rows)
+
+
+def test_one_file_is_many_tasks(corpus):
+    """Many rows of one file are dealt out, with the same counts; few stay where they are."""
+    texts = TEXTS * 200
+    corpus.add(texts)
+    rows = corpus.spark.read.parquet(corpus.docs)
+    assert rows.rdd.getNumPartitions() == 1 and word_contexts.dealt(rows, 100).rdd.getNumPartitions() == 1
+    assert word_contexts.dealt(rows, len(texts)).rdd.getNumPartitions() == max(4 * corpus.spark.sparkContext.defaultParallelism, int(corpus.spark.conf.get("spark.sql.shuffle.partitions")))
+    assert word_contexts.dealt(rows, 100 * word_contexts.FULL).rdd.getNumPartitions() == 100  # tasks grow in number, not in size
+    seen, real = [], word_contexts.dealt
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(word_contexts, "dealt", lambda rows, n: seen.append(n) or real(rows, n))
+        corpus.run()
+    assert seen == [len(texts)]
+    corpus.check(texts)
+
+
 # ---- the leaderboard ---------------------------------------------------------------------------------
 
 SAID = {"predictions": {"model": "m", "item": "i", "answer": "a", "order": ["at"]}, "gold": {"item": "i", "answer": "a", "task": "t", "subtask": "s"}}
